@@ -76,10 +76,11 @@ def survey_spec() -> Spec:
 class Preparer:
     """Fit-once, apply-many preparation for one kind."""
 
-    def __init__(self, kind: str, spec: Spec):
+    def __init__(self, kind: str, spec: Spec, passthrough: Sequence[str] = ()):
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}; expected one of {sorted(KINDS)}")
         self.kind_name, self.kind, self.spec = kind, KINDS[kind], spec
+        self.passthrough = list(passthrough)
         self.fitted = False
 
     # -- the row-local front of the chain (identical at fit and transform time)
@@ -125,7 +126,7 @@ class Preparer:
         self.fitted = True
         if k.drop_degenerate:
             out = self._encode(self._scale(base))
-            feats = [c for c in out.columns if c not in (sp.key, "target")]
+            feats = [c for c in out.columns if c not in [sp.key, "target"] + self.passthrough]
             self.kept = PR.drop_degenerate_fit(out, feats)
         return self
 
@@ -152,6 +153,7 @@ class Preparer:
         sp, k = self.spec, self.kind
         num = self._numeric_cols() + (["num_missing"] if k.null_count else [])
         keep = [sp.key] + num + (["target"] if "target" in df.columns else [])
+        keep += [c for c in self.passthrough if c in df.columns and c not in keep]
         if k.encoding == "ordinal":
             enc = PR.ordinal_encode(df.select(*keep, *sp.categorical), self.categories)
             return enc.select(*keep, *[F.col(c).cast("double").alias(c) for c in sp.categorical])
@@ -180,12 +182,12 @@ class Preparer:
         base = self._target(self._gap_and_log(base))
         out = self._encode(self._scale(base))
         if self.kind.drop_degenerate:
-            extra = [c for c in ("target",) if c in out.columns]
+            extra = [c for c in ["target"] + self.passthrough if c in out.columns]
             out = out.select(self.spec.key, *self.kept, *extra)
         return out
 
     def feature_columns(self, df: DataFrame) -> list[str]:
-        return [c for c in df.columns if c not in (self.spec.key, "target")]
+        return [c for c in df.columns if c not in [self.spec.key, "target"] + self.passthrough]
 
 
 def prepare(kind: str, spec: Spec, train: DataFrame, *others: DataFrame):
