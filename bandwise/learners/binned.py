@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from bandwise.functions.scalars import bin_index
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import EPS, conformal_fit, conformity_scores
+from bandwise.operators.orderstats import scalar_qhat, EPS, conformal_fit, conformity_scores
 
 
 def band_search(probs: np.ndarray, values: np.ndarray, alpha: float):
@@ -79,7 +79,7 @@ class BinnedDensity:
         ).fit(data)
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         s = conformity_scores(raw, self.label, "lower", "upper")
-        self.qhat_ = conformal_fit(s, [], self.coverage, "score", ["id"]).first()["qhat"]
+        self.qhat_ = scalar_qhat(conformal_fit(s, [], self.coverage, "score", ["id"]))
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:

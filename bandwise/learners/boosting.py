@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import conformal_apply, conformal_fit, conformity_scores
+from bandwise.operators.orderstats import scalar_qhat, conformal_apply, conformal_fit, conformity_scores
 from bandwise.session import cut_lineage
 
 
@@ -100,7 +100,7 @@ class QuantileBoostInterval:
         self.upper_ = QuantileBooster(self.features, hi_t, self.label, **self.params).fit(fit_df)
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         scores = conformity_scores(raw, self.label, "lower", "upper")
-        self.qhat_ = conformal_fit(scores, [], self.coverage, "score", ["id"]).first()["qhat"]
+        self.qhat_ = scalar_qhat(conformal_fit(scores, [], self.coverage, "score", ["id"]))
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.scalars import sigmoid, softplus
 from bandwise.learners.common import adam, agg_vector, linear
-from bandwise.operators.orderstats import conformal_fit, conformity_scores
+from bandwise.operators.orderstats import scalar_qhat, conformal_fit, conformity_scores
 from bandwise.session import cut_lineage
 
 
@@ -105,7 +105,7 @@ class EIMRegression:
         self.theta = adam(theta, self._grad(data, float(st["n"])), self.steps, self.lr)
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         s = conformity_scores(raw, self.label, "lower_t", "upper_t")
-        self.qhat_ = conformal_fit(s, [], self.coverage, "score", ["id"]).first()["qhat"]
+        self.qhat_ = scalar_qhat(conformal_fit(s, [], self.coverage, "score", ["id"]))
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import conformal_abs_residual
+from bandwise.operators.orderstats import scalar_qhat, conformal_abs_residual
 
 
 @dataclass
@@ -39,7 +39,7 @@ class ForestInterval:
             subsamplingRate=self.subsampling, seed=self.seed,
         ).fit(data)
         cal = self._mid(cal_df.select("id", *self.features, self.label))
-        self.qhat_ = conformal_abs_residual(cal, [], self.coverage, self.label, "mid", ["id"]).first()["qhat"]
+        self.qhat_ = scalar_qhat(conformal_abs_residual(cal, [], self.coverage, self.label, "mid", ["id"]))
         return self
 
     def _mid(self, df: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def conformal_fit(
     )
 
 
+def scalar_qhat(qhat: DataFrame) -> float:
+    """The single correction of an ungrouped ``conformal_fit``; fails on an empty calibration part."""
+    row = qhat.first()
+    if row is None:
+        raise ValueError("calibration part is empty: no conformity scores to rank")
+    return row["qhat"]
+
+
 def conformal_apply(
     df: DataFrame, qhat: DataFrame, keys: Sequence[str] = (), lower="lo", upper="hi",
 ) -> DataFrame:
@@ -62,7 +70,7 @@ def conformal_apply(
     if keys:
         j = df.join(qhat.select(*keys, "qhat"), keys)
     else:
-        j = df.withColumn("qhat", F.lit(qhat.first()["qhat"]))
+        j = df.withColumn("qhat", F.lit(scalar_qhat(qhat)))
     return j.withColumn(lower, _c(lower) - F.col("qhat")).withColumn(upper, _c(upper) + F.col("qhat"))
 
 

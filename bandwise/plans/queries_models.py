@@ -166,8 +166,9 @@ def shash_ensemble(spark, sf):
 def second_level_blend(spark, sf):
     o = FX.obs(spark, sf)
     wide = assemble_models(FX.preds_from(o), [0, 1, 2], "id", "model_id", "lo", "hi")
-    fitted = wide.join(o.filter(F.col("part") == "fit").select("id", "y"), "id")
-    submission = wide.join(o.filter(F.col("part") == "cal").select("id"), "id")
+    # train / test by fold digits: the blend's own fit/calibration split uses the part digits
+    fitted = wide.join(o.filter(F.col("fold") != 0).select("id", "y"), "id")
+    submission = wide.join(o.filter(F.col("fold") == 0).select("id"), "id")
     return ST.second_level_blend(fitted, submission, "forest", scale=100.0,
                                  params={"num_trees": 10, "max_depth": 5})
 
