@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from bandwise.functions.distributions import SPREAD_OFFSET, shash_nll, shash_quantile
 from bandwise.functions.scalars import sigmoid, softplus
 from bandwise.learners.common import adam, agg_vector, linear
-from bandwise.operators.orderstats import hdi_array, min_width_shift
+from bandwise.operators.orderstats import min_width_shift, with_hdi
 from bandwise.session import cut_lineage
 
 
@@ -142,6 +142,4 @@ class ShashRegression:
 
     def sample_intervals(self, df: DataFrame, n_draws: int = 500, seed: int = 0) -> DataFrame:
         """HDI of each row's own draws, row-local (no shuffle)."""
-        d = self.draw_array(df, n_draws, seed)
-        b = hdi_array("draws", self.coverage)
-        return d.select("id", b["lower"].alias("lower"), b["upper"].alias("upper"))
+        return with_hdi(self.draw_array(df, n_draws, seed), "draws", self.coverage, ["id"])

@@ -113,17 +113,17 @@ def hdi(
     return best.select(*keys, F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper"))
 
 
-def hdi_array(samples, alpha: float = 0.9) -> Column:
-    """Row-local HDI of an array column (for groups bounded by a draw count).
+def hdi_sorted(sorted_col: str, alpha: float = 0.9) -> Column:
+    """Row-local HDI of an already sorted array column; returns struct(w, i, lower, upper).
 
-    Returns a struct(w, i, lower, upper).
+    The lambda reads the sorted array by column reference, so it is sorted once per row
+    (an inline ``array_sort`` would be re-evaluated for every element access).
     """
-    s = F.array_sort(_c(samples))
+    s = F.col(sorted_col)
     n = F.size(s)
     m = F.floor(n.cast("double") * F.lit(alpha)).cast("int")
-    idx = F.sequence(F.lit(0), n - m - 1)
     cands = F.transform(
-        idx,
+        F.sequence(F.lit(0), n - m - 1),
         lambda i: F.struct(
             (F.element_at(s, i + m + 1) - F.element_at(s, i + 1)).alias("w"),
             i.alias("i"),
@@ -134,6 +134,15 @@ def hdi_array(samples, alpha: float = 0.9) -> Column:
     return F.array_min(cands)
 
 
+def with_hdi(df: DataFrame, samples, alpha: float = 0.9, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """``keep`` columns plus ``lower``, ``upper``: the HDI of each row's sample array (for groups
+    bounded by a draw count). Sort, search and unpack are separate projections."""
+    keep = list(keep)
+    d = df.select(*keep, F.array_sort(_c(samples)).alias("_sorted"))
+    d = d.select(*keep, hdi_sorted("_sorted", alpha).alias("_b"))
+    return d.select(*keep, F.col("_b.lower").alias("lower"), F.col("_b.upper").alias("upper"))
+
+
 def pooled_hdi(draws: DataFrame, key: str = "id", value: str = "value", alpha: float = 0.9,
                max_draws: int = 100_000) -> DataFrame:
     """One HDI per key over the stacked draws of several models.
@@ -144,8 +153,15 @@ def pooled_hdi(draws: DataFrame, key: str = "id", value: str = "value", alpha: f
     g = draws.groupBy(key).agg(F.collect_list(value).alias("_s"))
     g = g.withColumn("_s", F.when(F.size("_s") <= max_draws, F.col("_s")).otherwise(
         F.raise_error(F.lit(f"more than {max_draws} draws for one key"))))
-    b = hdi_array("_s", alpha)
-    return g.select(key, b["lower"].alias("lower"), b["upper"].alias("upper"))
+    return with_hdi(g, "_s", alpha, [key])
+
+
+def pooled_hdi_arrays(df: DataFrame, draw_cols: Sequence[str], alpha: float = 0.9,
+                      keep: Sequence[str] = ("id",)) -> DataFrame:
+    """One HDI per row over several models' draw arrays held on that row: concatenation and
+    search are row-local, so pooling costs no shuffle."""
+    return with_hdi(df.select(*keep, F.concat(*[F.col(c) for c in draw_cols]).alias("_pool")), "_pool",
+                    alpha, keep)
 
 
 # ---------------------------------------------------------------- per-row bin distributions

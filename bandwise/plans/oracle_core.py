@@ -154,6 +154,7 @@ _STACK = f"""st as (select s.id, m.model_id, g.draw,
   from shash s, zgrid g, (select 0 as model_id union all select 1 union all select 2) m)"""
 oracle("stack_draws", "select id, model_id, draw, value from st", ["shash", "zgrid"], [_STACK])
 oracle("pooled_hdi", _hdi_sql("st", "id", "value", "model_id, draw"), ["shash", "zgrid"], [_STACK])
+oracle("pooled_hdi_long", _hdi_sql("st", "id", "value", "model_id, draw"), ["shash", "zgrid"], [_STACK])
 
 _z_lo, _z_hi = normal_ppf(0.05), normal_ppf(0.95)
 _SHIFTS = "sh(k, zl, zh) as (values " + ", ".join(

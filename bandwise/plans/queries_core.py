@@ -209,8 +209,7 @@ def _draw_values(sh, center_shift=0.0):
 @register("sample_intervals", doubles=["lower", "upper"])
 def sample_intervals(spark, sf):
     sh = FX.shash(spark, sf)
-    b = O.hdi_array(_draw_values(sh), COV)
-    return sh.select("id", b["lower"].alias("lower"), b["upper"].alias("upper"))
+    return O.with_hdi(sh.withColumn("_v", _draw_values(sh)), "_v", COV, ["id"])
 
 
 @register("stack_draws", doubles=["value"])
@@ -226,6 +225,14 @@ def stack_draws(spark, sf):
 
 @register("pooled_hdi", doubles=["lower", "upper"])
 def pooled_hdi(spark, sf):
+    sh = FX.shash(spark, sf)
+    d = sh.withColumns({f"_d{m}": _draw_values(sh, 0.05 * m) for m in range(FX.N_MODELS)})
+    return O.pooled_hdi_arrays(d, [f"_d{m}" for m in range(FX.N_MODELS)], COV, ["id"])
+
+
+@register("pooled_hdi_long", doubles=["lower", "upper"])
+def pooled_hdi_long(spark, sf):
+    """Same pooling when the draws arrive as a long table (one shuffle on id)."""
     sh = FX.shash(spark, sf)
     parts = [
         sh.select("id", F.explode(_draw_values(sh, 0.05 * m)).alias("value")) for m in range(FX.N_MODELS)

@@ -19,7 +19,7 @@ from bandwise.learners.forest import ForestInterval
 from bandwise.learners.shash import ShashRegression
 from bandwise.functions import scalars as S
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
-from bandwise.operators.orderstats import pooled_hdi
+from bandwise.operators.orderstats import pooled_hdi_arrays
 from bandwise.operators.predictions import union_folds
 from bandwise.plans.models import IntervalModel
 from bandwise.plans.prepare_kinds import Spec
@@ -100,12 +100,14 @@ def shash_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequ
     tr = tr.withColumn("target", S.softplus_inv(F.col(spec.target) / F.lit(spec.target_scale)))
     te, _ = _second_level_frame(test, spec, stacked_test_features(models, test, spec.key), spec.target_scale)
     tr = assign_fold(tr, k, spec.key, "f2")
-    draws = []
+    cols = []
     for f in range(k):
         m = ShashRegression(feats, "target", coverage=coverage, scale=spec.target_scale,
                             **dict(shash_params or {})).fit(fold_filter(tr, f, False, "f2"))
-        draws.append(m.draws(te, n_draws, seed=f))
-    return pooled_hdi(union_folds(draws), spec.key, "value", coverage)
+        te = m.draw_array(te, n_draws, seed=f).withColumnRenamed("draws", f"_d{f}")
+        cols.append(f"_d{f}")
+    # every fold model's draws sit on the row they belong to: pooled without a shuffle
+    return pooled_hdi_arrays(te, cols, coverage, [spec.key])
 
 
 def second_level_blend(fitted: DataFrame, submission: DataFrame, learner: str = "forest",
