@@ -199,43 +199,50 @@ def hdi(spark, sf):
     return O.hdi(FX.obs(spark, sf), ["cat"], "y", COV, ["id"])
 
 
-def _draw_values(sh, center_shift=0.0):
-    z = FX.zgrid_expr()
+def _draw_values(sh, center_shift=0.0, draws=None):
+    z = FX.zgrid_expr(draws)
     return F.transform(
         z, lambda zz: S.softplus(D.shash_quantile(zz, F.col("center") + F.lit(center_shift), "spread",
                                                   "skew", "tail")) * F.lit(1000.0))
 
 
+def _shash_and_grid(spark, sf):
+    o = FX.obs(spark, sf)
+    return FX.shash_from(o), FX.zgrid_draws(o)
+
+
 @register("sample_intervals", doubles=["lower", "upper"])
 def sample_intervals(spark, sf):
-    sh = FX.shash(spark, sf)
-    return O.with_hdi(sh.withColumn("_v", _draw_values(sh)), "_v", COV, ["id"])
+    sh, g = _shash_and_grid(spark, sf)
+    return O.with_hdi(sh.withColumn("_v", _draw_values(sh, 0.0, g)), "_v", COV, ["id"])
 
 
 @register("stack_draws", doubles=["value"])
 def stack_draws(spark, sf):
-    sh = FX.shash(spark, sf)
+    sh, g = _shash_and_grid(spark, sf)
+    gid = F.array(*[F.lit(d) for d in g])
     parts = [
         sh.select("id", F.lit(m).alias("model_id"),
-                  F.posexplode(_draw_values(sh, 0.05 * m)).alias("draw", "value"))
+                  F.explode(F.arrays_zip(gid.alias("draw"), _draw_values(sh, 0.05 * m, g).alias("value"))).alias("z"))
         for m in range(FX.N_MODELS)
     ]
-    return P.stack_draws(parts).select("id", "model_id", F.col("draw").cast("int").alias("draw"), "value")
+    return P.stack_draws(parts).select("id", "model_id", F.col("z.draw").cast("int").alias("draw"),
+                                       F.col("z.value").alias("value"))
 
 
 @register("pooled_hdi", doubles=["lower", "upper"])
 def pooled_hdi(spark, sf):
-    sh = FX.shash(spark, sf)
-    d = sh.withColumns({f"_d{m}": _draw_values(sh, 0.05 * m) for m in range(FX.N_MODELS)})
+    sh, g = _shash_and_grid(spark, sf)
+    d = sh.withColumns({f"_d{m}": _draw_values(sh, 0.05 * m, g) for m in range(FX.N_MODELS)})
     return O.pooled_hdi_arrays(d, [f"_d{m}" for m in range(FX.N_MODELS)], COV, ["id"])
 
 
 @register("pooled_hdi_long", doubles=["lower", "upper"])
 def pooled_hdi_long(spark, sf):
     """Same pooling when the draws arrive as a long table (one shuffle on id)."""
-    sh = FX.shash(spark, sf)
+    sh, g = _shash_and_grid(spark, sf)
     parts = [
-        sh.select("id", F.explode(_draw_values(sh, 0.05 * m)).alias("value")) for m in range(FX.N_MODELS)
+        sh.select("id", F.explode(_draw_values(sh, 0.05 * m, g)).alias("value")) for m in range(FX.N_MODELS)
     ]
     return O.pooled_hdi(P.stack_draws(parts), "id", "value", COV)
 

@@ -110,12 +110,17 @@ def shash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shash_from(obs(spark, sf_dir))
 
 
-def zgrid_expr(n_draws: int = N_DRAWS):
-    """The fixed draw grid as a row-local array expression (no join needed)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_draws - 1)),
-        lambda d: F.lit(-2.0) + F.lit(4.0) * d.cast("double") / F.lit(float(n_draws - 1)),
-    )
+def zgrid_draws(o: DataFrame) -> list[int]:
+    """Draw ids of the zgrid view: distinct ``grp % 21`` (at most 21 values, so they are brought
+    to the driver and used as a literal array; no join with the data)."""
+    rows = o.select((F.col("grp") % N_DRAWS).cast("int").alias("d")).distinct().collect()
+    return sorted(r["d"] for r in rows)
+
+
+def zgrid_expr(draws=None):
+    """The draw grid z = -2 + 4*draw/20 as a row-local array expression."""
+    draws = list(range(N_DRAWS)) if draws is None else list(draws)
+    return F.array(*[F.lit(-2.0 + 4.0 * d / float(N_DRAWS - 1)) for d in draws])
 
 
 # ----------------------------------------------------------------------------- DuckDB side
