@@ -74,14 +74,17 @@ class QuantileBooster:
                 cur = cut_lineage(cur)
         return self
 
+    predict_plan_rounds: int = 50
+
     def predict(self, df: DataFrame, out: str = "q") -> DataFrame:
-        """Add column ``out``; rounds are applied in sequence, lineage cut every few rounds."""
+        """Add column ``out``. Rounds are narrow projections (one stage); the plan is cut only
+        every ``predict_plan_rounds`` rounds to bound its size."""
         cur = assemble(df, self.features, "_x").withColumn(out, F.lit(self.init_))
         for r, (tree, values) in enumerate(self.trees):
             t = tree.copy().setLeafCol("_leaf").setPredictionCol("_p")
             cur = t.transform(cur)
             cur = cur.withColumn(out, F.col(out) + self._leaf_map(values)[F.col("_leaf")]).drop("_leaf", "_p")
-            if (r + 1) % self.checkpoint_every == 0:
+            if (r + 1) % self.predict_plan_rounds == 0 and r + 1 < len(self.trees):
                 cur = cut_lineage(cur)
         return cur.drop("_x")
 
