@@ -6,6 +6,7 @@ split the training rows into fit and calibration parts with the md5-digit split.
 
 from __future__ import annotations
 
+import copy
 from typing import Mapping
 
 from pyspark.sql import DataFrame
@@ -72,10 +73,25 @@ class IntervalModel:
             self.model = EIMRegression(feats, "target", cov, scale=sp.target_scale, **p).fit(fit_part, cal_part)
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        d = self.prep.transform(df)
+    def _predict(self, d: DataFrame) -> DataFrame:
         if self.family == "ridge":
-            out = self.model.transform(d, back=S.inv_zscore)
-        else:
-            out = self.model.transform(d)
-        return out.select(self.spec.key, "lower", "mid", "upper")
+            return self.model.transform(d, back=S.inv_zscore)
+        return self.model.transform(d)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self._predict(self.prep.transform(df)).select(self.spec.key, "lower", "mid", "upper")
+
+    def transform_keep(self, df: DataFrame, prefix: str) -> DataFrame:
+        """All columns of ``df`` plus ``<prefix>lower/mid/upper``, with no shuffle.
+
+        The raw columns ride through preparation under temporary names, so several models can be
+        applied one after another on the same rows (every step is a narrow transformation).
+        """
+        keep = [c for c in df.columns if c != self.spec.key]
+        tmp = {c: f"__keep_{i}" for i, c in enumerate(keep)}
+        d = df.select(*df.columns, *[F.col(c).alias(t) for c, t in tmp.items()])
+        prep = copy.copy(self.prep)
+        prep.passthrough = list(self.prep.passthrough) + list(tmp.values())
+        out = self._predict(prep.transform(d))
+        return out.select(self.spec.key, *[F.col(t).alias(c) for c, t in tmp.items()],
+                          *[F.col(c).alias(prefix + c) for c in ("lower", "mid", "upper")])

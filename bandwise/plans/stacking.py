@@ -60,14 +60,23 @@ def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str], k: int
 
 
 def stacked_test_features(models: Mapping[str, list], df: DataFrame, key: str = "id") -> DataFrame:
-    """Test-time features: each family's fold models predict, bounds averaged per row."""
-    parts = []
+    """Test-time features: each family's fold models predict every row and their bounds are
+    averaged in place (models chained on the same rows, no shuffle)."""
+    cur = df
+    names = []
     for fam, ms in models.items():
-        for m in ms:
-            parts.append(m.transform(df).withColumn("model_id", F.lit(fam)))
-    long = union_folds(parts).groupBy(key, "model_id").agg(
-        F.avg("lower").alias("lower"), F.avg("mid").alias("mid"), F.avg("upper").alias("upper"))
-    return _wide(long, list(models), key)
+        for i, m in enumerate(ms):
+            cur = m.transform_keep(cur, f"_{fam}_{i}_")
+            names.append((fam, i))
+    out = [F.col(key)]
+    for fam, ms in models.items():
+        for part in ("lower", "mid", "upper"):
+            tot = None
+            for i in range(len(ms)):
+                c = F.col(f"_{fam}_{i}_{part}")
+                tot = c if tot is None else tot + c
+            out.append((tot / F.lit(float(len(ms)))).alias(f"{part}_{fam}"))
+    return cur.select(*out)
 
 
 def _second_level_frame(df: DataFrame, spec: Spec, stacked: DataFrame, scale: float) -> tuple[DataFrame, list[str]]:
