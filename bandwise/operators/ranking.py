@@ -11,8 +11,10 @@ a third of the table becomes a third of the job in one task. ``group_rank`` inst
    sees the same partition ids, also after an executor is lost;
 4. builds the small segment table ``(keys, pid) -> first index, row count`` and turns it into an
    offset with a window over at most (#keys + #partitions) rows;
-5. joins the offsets back on ``(keys, pid)``: a join key that never holds more rows than one
-   partition, so it cannot be skewed.
+5. joins the offsets back on ``(keys, pid)``. The segment table has at most
+   (#keys + #partitions) rows; it is counted and broadcast when that count is below
+   ``broadcast_rows``, so the ranked rows are not shuffled again. Otherwise it is a shuffle join
+   whose key never holds more rows than one partition, so it cannot be skewed.
 
 Result: ``rank`` (1-based, ascending ``order``, ties broken by ``tiebreak``) and ``n`` (group size)
 on every row. Exact, one range shuffle plus one hash shuffle, no group ever held by one task.
@@ -37,6 +39,7 @@ def group_rank(
     rank_col: str = "rank",
     size_col: str = "n",
     descending: bool = False,
+    broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """Add exact ``rank_col`` and ``size_col`` per group of ``keys`` (``keys`` may be empty).
 
@@ -71,6 +74,8 @@ def group_rank(
     )
     seg = seg.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     seg = seg.withColumnRenamed("_pid", "_spid")
+    if seg.count() <= broadcast_rows:  # proven bound: one row per (key, partition)
+        seg = F.broadcast(seg)
     cond = [tagged[k].eqNullSafe(seg[f"_k_{k}"]) for k in keys] + [tagged["_pid"] == seg["_spid"]]
     joined = tagged.join(seg, reduce(lambda a, b: a & b, cond))
     out = joined.withColumn(
