@@ -23,3 +23,65 @@ select d.id, st.my + best.b * (d.x - st.mx) as mid,
        st.my + best.b * (d.x - st.mx) - {_Z} * sqrt(best.mse) as lower,
        st.my + best.b * (d.x - st.mx) + {_Z} * sqrt(best.mse) as upper
 from d, st, best""", ["obs"], [_AL, _D])
+
+
+# ------------------------------------------------------------------ mixture pieces from a fixed start
+import math  # noqa: E402
+
+from bandwise.plans.oracle_core import erf as _erf  # noqa: E402
+from bandwise.plans.queries_models import (FIXED_B, FIXED_MEANS, FIXED_VARS, FIXED_W,  # noqa: E402
+                                           FIXED_WEIGHTS)
+
+_COLS = ["a", "b", "c"]
+_MIX = ("mx as (select id, (case when num_raw = 99 then null else num_raw end) / 10 as a, "
+        "(case when hhmm >= 0 and floor(hhmm / 100) <= 23 and hhmm % 100 <= 59 then "
+        "cast(floor(hhmm / 100) * 3600 + (hhmm % 100) * 60 as double) end) / 3600 as b, y / 100 as c from obs)")
+
+
+def _loglik(c):
+    t = [repr(math.log(FIXED_WEIGHTS[c]))]
+    for j, x in enumerate(_COLS):
+        m, v = FIXED_MEANS[c][j], FIXED_VARS[c][j]
+        t.append(f"coalesce(-(({x}) - {m!r}) * (({x}) - {m!r}) / {v!r} / 2 - {math.log(2 * math.pi * v)!r} / 2, 0)")
+    return " + ".join(t)
+
+
+_RESP = (f"ll as (select *, {_loglik(0)} as l0, {_loglik(1)} as l1 from mx), "
+         "rs as (select *, exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) as r0, "
+         "exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) as r1 from ll)")
+
+
+def _em_rows():
+    parts = []
+    for c in range(2):
+        for j, x in enumerate(_COLS):
+            m_old, v_old = FIXED_MEANS[c][j], FIXED_VARS[c][j]
+            xt = f"coalesce({x}, {m_old!r})"
+            parts.append(
+                f"select {c} as component, '{x}' as column_name, sr, s1 / sr as mean, "
+                f"(s2 - 2 * (s1 / sr) * s1 + (s1 / sr) * (s1 / sr) * sr) / sr + sm * {v_old!r} / sr + 1e-5 as var, "
+                f"sr / n as weight from (select sum(r{c}) as sr, sum(r{c} * {xt}) as s1, sum(r{c} * {xt} * {xt}) as s2, "
+                f"sum(case when {x} is null then r{c} else 0 end) as sm, count(*) as n from rs) t{c}{j}")
+    return " union all ".join(parts)
+
+
+oracle("em_step", f"select component, column_name, mean, var, weight from ({_em_rows()}) e", ["obs"],
+       [_MIX, _RESP])
+
+
+def _er_unit(u):
+    terms = []
+    for c in range(2):
+        mean = [repr(FIXED_B[u])] + [f"coalesce({x}, {FIXED_MEANS[c][j]!r}) * {FIXED_W[j][u]!r}"
+                                      for j, x in enumerate(_COLS)]
+        var = [f"(case when {x} is null then {FIXED_VARS[c][j] * FIXED_W[j][u] ** 2!r} else 0.0 end)"
+               for j, x in enumerate(_COLS)]
+        m, v = "(" + " + ".join(mean) + ")", "(" + " + ".join(var) + ")"
+        w = f"({m} / sqrt({v}))"
+        er = (f"(case when {v} = 0 then ({m} + abs({m})) / 2 else sqrt({v}) * (exp(-({w} * {w}) / 2) / sqrt(2 * pi())"
+              f" + ({w} / 2) * (1 + {_erf(w + ' / sqrt(2)')})) end)")
+        terms.append(f"r{c} * {er}")
+    return " + ".join(terms)
+
+
+oracle("expected_relu_fixed", f"select id, {_er_unit(0)} as h0, {_er_unit(1)} as h1 from rs", ["obs"], [_MIX, _RESP])

@@ -194,3 +194,34 @@ def tune_search(spark, sf):
     d, feats = _tree_frame(spark, sf)
     scores, _ = TU.tune_search(spark, d, feats, 0.95, n_random=1, k=2, base={"rounds": 2}, n_prior=2)
     return scores
+
+
+# ------------------------------------------------------------------ mixture pieces from a fixed start (SQL-checked)
+
+# FIXED VALUES: a two-component start for the columns (a, b, c) of the mixture frame
+FIXED_MEANS = [[2.0, 10.0, 0.3], [1.0, 14.0, 0.7]]
+FIXED_VARS = [[1.0, 20.0, 0.1], [2.0, 25.0, 0.2]]
+FIXED_WEIGHTS = [0.4, 0.6]
+FIXED_W = [[0.5, -0.25], [0.1, 0.2], [-0.3, 0.4]]
+FIXED_B = [0.05, -0.1]
+
+
+def _fixed_mixture(iterations=1):
+    return MissingMixture(["a", "b", "c"], k=2, gamma=1e-5, iterations=iterations,
+                          means=np.array(FIXED_MEANS), vars=np.array(FIXED_VARS),
+                          weights=np.array(FIXED_WEIGHTS))
+
+
+@register("em_step", doubles=["mean", "var", "weight"])
+def em_step(spark, sf):
+    """One EM iteration (E-step columns, one M-step aggregate) from a fixed start."""
+    mix = _fixed_mixture(1).fit(_mix_frame(spark, sf))
+    rows = [(c, col, float(mix.means[c, j]), float(mix.vars[c, j]), float(mix.weights[c]))
+            for c in range(mix.k) for j, col in enumerate(mix.cols)]
+    return spark.createDataFrame(rows, "component int, column_name string, mean double, var double, weight double")
+
+
+@register("expected_relu_fixed", doubles=["h0", "h1"])
+def expected_relu_fixed(spark, sf):
+    d = _mix_frame(spark, sf)
+    return d.select("id", *expected_relu_features(_fixed_mixture(), np.array(FIXED_W), np.array(FIXED_B)))
