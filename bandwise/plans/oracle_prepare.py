@@ -89,3 +89,36 @@ select t.id,
   cast(case when c1 is null then -1 else k1.code end as double) as cat_raw,
   cast(case when c2 is null then -1 else k2.code end as double) as gap_raw
 from tr t left join k1 on t.c1 = k1.v left join k2 on t.c2 = k2.v""", ["obs"], [_TREE])
+
+# prepare(nn_regressor / nn_classifier): nulls kept, log of num_raw, max-abs scaling fitted on folds
+# 1..4, count of missing numerics, drop-first one-hot with null blocks, target transform
+_NUMS = ["gestation_time", "hhmm", "m_end", "m_start", "num_raw"]
+_NN = """
+nb as (select o.id, o.fold, o.y,
+  cast(case when ms is null then null when m_end - ms < 0 then m_end - ms + 12 else m_end - ms end as double) as gestation_time,
+  case when hhmm >= 0 and floor(hhmm / 100) <= 23 and hhmm % 100 <= 59 then cast(floor(hhmm / 100) * 3600 + (hhmm % 100) * 60 as double) end as hhmm,
+  cast(m_end as double) as m_end, cast(ms as double) as m_start,
+  ln((case when num_raw = 99 then null else num_raw end) + 0.1) as num_raw,
+  case when cat_raw = '9' then null else cat_raw end as c1,
+  case when gap_raw is null then null when gap_raw = 888 then 'not applicable' when gap_raw = 999 then null
+       when gap_raw <= 3 then 'pleural' when gap_raw <= 6 then 'early' else 'normal' end as c2
+  from (select *, case when m_start = 99 then null else m_start end as ms from obs) o),
+ns as (select """ + ", ".join(
+    f"avg({c}) as m_{c}, greatest(max({c}) - avg({c}), avg({c}) - min({c})) as d_{c}" for c in _NUMS) + """
+  from nb where fold != 0)"""
+
+
+def _nn_sql(target: str) -> str:
+    scaled = ", ".join(f"({c} - m_{c}) / d_{c} as {c}" for c in _NUMS)
+    missing = " + ".join(f"(case when {c} is null then 1 else 0 end)" for c in _NUMS)
+    oh = []
+    for col, var, levels in (("cat_raw", "c1", _LEVELS[1:]), ("gap_raw", "c2", ["normal", "not applicable", "pleural"])):
+        for lv in levels:
+            oh.append(f"case when {var} is null then null when {var} = '{lv}' then 1.0 else 0.0 end as \"{col}__{lv}\"")
+    return f"select id, {scaled}, cast({missing} as double) as num_missing, {', '.join(oh)}, {target} as target from nb, ns"
+
+
+_EDGES = "[" + ", ".join(repr(20.0 * (i + 1)) for i in range(9)) + "]"
+oracle("prepare_nn_regressor",
+       _nn_sql("case when y / 100 > 0 then ln(1 - exp(-abs(y / 100))) + greatest(y / 100, 0) end"), ["obs"], [_NN])
+oracle("prepare_nn_classifier", _nn_sql(f"cast(len(list_filter({_EDGES}, lambda e: e < y)) as double)"), ["obs"], [_NN])
