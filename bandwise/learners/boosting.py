@@ -13,6 +13,7 @@ calibrates them with conformalized quantile regression on the calibration part.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Sequence
 
@@ -91,16 +92,21 @@ class QuantileBooster:
 
 @dataclass
 class QuantileBoostInterval:
+    """Three boosters fitted as concurrent Spark jobs (``parallelism`` driver threads, as
+    ``CrossValidator(parallelism=...)`` does), then conformalized on the calibration part."""
+
     features: Sequence[str]
     label: str = "target"
     coverage: float = 0.9
     params: dict = field(default_factory=dict)
+    parallelism: int = 3
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "QuantileBoostInterval":
         lo_t, hi_t = (1 - self.coverage) / 2, self.coverage + (1 - self.coverage) / 2
-        self.lower_ = QuantileBooster(self.features, lo_t, self.label, **self.params).fit(fit_df)
-        self.median_ = QuantileBooster(self.features, 0.5, self.label, **self.params).fit(fit_df)
-        self.upper_ = QuantileBooster(self.features, hi_t, self.label, **self.params).fit(fit_df)
+        boosters = [QuantileBooster(self.features, t, self.label, **self.params) for t in (lo_t, 0.5, hi_t)]
+        with ThreadPoolExecutor(max_workers=max(1, self.parallelism)) as pool:
+            fitted = list(pool.map(lambda b: b.fit(fit_df), boosters))
+        self.lower_, self.median_, self.upper_ = fitted
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         scores = conformity_scores(raw, self.label, "lower", "upper")
         self.qhat_ = scalar_qhat(conformal_fit(scores, [], self.coverage, "score", ["id"]))

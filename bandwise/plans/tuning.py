@@ -9,6 +9,7 @@ seeded random candidates plus saved prior points.
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,20 +76,24 @@ def _boost_kwargs(c: Mapping) -> dict:
 
 def search_boost(spark: SparkSession, df: DataFrame, features: Sequence[str], tau: float,
                  candidates: Sequence[Mapping], k: int = 3, label: str = "target", key: str = "id",
-                 base: Mapping | None = None):
+                 base: Mapping | None = None, parallelism: int = 4):
     """Score each candidate by mean d2 pinball over k folds (higher is better).
 
+    (candidate, fold) fits run as concurrent Spark jobs from ``parallelism`` driver threads.
     Returns (scores table: candidate, params, mean_score, n_folds; best candidate row).
     """
     data = assign_fold(df, k, key, "tfold")
-    rows = []
-    for ci, c in enumerate(candidates):
+
+    def score(task):
+        ci, c, f = task
         kw = {**dict(base or {}), **_boost_kwargs(c)}
-        for f in range(k):
-            m = QuantileBooster(features, tau, label, **kw).fit(fold_filter(data, f, False, "tfold"))
-            held = m.predict(fold_filter(data, f, True, "tfold"), "q")
-            s = d2_pinball(held, tau, [], label, "q", [key]).first()["d2_pinball"]
-            rows.append((ci, f, float(s)))
+        m = QuantileBooster(features, tau, label, **kw).fit(fold_filter(data, f, False, "tfold"))
+        held = m.predict(fold_filter(data, f, True, "tfold"), "q")
+        return ci, f, float(d2_pinball(held, tau, [], label, "q", [key]).first()["d2_pinball"])
+
+    tasks = [(ci, c, f) for ci, c in enumerate(candidates) for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(score, tasks))
     per = spark.createDataFrame(rows, "candidate int, fold int, score double")
     scores = mean_over_folds(per, "candidate", "score")
     params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)],
