@@ -25,6 +25,14 @@ AS_P = 0.3275911
 AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
+def normal_draw(seed: int, key, draw) -> Column:
+    """Standard-normal draw as a function of (seed, key, draw index): Box-Muller over two
+    xxhash64 uniforms. A recomputed task reproduces it; no state, no driver round trip."""
+    u1 = (F.pmod(F.xxhash64(F.lit(seed), _c(key), _c(draw), F.lit(1)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
+    u2 = (F.pmod(F.xxhash64(F.lit(seed), _c(key), _c(draw), F.lit(2)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+
+
 def normal_ppf(p: float) -> float:
     """Standard normal quantile, computed once on the driver and used as a literal."""
     return NormalDist().inv_cdf(p)

@@ -17,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ class QuantileBooster:
         self.init_ = float(data.agg(F.percentile_approx("_y", self.tau, self.accuracy)).first()[0])
         cur = cut_lineage(data.withColumn("_f", F.lit(self.init_)))
         self.trees = []
+        cached = []  # persisted round frames; the one from two rounds back is released
         for r in range(self.rounds):
             grad = F.when(F.col("_y") > F.col("_f"), F.lit(self.tau)).otherwise(F.lit(self.tau - 1.0))
             step = cur.withColumn("_g", grad)
@@ -72,7 +74,16 @@ class QuantileBooster:
             self.trees.append((tree, values))
             cur = leafed.select("id", "_x", "_y", (F.col("_f") + self._leaf_map(values)[F.col("_leaf")]).alias("_f"))
             if (r + 1) % self.checkpoint_every == 0:
-                cur = cut_lineage(cur)
+                cur = cut_lineage(cur)  # reliable copy in the checkpoint folder
+            else:
+                # the next tree makes several passes over this frame: keep it instead of
+                # recomputing the previous trees' transforms for every pass
+                cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
+                cached.append(cur)
+            while len(cached) > 2:
+                cached.pop(0).unpersist()
+        for c in cached:
+            c.unpersist()
         return self
 
     predict_plan_rounds: int = 50

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.distributions import SPREAD_OFFSET, shash_nll, shash_quantile
+from bandwise.functions.distributions import SPREAD_OFFSET, normal_draw, shash_nll, shash_quantile
 from bandwise.functions.scalars import sigmoid, softplus
 from bandwise.learners.common import adam, agg_vector, linear
 from bandwise.operators.orderstats import min_width_shift, with_hdi
@@ -124,9 +124,7 @@ class ShashRegression:
         """Value of draw ``d`` for the current row: a standard-normal draw from a hash of
         (seed, id, d) (Box-Muller), through the SHASH quantile and the softplus back-transform.
         A re-run or a lost task reproduces the same draws."""
-        u1 = (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), d, F.lit(1)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
-        u2 = (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), d, F.lit(2)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
-        z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2)
+        z = normal_draw(seed, F.col("id"), d)
         return softplus(shash_quantile(z, "center", "spread", "skew", "tail")) * F.lit(self.scale)
 
     def draw_array(self, df: DataFrame, n_draws: int, seed: int = 0) -> DataFrame:

@@ -79,7 +79,7 @@ tr as (select o.*, case when o.cat_raw = '9' then null else o.cat_raw end as c1,
        from obs o),
 k1 as (select v, row_number() over (order by v) - 1 as code from (select distinct c1 as v from tr where fold != 0 and c1 is not null) a),
 k2 as (select v, row_number() over (order by v) - 1 as code from (select distinct c2 as v from tr where fold != 0 and c2 is not null) b)"""
-oracle("prepare_histboost", """
+_TREE_SQL = """
 select t.id,
   cast(case when m_start = 99 then null else (case when m_end - m_start < 0 then m_end - m_start + 12 else m_end - m_start end) end as double) as gestation_time,
   case when hhmm >= 0 and floor(hhmm / 100) <= 23 and hhmm % 100 <= 59 then cast(floor(hhmm / 100) * 3600 + (hhmm % 100) * 60 as double) end as hhmm,
@@ -88,7 +88,9 @@ select t.id,
   y as target,
   cast(case when c1 is null then -1 else k1.code end as double) as cat_raw,
   cast(case when c2 is null then -1 else k2.code end as double) as gap_raw
-from tr t left join k1 on t.c1 = k1.v left join k2 on t.c2 = k2.v""", ["obs"], [_TREE])
+from tr t left join k1 on t.c1 = k1.v left join k2 on t.c2 = k2.v"""
+oracle("prepare_histboost", _TREE_SQL, ["obs"], [_TREE])
+oracle("prepare_wildwood", _TREE_SQL, ["obs"], [_TREE])
 
 # prepare(nn_regressor / nn_classifier): nulls kept, log of num_raw, max-abs scaling fitted on folds
 # 1..4, count of missing numerics, drop-first one-hot with null blocks, target transform

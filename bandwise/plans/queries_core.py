@@ -444,3 +444,11 @@ def eim_warmup_loss(spark, sf):
     lo_t, hi_t = F.lit(q) - 30, F.lit(q) + 60
     return s.groupBy("model_id").agg(
         F.avg((F.col("lo") - lo_t) ** 2 + (F.col("hi") - hi_t) ** 2 + F.abs(F.col("mid") - F.col("y"))).alias("loss"))
+
+
+@register("normal_draws", doubles=["z"])
+def normal_draws(spark, sf):
+    """White-noise matrix in long form: 20 standard-normal draws per event (row-local)."""
+    o = FX.obs(spark, sf).select("id")
+    d = o.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return d.select("id", "draw", D.normal_draw(7, "id", "draw").alias("z"))

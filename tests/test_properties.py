@@ -205,3 +205,14 @@ def test_em_likelihood_increases(spark):
     mix = MissingMixture(["a", "b"], k=2, iterations=6).fit(df)
     assert mix.history[-1] >= mix.history[0] - 1e-6
     assert np.all(mix.vars > 0)
+
+
+def test_normal_draws_moments_and_repeatability(spark):
+    df = spark.range(0, 20000).select(F.col("id"), F.lit(3).alias("draw"))
+    z = df.select(D.normal_draw(11, "id", "draw").alias("z"))
+    st = z.agg(F.avg("z"), F.stddev("z"), F.avg((F.col("z") < -1.6448536).cast("double"))).first()
+    assert abs(st[0]) < 0.03 and abs(st[1] - 1) < 0.03 and abs(st[2] - 0.05) < 0.01
+    again = df.repartition(5).select("id", D.normal_draw(11, "id", "draw").alias("z"))
+    a = df.select("id", D.normal_draw(11, "id", "draw").alias("z")).toPandas().sort_values("id")
+    b = again.toPandas().sort_values("id")
+    assert np.array_equal(a["z"].values, b["z"].values)
