@@ -48,6 +48,20 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str] | str, how: s
     return df.join(side, on, how)
 
 
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join a per-group table (one row per key) back to a big table.
+
+    The small side is counted first and broadcast when at most ``max_rows`` rows, so the big
+    side is never shuffled and a hot key costs nothing extra. Above the bound it is a normal
+    join, where AQE's skew handling splits a hot key's partition.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    small = small.cache()  # counted once, then read from the cache by the join
+    side = F.broadcast(small) if small.count() <= max_rows else small
+    return big.join(side, on, how)
+
+
 def bins_table(spark, labels: Sequence[float]) -> DataFrame:
     """(bin, lo, hi] rows for the label set; size bounded by the number of labels."""
     edges = [float("-inf")] + bin_edges(labels) + [float("inf")]

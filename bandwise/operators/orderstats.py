@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import normal_ppf, shash_quantile
 from bandwise.functions.scalars import softplus
+from bandwise.operators.joins import join_small
 from bandwise.operators.ranking import group_rank
 
 EPS = 1e-9  # slack for floating comparisons of summed probabilities
@@ -68,7 +69,7 @@ def conformal_apply(
     """
     keys = list(keys)
     if keys:
-        j = df.join(qhat.select(*keys, "qhat"), keys)
+        j = join_small(df, qhat.select(*keys, "qhat"), keys)
     else:
         j = df.withColumn("qhat", F.lit(scalar_qhat(qhat)))
     return j.withColumn(lower, _c(lower) - F.col("qhat")).withColumn(upper, _c(upper) + F.col("qhat"))
@@ -284,7 +285,7 @@ def trimmed_band_mean(
         F.max(F.when(F.col("rank") == ilo, F.col(value))).alias("_klo"),
         F.max(F.when(F.col("rank") == ihi, F.col(value))).alias("_khi"),
     )
-    j = df.join(cuts, keys) if keys else df.withColumns(
+    j = join_small(df, cuts, keys) if keys else df.withColumns(
         {k: F.lit(v) for k, v in cuts.first().asDict().items()})
     kept = F.when((F.col(value) >= F.col("_klo")) & (F.col(value) <= F.col("_khi")), F.col(value))
     return j.groupBy(*keys).agg(F.avg(kept).alias("k_b"))

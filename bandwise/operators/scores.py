@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.operators.joins import join_small
 from bandwise.operators.ranking import group_rank
 
 
@@ -147,7 +148,7 @@ def d2_pinball(
     by = list(by)
     base = exact_quantile(df, y, tau, by, tiebreak, out="_base")
     if by:
-        j = df.join(base, by)
+        j = join_small(df, base, by)
     else:  # ungrouped: the baseline is one number, used as a literal
         j = df.withColumn("_base", F.lit(base.first()["_base"]))
     return j.groupBy(*by).agg(

@@ -43,20 +43,25 @@ def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str], k: int
                       params: Mapping | None = None, check: bool = True):
     """Out-of-fold predictions of every family, as (wide features by id, fitted models per family)."""
     data = assign_fold(df, k, spec.key, "sfold")
-    parts, models = [], {f: [] for f in families}
-    for fam in families:
-        for f in range(k):
-            train = fold_filter(data, f, False, "sfold").drop("sfold")
-            held = fold_filter(data, f, True, "sfold").drop("sfold")
+    models = {f: [] for f in families}
+    parts = []
+    for f in range(k):
+        train = fold_filter(data, f, False, "sfold").drop("sfold")
+        cur = fold_filter(data, f, True, "sfold").drop("sfold")
+        for fam in families:
             m = IntervalModel(fam, spec, params=(params or {}).get(fam)).fit(train)
             models[fam].append(m)
-            parts.append(m.transform(held).withColumns({"model_id": F.lit(fam), "fold": F.lit(f)}))
-    long = union_folds(parts)
+            # each family's fold-f model adds its columns to the rows fold f held out
+            cur = m.transform_keep(cur, f"_{fam}_")
+        parts.append(cur.select(spec.key, *[F.col(f"_{fam}_{p}").alias(f"{p}_{fam}")
+                                            for fam in families for p in ("lower", "mid", "upper")]))
+    # folds hold disjoint rows, so the wide table is a plain union: no pivot, no shuffle
+    wide = union_folds(parts)
     if check:
-        bad = long.groupBy(spec.key, "model_id").count().filter(F.col("count") != 1).limit(5).collect()
+        bad = wide.groupBy(spec.key).count().filter(F.col("count") != 1).limit(5).collect()
         if bad:
             raise LeakageError(f"rows predicted more than once: {bad}")
-    return _wide(long, families, spec.key), models
+    return wide, models
 
 
 def stacked_test_features(models: Mapping[str, list], df: DataFrame, key: str = "id") -> DataFrame:

@@ -59,14 +59,15 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preds_from(o: DataFrame) -> DataFrame:
     """Three fixed-width interval models around the per-category mean of y.
 
-    The per-category means form a table with one row per category; AQE broadcasts it at run
-    time when it is small, otherwise the join shuffles on ``cat``.
+    The per-category means form a table with one row per category, broadcast under its
+    counted size (``join_small``), so the event rows are not shuffled.
     """
+    from bandwise.operators.joins import join_small
+
     q = o.groupBy("cat").agg(F.round(F.avg("y"), 6).alias("mid"))
     m = F.col("model_id").cast("double")
     return (
-        o.select("id", "fold", "cat")
-        .join(q, "cat")
+        join_small(o.select("id", "fold", "cat"), q, "cat")
         .withColumn("model_id", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))))
         .select(
             "id", "fold", "model_id",
