@@ -22,7 +22,8 @@ def learning_table(spark: SparkSession, sf_dir: str, target_scale: float = 20.0)
 
     The join shuffles both sides on the order key; the duplicate rank is a window partitioned
     by (order key, line number), which that same hash partitioning already satisfies, so the
-    key costs no extra shuffle. ``id`` = order key * 128 + line number * 16 + duplicate rank.
+    key costs no extra shuffle. ``id`` = order key * 2^16 + line number * 2^8 + duplicate rank;
+    a line number or duplicate rank outside 0..255 raises instead of colliding.
     """
     li = read_table(spark, sf_dir, "lineitem")
     od = read_table(spark, sf_dir, "orders").select(
@@ -31,8 +32,10 @@ def learning_table(spark: SparkSession, sf_dir: str, target_scale: float = 20.0)
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     j = j.withColumn("_dup", F.row_number().over(w) - 1)
+    key = F.col("l_orderkey") * 65536 + F.col("l_linenumber") * 256 + F.col("_dup")
+    ok = (F.col("_dup") < 256) & (F.col("l_linenumber") >= 0) & (F.col("l_linenumber") < 256)
     return j.select(
-        (F.col("l_orderkey") * 128 + F.col("l_linenumber") * 16 + F.col("_dup")).alias("id"),
+        F.when(ok, key).otherwise(F.raise_error(F.lit("lineitem key does not fit the id encoding"))).alias("id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
         F.col("l_tax").alias("tax"),
@@ -51,17 +54,24 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def tree_ready(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Spark trees refuse NaN: fill nulls with the column median and add a 0/1 indicator for
-    every column that has nulls (one aggregate to find them)."""
+def tree_ready_fit(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> dict:
+    """Spark trees refuse NaN features: for every column that holds nulls, its median (sketch)
+    to fill with, frozen at fit. Two small aggregates."""
     counts = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first()
     holes = [c for c in cols if counts[c]]
     if not holes:
+        return {}
+    med = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in holes]).first()
+    return {c: float(med[c]) if med[c] is not None else 0.0 for c in holes}
+
+
+def tree_ready_apply(df: DataFrame, cols: Sequence[str], fill: dict) -> tuple[DataFrame, list[str]]:
+    """Median-fill the fitted columns and add a 0/1 ``<col>__missing`` indicator for each."""
+    if not fill:
         return df, list(cols)
-    med = df.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in holes]).first()
-    out = df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in holes})
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(float(med[c]))) for c in holes})
-    return out, list(cols) + [f"{c}__missing" for c in holes]
+    out = df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in fill})
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
+    return out, list(cols) + [f"{c}__missing" for c in fill]
 
 
 def linear(cols: Sequence[str], w: Sequence[float], b: float):
@@ -90,7 +100,3 @@ def adam(theta: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], steps: int
         theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
     return theta
 
-
-def persist_features(df: DataFrame, every: int = 1) -> DataFrame:
-    """Cut lineage of a frame that an iterative loop reads many times."""
-    return cut_lineage(df)

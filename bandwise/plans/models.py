@@ -17,6 +17,7 @@ from bandwise.learners.binned import BinnedDensity
 from bandwise.learners.boosting import QuantileBoostInterval
 from bandwise.learners.eim import EIMRegression
 from bandwise.learners.forest import ForestInterval
+from bandwise.learners.common import tree_ready_apply, tree_ready_fit
 from bandwise.learners.linear import RidgeInterval
 from bandwise.learners.shash import ShashRegression
 from bandwise.operators.folds import split_fit_cal
@@ -31,6 +32,8 @@ FAMILY_KIND = {
     "eim": "nn_eim",
 }
 
+TREE_FAMILIES = ("boost", "forest")
+
 # Light settings used by the registered queries and the bench; callers pass their own.
 LIGHT = {
     "boost": {"rounds": 6, "max_depth": 3, "min_rows_leaf": 50, "learning_rate": 0.3},
@@ -54,6 +57,10 @@ class IntervalModel:
         d = self.prep.transform(train)
         feats = self.prep.feature_columns(d)
         feats = [c for c in feats if c != sp.target]
+        self.fill = {}
+        if self.family in TREE_FAMILIES:
+            self.fill = tree_ready_fit(d, feats)
+            d, feats = tree_ready_apply(d, feats, self.fill)
         self.features = feats
         parts = split_fit_cal(d, 3, sp.key, "_part")
         fit_part = parts.filter(F.col("_part") == "fit").drop("_part")
@@ -74,6 +81,8 @@ class IntervalModel:
         return self
 
     def _predict(self, d: DataFrame) -> DataFrame:
+        if self.fill:
+            d, _ = tree_ready_apply(d, [], self.fill)
         if self.family == "ridge":
             return self.model.transform(d, back=S.inv_zscore)
         return self.model.transform(d)

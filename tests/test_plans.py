@@ -41,3 +41,15 @@ def test_quantile_booster_hit_rate(spark):
         m = QuantileBooster(feats, tau, "target", rounds=3, max_depth=3, min_rows_leaf=50).fit(d)
         hit = m.predict(d, "q").select(F.avg((F.col("target") <= F.col("q")).cast("double"))).first()[0]
         assert abs(hit - tau) < 0.05
+
+
+def test_tree_families_accept_missing_values(spark):
+    from bandwise.plans.queries_prepare import obs_spec
+    from bandwise.sources import fixtures as FX
+
+    o = FX.obs(spark, SF_SMALL).drop("fold", "part", "cat", "grp")
+    m = IntervalModel("forest", obs_spec(), params={"num_trees": 5, "max_depth": 4}).fit(o)
+    assert any(c.endswith("__missing") for c in m.features)
+    out = m.transform(o)
+    assert out.count() == o.count()
+    assert out.filter(F.col("lower").isNull() | (F.col("lower") > F.col("upper"))).count() == 0
