@@ -73,7 +73,7 @@ def group_rank(
         F.sum("_c").over(wk).alias(size_col),
     )
     seg = seg.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    seg = seg.withColumnRenamed("_pid", "_spid")
+    seg = seg.withColumnRenamed("_pid", "_spid").cache()  # small; counted, then joined
     if seg.count() <= broadcast_rows:  # proven bound: one row per (key, partition)
         seg = F.broadcast(seg)
     cond = [tagged[k].eqNullSafe(seg[f"_k_{k}"]) for k in keys] + [tagged["_pid"] == seg["_spid"]]

@@ -1,10 +1,10 @@
 """Out-of-fold stacking and second-level models (``stack_out_of_fold``, ``boost_ensemble``,
 ``shash_ensemble``, ``second_level_blend``; SURVEY 2.13).
 
-Upstream predictions live in one long table ``(id, fold, model_id, lower, mid, upper)``; the
-wide feature block is a single pivot on ``id`` (one shuffle) instead of a chain of joins, and
-positional writes are replaced by keys. Leakage guard: every (id, model) must be predicted
-exactly once, by the model of the fold that held the row out.
+Out-of-fold features are built row-locally: for fold f, every family's fold-f model adds its
+bounds to the rows fold f held out (models chained with ``transform_keep``), and the folds'
+disjoint row sets are unioned; no pivot, no join on ``id``. Leakage guard: every id must be
+predicted exactly once, by the models of the fold that held the row out.
 """
 
 from __future__ import annotations
@@ -29,16 +29,6 @@ class LeakageError(RuntimeError):
     pass
 
 
-def _wide(long: DataFrame, families: Sequence[str], key: str = "id") -> DataFrame:
-    w = long.groupBy(key).pivot("model_id", list(families)).agg(
-        F.max("lower").alias("lower"), F.max("mid").alias("mid"), F.max("upper").alias("upper"))
-    ren = {}
-    for f in families:
-        for part in ("lower", "mid", "upper"):
-            ren[f"{f}_{part}"] = f"{part}_{f}"
-    return w.withColumnsRenamed(ren)
-
-
 def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str], k: int = 3,
                       params: Mapping | None = None, check: bool = True):
     """Out-of-fold predictions of every family, as (wide features by id, fitted models per family)."""
