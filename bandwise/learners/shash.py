@@ -121,17 +121,16 @@ class ShashRegression:
                               * F.lit(self.scale)})
 
     def _draw_value(self, d, seed: int):
-        """Value of draw ``d`` for the current row: a standard-normal draw from a hash of
-        (seed, id, d) (Box-Muller), through the SHASH quantile and the softplus back-transform.
-        A re-run or a lost task reproduces the same draws."""
-        z = normal_draw(seed, F.col("id"), d)
-        return softplus(shash_quantile(z, "center", "spread", "skew", "tail")) * F.lit(self.scale)
+        """SHASH quantile of draw ``d`` for the current row: a standard-normal draw from a hash of
+        (seed, id, d) (Box-Muller). A re-run or a lost task reproduces the same draws."""
+        return shash_quantile(normal_draw(seed, F.col("id"), d), "center", "spread", "skew", "tail")
 
     def draw_array(self, df: DataFrame, n_draws: int, seed: int = 0) -> DataFrame:
         """Adds ``draws``: an array of ``n_draws`` values per row, built row-locally."""
         d = self.params(df)
-        return d.withColumn("draws", F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)),
-                                                  lambda i: self._draw_value(i, seed)))
+        q = F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)), lambda i: self._draw_value(i, seed))
+        # back-transform in a second pass so the quantile is computed once per draw
+        return d.withColumn("draws", F.transform(q, lambda x: softplus(x) * F.lit(self.scale)))
 
     def draws(self, df: DataFrame, n_draws: int, seed: int = 0) -> DataFrame:
         """Long table (id, draw, value) for pooling draws of several models."""

@@ -200,10 +200,11 @@ def hdi(spark, sf):
 
 
 def _draw_values(sh, center_shift=0.0, draws=None):
-    z = FX.zgrid_expr(draws)
-    return F.transform(
-        z, lambda zz: S.softplus(D.shash_quantile(zz, F.col("center") + F.lit(center_shift), "spread",
-                                                  "skew", "tail")) * F.lit(1000.0))
+    # two passes over the array: the quantile once per draw, then the back-transform (softplus
+    # reads its argument twice, and a lambda body gets no common-subexpression elimination)
+    q = F.transform(FX.zgrid_expr(draws), lambda zz: D.shash_quantile(
+        zz, F.col("center") + F.lit(center_shift), "spread", "skew", "tail"))
+    return F.transform(q, lambda x: S.softplus(x) * F.lit(1000.0))
 
 
 def _shash_and_grid(spark, sf):
