@@ -20,22 +20,24 @@ from bandwise.sources.tables import read_table
 def learning_table(spark: SparkSession, sf_dir: str, target_scale: float = 20.0) -> DataFrame:
     """lineitem joined to its order: a regression set that grows with the scale factor.
 
-    The join shuffles both sides on the order key; the duplicate rank is a window partitioned
-    by (order key, line number), which that same hash partitioning already satisfies, so the
-    key costs no extra shuffle. ``id`` = order key * 2^16 + line number * 2^8 + duplicate rank;
-    a line number or duplicate rank outside 0..255 raises instead of colliding.
+    ``id`` = order key * 2^16 + the line's rank within its order (by line number, then every
+    other column, so duplicates get distinct ranks). The rank is a window partitioned by the
+    order key alone (a group bounded by the lines of one order); the sort-merge join with
+    ``orders`` on the same key reuses that hash partitioning, so the key costs no extra shuffle.
+    A rank outside 0..65535 raises instead of colliding.
     """
     li = read_table(spark, sf_dir, "lineitem")
     od = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_shipdate", "l_returnflag", "l_linestatus")
+    li = li.withColumn("_r", F.row_number().over(w) - 1)
     j = li.join(od, li["l_orderkey"] == od["o_orderkey"])
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    j = j.withColumn("_dup", F.row_number().over(w) - 1)
-    key = F.col("l_orderkey") * 65536 + F.col("l_linenumber") * 256 + F.col("_dup")
-    ok = (F.col("_dup") < 256) & (F.col("l_linenumber") >= 0) & (F.col("l_linenumber") < 256)
+    key = F.col("l_orderkey") * 65536 + F.col("_r")
     return j.select(
-        F.when(ok, key).otherwise(F.raise_error(F.lit("lineitem key does not fit the id encoding"))).alias("id"),
+        F.when(F.col("_r") < 65536, key).otherwise(
+            F.raise_error(F.lit("lineitem key does not fit the id encoding"))).alias("id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
         F.col("l_tax").alias("tax"),
