@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,6 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from bandwise.session import get_session
 
-    ckpt = tempfile.mkdtemp(prefix="bandwise-test-ckpt-")
-    s = get_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": ckpt})
+    # the checkpoint folder is read from the session; checkpoint_dir() sets a scratch one only
+    # when spark.checkpoint.dir is unset
+    s = get_session("local[4]", **{"spark.sql.shuffle.partitions": "4"})
     yield s
