@@ -76,11 +76,15 @@ def survey_spec() -> Spec:
 class Preparer:
     """Fit-once, apply-many preparation for one kind."""
 
-    def __init__(self, kind: str, spec: Spec, passthrough: Sequence[str] = ()):
+    def __init__(self, kind: str, spec: Spec, passthrough: Sequence[str] = (), exact_medians: bool = True):
+        """``exact_medians``: interpolated medians from one sort of the unpivoted columns (as the
+        modelled pipeline computes them); False uses a ``percentile_approx`` sketch (bounded
+        memory, no sort) for very large inputs."""
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}; expected one of {sorted(KINDS)}")
         self.kind_name, self.kind, self.spec = kind, KINDS[kind], spec
         self.passthrough = list(passthrough)
+        self.exact_medians = exact_medians
         self.fitted = False
 
     # -- the row-local front of the chain (identical at fit and transform time)
@@ -111,7 +115,7 @@ class Preparer:
         sp, k = self.spec, self.kind
         base = self._front(df)
         if k.impute:
-            self.medians = PR.impute_median_fit(base, [c for c in sp.numeric], sp.key)
+            self.medians = PR.impute_median_fit(base, [c for c in sp.numeric], sp.key, exact=self.exact_medians)
             self.modes = PR.impute_mode_fit(base, sp.categorical, sp.key)
             self.medians = self.medians.collect()
             self.modes = self.modes.collect()
