@@ -124,3 +124,76 @@ _EDGES = "[" + ", ".join(repr(20.0 * (i + 1)) for i in range(9)) + "]"
 oracle("prepare_nn_regressor",
        _nn_sql("case when y / 100 > 0 then ln(1 - exp(-abs(y / 100))) + greatest(y / 100, 0) end"), ["obs"], [_NN])
 oracle("prepare_nn_classifier", _nn_sql(f"cast(len(list_filter({_EDGES}, lambda e: e < y)) as double)"), ["obs"], [_NN])
+
+# prepare(ridge / nn_eim): medians / modes fitted on folds 1..4 fill nulls, then gap, log and
+# whitening x_w = (x - mean) @ inv(L^T) / 3 with L = chol(population covariance), unrolled
+# below for the five numeric columns as successive one-row CTEs.
+_WN = ["gestation_time", "hhmm", "m_end", "m_start", "num_raw"]
+_WB = """
+wb as (select o.id, o.fold, o.y,
+  case when hhmm >= 0 and floor(hhmm / 100) <= 23 and hhmm % 100 <= 59 then cast(floor(hhmm / 100) * 3600 + (hhmm % 100) * 60 as double) end as hh,
+  cast(m_end as double) as me, cast(case when m_start = 99 then null else m_start end as double) as ms,
+  case when num_raw = 99 then null else num_raw end as nr,
+  case when cat_raw = '9' then null else cat_raw end as c1,
+  case when gap_raw is null then null when gap_raw = 888 then 'not applicable' when gap_raw = 999 then null
+       when gap_raw <= 3 then 'pleural' when gap_raw <= 6 then 'early' else 'normal' end as c2
+  from obs o),
+wm as (select quantile_cont(hh, 0.5) as q_hh, quantile_cont(me, 0.5) as q_me, quantile_cont(ms, 0.5) as q_ms,
+              quantile_cont(nr, 0.5) as q_nr from wb where fold != 0),
+wmo as (select (select c1 from wb where fold != 0 and c1 is not null group by c1 order by count(*) desc, c1 limit 1) as mo1,
+               (select c2 from wb where fold != 0 and c2 is not null group by c2 order by count(*) desc, c2 limit 1) as mo2),
+wi as (select b.id, b.fold, b.y, coalesce(b.hh, m.q_hh) as hhmm, coalesce(b.me, m.q_me) as m_end,
+              coalesce(b.ms, m.q_ms) as m_start, ln(coalesce(b.nr, m.q_nr) + 0.1) as num_raw,
+              coalesce(b.c1, mo.mo1) as c1, coalesce(b.c2, mo.mo2) as c2
+       from wb b, wm m, wmo mo),
+wg as (select *, case when m_end - m_start < 0 then m_end - m_start + 12 else m_end - m_start end as gestation_time from wi)"""
+
+
+def _whiten_ctes() -> list[str]:
+    p = len(_WN)
+    stats = ", ".join([f"avg({c}) as mu{i}" for i, c in enumerate(_WN)] + [
+        f"covar_pop({_WN[i]}, {_WN[j]}) as a{i}{j}" for i in range(p) for j in range(i + 1)])
+    ctes = [f"ch0 as (select {stats} from wg where fold != 0)"]
+    layer = 0
+    for j in range(p):  # Cholesky column j
+        cols = [f"sqrt(a{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + f") as l{j}{j}"]
+        ctes.append(f"ch{layer + 1} as (select *, {cols[0]} from ch{layer})")
+        layer += 1
+        below = [f"(a{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} as l{i}{j}"
+                 for i in range(j + 1, p)]
+        if below:
+            ctes.append(f"ch{layer + 1} as (select *, {', '.join(below)} from ch{layer})")
+            layer += 1
+    # V = inv(U), U = L^T upper triangular: V_jj = 1/L_jj; V_ij = -(sum_{k=i+1..j} L_ki V_kj) / L_ii
+    ctes.append(f"ch{layer + 1} as (select *, " + ", ".join(f"1.0 / l{j}{j} as v{j}{j}" for j in range(p))
+                + f" from ch{layer})")
+    layer += 1
+    for d in range(1, p):  # fill by distance from the diagonal
+        cols = []
+        for i in range(p - d):
+            j = i + d
+            cols.append(f"-(" + " + ".join(f"l{k}{i} * v{k}{j}" for k in range(i + 1, j + 1)) + f") / l{i}{i} as v{i}{j}")
+        ctes.append(f"ch{layer + 1} as (select *, {', '.join(cols)} from ch{layer})")
+        layer += 1
+    ctes.append(f"wv as (select * from ch{layer})")
+    return ctes
+
+
+def _whitened_sql(levels1, levels2, target: str) -> str:
+    p = len(_WN)
+    outs = []
+    for j, c in enumerate(_WN):
+        terms = " + ".join(f"(g.{_WN[i]} - v.mu{i}) * v.v{i}{j}" for i in range(j + 1))
+        outs.append(f"({terms}) / 3 as {c}")
+    oh = [f"case when c1 = '{lv}' then 1.0 else 0.0 end as \"cat_raw__{lv}\"" for lv in levels1]
+    oh += [f"case when c2 = '{lv}' then 1.0 else 0.0 end as \"gap_raw__{lv}\"" for lv in levels2]
+    return f"select g.id, {', '.join(outs)}, {', '.join(oh)}, {target} as target from wg g, wv v"
+
+
+_GAP_LEVELS = ["early", "normal", "not applicable", "pleural"]
+oracle("prepare_ridge", _whitened_sql(_LEVELS, _GAP_LEVELS, "(g.y - 3260.0) / 590.0"), ["obs"],
+       [_WB] + _whiten_ctes())
+oracle("prepare_nn_eim", _whitened_sql(
+    _LEVELS[1:], _GAP_LEVELS[1:],
+    "case when g.y / 100 > 0 then ln(1 - exp(-abs(g.y / 100))) + greatest(g.y / 100, 0) end"), ["obs"],
+    [_WB] + _whiten_ctes())

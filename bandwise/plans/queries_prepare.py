@@ -280,7 +280,11 @@ _TREE_DOUBLES = ["gestation_time", "hhmm", "m_end", "m_start", "num_raw", "targe
 _NN_DOUBLES = ["gestation_time", "hhmm", "m_end", "m_start", "num_raw", "num_missing", "target",
                "cat_raw__error", "cat_raw__purchase", "cat_raw__signup", "cat_raw__view", "gap_raw__normal",
                "\"gap_raw__not applicable\"", "gap_raw__pleural"]
+_W_DOUBLES = ["gestation_time", "hhmm", "m_end", "m_start", "num_raw", "target", "cat_raw__click",
+              "cat_raw__error", "cat_raw__purchase", "cat_raw__signup", "cat_raw__view", "gap_raw__early",
+              "gap_raw__normal", "\"gap_raw__not applicable\"", "gap_raw__pleural"]
 _DOUBLES = {"histboost": _TREE_DOUBLES, "wildwood": _TREE_DOUBLES, "nn_regressor": _NN_DOUBLES,
-            "nn_classifier": _NN_DOUBLES}
+            "nn_classifier": _NN_DOUBLES, "ridge": _W_DOUBLES,
+            "nn_eim": [c for c in _W_DOUBLES if c not in ("cat_raw__click", "gap_raw__early")]}
 for _k in ("ridge", "histboost", "wildwood", "nn_regressor", "nn_classifier", "nn_eim"):
     register(f"prepare_{_k}", doubles=_DOUBLES.get(_k, ()))(_prepared(_k))
