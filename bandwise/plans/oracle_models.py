@@ -85,3 +85,30 @@ def _er_unit(u):
 
 
 oracle("expected_relu_fixed", f"select id, {_er_unit(0)} as h0, {_er_unit(1)} as h1 from rs", ["obs"], [_MIX, _RESP])
+
+
+# ------------------------------------------------------------------ conformal wrapper around a two-feature ridge
+_CW = f"""
+cd as (select id, cast(m_end as double) as x1, num_raw as x2, y, part from obs),
+cs as (select count(*) as n, avg(x1) as m1, avg(x2) as m2, avg(y) as my,
+              covar_pop(x1, x1) * count(*) as s11, covar_pop(x1, x2) * count(*) as s12,
+              covar_pop(x2, x2) * count(*) as s22, covar_pop(x1, y) * count(*) as s1y,
+              covar_pop(x2, y) * count(*) as s2y from cd where part = 'fit'),
+cdet as (select al.k, al.a, (cs.s11 + al.a) * (cs.s22 + al.a) - cs.s12 * cs.s12 as det from al, cs),
+cf as (select c.k, c.a, ((cs.s22 + c.a) * cs.s1y - cs.s12 * cs.s2y) / c.det as b1,
+              ((cs.s11 + c.a) * cs.s2y - cs.s12 * cs.s1y) / c.det as b2,
+              (cs.s22 + c.a) / c.det as i11, -cs.s12 / c.det as i12, (cs.s11 + c.a) / c.det as i22
+       from cdet c, cs),
+cl as (select cf.k, avg(power(((d.y - cs.my) - cf.b1 * (d.x1 - cs.m1) - cf.b2 * (d.x2 - cs.m2))
+          / (1 - (1.0 / cs.n + cf.i11 * (d.x1 - cs.m1) * (d.x1 - cs.m1)
+                  + 2 * cf.i12 * (d.x1 - cs.m1) * (d.x2 - cs.m2) + cf.i22 * (d.x2 - cs.m2) * (d.x2 - cs.m2))), 2)) as mse
+       from cd d, cs, cf where d.part = 'fit' group by cf.k),
+cb as (select cf.b1, cf.b2, cl.mse from cl join cf on cl.k = cf.k order by cl.mse, cl.k limit 1),
+cp as (select d.id, d.y, d.part, cs.my + cb.b1 * (d.x1 - cs.m1) + cb.b2 * (d.x2 - cs.m2) as mid,
+              {_Z} * sqrt(cb.mse) as half from cd d, cs, cb),
+cq as (select score as qhat from (
+         select *, row_number() over (order by score, id) as r, count(*) over () as n
+         from (select id, greatest((mid - half) - y, y - (mid + half)) as score from cp where part = 'cal') s) t
+       where r = least(n, cast(ceil((n + 1) * 0.9 - 1e-9) as bigint)))"""
+oracle("conformal_wrapper", "select id, mid - half - qhat as lower, mid, mid + half + qhat as upper from cp, cq",
+       ["obs"], [_AL, _CW])

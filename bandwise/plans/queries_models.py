@@ -67,7 +67,7 @@ def ridge_interval(spark, sf):
     return m.transform(o).select("id", "mid", "lower", "upper")
 
 
-@register("conformal_wrapper")
+@register("conformal_wrapper", doubles=["lower", "mid", "upper"])
 def conformal_wrapper(spark, sf):
     o = FX.obs(spark, sf).select("id", F.col("m_end").cast("double").alias("x"),
                                  F.col("num_raw").alias("x2"), "y", "part")
