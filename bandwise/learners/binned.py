@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from bandwise.functions.scalars import bin_index
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import scalar_qhat, EPS, conformal_fit, conformity_scores
+from bandwise.operators.orderstats import EPS, conformal_fit, conformity_scores, scalar_qhat
 
 
 def band_search(probs: np.ndarray, values: np.ndarray, alpha: float):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import scalar_qhat, conformal_apply, conformal_fit, conformity_scores
+from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
 from bandwise.session import cut_lineage
 
 

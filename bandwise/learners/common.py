@@ -13,7 +13,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandwise.session import cut_lineage
 from bandwise.sources.tables import read_table
 
 

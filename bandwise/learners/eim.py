@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.scalars import sigmoid, softplus
 from bandwise.learners.common import adam, agg_vector, linear
-from bandwise.operators.orderstats import scalar_qhat, conformal_fit, conformity_scores
+from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
 from bandwise.session import cut_lineage
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import scalar_qhat, conformal_abs_residual
+from bandwise.operators.orderstats import conformal_abs_residual, scalar_qhat
 
 
 @dataclass

@@ -8,7 +8,6 @@ step a narrow, code-generated projection with no join.
 
 from __future__ import annotations
 
-import math
 from typing import Mapping, Sequence
 
 import numpy as np

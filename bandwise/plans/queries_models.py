@@ -17,7 +17,7 @@ from bandwise.learners.conformal import ConformalWrapper
 from bandwise.learners.linear import RidgeInterval
 from bandwise.learners.mixture import MissingMixture, expected_relu_features
 from bandwise.learners.shash import ShashRegression
-from bandwise.operators.folds import assign_fold, split_fit_cal
+from bandwise.operators.folds import assign_fold
 from bandwise.operators.predictions import assemble_models
 from bandwise.plans import stacking as ST, tuning as TU, validation as VA
 from bandwise.plans.models import IntervalModel
