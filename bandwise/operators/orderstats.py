@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bandwise.functions.distributions import normal_ppf, shash_quantile
 from bandwise.functions.scalars import softplus
 from bandwise.operators.joins import join_small
-from bandwise.operators.ranking import group_rank
+from bandwise.operators.ranking import group_rank, order_statistics
 
 EPS = 1e-9  # slack for floating comparisons of summed probabilities
 
@@ -43,13 +43,14 @@ def conformal_fit(
 ) -> DataFrame:
     """One correction ``qhat`` per group: the k-th smallest conformity score.
 
-    Returns ``(keys..., qhat, n_cal)``; the table has one row per group.
+    Exact selection (``order_statistics``): a sketch brackets rank k, only the bracket's rows are
+    ranked, and groups the bracket misses are ranked in full. Returns ``(keys..., qhat, n_cal)``;
+    the table has one row per group.
     """
     keys = list(keys)
-    r = group_rank(df.select(*keys, score, *tiebreak), keys, score, list(tiebreak))
-    return r.filter(F.col("rank") == conformal_rank(F.col("n"), coverage)).select(
-        *keys, F.col(score).alias("qhat"), F.col("n").alias("n_cal")
-    )
+    r = order_statistics(df, keys, score, list(tiebreak),
+                         [("qhat", coverage, lambda n: conformal_rank(n, coverage))])
+    return r.select(*keys, "qhat", F.col("n").alias("n_cal"))
 
 
 def scalar_qhat(qhat: DataFrame) -> float:
@@ -273,18 +274,17 @@ def trimmed_band_mean(
 ) -> DataFrame:
     """Mean of the values lying between the order statistics at (n-1)(alpha -/+ delta).
 
-    Positions are rounded half-to-even (``rint``). The two cut values are found with
-    ``group_rank`` and joined back as a one-row-per-group table.
+    Positions are rounded half-to-even (``rint``). The two cut values come from exact selection
+    (``order_statistics``) and are joined back as a one-row-per-group table.
     """
     keys = list(keys)
-    r = group_rank(df.select(*keys, value, *tiebreak), keys, value, list(tiebreak))
-    n1 = (F.col("n") - 1).cast("double")
-    ilo = F.rint(n1 * F.lit(alpha - delta)).cast("long") + 1
-    ihi = F.rint(n1 * F.lit(alpha + delta)).cast("long") + 1
-    cuts = r.filter((F.col("rank") == ilo) | (F.col("rank") == ihi)).groupBy(*keys).agg(
-        F.max(F.when(F.col("rank") == ilo, F.col(value))).alias("_klo"),
-        F.max(F.when(F.col("rank") == ihi, F.col(value))).alias("_khi"),
-    )
+
+    def pos(frac):
+        return lambda n: F.rint((n - 1).cast("double") * F.lit(frac)).cast("long") + 1
+
+    cuts = order_statistics(df, keys, value, list(tiebreak), [
+        ("_klo", alpha - delta, pos(alpha - delta)), ("_khi", alpha + delta, pos(alpha + delta))
+    ]).drop("n")
     j = join_small(df, cuts, keys) if keys else df.withColumns(
         {k: F.lit(v) for k, v in cuts.first().asDict().items()})
     kept = F.when((F.col(value) >= F.col("_klo")) & (F.col(value) <= F.col("_khi")), F.col(value))

@@ -83,3 +83,85 @@ def group_rank(
     ).withColumn(size_col, F.col(size_col).cast("long"))
     drop = ["_pid", "_mid", "_m0", "_off", "_spid"] + [f"_k_{k}" for k in keys]
     return out.drop(*drop)
+
+
+def order_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    tiebreak: Sequence[str],
+    targets: Sequence[tuple],
+    accuracy: int = 10_000,
+    margin: float = 0.005,
+    broadcast_rows: int = 2_000_000,
+    full_rank_rows: int = 5_000_000,
+) -> DataFrame:
+    """Exact order statistics per group without sorting every row (selection by bracketing).
+
+    Inputs of at most ``full_rank_rows`` rows (one count decides) are simply ranked in full with
+    ``group_rank``: below that size one range sort is cheaper than the extra selection passes.
+
+    ``targets`` lists ``(name, q, k_of_n)``: ``k_of_n`` maps the group-size column to the
+    1-based rank wanted and ``q`` is its approximate fraction k/n (a constant that places a
+    bracket). Pass 1: per group, the row count and a ``percentile_approx`` sketch at
+    ``q -/+ margin`` (bounded memory, partial aggregation). Pass 2, per target: rows below the
+    bracket are only counted, rows inside it (about ``2*margin`` of the group) are ranked with
+    ``group_rank``; rank = rows below + rank inside. Groups whose bracket misses the wanted rank
+    (small groups, sketch error) are found from the counts and recomputed with a full
+    ``group_rank``, so the result is always exact and equal to ranking by (value, tiebreak).
+
+    Null values are ignored. Returns ``(keys..., n, <name>...)``.
+    """
+    keys, tiebreak = list(keys), list(tiebreak)
+    gk = keys or ["_g"]
+    base = df.select(*keys, value, *tiebreak).filter(F.col(value).isNotNull())
+    if not keys:
+        base = base.withColumn("_g", F.lit(0))
+    if base.count() <= full_rank_rows:
+        r = group_rank(base, gk, value, tiebreak)
+        out = r.groupBy(*gk).agg(F.max("n").alias("n"), *[
+            F.max(F.when(F.col("rank") == k_of_n(F.col("n")).cast("long"), F.col(value))).alias(name)
+            for name, _, k_of_n in targets])
+        return out.drop("_g") if not keys else out
+    qs = []
+    for _, q, _k in targets:
+        qs += [max(0.0, q - margin), min(1.0, q + margin)]
+    stats = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"),
+                                  F.percentile_approx(value, qs, accuracy).alias("_qs"))
+    stats = stats.select(
+        *gk, "n",
+        *[F.col("_qs")[2 * i].alias(f"_lo{i}") for i in range(len(targets))],
+        *[F.col("_qs")[2 * i + 1].alias(f"_hi{i}") for i in range(len(targets))],
+        *[k_of_n(F.col("n")).cast("long").alias(f"_k{i}") for i, (_, _, k_of_n) in enumerate(targets)],
+    ).cache()
+    small = stats.count() <= broadcast_rows  # one row per group
+
+    def attach(d: DataFrame, t: DataFrame) -> DataFrame:
+        return d.join(F.broadcast(t) if small else t, gk)
+
+    tagged = attach(base, stats)
+    out = stats.select(*gk, "n")
+    for i, (name, _, _) in enumerate(targets):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        inwin = (F.col(value) >= lo) & (F.col(value) <= hi)
+        below = tagged.groupBy(*gk).agg(F.sum((F.col(value) < lo).cast("long")).alias("_b"))
+        below = below.join(stats.select(*gk, f"_k{i}"), gk).cache()
+        inside = tagged.filter(inwin).select(*gk, value, *tiebreak)
+        r = group_rank(inside, gk, value, tiebreak, rank_col="_r", size_col="_nw")
+        hit = attach(r, below).filter(F.col("_b") + F.col("_r") == F.col(f"_k{i}"))
+        out = out.join(hit.select(*gk, F.col(value).alias(name)), gk, "left")
+    out = out.cache()
+    missed = None
+    for name, _, _ in targets:
+        c = F.col(name).isNull()
+        missed = c if missed is None else (missed | c)
+    miss = out.filter(missed).select(*gk).cache()
+    if miss.count() > 0:  # exact fallback for the groups the brackets missed
+        sub = base.join(F.broadcast(miss) if small else miss, gk)
+        full = attach(group_rank(sub, gk, value, tiebreak), stats.select(*gk, *[f"_k{i}" for i in range(len(targets))]))
+        vals = full.groupBy(*gk).agg(*[
+            F.max(F.when(F.col("rank") == F.col(f"_k{i}"), F.col(value))).alias(name)
+            for i, (name, _, _) in enumerate(targets)])
+        fixed = vals.join(stats.select(*gk, "n"), gk).select(*out.columns)
+        out = out.filter(~missed).unionByName(fixed)
+    return out.drop("_g") if not keys else out

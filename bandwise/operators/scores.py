@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.operators.joins import join_small
-from bandwise.operators.ranking import group_rank
+from bandwise.operators.ranking import order_statistics
 
 
 def _c(x):
@@ -111,23 +111,17 @@ def exact_quantile(
 ) -> DataFrame:
     """Linear-interpolated quantile per group (``quantile_cont``), exact and skew-safe.
 
-    Ranks come from ``group_rank``; only the two rows around position (n-1)*tau are kept.
+    The two order statistics around position (n-1)*tau come from exact selection
+    (``order_statistics``): no full sort of the group.
     """
     keys = list(keys)
-    r = group_rank(df.select(*keys, value, *tiebreak), keys, value, list(tiebreak))
-    h = (F.col("n") - 1).cast("double") * F.lit(tau)
-    r = r.withColumn("_lo", F.floor(h) + 1).withColumn("_hi", F.ceil(h) + 1).withColumn("_h", h)
-    picked = r.filter((F.col("rank") == F.col("_lo")) | (F.col("rank") == F.col("_hi")))
-    agg = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("rank") == F.col("_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("rank") == F.col("_hi"), F.col(value))).alias("_vhi"),
-        F.first("_h").alias("_h"),
-        F.first("_lo").alias("_lo"),
-    )
-    return agg.select(
-        *keys,
-        (F.col("_vlo") + (F.col("_h") - (F.col("_lo") - 1)) * (F.col("_vhi") - F.col("_vlo"))).alias(out),
-    )
+    h = lambda n: (n - 1).cast("double") * F.lit(tau)
+    r = order_statistics(df, keys, value, list(tiebreak), [
+        ("_vlo", tau, lambda n: F.floor(h(n)).cast("long") + 1),
+        ("_vhi", tau, lambda n: F.ceil(h(n)).cast("long") + 1),
+    ])
+    frac = h(F.col("n")) - F.floor(h(F.col("n")))
+    return r.select(*keys, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias(out))
 
 
 def approx_quantile(df: DataFrame, value: str, tau: float, keys: Sequence[str] = (),

@@ -238,3 +238,29 @@ def test_join_small_above_bound_is_a_plain_join(spark):
     a = join_small(big, small, "g").orderBy("id").collect()
     b = join_small(big, small, "g", max_rows=0).orderBy("id").collect()
     assert a == b and len(a) == 500
+
+
+def test_order_statistics_equals_full_ranking(spark):
+    """Bracketed selection (with its fallback for small groups) equals ranking every row."""
+    from bandwise.operators.ranking import order_statistics
+
+    rng = np.random.default_rng(9)
+    n = 6000
+    keys = np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "tiny"], n, p=[0.6, 0.395, 0.005]))
+    pdf = pd.DataFrame({"id": np.arange(n), "k": keys, "v": np.round(rng.normal(size=n), 2)})
+    df = spark.createDataFrame(pdf)
+    kf = lambda n_: F.least(n_, F.ceil((n_ + 1).cast("double") * 0.9 - 1e-9).cast("long"))
+    med = lambda n_: F.floor((n_ - 1).cast("double") * 0.5).cast("long") + 1
+    got = order_statistics(df, ["k"], "v", ["id"], [("q90", 0.9, kf), ("q50", 0.5, med)],
+                           full_rank_rows=0).toPandas()  # force the selection path
+    small = order_statistics(df, ["k"], "v", ["id"], [("q90", 0.9, kf), ("q50", 0.5, med)]).toPandas()
+    assert got.sort_values("k").values.tolist() == small.sort_values("k")[got.columns].values.tolist()
+    for _, r in got.iterrows():
+        g = pdf[pdf.k == r.k].sort_values(["v", "id"])
+        m = len(g)
+        k90 = min(m, int(math.ceil((m + 1) * 0.9 - 1e-9)))
+        k50 = int(math.floor((m - 1) * 0.5)) + 1
+        assert r.n == m and r.q90 == g.v.iloc[k90 - 1] and r.q50 == g.v.iloc[k50 - 1]
+    glob = order_statistics(df, [], "v", ["id"], [("q90", 0.9, kf)], full_rank_rows=0).first()
+    s = pdf.sort_values(["v", "id"])
+    assert glob["q90"] == s.v.iloc[min(n, int(math.ceil((n + 1) * 0.9 - 1e-9))) - 1]
