@@ -65,30 +65,37 @@ class EIMRegression:
         return h.select(*xs, "_y", "a", "b", "c", F.col("a").alias("lo"), (F.col("a") + F.col("spb")).alias("med"),
                         (F.col("a") + F.col("spb") + F.col("spc")).alias("up"))
 
-    def _k_b(self, staged: DataFrame) -> float:
-        e = F.abs((F.col("up") + F.col("lo") - F.lit(2.0) * F.col("_y")) / (F.col("up") - F.col("lo")))
-        d = staged.select(e.alias("e"))
-        q = d.agg(F.percentile_approx("e", [self.coverage - self.delta, self.coverage + self.delta],
-                                      self.accuracy).alias("q")).first()["q"]
-        return d.agg(F.avg(F.when((F.col("e") >= q[0]) & (F.col("e") <= q[1]), F.col("e")))).first()[0]
+    def _e(self):
+        return F.abs((F.col("up") + F.col("lo") - F.lit(2.0) * F.col("_y")) / (F.col("up") - F.col("lo")))
 
     def _grad(self, df: DataFrame, n: float):
+        """Two jobs per step: the expansion-ratio cuts (sketch), then one aggregate holding the
+        trimmed mean k_b and the gradient parts. The gradient is linear in k_b
+        (d/db = (k_b - sign) * sigmoid(b), d/dc = k_b * sigmoid(c)), so its parts are summed
+        without k_b and combined on the driver."""
         p = len(self.features)
         xs = [f"_x{j}" for j in range(p)]
         base = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x)
                            for c, x in zip(self.features, xs)], F.col(self.label).alias("_y"))
 
         def grad(theta):
-            st = self._staged(base, xs, theta)
-            kb = self._k_b(st)
-            g = st.select(*xs, F.signum(F.col("_y") - F.col("med")).alias("sgn"), "b", "c")
-            g = g.select(*xs, (-F.col("sgn")).alias("g0"),
-                         ((F.lit(kb) - F.col("sgn")) * sigmoid("b")).alias("g1"),
-                         (F.lit(kb) * sigmoid("c")).alias("g2"))
-            exprs = []
-            for h in range(3):
-                exprs += [F.sum(F.col(f"g{h}") * F.col(x)) for x in xs] + [F.sum(f"g{h}")]
-            return agg_vector(g, exprs) / n
+            st = self._staged(base, xs, theta).withColumn("_e", self._e())
+            q = st.agg(F.percentile_approx("_e", [self.coverage - self.delta, self.coverage + self.delta],
+                                           self.accuracy).alias("q")).first()["q"]
+            g = st.select(*xs, "_e", F.signum(F.col("_y") - F.col("med")).alias("sgn"),
+                          sigmoid("b").alias("sb"), sigmoid("c").alias("sc"))
+            keep = (F.col("_e") >= F.lit(q[0])) & (F.col("_e") <= F.lit(q[1]))
+            ones = [F.col(x) for x in xs] + [F.lit(1.0)]
+            exprs = [F.sum(F.when(keep, F.col("_e"))), F.sum(keep.cast("double"))]
+            exprs += [F.sum(-F.col("sgn") * x) for x in ones]
+            exprs += [F.sum(F.col("sb") * x) for x in ones]
+            exprs += [F.sum(F.col("sgn") * F.col("sb") * x) for x in ones]
+            exprs += [F.sum(F.col("sc") * x) for x in ones]
+            v = agg_vector(g, exprs)
+            kb = v[0] / v[1]
+            m = p + 1
+            g0, sb, ssb, sc = v[2:2 + m], v[2 + m:2 + 2 * m], v[2 + 2 * m:2 + 3 * m], v[2 + 3 * m:2 + 4 * m]
+            return np.concatenate([g0, kb * sb - ssb, kb * sc]) / n
         return grad
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "EIMRegression":

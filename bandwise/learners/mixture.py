@@ -7,7 +7,8 @@ sum r, and per (component, column) sum r*x~, sum r*x~^2 and sum r*[x missing], w
 the current component mean when x is missing. Means and variances follow the in-fill rule
 (variance of a missing entry adds the component's current variance) plus ``gamma``, and are kept
 as running averages over iterations. Mixture weights are the mean responsibilities (used as log
-weights in the E-step).
+weights in the E-step). Each iteration is one aggregate, which also yields the log-likelihood of
+the parameters it started from.
 """
 
 from __future__ import annotations
@@ -80,8 +81,15 @@ class MissingMixture:
         p = len(self.cols)
         for it in range(1, self.iterations + 1):
             # E-step as projected columns r0..r(k-1); the M-step sums read them by name
-            staged = data.select(*self.cols, *[rc.alias(f"_r{c}") for c, rc in enumerate(self.responsibilities())])
-            exprs = []
+            terms = self._loglik_terms(self.means, self.vars, self.weights)
+            staged = data.select(*self.cols, *[rc.alias(f"_r{c}") for c, rc in enumerate(self.responsibilities())],
+                                 *[t.alias(f"_l{c}") for c, t in enumerate(terms)])
+            ltop = F.greatest(*[F.col(f"_l{c}") for c in range(self.k)]) if self.k > 1 else F.col("_l0")
+            lsum = None
+            for c in range(self.k):
+                e = F.exp(F.col(f"_l{c}") - ltop)
+                lsum = e if lsum is None else lsum + e
+            exprs = [F.avg(ltop + F.log(lsum))]  # log-likelihood of the current parameters
             for c in range(self.k):
                 rc = F.col(f"_r{c}")
                 exprs.append(F.sum(rc))
@@ -91,6 +99,8 @@ class MissingMixture:
                     exprs += [F.sum(rc * xt), F.sum(rc * xt * xt), F.sum(F.when(x.isNull(), rc).otherwise(0.0))]
             exprs.append(F.count(F.lit(1)))
             v = agg_vector(staged, exprs)
+            self.history.append(float(v[0]))
+            v = v[1:]
             n = v[-1]
             sr = np.zeros(self.k)
             s1 = np.zeros((self.k, p))
@@ -112,7 +122,7 @@ class MissingMixture:
             self.vars = ((it - 1) * self.vars + v_batch) / it
             self.means = new_means
             self.weights = ((it - 1) * self.weights + w_batch) / it
-            self.history.append(self.log_likelihood(data))
+        self.history.append(self.log_likelihood(data))  # after the last update
         return self
 
 
