@@ -158,6 +158,22 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
+def _cholesky_jittered(cov: np.ndarray) -> np.ndarray:
+    """Cholesky factor; a covariance that is not positive definite (fewer rows than columns,
+    collinear or constant columns) gets a growing diagonal jitter, starting at 1e-10 of its
+    mean variance, until the factorisation succeeds."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        scale = float(np.mean(np.diag(cov))) or 1.0
+        eps = 1e-10
+        while True:
+            try:
+                return np.linalg.cholesky(cov + np.eye(len(cov)) * scale * eps)
+            except np.linalg.LinAlgError:
+                eps *= 10.0
+
+
 def whiten_fit(df: DataFrame, cols: Sequence[str], target_sd: float = 1.0 / 3.0) -> dict:
     """Centre and decorrelate: x_w = (x - mean) @ W with W = inv(chol(cov)^T) * target_sd.
 
@@ -170,7 +186,7 @@ def whiten_fit(df: DataFrame, cols: Sequence[str], target_sd: float = 1.0 / 3.0)
     for i, a in enumerate(cols):
         for j in range(i, p):
             cov[i, j] = cov[j, i] = r[f"cov_{a}__{cols[j]}"]
-    L = np.linalg.cholesky(cov)
+    L = _cholesky_jittered(cov)
     W = np.linalg.inv(L.T) * target_sd
     return {"cols": list(cols), "means": [r[f"mean_{c}"] for c in cols], "W": W.tolist()}
 
