@@ -225,3 +225,23 @@ def em_step(spark, sf):
 def expected_relu_fixed(spark, sf):
     d = _mix_frame(spark, sf)
     return d.select("id", *expected_relu_features(_fixed_mixture(), np.array(FIXED_W), np.array(FIXED_B)))
+
+
+# ------------------------------------------------------------------ end to end
+
+@register("create_submission")
+def create_submission_q(spark, sf):
+    """Cross-validate ridge on the training rows, write the fold-averaged test submission and
+    the out-of-fold fitted bounds, read the submission back."""
+    import os
+    import uuid
+
+    from bandwise.plans.submission import create_submission
+    from bandwise.session import checkpoint_dir
+    from bandwise.sources.tables import scan_csv
+
+    train, test = _split(spark, sf)
+    root = os.path.join(checkpoint_dir(spark), f"bandwise-submission-{uuid.uuid4().hex[:12]}")
+    create_submission(train, test.drop("y"), "ridge", learning_spec(), os.path.join(root, "submission"),
+                      os.path.join(root, "fitted"), k=3)
+    return scan_csv(spark, os.path.join(root, "submission"), "id long, pi_lower double, pi_upper double")

@@ -53,3 +53,17 @@ def test_tree_families_accept_missing_values(spark):
     out = m.transform(o)
     assert out.count() == o.count()
     assert out.filter(F.col("lower").isNull() | (F.col("lower") > F.col("upper"))).count() == 0
+
+
+def test_create_submission_writes_every_test_row(spark, tmp_path):
+    from bandwise.plans.submission import create_submission
+    from bandwise.sources.tables import scan_csv
+
+    train, test = _split(spark, SF_SMALL)
+    sub, fit = str(tmp_path / "submission"), str(tmp_path / "fitted")
+    summary = create_submission(train, test.drop("y"), "ridge", learning_spec(), sub, fit, k=2)
+    back = scan_csv(spark, sub, "id long, pi_lower double, pi_upper double")
+    assert back.count() == test.count()
+    assert back.filter(F.col("pi_lower") > F.col("pi_upper")).count() == 0
+    assert spark.read.parquet(fit).count() == train.count()
+    assert {r["fold"] for r in summary.collect()} == {0, 1, None}
