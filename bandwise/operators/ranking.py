@@ -98,8 +98,8 @@ def order_statistics(
 ) -> DataFrame:
     """Exact order statistics per group without sorting every row (selection by bracketing).
 
-    Inputs of at most ``full_rank_rows`` rows (one count decides) are simply ranked in full with
-    ``group_rank``: below that size one range sort is cheaper than the extra selection passes.
+    Inputs of at most ``full_rank_rows`` rows (counted by the first pass) are simply ranked in
+    full with ``group_rank``: below that size one range sort is cheaper than the selection passes.
 
     ``targets`` lists ``(name, q, k_of_n)``: ``k_of_n`` maps the group-size column to the
     1-based rank wanted and ``q`` is its approximate fraction k/n (a constant that places a
@@ -117,12 +117,6 @@ def order_statistics(
     base = df.select(*keys, value, *tiebreak).filter(F.col(value).isNotNull())
     if not keys:
         base = base.withColumn("_g", F.lit(0))
-    if base.count() <= full_rank_rows:
-        r = group_rank(base, gk, value, tiebreak)
-        out = r.groupBy(*gk).agg(F.max("n").alias("n"), *[
-            F.max(F.when(F.col("rank") == k_of_n(F.col("n")).cast("long"), F.col(value))).alias(name)
-            for name, _, k_of_n in targets])
-        return out.drop("_g") if not keys else out
     qs = []
     for _, q, _k in targets:
         qs += [max(0.0, q - margin), min(1.0, q + margin)]
@@ -134,7 +128,14 @@ def order_statistics(
         *[F.col("_qs")[2 * i + 1].alias(f"_hi{i}") for i in range(len(targets))],
         *[k_of_n(F.col("n")).cast("long").alias(f"_k{i}") for i, (_, _, k_of_n) in enumerate(targets)],
     ).cache()
-    small = stats.count() <= broadcast_rows  # one row per group
+    sizes = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+    if (sizes["rows"] or 0) <= full_rank_rows:  # the stats pass already counted the rows
+        r = group_rank(base, gk, value, tiebreak)
+        out = r.groupBy(*gk).agg(F.max("n").alias("n"), *[
+            F.max(F.when(F.col("rank") == k_of_n(F.col("n")).cast("long"), F.col(value))).alias(name)
+            for name, _, k_of_n in targets])
+        return out.drop("_g") if not keys else out
+    small = sizes["groups"] <= broadcast_rows  # one row per group
 
     def attach(d: DataFrame, t: DataFrame) -> DataFrame:
         return d.join(F.broadcast(t) if small else t, gk)
