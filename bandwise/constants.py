@@ -54,7 +54,6 @@ SURVEY_COLUMNS = [
     ("WTGAIN", "continuous", 99),
 ]
 NOT_APPLICABLE_CODE = 888
-INTERVAL_COLUMNS = ["ILP_R", "ILOP_R", "ILLB_R"]
 LOG_SHIFT_COLUMNS = ["CIG_0", "PRIORDEAD", "PRIORLIVE", "PRIORTERM", "RF_CESARN", "ILLB_R"]
 TIME_COLUMN = "DOB_TT"
 

@@ -1,8 +1,8 @@
 """Conformal wrapper (``conformal_wrapper``; SURVEY 2.12): any fitted model whose ``transform``
 adds lower/upper bounds, plus a held-out calibration part, becomes a calibrated model.
 
-The correction is one number (or one per group); calibration ranks the conformity scores with
-the skew-safe ``group_rank``.
+The correction is one number, or a table with one row per group (null is a group);
+calibration selects from the conformity scores with the skew-safe ``order_statistics``.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from bandwise.operators.orderstats import conformal_fit, conformity_scores
+from bandwise.operators.orderstats import conformal_apply, conformal_fit, conformity_scores
+from bandwise.session import cut_lineage
 
 
 class ConformalWrapper:
@@ -24,23 +24,9 @@ class ConformalWrapper:
     def calibrate(self, cal_df: DataFrame) -> "ConformalWrapper":
         pred = self.model.transform(cal_df)
         s = conformity_scores(pred, self.label, self.lower, self.upper)
-        q = conformal_fit(s, self.by, self.coverage, "score", ["id"])
-        self.qhat_ = [r.asDict() for r in q.collect()]  # one row per group
+        self.qhat_ = cut_lineage(conformal_fit(s, self.by, self.coverage, "score", ["id"]))
         return self
 
-    def qhat_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.qhat_)
-
     def transform(self, df: DataFrame) -> DataFrame:
-        pred = self.model.transform(df)
-        if not self.by:
-            q = F.lit(self.qhat_[0]["qhat"])
-        else:
-            q = None
-            for row in self.qhat_:
-                cond = None
-                for k in self.by:
-                    c = F.col(k) == F.lit(row[k])
-                    cond = c if cond is None else cond & c
-                q = F.when(cond, F.lit(row["qhat"])) if q is None else q.when(cond, F.lit(row["qhat"]))
-        return pred.withColumn(self.lower, F.col(self.lower) - q).withColumn(self.upper, F.col(self.upper) + q)
+        """Bounds moved by their group's correction, joined as a table whatever the number of groups."""
+        return conformal_apply(self.model.transform(df), self.qhat_, self.by, self.lower, self.upper).drop("qhat")

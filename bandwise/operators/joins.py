@@ -1,20 +1,24 @@
 """Joins.
 
 Broadcasts happen only behind a size check: either the side is built from a bounded parameter
-(bin labels), or its row count is measured first and compared with a limit. Otherwise the
+(bin labels), or its size is measured first and compared with a limit in bytes. Otherwise the
 join is left to the planner (sort-merge / shuffled hash, AQE may still broadcast at run time).
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandwise.functions.scalars import bin_edges
+from bandwise.session import cut_lineage
 
-BROADCAST_MAX_ROWS = 1_000_000
+#: A side is broadcast only if its counted rows times their width stay under this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 class DuplicateKeyError(ValueError):
@@ -38,28 +42,45 @@ def merge_1to1(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "id"
     return left.join(right, on, "inner")
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str] | str, how: str = "left",
-                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Dictionary lookup as a join; the table is broadcast only when its row count is checked
-    to be at most ``max_rows``."""
-    on = [on] if isinstance(on, str) else list(on)
-    n = table.count()
-    side = F.broadcast(table) if n <= max_rows else table
-    return df.join(side, on, how)
+def row_bytes(df: DataFrame) -> int:
+    """Rough width of a row in a broadcast hash table: 8 bytes a number, 48 a string or the like."""
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    return 32 + sum(8 if isinstance(f.dataType, plain) else 48 for f in df.schema.fields)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a per-group table (one row per key) back to a big table.
+def measured(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``df`` materialised, with a broadcast hint if its counted rows fit in ``max_bytes``
+    (``BROADCAST_BYTES`` if not given).
 
-    The small side is counted first and broadcast when at most ``max_rows`` rows, so the big
-    side is never shuffled and a hot key costs nothing extra. Above the bound it is a normal
-    join, where AQE's skew handling splits a hot key's partition.
+    Else it is returned without a hint and joined by shuffle, where AQE splits a hot key.
     """
+    df = cut_lineage(df)
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(df) if df.count() * row_bytes(df) <= limit else df
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the key columns come from the left side."""
+    other = right.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_on_{k}"]) for k in on])
+    return left.join(other, cond, how).drop(*[f"_on_{k}" for k in on])
+
+
+def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """Dictionary lookup as a join; the table is broadcast only when its measured size is small.
+    As in SQL, a null key finds nothing."""
     on = [on] if isinstance(on, str) else list(on)
-    small = small.cache()  # counted once, then read from the cache by the join
-    side = F.broadcast(small) if small.count() <= max_rows else small
-    return big.join(side, on, how)
+    return df.join(measured(table), on, how)
+
+
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Join a per-group table (one row per key) back to a big table; null keys are a group.
+
+    The small side is measured and broadcast when it is small, so the big side is not shuffled
+    and a hot key costs nothing extra. Otherwise it is a normal join, where AQE's skew handling
+    splits a hot key's partition.
+    """
+    return null_safe_join(big, measured(small), [on] if isinstance(on, str) else list(on), how)
 
 
 def bins_table(spark, labels: Sequence[float]) -> DataFrame:

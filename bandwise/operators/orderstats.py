@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import normal_ppf, shash_quantile
 from bandwise.functions.scalars import softplus
-from bandwise.operators.joins import join_small
+from bandwise.operators.joins import join_small, null_safe_join
 from bandwise.operators.ranking import group_rank, order_statistics
 
 EPS = 1e-9  # slack for floating comparisons of summed probabilities
@@ -39,15 +39,28 @@ def conformity_scores(df: DataFrame, y="y", lower="lo", upper="hi", out="score")
 
 def conformal_fit(
     df: DataFrame, keys: Sequence[str] = (), coverage: float = 0.9, score: str = "score",
-    tiebreak: Sequence[str] = ("id",),
+    tiebreak: Sequence[str] = ("id",), symmetric: bool = True, y="y", lower="lo", upper="hi",
 ) -> DataFrame:
     """One correction ``qhat`` per group: the k-th smallest conformity score.
 
+    ``symmetric=False`` gives each side its own correction at half the miss rate, ``qhat_lower`` from
+    ``lower - y`` and ``qhat_upper`` from ``y - upper`` (``score`` is not read then).
+
     Exact selection (``order_statistics``): a sketch brackets rank k, only the bracket's rows are
     ranked, and groups the bracket misses are ranked in full. Returns ``(keys..., qhat, n_cal)``;
     the table has one row per group.
     """
     keys = list(keys)
+    if not symmetric:
+        half = (1.0 + coverage) / 2.0
+        sides = []
+        for name, e in (("qhat_lower", _c(lower) - _c(y)), ("qhat_upper", _c(y) - _c(upper))):
+            r = order_statistics(df.withColumn("_side", e), keys, "_side", list(tiebreak),
+                                 [(name, half, lambda n: conformal_rank(n, half))])
+            sides.append(r.withColumnRenamed("n", "n_cal"))
+        if not keys:
+            return sides[0].crossJoin(sides[1].drop("n_cal"))  # one row each
+        return null_safe_join(sides[0], sides[1].drop("n_cal"), keys)
     r = order_statistics(df, keys, score, list(tiebreak),
                          [("qhat", coverage, lambda n: conformal_rank(n, coverage))])
     return r.select(*keys, "qhat", F.col("n").alias("n_cal"))
@@ -66,9 +79,20 @@ def conformal_apply(
 ) -> DataFrame:
     """Widen (or narrow, for negative qhat) every band by its group's correction.
 
-    ``qhat`` has one row per group; AQE broadcasts it at run time when it is small.
+    ``qhat`` has one row per group, null keys included; with ``qhat_lower`` and ``qhat_upper`` each
+    side moves by its own. Rows of a group without correction are dropped.
     """
     keys = list(keys)
+    if "qhat_lower" in qhat.columns:
+        both = ["qhat_lower", "qhat_upper"]
+        if keys:
+            j = join_small(df, qhat.select(*keys, *both), keys)
+        else:
+            row = qhat.first()
+            if row is None:
+                raise ValueError("calibration part is empty: no conformity scores to rank")
+            j = df.withColumns({c: F.lit(row[c]) for c in both})
+        return j.withColumn(lower, _c(lower) - F.col("qhat_lower")).withColumn(upper, _c(upper) + F.col("qhat_upper"))
     if keys:
         j = join_small(df, qhat.select(*keys, "qhat"), keys)
     else:
@@ -94,14 +118,15 @@ def hdi(
     """Narrowest interval holding floor(alpha*n)+1 consecutive sorted samples, per group.
 
     With s the sorted sample and m = floor(alpha*n): minimise s[i+m] - s[i]; first minimum wins.
-    Self equi-join on (keys, rank) -> (keys, rank + m): join keys are unique, so no skew.
+    Self equi-join on (keys, rank) -> (keys, rank + m): join keys are unique, so no skew. Only ranks
+    1..n-m can start an interval and m+1..n end one; both sides are cut to these before the join.
     """
     keys = list(keys)
     r = group_rank(df.select(*keys, value, *tiebreak), keys, value, list(tiebreak))
     m = F.floor(F.col("n").cast("double") * F.lit(alpha)).cast("long")
-    left = r.select(*keys, F.col("rank").alias("_i"), (F.col("rank") + m).alias("_j"),
+    left = r.filter(F.col("rank") <= F.col("n") - m).select(*keys, F.col("rank").alias("_i"), (F.col("rank") + m).alias("_j"),
                     F.col(value).alias("lower"))
-    right = r.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rank").alias("_rj"),
+    right = r.filter(F.col("rank") > m).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rank").alias("_rj"),
                      F.col(value).alias("upper"))
     cond = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys] + [left["_j"] == right["_rj"]]
     on = cond[0]
@@ -145,17 +170,13 @@ def with_hdi(df: DataFrame, samples, alpha: float = 0.9, keep: Sequence[str] = (
     return d.select(*keep, F.col("_b.lower").alias("lower"), F.col("_b.upper").alias("upper"))
 
 
-def pooled_hdi(draws: DataFrame, key: str = "id", value: str = "value", alpha: float = 0.9,
-               max_draws: int = 100_000) -> DataFrame:
-    """One HDI per key over the stacked draws of several models.
+def pooled_hdi(draws: DataFrame, key: str = "id", value: str = "value", alpha: float = 0.9) -> DataFrame:
+    """One HDI per key over the stacked draws of several models, however many there are.
 
-    A key's draws number (models x draws per model), a bound fixed by the caller's parameters,
-    so they are gathered per key and searched row-locally. ``max_draws`` guards that bound.
+    The draws are ranked per key by ``hdi``, so no key's draws meet in one task; draws that a row
+    holds in arrays are pooled row-locally by ``pooled_hdi_arrays``.
     """
-    g = draws.groupBy(key).agg(F.collect_list(value).alias("_s"))
-    g = g.withColumn("_s", F.when(F.size("_s") <= max_draws, F.col("_s")).otherwise(
-        F.raise_error(F.lit(f"more than {max_draws} draws for one key"))))
-    return with_hdi(g, "_s", alpha, [key])
+    return hdi(draws.select(key, value), [key], value, alpha, tiebreak=())
 
 
 def pooled_hdi_arrays(df: DataFrame, draw_cols: Sequence[str], alpha: float = 0.9,
@@ -274,7 +295,7 @@ def trimmed_band_mean(
 ) -> DataFrame:
     """Mean of the values lying between the order statistics at (n-1)(alpha -/+ delta).
 
-    Positions are rounded half-to-even (``rint``). The two cut values come from exact selection
+    Positions are rounded half-to-even (``rint``). The two cut values come from one exact selection
     (``order_statistics``) and are joined back as a one-row-per-group table.
     """
     keys = list(keys)

@@ -11,14 +11,15 @@ from __future__ import annotations
 from typing import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bandwise.operators.joins import measured
+from bandwise.operators.ranking import group_rank
 from bandwise.operators.scores import exact_quantile
 
-MAX_CATEGORIES = 100_000  # per column; the category list is applied as a literal map
-
 
 def _c(x):
     return F.col(x) if isinstance(x, str) else x
@@ -149,13 +150,36 @@ def drop_degenerate_fit(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 # ---------------------------------------------------------------- whitening
 
-def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One-row frame with means and population co-moments of ``cols`` (single pass)."""
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"mean_{c}") for c in cols]
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(F.covar_pop(a, b).alias(f"cov_{a}__{b}"))
-    return df.agg(*aggs)
+def moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and population covariance of the complete rows of ``cols``.
+
+    One pass: each Arrow batch gives its count, mean and centred matrix product; the partial
+    results (p x p numbers per task) are merged pairwise on the driver, which keeps them stable.
+    """
+    p = len(cols)
+
+    def partial(frames):
+        n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
+        for frame in frames:
+            x = frame.to_numpy(dtype=float)
+            x = x[~np.isnan(x).any(1)]
+            if len(x):
+                n, mean, m2 = _merge((n, mean, m2), (len(x), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0))))
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
+    total = (0, np.zeros(p), np.zeros((p, p)))
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    for r in rows.mapInPandas(partial, "n long, mean array<double>, m2 array<double>").collect():  # one row per task
+        total = _merge(total, (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(p, p)))
+    n, mean, m2 = total
+    return n, mean, m2 / max(1, n)
+
+
+def _merge(a, b):
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
 def _cholesky_jittered(cov: np.ndarray) -> np.ndarray:
@@ -180,15 +204,10 @@ def whiten_fit(df: DataFrame, cols: Sequence[str], target_sd: float = 1.0 / 3.0)
     Equal to the QR construction R @ diag(3 * sd(Q)) up to column signs; the columns come out
     uncorrelated with standard deviation ``target_sd``. The p x p solve runs on the driver.
     """
-    r = moments(df, cols).first()
-    p = len(cols)
-    cov = np.zeros((p, p))
-    for i, a in enumerate(cols):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = r[f"cov_{a}__{cols[j]}"]
+    n, mean, cov = moments(df, cols)
     L = _cholesky_jittered(cov)
     W = np.linalg.inv(L.T) * target_sd
-    return {"cols": list(cols), "means": [r[f"mean_{c}"] for c in cols], "W": W.tolist()}
+    return {"cols": list(cols), "means": [float(m) for m in mean], "W": W.tolist()}
 
 
 def whiten_apply(df: DataFrame, fit: Mapping, prefix: str = "") -> DataFrame:
@@ -210,35 +229,35 @@ def whiten_apply(df: DataFrame, fit: Mapping, prefix: str = "") -> DataFrame:
 # ---------------------------------------------------------------- categorical encoding
 
 def infer_categories(df: DataFrame, cols: Sequence[str], key: str = "id") -> DataFrame:
-    """(column, category, code): sorted distinct non-null values, code 0.. per column."""
+    """(column, category, code): sorted distinct non-null values, code 0.. per column.
+
+    Distinct values are a partial aggregate; their codes are distributed ranks (``group_rank``), so
+    a column with very many levels is spread over tasks like any other table.
+    """
     lf = _long_form(df, cols, key, "string").select("column", "value").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return lf.select("column", F.col("value").alias("category"),
-                     (F.row_number().over(w) - 1).cast("int").alias("code"))
+    r = group_rank(lf, ["column"], "value", [], "_code", "_levels")
+    return r.select("column", F.col("value").alias("category"), (F.col("_code") - 1).cast("int").alias("code"))
 
 
 def categories_dict(cats: DataFrame) -> dict[str, list[str]]:
-    """Category lists on the driver, refusing columns with more than MAX_CATEGORIES levels."""
-    sizes = cats.groupBy("column").count().collect()
-    big = [r["column"] for r in sizes if r["count"] > MAX_CATEGORIES]
-    if big:
-        raise ValueError(f"too many categories to encode as literals: {big}")
+    """Category lists on the driver, for encodings that turn each level into a column."""
     out: dict[str, list[str]] = {}
-    for r in cats.orderBy("column", "code").collect():
+    for r in sorted(cats.collect(), key=lambda r: (r["column"], r["code"])):
         out.setdefault(r["column"], []).append(r["category"])
     return out
 
 
-def ordinal_encode(df: DataFrame, cats: Mapping[str, Sequence[str]], null_code: int = -1) -> DataFrame:
-    """value -> its rank among the fitted categories; null -> ``null_code``; unseen -> null."""
-    out = []
-    for f in df.columns:
-        if f in cats:
-            m = F.create_map(*[x for i, v in enumerate(cats[f]) for x in (F.lit(v), F.lit(i))])
-            out.append(F.when(F.col(f).isNull(), F.lit(null_code)).otherwise(m[F.col(f)]).cast("int").alias(f))
-        else:
-            out.append(F.col(f))
-    return df.select(*out)
+def ordinal_encode(df: DataFrame, cats: DataFrame, cols: Sequence[str], null_code: int = -1) -> DataFrame:
+    """value -> its code in ``cats(column, category, code)``; null -> ``null_code``; unseen -> null.
+
+    One lookup join per column, broadcast where the column's measured level table is small.
+    """
+    names = df.columns
+    for f in cols:
+        side = cats.filter(F.col("column") == f).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+        df = df.join(measured(side), F.col(f) == F.col("_category"), "left")
+        df = df.withColumn(f, F.when(F.col(f).isNull(), F.lit(null_code)).otherwise(F.col("_code")).cast("int")).drop("_category", "_code")
+    return df.select(*names)
 
 
 def one_hot(df: DataFrame, cats: Mapping[str, Sequence[str]], drop_first: bool = False,

@@ -12,8 +12,8 @@ a third of the table becomes a third of the job in one task. ``group_rank`` inst
 4. builds the small segment table ``(keys, pid) -> first index, row count`` and turns it into an
    offset with a window over at most (#keys + #partitions) rows;
 5. joins the offsets back on ``(keys, pid)``. The segment table has at most
-   (#keys + #partitions) rows; it is counted and broadcast when that count is below
-   ``broadcast_rows``, so the ranked rows are not shuffled again. Otherwise it is a shuffle join
+   (#keys + #partitions) rows; it is broadcast when its measured size is small
+   (``joins.measured``), so the ranked rows are not shuffled again. Otherwise it is a shuffle join
    whose key never holds more rows than one partition, so it cannot be skewed.
 
 Result: ``rank`` (1-based, ascending ``order``, ties broken by ``tiebreak``) and ``n`` (group size)
@@ -28,6 +28,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.operators.joins import measured, null_safe_join
 from bandwise.session import cut_lineage
 
 
@@ -39,7 +40,6 @@ def group_rank(
     rank_col: str = "rank",
     size_col: str = "n",
     descending: bool = False,
-    broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """Add exact ``rank_col`` and ``size_col`` per group of ``keys`` (``keys`` may be empty).
 
@@ -73,9 +73,7 @@ def group_rank(
         F.sum("_c").over(wk).alias(size_col),
     )
     seg = seg.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    seg = seg.withColumnRenamed("_pid", "_spid").cache()  # small; counted, then joined
-    if seg.count() <= broadcast_rows:  # proven bound: one row per (key, partition)
-        seg = F.broadcast(seg)
+    seg = measured(seg.withColumnRenamed("_pid", "_spid"))  # one row per (key, partition)
     cond = [tagged[k].eqNullSafe(seg[f"_k_{k}"]) for k in keys] + [tagged["_pid"] == seg["_spid"]]
     joined = tagged.join(seg, reduce(lambda a, b: a & b, cond))
     out = joined.withColumn(
@@ -93,76 +91,60 @@ def order_statistics(
     targets: Sequence[tuple],
     accuracy: int = 10_000,
     margin: float = 0.005,
-    broadcast_rows: int = 2_000_000,
-    full_rank_rows: int = 5_000_000,
 ) -> DataFrame:
     """Exact order statistics per group without sorting every row (selection by bracketing).
 
-    Inputs of at most ``full_rank_rows`` rows (counted by the first pass) are simply ranked in
-    full with ``group_rank``: below that size one range sort is cheaper than the selection passes.
-
     ``targets`` lists ``(name, q, k_of_n)``: ``k_of_n`` maps the group-size column to the
     1-based rank wanted and ``q`` is its approximate fraction k/n (a constant that places a
-    bracket). Pass 1: per group, the row count and a ``percentile_approx`` sketch at
-    ``q -/+ margin`` (bounded memory, partial aggregation). Pass 2, per target: rows below the
-    bracket are only counted, rows inside it (about ``2*margin`` of the group) are ranked with
-    ``group_rank``; rank = rows below + rank inside. Groups whose bracket misses the wanted rank
-    (small groups, sketch error) are found from the counts and recomputed with a full
-    ``group_rank``, so the result is always exact and equal to ranking by (value, tiebreak).
-
-    Null values are ignored. Returns ``(keys..., n, <name>...)``.
+    bracket). The input is narrowed and materialised once. Pass 1: per group, the row count and
+    a ``percentile_approx`` sketch at ``q -/+ margin`` (bounded memory, partial aggregation).
+    Pass 2, for all targets at once: how many rows lie below each bracket and inside it. Pass 3:
+    rows inside any bracket (about ``2*margin`` of the group for each) are ranked together with
+    ``group_rank``; the row wanted has rank ``k`` less the rows below its bracket plus the ranked
+    rows below it. Groups whose bracket misses (sketch error) are seen from the counts and
+    ranked in full, so the result is always exact and equal to ranking by (value, tiebreak).
+
+    One algorithm at every size. A null in ``keys`` is a group like any other; null values are
+    ignored; an empty input gives no row. Returns ``(keys..., n, <name>...)``.
     """
     keys, tiebreak = list(keys), list(tiebreak)
     gk = keys or ["_g"]
     base = df.select(*keys, value, *tiebreak).filter(F.col(value).isNotNull())
     if not keys:
         base = base.withColumn("_g", F.lit(0))
-    qs = []
-    for _, q, _k in targets:
-        qs += [max(0.0, q - margin), min(1.0, q + margin)]
+    base = cut_lineage(base)
+    ks = range(len(targets))
+    qs = [x for _, q, _ in targets for x in (max(0.0, q - margin), min(1.0, q + margin))]
     stats = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"),
                                   F.percentile_approx(value, qs, accuracy).alias("_qs"))
-    stats = stats.select(
+    stats = cut_lineage(stats.select(
         *gk, "n",
-        *[F.col("_qs")[2 * i].alias(f"_lo{i}") for i in range(len(targets))],
-        *[F.col("_qs")[2 * i + 1].alias(f"_hi{i}") for i in range(len(targets))],
-        *[k_of_n(F.col("n")).cast("long").alias(f"_k{i}") for i, (_, _, k_of_n) in enumerate(targets)],
-    ).cache()
-    sizes = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
-    if (sizes["rows"] or 0) <= full_rank_rows:  # the stats pass already counted the rows
-        r = group_rank(base, gk, value, tiebreak)
-        out = r.groupBy(*gk).agg(F.max("n").alias("n"), *[
-            F.max(F.when(F.col("rank") == k_of_n(F.col("n")).cast("long"), F.col(value))).alias(name)
-            for name, _, k_of_n in targets])
-        return out.drop("_g") if not keys else out
-    small = sizes["groups"] <= broadcast_rows  # one row per group
-
-    def attach(d: DataFrame, t: DataFrame) -> DataFrame:
-        return d.join(F.broadcast(t) if small else t, gk)
-
-    tagged = attach(base, stats)
-    out = stats.select(*gk, "n")
-    for i, (name, _, _) in enumerate(targets):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        inwin = (F.col(value) >= lo) & (F.col(value) <= hi)
-        below = tagged.groupBy(*gk).agg(F.sum((F.col(value) < lo).cast("long")).alias("_b"))
-        below = below.join(stats.select(*gk, f"_k{i}"), gk).cache()
-        inside = tagged.filter(inwin).select(*gk, value, *tiebreak)
-        r = group_rank(inside, gk, value, tiebreak, rank_col="_r", size_col="_nw")
-        hit = attach(r, below).filter(F.col("_b") + F.col("_r") == F.col(f"_k{i}"))
-        out = out.join(hit.select(*gk, F.col(value).alias(name)), gk, "left")
-    out = out.cache()
-    missed = None
-    for name, _, _ in targets:
-        c = F.col(name).isNull()
-        missed = c if missed is None else (missed | c)
-    miss = out.filter(missed).select(*gk).cache()
-    if miss.count() > 0:  # exact fallback for the groups the brackets missed
-        sub = base.join(F.broadcast(miss) if small else miss, gk)
-        full = attach(group_rank(sub, gk, value, tiebreak), stats.select(*gk, *[f"_k{i}" for i in range(len(targets))]))
-        vals = full.groupBy(*gk).agg(*[
-            F.max(F.when(F.col("rank") == F.col(f"_k{i}"), F.col(value))).alias(name)
-            for i, (name, _, _) in enumerate(targets)])
-        fixed = vals.join(stats.select(*gk, "n"), gk).select(*out.columns)
-        out = out.filter(~missed).unionByName(fixed)
+        *[F.col("_qs")[2 * i].alias(f"_lo{i}") for i in ks],
+        *[F.col("_qs")[2 * i + 1].alias(f"_hi{i}") for i in ks],
+        *[k_of_n(F.col("n")).cast("long").alias(f"_k{i}") for i, (_, _, k_of_n) in enumerate(targets)]))
+
+    tagged = null_safe_join(base, measured(stats), gk)
+    v = F.col(value)
+    into = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in ks]
+    inside = reduce(lambda a, b: a | b, into)
+    total = lambda c: F.sum(c.cast("long"))
+    counts = tagged.groupBy(*gk).agg(
+        *[total(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in ks],
+        *[total(into[i]).alias(f"_in{i}") for i in ks],
+        *[total(inside & (v < F.col(f"_lo{i}"))).alias(f"_u{i}") for i in ks])
+    counts = cut_lineage(null_safe_join(counts, stats.select(*gk, *[f"_k{i}" for i in ks]), gk))
+    missed = reduce(lambda a, b: a | b, [
+        (F.col(f"_k{i}") <= F.col(f"_b{i}")) | (F.col(f"_k{i}") > F.col(f"_b{i}") + F.col(f"_in{i}")) for i in ks])
+    places = counts.select(*gk, *[(F.col(f"_k{i}") - F.col(f"_b{i}") + F.col(f"_u{i}")).alias(f"_p{i}") for i in ks])
+    pick = lambda d, at: d.groupBy(*gk).agg(*[
+        F.max(F.when(F.col("_r") == F.col(f"{at}{i}"), v)).alias(name) for i, (name, _, _) in enumerate(targets)])
+
+    ranked = group_rank(tagged.filter(inside).select(*gk, value, *tiebreak), gk, value, tiebreak, "_r", "_nw")
+    out = pick(null_safe_join(ranked, measured(places), gk), "_p")
+    miss = counts.filter(missed).select(*gk, *[f"_k{i}" for i in ks])
+    if not miss.isEmpty():
+        again = group_rank(null_safe_join(base, measured(miss.select(*gk)), gk, "left_semi"), gk, value, tiebreak, "_r", "_nw")
+        out = null_safe_join(out, miss.select(*gk), gk, "left_anti").unionByName(
+            pick(null_safe_join(again, measured(miss), gk), "_k"))
+    out = null_safe_join(stats.select(*gk, "n"), out, gk)
     return out.drop("_g") if not keys else out

@@ -6,7 +6,7 @@ aggregate followed by a small final merge, whatever the grouping keys are.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,14 +91,17 @@ def coverage(df: DataFrame, by: Sequence[str] = (), y="y", lower="lower", upper=
 
 
 def performance_summary(
-    df: DataFrame, alpha: float, fold_col: str = "fold", y="y", lower="lower", upper="upper",
+    df: DataFrame, alpha: float, fold_col: str = "fold", y="y", lower="lower", upper="upper", by: Sequence[str] = (),
 ) -> DataFrame:
-    """Per-fold and pooled score (pooled row has a null fold) in one ``rollup``."""
-    return df.rollup(fold_col).agg(
+    """Per-fold and pooled score (pooled row has a null fold), per group of ``by``, in one ``rollup``."""
+    by = list(by)
+    rows = df.rollup(*by, fold_col).agg(
+        (F.grouping(by[-1]) if by else F.lit(0)).alias("_total"),
         F.avg(winkler_row(y, lower, upper, alpha)).alias("winkler"),
         F.avg(covered_row(y, lower, upper)).alias("coverage"),
         F.count(F.lit(1)).alias("n"),
     )
+    return rows.filter("_total = 0").drop("_total")
 
 
 def pinball_loss(df: DataFrame, tau: float, by: Sequence[str] = (), y="y", q="q") -> DataFrame:
@@ -114,14 +117,25 @@ def exact_quantile(
     The two order statistics around position (n-1)*tau come from exact selection
     (``order_statistics``): no full sort of the group.
     """
-    keys = list(keys)
-    h = lambda n: (n - 1).cast("double") * F.lit(tau)
-    r = order_statistics(df, keys, value, list(tiebreak), [
-        ("_vlo", tau, lambda n: F.floor(h(n)).cast("long") + 1),
-        ("_vhi", tau, lambda n: F.ceil(h(n)).cast("long") + 1),
-    ])
-    frac = h(F.col("n")) - F.floor(h(F.col("n")))
-    return r.select(*keys, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias(out))
+    return exact_quantiles(df, value, {out: tau}, keys, tiebreak)
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, taus: Mapping[str, float], keys: Sequence[str] = (), tiebreak: Sequence[str] = ("id",),
+) -> DataFrame:
+    """Several interpolated quantiles (name -> tau) per group from one selection."""
+    keys, targets = list(keys), []
+
+    def h(n, tau):
+        return (n - 1).cast("double") * F.lit(tau)
+
+    for name, tau in taus.items():
+        targets += [(f"_lo_{name}", tau, lambda n, t=tau: F.floor(h(n, t)).cast("long") + 1),
+                    (f"_hi_{name}", tau, lambda n, t=tau: F.ceil(h(n, t)).cast("long") + 1)]
+    r = order_statistics(df, keys, value, list(tiebreak), targets)
+    frac = {name: h(F.col("n"), tau) - F.floor(h(F.col("n"), tau)) for name, tau in taus.items()}
+    return r.select(*keys, *[
+        (F.col(f"_lo_{n}") + frac[n] * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in taus])
 
 
 def approx_quantile(df: DataFrame, value: str, tau: float, keys: Sequence[str] = (),

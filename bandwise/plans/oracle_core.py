@@ -74,8 +74,8 @@ oracle("assert_finite", """
 select model_id, cast(sum(case when y is null or lo is null or hi is null or isnan(y) or isnan(lo) or isnan(hi)
   or isinf(y) or isinf(lo) or isinf(hi) then 1 else 0 end) as bigint) as n_bad, count(*) as n
 from scored group by model_id""", ["preds"], [SCORED])
-oracle("performance_summary", f"select fold, avg({win()}) as winkler, avg({cov()}) as coverage, count(*) as n "
-       "from scored where model_id = 0 group by rollup(fold)", ["preds"], [SCORED])
+oracle("performance_summary", f"select model_id, fold, avg({win()}) as winkler, avg({cov()}) as coverage, count(*) as n "
+       "from scored group by grouping sets ((model_id, fold), (model_id))", ["preds"], [SCORED])
 oracle("pinball_loss", f"""
 select model_id, avg({pin('y', 'lo', 0.05)}) as pinball_lo, avg({pin('y', 'mid', 0.5)}) as pinball_mid,
        avg({pin('y', 'hi', 0.95)}) as pinball_hi
@@ -118,6 +118,24 @@ select score as qhat, n as n_cal from (
   select *, row_number() over (order by score, id, model_id) as r, count(*) over () as n
   from (select model_id, id, greatest(lo - y, y - hi) as score from scored where part = 'cal') s) t
 where r = least(n, cast(ceil((n + 1) * 0.9 - 1e-9) as bigint))""", ["preds"], [SCORED])
+_BYG = """
+bg as (select *, case when grp % 3 != 0 then 'hot' when fold = 1 then null else 'g' || fold end as key,
+         round(greatest(lo - y, y - hi), 0) as score from scored),
+bgr as (select *, row_number() over (partition by key order by score, id, model_id) as r, count(*) over (partition by key) as n
+        from bg where part = 'cal'),
+bgq as (select key, score as qhat, n as n_cal from bgr where r = least(n, cast(ceil((n + 1) * 0.9 - 1e-9) as bigint)))"""
+oracle("conformal_by_group", "select key, qhat, n_cal from bgq", ["preds"], [SCORED, _BYG])
+oracle("conformal_apply_by_group", """
+select b.id, b.model_id, b.key, b.lo - q.qhat as lo, b.hi + q.qhat as hi
+from bg b join bgq q on b.key is not distinct from q.key where b.part = 'fit'""", ["preds"], [SCORED, _BYG])
+oracle("conformal_two_sided", """
+select model_id, n as n_cal,
+  max(case when rl = least(n, cast(ceil((n + 1) * 0.95 - 1e-9) as bigint)) then lo - y end) as qhat_lower,
+  max(case when ru = least(n, cast(ceil((n + 1) * 0.95 - 1e-9) as bigint)) then y - hi end) as qhat_upper
+from (select *, row_number() over (partition by model_id order by lo - y, id) as rl,
+        row_number() over (partition by model_id order by y - hi, id) as ru, count(*) over (partition by model_id) as n
+      from scored where part = 'cal') t
+group by model_id, n""", ["preds"], [SCORED])
 _E = "ev as (select model_id, id, y, lo, hi, mid, abs((hi + lo - 2 * y) / (hi - lo)) as e from scored)"
 _KB = f"""
 er as (select *, row_number() over (partition by model_id order by e, id) as rk,
@@ -196,7 +214,7 @@ select id, cast(len(list_filter({_EDGES}, lambda e: e < w)) as int) as bin from
        ["obs"])
 
 # ------------------------------------------------------------------ predictions tables
-oracle("union_folds", "select id, fold, lo, hi from scored where model_id = 0", ["preds"], [SCORED])
+oracle("union_folds", "select id, model_id, fold, lo, hi from scored", ["preds"], [SCORED])
 oracle("average_intervals", "select id, avg(lo) as lower, avg(hi) as upper from preds group by id", ["preds"])
 
 # ------------------------------------------------------------------ scalars

@@ -26,11 +26,12 @@ oracle("maxabs_center", """
 select id, (num - mn) / greatest(xn - mn, mn - nn) as num, (seconds - ms) / greatest(xs - ms, ms - ns) as seconds
 from imp, (select avg(num) as mn, max(num) as xn, min(num) as nn, avg(seconds) as ms, max(seconds) as xs,
                   min(seconds) as ns from imp) s""", ["obs"], [_IMP])
-_CC = "cc as (select * from imp where num is not null and seconds is not null)"
+_CC = """cc as (select id, coalesce(num, (select median from med where column_name = 'num')) as num,
+  coalesce(seconds, (select median from med where column_name = 'seconds')) as seconds from imp)"""
 oracle("whiten_fit", """
 select count(*) as n, avg(num) as mean_num, avg(seconds) as mean_seconds, covar_pop(num, num) as cov_num__num,
        covar_pop(num, seconds) as cov_num__seconds, covar_pop(seconds, seconds) as cov_seconds__seconds
-from cc""", ["obs"], [_IMP, _CC])
+from cc""", ["obs"], [_IMP, _MED, _CC])
 # 2x2 Cholesky in closed form: a = sqrt(v11), b = v12 / a, c = sqrt(v22 - b^2);
 # whitened = (x - mean) @ inv(L^T) / 3
 oracle("whiten_apply", """
@@ -38,7 +39,7 @@ select id, ((num - m1) / a) / 3 as num, (-(num - m1) * b / (a * c) + (seconds -
 from cc, (select m1, m2, a, b, sqrt(v22 - b * b) as c from (
   select m1, m2, v22, a, v12 / a as b from (
     select avg(num) as m1, avg(seconds) as m2, sqrt(covar_pop(num, num)) as a, covar_pop(num, seconds) as v12,
-           covar_pop(seconds, seconds) as v22 from cc) s1) s2) s""", ["obs"], [_IMP, _CC])
+           covar_pop(seconds, seconds) as v22 from cc) s1) s2) s""", ["obs"], [_IMP, _MED, _CC])
 
 _CATS = """ct as (
   select 'cat' as column_name, v as category, cast(row_number() over (order by v) - 1 as int) as code

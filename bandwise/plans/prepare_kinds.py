@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bandwise import constants as K
 from bandwise.functions import scalars as S
 from bandwise.operators import prepare as PR
+from bandwise.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,8 @@ class Preparer:
             self.whiten = PR.whiten_fit(base, num)
         if k.maxabs:
             self.maxabs = PR.maxabs_fit(base, num)
-        self.categories = PR.categories_dict(PR.infer_categories(base, sp.categorical, sp.key))
+        cats = cut_lineage(PR.infer_categories(base, sp.categorical, sp.key))
+        self.categories = cats if k.encoding == "ordinal" else PR.categories_dict(cats)
         self.fitted = True
         if k.drop_degenerate:
             out = self._encode(self._scale(base))
@@ -159,7 +161,7 @@ class Preparer:
         keep = [sp.key] + num + (["target"] if "target" in df.columns else [])
         keep += [c for c in self.passthrough if c in df.columns and c not in keep]
         if k.encoding == "ordinal":
-            enc = PR.ordinal_encode(df.select(*keep, *sp.categorical), self.categories)
+            enc = PR.ordinal_encode(df.select(*keep, *sp.categorical), self.categories, sp.categorical)
             return enc.select(*keep, *[F.col(c).cast("double").alias(c) for c in sp.categorical])
         return PR.one_hot(df, self.categories, drop_first=(k.encoding == "onehot_drop_first"),
                           null_block=k.null_block, keep=keep)

@@ -12,7 +12,7 @@ from bandwise.constants import BIN_LABELS
 from bandwise.functions import distributions as D
 from bandwise.functions import scalars as S
 from bandwise.operators import folds, orderstats as O, predictions as P, scores as SC
-from bandwise.operators.joins import bin_range_join
+from bandwise.operators.joins import bin_range_join, join_small
 from bandwise.plans.calibration import calibrated_scores
 from bandwise.registry import register
 from bandwise.sources import fixtures as FX
@@ -21,14 +21,9 @@ COV = 0.9      # nominal coverage of the intervals
 ALPHA = 0.1    # miss rate used by the Winkler penalty 2/alpha
 
 
-def _obs_preds(spark, sf):
-    o = FX.obs(spark, sf)
-    return o, FX.preds_from(o)
-
-
 def _scored(spark, sf):
-    o, p = _obs_preds(spark, sf)
-    return p.join(o.select("id", "y", "part", "grp"), "id")
+    """Predictions of the three fixture models beside the truth, without a join on the key."""
+    return FX.preds_from(FX.obs(spark, sf), ["id", "fold", "y", "part", "grp"])
 
 
 # ============================================================ flagship
@@ -36,8 +31,7 @@ def _scored(spark, sf):
 @register("calibrated_winkler", doubles=["qhat", "winkler", "coverage"])
 def calibrated_winkler(spark, sf):
     """Flagship: conformal correction per model on the calibration part, scored on the rest."""
-    o, p = _obs_preds(spark, sf)
-    return calibrated_scores(p, o, COV)
+    return calibrated_scores(_scored(spark, sf), coverage=COV)
 
 
 # ============================================================ folds and splits
@@ -81,8 +75,7 @@ def assert_finite(spark, sf):
 
 @register("performance_summary", doubles=["winkler", "coverage"])
 def performance_summary(spark, sf):
-    s = _scored(spark, sf).filter(F.col("model_id") == 0)
-    return SC.performance_summary(s, ALPHA, "fold", "y", "lo", "hi")
+    return SC.performance_summary(_scored(spark, sf), ALPHA, "fold", "y", "lo", "hi", by=["model_id"])
 
 
 @register("pinball_loss", doubles=["pinball_lo", "pinball_mid", "pinball_hi"])
@@ -124,10 +117,8 @@ def best_candidate(spark, sf):
 @register("target_quantiles", doubles=["q05", "q95", "mean_y", "off_lo", "off_hi"])
 def target_quantiles(spark, sf):
     o = FX.obs(spark, sf)
-    q05 = SC.exact_quantile(o, "y", 0.05, [], ["id"], "q05")
-    q95 = SC.exact_quantile(o, "y", 0.95, [], ["id"], "q95")
     m = o.agg(F.avg("y").alias("mean_y"))
-    row = {**q05.first().asDict(), **q95.first().asDict()}
+    row = SC.exact_quantiles(o, "y", {"q05": 0.05, "q95": 0.95}, [], ["id"]).first().asDict()
     return m.select(
         F.lit(row["q05"]).alias("q05"), F.lit(row["q95"]).alias("q95"), "mean_y",
         (F.lit(row["q05"]) - F.col("mean_y")).alias("off_lo"),
@@ -162,6 +153,32 @@ def conformal_apply(spark, sf):
         "id", "model_id", "lo", "hi")
 
 
+def _by_group(spark, sf):
+    """Scores with a key that has a null group and one group of two thirds of the rows; scores are
+    rounded, so they tie."""
+    s = _scored(spark, sf).withColumn("key", F.expr(
+        "case when grp % 3 != 0 then 'hot' when cast(fold as int) = 1 then null else concat('g', fold) end"))
+    return O.conformity_scores(s, "y", "lo", "hi").withColumn("score", F.round("score", 0))
+
+
+@register("conformal_by_group", doubles=["qhat"])
+def conformal_by_group(spark, sf):
+    return O.conformal_fit(_by_group(spark, sf).filter(F.col("part") == "cal"), ["key"], COV, "score", ["id", "model_id"])
+
+
+@register("conformal_apply_by_group", doubles=["lo", "hi"])
+def conformal_apply_by_group(spark, sf):
+    s = _by_group(spark, sf)
+    q = O.conformal_fit(s.filter(F.col("part") == "cal"), ["key"], COV, "score", ["id", "model_id"])
+    return O.conformal_apply(s.filter(F.col("part") == "fit"), q, ["key"]).select("id", "model_id", "key", "lo", "hi")
+
+
+@register("conformal_two_sided", doubles=["qhat_lower", "qhat_upper"])
+def conformal_two_sided(spark, sf):
+    s = _scored(spark, sf).filter(F.col("part") == "cal")
+    return O.conformal_fit(s, ["model_id"], COV, tiebreak=["id"], symmetric=False)
+
+
 @register("conformal_abs_residual", doubles=["qhat"])
 def conformal_abs_residual(spark, sf):
     s = _scored(spark, sf).filter(F.col("part") == "cal")
@@ -188,7 +205,7 @@ def eim_score(spark, sf):
     s = _scored(spark, sf).withColumn(
         "e", F.abs((F.col("hi") + F.col("lo") - 2 * F.col("y")) / (F.col("hi") - F.col("lo"))))
     kb = O.trimmed_band_mean(s, ["model_id"], "e", COV, 0.03, ["id"])
-    return s.join(kb, "model_id").groupBy("model_id").agg(
+    return join_small(s, kb, "model_id").groupBy("model_id").agg(
         F.avg(F.col("k_b") * (F.col("hi") - F.col("lo")) + F.abs(F.col("y") - F.col("mid"))).alias("eim"))
 
 
@@ -296,15 +313,14 @@ def bin_range_join_q(spark, sf):
 
 @register("union_folds", doubles=["lo", "hi"])
 def union_folds(spark, sf):
-    s = _scored(spark, sf).filter(F.col("model_id") == 0)
-    parts = [folds.fold_filter(s, k, held_out=True).select("id", "fold", "lo", "hi") for k in range(5)]
+    s = _scored(spark, sf)
+    parts = [folds.fold_filter(s, k, held_out=True).select("id", "model_id", "fold", "lo", "hi") for k in range(5)]
     return P.union_folds(parts)
 
 
 @register("average_intervals", doubles=["lower", "upper"])
 def average_intervals(spark, sf):
-    _, p = _obs_preds(spark, sf)
-    return P.average_intervals(p, "id", "lo", "hi")
+    return P.average_intervals(FX.preds(spark, sf), "id", "lo", "hi")
 
 
 # ============================================================ scalar functions on obs

@@ -179,16 +179,25 @@ def maxabs_center(spark, sf):
     return PR.maxabs_apply(d, PR.maxabs_fit(d, ["num", "seconds"]))
 
 
+def _filled(spark, sf):
+    """Numeric columns with their medians for missing values: whitening follows imputation."""
+    d = _imp(spark, sf).select("id", "num", "seconds")
+    return PR.impute_apply(d, PR.impute_median_fit(d, ["num", "seconds"], "id"))
+
+
 @register("whiten_fit", doubles=["mean_num", "mean_seconds", "cov_num__num", "cov_num__seconds",
                                  "cov_seconds__seconds"])
 def whiten_fit(spark, sf):
-    d = _imp(spark, sf).select("id", "num", "seconds").dropna()
-    return PR.moments(d, ["num", "seconds"])
+    cols = ["num", "seconds"]
+    n, mean, cov = PR.moments(_filled(spark, sf), cols)
+    row = {"n": n} | {f"mean_{c}": float(m) for c, m in zip(cols, mean)} | {
+        f"cov_{a}__{b}": float(cov[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in row))
 
 
 @register("whiten_apply", doubles=["num", "seconds"])
 def whiten_apply(spark, sf):
-    d = _imp(spark, sf).select("id", "num", "seconds").dropna()
+    d = _filled(spark, sf)
     return PR.whiten_apply(d, PR.whiten_fit(d, ["num", "seconds"]))
 
 
@@ -203,8 +212,8 @@ def infer_categories(spark, sf):
 def ordinal_encode(spark, sf):
     d = _imp(spark, sf)
     fit_rows = FX.obs(spark, sf).filter(F.col("gap_raw") != 888).select("id")
-    cats = PR.categories_dict(PR.infer_categories(d.join(fit_rows, "id"), ["label"], "id"))
-    return PR.ordinal_encode(d.select("id", "label"), cats)
+    cats = PR.infer_categories(d.join(fit_rows, "id"), ["label"], "id")
+    return PR.ordinal_encode(d.select("id", "label"), cats, ["label"])
 
 
 def _cat_levels(spark, sf):

@@ -67,11 +67,5 @@ def oracle(name: str, body: str, views: Sequence[str] = (), ctes: Sequence[str]
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from bandwise.plans import queries_core  # noqa: F401
-    from bandwise.plans import oracle_core  # noqa: F401
-    for mod in ("queries_prepare", "oracle_prepare", "queries_models", "oracle_models"):
-        try:
-            __import__(f"bandwise.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules land one by one
-            if e.name != f"bandwise.plans.{mod}":
-                raise
+    from bandwise.plans import oracle_core, oracle_models, oracle_prepare  # noqa: F401
+    from bandwise.plans import queries_core, queries_models, queries_prepare  # noqa: F401

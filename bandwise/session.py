@@ -20,7 +20,7 @@ _LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -41,7 +41,8 @@ def get_session(master: str | None = None, app: str = "bandwise", **conf: str) -
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only when none is set.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is used as is.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is used as is, and a cluster
+    session without it is refused. (``local-cluster`` counts as a cluster.)
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset only in local runs and tests: fall back to a fresh scratch folder.
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # a local run or a test: one process, a fresh scratch folder
         configured = tempfile.mkdtemp(prefix="bandwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -16,6 +16,8 @@ zgrid    21 fixed standard-normal draws
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,21 +58,22 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").selectExpr(*_obs_exprs(SPARK_HASH))
 
 
-def preds_from(o: DataFrame) -> DataFrame:
-    """Three fixed-width interval models around the per-category mean of y.
+def preds_from(o: DataFrame, keep: Sequence[str] = ("id", "fold")) -> DataFrame:
+    """Three fixed-width interval models around the per-category mean of y, with columns ``keep``.
 
     The per-category means form a table with one row per category, broadcast under its
-    counted size (``join_small``), so the event rows are not shuffled.
+    measured size (``join_small``), so the event rows are not shuffled; each event is tripled
+    after that join, with the truth columns the caller wants to keep beside its predictions.
     """
     from bandwise.operators.joins import join_small
 
     q = o.groupBy("cat").agg(F.round(F.avg("y"), 6).alias("mid"))
     m = F.col("model_id").cast("double")
     return (
-        join_small(o.select("id", "fold", "cat"), q, "cat")
+        join_small(o.select(*keep, "cat"), q, "cat")
         .withColumn("model_id", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))))
         .select(
-            "id", "fold", "model_id",
+            *keep, "model_id",
             (F.col("mid") - (30 + 5 * m)).alias("lo"),
             F.col("mid").alias("mid"),
             (F.col("mid") + (60 + 10 * m)).alias("hi"),

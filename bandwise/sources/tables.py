@@ -11,23 +11,14 @@ TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table; Catalyst prunes columns and pushes filters into it.
 
-    A file with fewer splits than the session's default parallelism (e.g. one row group) would
-    run everything before the first shuffle in that many tasks; such a scan is followed by a
-    round-robin repartition to the default parallelism. Column pruning and filters still reach
-    the scan; Spark sorts before a round-robin repartition, so a retried task sees the same rows.
-    Large inputs already have many splits and are left alone.
+    The number of scan tasks follows ``spark.sql.files.maxPartitionBytes`` and the row groups.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv") -> DataFrame:
