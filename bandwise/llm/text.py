@@ -16,10 +16,11 @@ _SLICE_BYTES = 2 << 20  # texts are hashed in slices of about this size; it boun
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE[_SPACE] = 0
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE[SPACE] = 0
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]  # A-Z as a-z
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,11 +56,15 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and the n+1 offsets of the texts in that list."""
+def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word in order, and the n+1 offsets of the texts in that list.
+
+    ``fold``: A-Z count as a-z.
+    """
+    table = _FOLDED if fold else _BYTE
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begin = off[:-1][off[:-1] < off[1:]]
@@ -72,7 +77,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(starts, edges[a] + (1 << 20))))
         lens = np.diff(edges[a: b + 1])
-        piece = _BYTE[data[edges[a]: edges[b]]]
+        piece = table[data[edges[a]: edges[b]]]
         at = np.arange(len(piece)) - np.repeat(edges[a:b] - edges[a], lens)
         powers = np.cumprod(np.full(int(lens.max()), _POWER, np.uint64))
         out[a:b] = np.add.reduceat(piece * powers[at], edges[a:b] - edges[a])
@@ -80,6 +85,35 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(out), bounds
 
 
+_GRAM_FACTOR = _rng.integers(1, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+GRAM = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def byte_grams(data: np.ndarray, off: np.ndarray, n: int, space: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of ``bits`` bits of every run of n bytes of one text, with the n+1 offsets of the texts.
+
+    ``space`` marks the 256 bytes that count as white space; it may stand at both ends of a run
+    (where it marks the border of a word), not inside.
+    """
+    code = np.where(space, GRAM[32], GRAM)[data]
+    blank = space[data]
+    m = max(0, len(data) - n + 1)
+    ok = np.ones(m, bool)
+    for j in range(1, n - 1):
+        ok &= ~blank[j: j + m]
+    if n <= 2:
+        ok &= ~(blank[:m] & blank[n - 1: n - 1 + m])
+    for cut in np.unique(off[1:-1]):
+        ok[max(0, cut - n + 1): cut] = False
+    h = np.full(m, n * 40503, np.uint32)
+    for j in range(n):
+        h += code[j: j + m] * _GRAM_FACTOR[j]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    at = np.flatnonzero(ok)
+    return (h[at] >> np.uint32(32 - bits)).astype(np.int32), np.searchsorted(at, off)
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``k`` words; a text with 1 to k-1 words gives its whole sequence.
 
