@@ -26,10 +26,11 @@ AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def normal_draw(seed: int, key, draw) -> Column:
-    """Standard-normal draw as a function of (seed, key, draw index): Box-Muller over two
-    xxhash64 uniforms. A recomputed task reproduces it; no state, no driver round trip."""
-    u1 = (F.pmod(F.xxhash64(F.lit(seed), _c(key), _c(draw), F.lit(1)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
-    u2 = (F.pmod(F.xxhash64(F.lit(seed), _c(key), _c(draw), F.lit(2)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
+    """Standard-normal draw as a function of (seed, key, draw index): Box-Muller over two uniforms
+    made of 48 bits each of the md5 of ``seed|key|draw``. A recomputed task reproduces it; no state,
+    no driver round trip."""
+    digits = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), _c(draw).cast("string")).cast("binary"))
+    u1, u2 = ((F.conv(F.substring(digits, at, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 48) for at in (1, 13))
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 

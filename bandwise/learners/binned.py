@@ -4,7 +4,7 @@ A multinomial logistic regression predicts the probability of each target bin. P
 narrowest run of bins holding ``coverage`` of the mass gives the band and the bin where the
 cumulative mass is closest to 0.5 gives the median. The per-row search runs on the probability
 arrays in Arrow batches (NumPy cumulative sums and a vectorised two-pointer sweep): row-local,
-no shuffle, no per-row Python loop. Bounds are then calibrated with conformal scores.
+no shuffle, no per-row Python loop; only the probabilities go to Python. Bounds are then calibrated with conformal scores.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bandwise.functions.scalars import bin_index
 from bandwise.learners.common import assemble
@@ -84,27 +83,20 @@ class BinnedDensity:
 
     def _raw(self, df: DataFrame) -> DataFrame:
         p = self.model_.transform(assemble(df, self.features, "_x"))
-        p = p.withColumn("_p", vector_to_array("_prob")).drop("_x", "_prob", "_raw", "_pred")
         k = self.model_.numClasses
         values = np.asarray(list(self.labels)[:k], dtype=float)
         if len(values) < k:
             raise ValueError("more classes than bin labels")
         alpha = self.coverage
-        keep = [c for c in p.columns if c != "_p"]
-        schema = T.StructType(p.drop("_p").schema.fields + [
-            T.StructField(c, T.DoubleType()) for c in ("lower", "upper", "mid")])
 
-        def part(it):
-            for pdf in it:
-                probs = np.vstack(pdf["_p"].to_numpy()) if len(pdf) else np.zeros((0, k))
-                i, j, m = band_search(probs, values, alpha) if len(pdf) else ([], [], [])
-                out = pdf[keep].copy()
-                out["lower"] = values[np.asarray(i, dtype=int)] if len(pdf) else []
-                out["upper"] = values[np.asarray(j, dtype=int)] if len(pdf) else []
-                out["mid"] = values[np.asarray(m, dtype=int)] if len(pdf) else []
-                yield out
+        @F.pandas_udf("lower double, upper double, mid double, mode double")
+        def band(probs: pd.Series) -> pd.DataFrame:
+            p = np.array(probs.tolist(), float).reshape(len(probs), k)
+            i, j, m = band_search(p, values, alpha)
+            return pd.DataFrame({"lower": values[i], "upper": values[j], "mid": values[m], "mode": values[p.argmax(1)]})
 
-        return p.mapInPandas(part, schema)
+        p = p.withColumn("_band", band(vector_to_array("_prob"))).drop("_x", "_prob", "_raw", "_pred")
+        return p.withColumns({c: F.col(f"_band.{c}") for c in ("lower", "upper", "mid", "mode")}).drop("_band")
 
     def transform(self, df: DataFrame) -> DataFrame:
         q = F.lit(self.qhat_)

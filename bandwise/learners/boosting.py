@@ -3,8 +3,8 @@
 Each round fits a Spark ML regression tree to the negative pinball gradient
 (tau where y > F, tau - 1 otherwise), then replaces every leaf's value by the tau-quantile of the
 residuals of the rows in that leaf (``percentile_approx`` grouped by leaf: a partial aggregate, so
-a leaf holding a third of the rows is no hot spot). Leaf values are applied as a literal map
-(bounded by the leaf count), so a round adds no join. The working frame is checkpointed into the
+a leaf holding a third of the rows is no hot spot). Leaf values are applied as a literal array
+(bounded by ``max_leaf_nodes``), so a round adds no join. The working frame is checkpointed into the
 session's checkpoint folder every few rounds, which bounds the lineage and survives executor loss.
 
 ``QuantileBoostInterval`` fits three boosters (lower, median, upper) on the fit part and
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -27,96 +27,149 @@ from bandwise.operators.orderstats import conformal_fit, conformity_scores, scal
 from bandwise.session import cut_lineage
 
 
+def bounded_leaves(root, max_leaves: int) -> list[int]:
+    """Leaf number -> group: the tree cut back to at most ``max_leaves`` leaves, best splits first.
+
+    ``root`` is the JVM root node of a Spark tree, whose leaves are numbered from left to right.
+    Starting from the root, the node whose split gains most (gain times rows) is opened until the
+    bound is reached; all leaves below a node that stays closed form one group.
+    """
+    def split(node):
+        return node.subtreeDepth() > 0
+
+    def gain(node):
+        return node.gain() * node.impurityStats().count()
+
+    def leaves(node):
+        return 1 if not split(node) else leaves(node.leftChild()) + leaves(node.rightChild())
+
+    open_ = [(0, root)]  # (first leaf, node), left to right
+    while len(open_) < max_leaves:
+        best = max((i for i, (_, n) in enumerate(open_) if split(n)), key=lambda i: gain(open_[i][1]), default=None)
+        if best is None:
+            break
+        at, node = open_[best]
+        left, right = node.leftChild(), node.rightChild()
+        open_[best:best + 1] = [(at, left), (at + leaves(left), right)]
+    starts = [at for at, _ in open_]
+    total = leaves(root)
+    return [sum(s <= i for s in starts) - 1 for i in range(total)]
+
+
 @dataclass
 class QuantileBooster:
+    """``nominal`` gives the number of categories of columns that hold category numbers."""
+
     features: Sequence[str]
     tau: float
     label: str = "target"
     rounds: int = 20
     learning_rate: float = 0.2
     max_depth: int = 4
+    max_leaf_nodes: int = 21
     min_rows_leaf: int = 100
     l2: float = 0.0           # shrinks a leaf's update by n / (n + l2)
     max_bins: int = 32
     checkpoint_every: int = 4
     accuracy: int = 2000
     seed: int = 0
+    nominal: Mapping[str, int] | None = None
     trees: list = field(default_factory=list, repr=False)
 
-    def _leaf_map(self, values: dict):
-        kv = []
-        for k, v in sorted(values.items()):
-            kv += [F.lit(float(k)), F.lit(float(v))]
-        return F.create_map(*kv)
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """``(_x, _y)`` in the checkpoint folder; boosters of one input can share it."""
+        data = assemble(df.select(*self.features, F.col(self.label).alias("_y")), self.features, "_x", self.nominal)
+        return cut_lineage(data.select("_x", "_y"))
 
-    def fit(self, df: DataFrame) -> "QuantileBooster":
-        data = assemble(df.select("id", *self.features, F.col(self.label).alias("_y")), self.features, "_x")
-        data = data.select("id", "_x", "_y")
+    def fit(self, df: DataFrame, vectors: DataFrame | None = None) -> "QuantileBooster":
+        data = self.vectors(df) if vectors is None else vectors
+        meta = assemble(df.limit(0).select(*self.features), self.features, "_x", self.nominal).schema["_x"].metadata
         self.init_ = float(data.agg(F.percentile_approx("_y", self.tau, self.accuracy)).first()[0])
-        cur = cut_lineage(data.withColumn("_f", F.lit(self.init_)))
+        cur = data.withColumn("_f", F.lit(self.init_))
+        bins = max([self.max_bins, *(self.nominal or {}).values()])
         self.trees = []
         cached = []  # persisted round frames; the one from two rounds back is released
         for r in range(self.rounds):
             grad = F.when(F.col("_y") > F.col("_f"), F.lit(self.tau)).otherwise(F.lit(self.tau - 1.0))
-            step = cur.withColumn("_g", grad)
+            step = cur.withMetadata("_x", meta).withColumn("_g", grad)
             tree = DecisionTreeRegressor(
                 featuresCol="_x", labelCol="_g", maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_rows_leaf, maxBins=self.max_bins, leafCol="_leaf",
+                minInstancesPerNode=self.min_rows_leaf, maxBins=bins, leafCol="_leaf",
                 seed=self.seed + r,
             ).fit(step)
-            leafed = tree.transform(step)
+            group = bounded_leaves(tree._java_obj.rootNode(), self.max_leaf_nodes)
+            # evaluated once: the leaf quantiles and the update both read this frame
+            leafed = tree.transform(step).select("_x", "_y", "_f", _at(group, "_leaf").cast("int").alias("_leaf"))
+            leafed = leafed.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(leafed)
             lv = leafed.groupBy("_leaf").agg(
                 F.percentile_approx(F.col("_y") - F.col("_f"), self.tau, self.accuracy).alias("q"),
                 F.count(F.lit(1)).alias("n"),
-            ).collect()  # one row per leaf: bounded by 2^max_depth
-            values = {row["_leaf"]: self.learning_rate * row["q"] * row["n"] / (row["n"] + self.l2)
-                      for row in lv}
-            self.trees.append((tree, values))
-            cur = leafed.select("id", "_x", "_y", (F.col("_f") + self._leaf_map(values)[F.col("_leaf")]).alias("_f"))
+            ).collect()  # one row per leaf: bounded by max_leaf_nodes
+            values = [0.0] * (max(group) + 1)
+            for row in lv:
+                values[row["_leaf"]] = self.learning_rate * row["q"] * row["n"] / (row["n"] + self.l2)
+            self.trees.append((tree, [values[g] for g in group]))
+            cur = leafed.select("_x", "_y", (F.col("_f") + _at(values, "_leaf")).alias("_f"))
             if (r + 1) % self.checkpoint_every == 0:
                 cur = cut_lineage(cur)  # reliable copy in the checkpoint folder
-            else:
-                # the next tree makes several passes over this frame: keep it instead of
-                # recomputing the previous trees' transforms for every pass
-                cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-                cached.append(cur)
             while len(cached) > 2:
                 cached.pop(0).unpersist()
         for c in cached:
             c.unpersist()
         return self
 
-    predict_plan_rounds: int = 50
-
     def predict(self, df: DataFrame, out: str = "q") -> DataFrame:
-        """Add column ``out``. Rounds are narrow projections (one stage); the plan is cut only
-        every ``predict_plan_rounds`` rounds to bound its size."""
-        cur = assemble(df, self.features, "_x").withColumn(out, F.lit(self.init_))
-        for r, (tree, values) in enumerate(self.trees):
+        """Add column ``out``: a lazy chain of narrow projections, so it also runs on a stream."""
+        cur = assemble(df, self.features, "_x", self.nominal).withColumn(out, F.lit(self.init_))
+        for tree, values in self.trees:
             t = tree.copy().setLeafCol("_leaf").setPredictionCol("_p")
-            cur = t.transform(cur)
-            cur = cur.withColumn(out, F.col(out) + self._leaf_map(values)[F.col("_leaf")]).drop("_leaf", "_p")
-            if (r + 1) % self.predict_plan_rounds == 0 and r + 1 < len(self.trees):
-                cur = cut_lineage(cur)
+            cur = t.transform(cur).withColumn(out, F.col(out) + _at(values, "_leaf")).drop("_leaf", "_p")
         return cur.drop("_x")
 
 
+def _at(values: Sequence, index: str):
+    """Element of a literal array: one look-up, whatever its length."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col(index).cast("int"))
+
+
+#: FIXED VALUES: the grid that ``QuantileBoostInterval(grid=True)`` searches for each quantile
+BOOST_GRID = {"l2": [0.0, 1.0, 2.0], "learning_rate": [0.15, 0.2]}
+
+
 @dataclass
 class QuantileBoostInterval:
     """Three boosters fitted as concurrent Spark jobs (``parallelism`` driver threads, as
-    ``CrossValidator(parallelism=...)`` does), then conformalized on the calibration part."""
+    ``CrossValidator(parallelism=...)`` does), then conformalized on the calibration part.
+
+    The boosters share one copy of the vectors. With ``grid`` every quantile first searches
+    ``BOOST_GRID`` by cross-validated d2 pinball score over ``grid_folds`` folds of the key hash and is
+    refitted with its best point (kept in ``best_``).
+    """
 
     features: Sequence[str]
     label: str = "target"
     coverage: float = 0.9
     params: dict = field(default_factory=dict)
     parallelism: int = 3
+    nominal: Mapping[str, int] | None = None
+    grid: bool = False
+    grid_folds: int = 3
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "QuantileBoostInterval":
         lo_t, hi_t = (1 - self.coverage) / 2, self.coverage + (1 - self.coverage) / 2
-        boosters = [QuantileBooster(self.features, t, self.label, **self.params) for t in (lo_t, 0.5, hi_t)]
+        taus = (lo_t, 0.5, hi_t)
+        self.best_ = [dict(self.params) for _ in taus]
+        if self.grid:
+            from bandwise.plans.tuning import grid_search
+
+            for i, t in enumerate(taus):
+                _, best = grid_search(fit_df.sparkSession, fit_df, self.features, t, self.grid_folds, self.label, base=self.params, nominal=self.nominal)
+                self.best_[i] = best
+        boosters = [QuantileBooster(self.features, t, self.label, nominal=self.nominal, **p) for t, p in zip(taus, self.best_)]
+        vectors = boosters[0].vectors(fit_df)
         with ThreadPoolExecutor(max_workers=max(1, self.parallelism)) as pool:
-            fitted = list(pool.map(lambda b: b.fit(fit_df), boosters))
+            fitted = list(pool.map(lambda b: b.fit(fit_df, vectors), boosters))
         self.lower_, self.median_, self.upper_ = fitted
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         scores = conformity_scores(raw, self.label, "lower", "upper")

@@ -6,9 +6,10 @@ Learners take a prepared frame ``(id, features..., target)`` and return models w
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,9 +51,18 @@ def learning_table(spark: SparkSession, sf_dir: str, target_scale: float = 20.0)
     )
 
 
-def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Feature vector for Spark ML estimators (only at the estimator boundary)."""
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
+def assemble(df: DataFrame, cols: Sequence[str], out: str = "features", nominal: Mapping[str, int] | None = None) -> DataFrame:
+    """Feature vector for Spark ML estimators (only at the estimator boundary).
+
+    ``nominal`` names columns that hold category numbers ``0 .. n-1`` with their n: trees split
+    these by subsets of categories, not by order.
+    """
+    d = VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
+    if not nominal:
+        return d
+    attrs = {"numeric": [{"idx": i, "name": c} for i, c in enumerate(cols) if c not in nominal],
+             "nominal": [{"idx": i, "name": c, "vals": [str(v) for v in range(nominal[c])]} for i, c in enumerate(cols) if c in nominal]}
+    return d.withMetadata(out, {"ml_attr": {"attrs": attrs, "num_attrs": len(cols)}})
 
 
 def tree_ready_fit(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> dict:
@@ -83,10 +93,27 @@ def linear(cols: Sequence[str], w: Sequence[float], b: float):
     return e
 
 
-def agg_vector(df: DataFrame, exprs: Sequence) -> np.ndarray:
-    """Evaluate a list of aggregate expressions in one pass and return them as a vector."""
-    row = df.agg(*[e.alias(f"_a{i}") for i, e in enumerate(exprs)]).first()
-    return np.array([row[f"_a{i}"] for i in range(len(exprs))], dtype=float)
+def matrix_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of ``fn(rows)``, a vector for a matrix of rows of ``cols`` (missing is NaN).
+
+    Arrow batches and NumPy products give one partial vector per task; a grouped sum merges them, so
+    the plan is the same in every step of an iterative fit and nothing is compiled anew.
+    """
+    def part(frames):
+        total = None
+        for f in frames:
+            if len(f):
+                v = np.asarray(fn(f.to_numpy(float)), float)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"cell": np.arange(len(total), dtype=np.int64), "v": total})
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    cells = rows.mapInPandas(part, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(cells))
+    for r in cells:
+        out[r["cell"]] = r["v"]
+    return out
 
 
 def adam(theta: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], steps: int, lr: float = 0.05,

@@ -2,10 +2,9 @@
 
 Three linear heads with ``monotone_heads`` (lower <= median <= upper by construction), warm
 started from the target quantiles, then full-batch steps on the EIM loss
-``k_b * (upper - lower) + |y - median|``. Per step, the expansion factor k_b is the mean of the
-expansion ratios lying between their (alpha - delta) and (alpha + delta) quantiles
-(``percentile_approx``, bounded memory), then one aggregate sums the gradient times features
-(k_b held fixed within the step). Bounds are calibrated on the transformed scale and mapped
+``k_b * (upper - lower) + |y - median|``. Per step, one pass of matrix partial sums gives the
+gradient and the expansion factor k_b, the mean of the expansion ratios lying between their
+(alpha - delta) and (alpha + delta) quantiles (k_b held fixed within the step). Bounds are calibrated on the transformed scale and mapped
 back with softplus x scale.
 """
 
@@ -18,11 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.scalars import sigmoid, softplus
-from bandwise.learners.common import adam, agg_vector, linear
+from bandwise.functions.scalars import softplus
+from bandwise.learners.common import adam, matrix_sums
 from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
 from bandwise.session import cut_lineage
 
+GRID = 4096                                # bins of the expansion ratio between exp(LOW) and exp(HIGH)
+LOW, HIGH = float(np.log(1e-4)), float(np.log(1e4))
+
 
 def _sp_inv(x: float) -> float:
     return float(np.log(np.expm1(max(x, 1e-6))))
@@ -34,7 +36,7 @@ class EIMRegression:
     label: str = "target"
     coverage: float = 0.9
     delta: float = 0.03
-    steps: int = 40
+    steps: int = 150
     lr: float = 0.02
     scale: float = 1000.0
     accuracy: int = 10000
@@ -56,60 +58,49 @@ class EIMRegression:
         upper = median + softplus(c)
         return x, a, b, c, lower, median, upper
 
-    def _staged(self, base: DataFrame, xs, theta) -> DataFrame:
-        """Heads as projected columns: a, b, c, lower, median, upper (small plans per step)."""
-        p = len(xs)
-        blocks = [theta[h * (p + 1):(h + 1) * (p + 1)] for h in range(3)]
-        h = base.select(*xs, "_y", *[linear(xs, bl[:p], bl[p]).alias(n) for n, bl in zip("abc", blocks)])
-        h = h.select(*xs, "_y", "a", "b", "c", softplus("b").alias("spb"), softplus("c").alias("spc"))
-        return h.select(*xs, "_y", "a", "b", "c", F.col("a").alias("lo"), (F.col("a") + F.col("spb")).alias("med"),
-                        (F.col("a") + F.col("spb") + F.col("spc")).alias("up"))
-
-    def _e(self):
-        return F.abs((F.col("up") + F.col("lo") - F.lit(2.0) * F.col("_y")) / (F.col("up") - F.col("lo")))
-
-    def _grad(self, df: DataFrame, n: float):
-        """Two jobs per step: the expansion-ratio cuts (sketch), then one aggregate holding the
-        trimmed mean k_b and the gradient parts. The gradient is linear in k_b
-        (d/db = (k_b - sign) * sigmoid(b), d/dc = k_b * sigmoid(c)), so its parts are summed
-        without k_b and combined on the driver."""
+    def gradient(self, df: DataFrame, theta: np.ndarray) -> np.ndarray:
+        """Mean gradient over all rows in one pass.
+
+        The gradient is linear in k_b (d/db = (k_b - sign) * sigmoid(b), d/dc = k_b * sigmoid(c)),
+        so its parts are summed without k_b. The same pass counts and sums the expansion ratios in
+        ``GRID`` logarithmic bins, from which the trimmed mean k_b follows to the width of a bin.
+        """
         p = len(self.features)
-        xs = [f"_x{j}" for j in range(p)]
-        base = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x)
-                           for c, x in zip(self.features, xs)], F.col(self.label).alias("_y"))
-
-        def grad(theta):
-            st = self._staged(base, xs, theta).withColumn("_e", self._e())
-            q = st.agg(F.percentile_approx("_e", [self.coverage - self.delta, self.coverage + self.delta],
-                                           self.accuracy).alias("q")).first()["q"]
-            g = st.select(*xs, "_e", F.signum(F.col("_y") - F.col("med")).alias("sgn"),
-                          sigmoid("b").alias("sb"), sigmoid("c").alias("sc"))
-            keep = (F.col("_e") >= F.lit(q[0])) & (F.col("_e") <= F.lit(q[1]))
-            ones = [F.col(x) for x in xs] + [F.lit(1.0)]
-            exprs = [F.sum(F.when(keep, F.col("_e"))), F.sum(keep.cast("double"))]
-            exprs += [F.sum(-F.col("sgn") * x) for x in ones]
-            exprs += [F.sum(F.col("sb") * x) for x in ones]
-            exprs += [F.sum(F.col("sgn") * F.col("sb") * x) for x in ones]
-            exprs += [F.sum(F.col("sc") * x) for x in ones]
-            v = agg_vector(g, exprs)
-            kb = v[0] / v[1]
-            m = p + 1
-            g0, sb, ssb, sc = v[2:2 + m], v[2 + m:2 + 2 * m], v[2 + 2 * m:2 + 3 * m], v[2 + 3 * m:2 + 4 * m]
-            return np.concatenate([g0, kb * sb - ssb, kb * sc]) / n
-        return grad
+
+        def part(rows):
+            x = np.column_stack([np.nan_to_num(rows[:, :p], nan=0.0), np.ones(len(rows))])
+            y = rows[:, p]
+            a, b, c = (x @ theta.reshape(3, p + 1).T).T
+            med = a + np.logaddexp(0, b)
+            up = med + np.logaddexp(0, c)
+            gate = lambda v: 1.0 / (1.0 + np.exp(-np.clip(v, -500, 500)))
+            e = np.abs((up + a - 2 * y) / np.maximum(up - a, 1e-300))
+            at = np.clip((np.log(np.maximum(e, 1e-300)) - LOW) / (HIGH - LOW) * GRID, 0, GRID - 1).astype(int)
+            sgn = np.sign(y - med)
+            return np.concatenate([
+                [len(rows)], np.bincount(at, minlength=GRID), np.bincount(at, e, GRID),
+                -sgn @ x, gate(b) @ x, (sgn * gate(b)) @ x, gate(c) @ x])
+
+        total = matrix_sums(df, [*self.features, self.label], part)
+        n, count, sums = total[0], total[1:1 + GRID], total[1 + GRID:1 + 2 * GRID]
+        g0, sb, ssb, sc = total[1 + 2 * GRID:].reshape(4, p + 1)
+        upto = np.cumsum(count)
+        lo, hi = (int(np.searchsorted(upto, np.rint((n - 1) * f) + 1)) for f in (self.coverage - self.delta, self.coverage + self.delta))
+        kb = sums[lo:hi + 1].sum() / count[lo:hi + 1].sum()
+        return np.concatenate([g0, kb * sb - ssb, kb * sc]) / n
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "EIMRegression":
         data = cut_lineage(fit_df.select(*self.features, self.label).filter(F.col(self.label).isNotNull()))
         lo_t, hi_t = (1 - self.coverage) / 2, self.coverage + (1 - self.coverage) / 2
-        st = data.agg(F.count(F.lit(1)).alias("n"),
-                      F.percentile_approx(self.label, [lo_t, 0.5, hi_t], self.accuracy).alias("q")).first()
+        st = data.agg(F.percentile_approx(self.label, [lo_t, 0.5, hi_t], self.accuracy).alias("q")).first()
         q05, q50, q95 = st["q"]
         p = len(self.features)
         theta = np.zeros(3 * (p + 1))
         theta[p] = q05
         theta[2 * (p + 1) - 1] = _sp_inv(q50 - q05)
         theta[3 * (p + 1) - 1] = _sp_inv(q95 - q50)
-        self.theta = adam(theta, self._grad(data, float(st["n"])), self.steps, self.lr)
+        self.start_ = theta.copy()
+        self.theta = adam(theta, lambda th: self.gradient(data, th), self.steps, self.lr)
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         s = conformity_scores(raw, self.label, "lower_t", "upper_t")
         self.qhat_ = scalar_qhat(conformal_fit(s, [], self.coverage, "score", ["id"]))

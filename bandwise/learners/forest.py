@@ -3,14 +3,12 @@
 ``RandomForestRegressor`` gives the mean; the band is ``mid -/+ qhat`` where qhat is the
 conformal order statistic of |y - mid| on the calibration part (``conformal_abs_residual``),
 which is what a symmetric calibration of any constant-width band reduces to.
-Optional leaf quantiles: the forest's ``leafCol`` gives per-tree leaf ids that can key a grouped
-quantile table (see ``leaf_quantiles``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -30,20 +28,22 @@ class ForestInterval:
     min_rows_leaf: int = 20
     subsampling: float = 1.0
     seed: int = 0
+    max_bins: int = 32
+    nominal: Mapping[str, int] | None = None
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "ForestInterval":
-        data = assemble(fit_df.select(*self.features, self.label), self.features, "_x")
+        data = assemble(fit_df.select(*self.features, self.label), self.features, "_x", self.nominal)
         self.model_ = RandomForestRegressor(
             featuresCol="_x", labelCol=self.label, predictionCol="mid", numTrees=self.num_trees,
             maxDepth=self.max_depth, minInstancesPerNode=self.min_rows_leaf,
-            subsamplingRate=self.subsampling, seed=self.seed,
+            subsamplingRate=self.subsampling, seed=self.seed, maxBins=max([self.max_bins, *(self.nominal or {}).values()]),
         ).fit(data)
         cal = self._mid(cal_df.select("id", *self.features, self.label))
         self.qhat_ = scalar_qhat(conformal_abs_residual(cal, [], self.coverage, self.label, "mid", ["id"]))
         return self
 
     def _mid(self, df: DataFrame) -> DataFrame:
-        return self.model_.transform(assemble(df, self.features, "_x")).drop("_x")
+        return self.model_.transform(assemble(df, self.features, "_x", self.nominal)).drop("_x")
 
     def transform(self, df: DataFrame) -> DataFrame:
         d = self._mid(df)

@@ -2,9 +2,9 @@
 (``ridge_interval``, ``gaussian_interval``; SURVEY 2.12).
 
 Pass 1: per-partition Gram sums of [X, y] (Arrow batches, NumPy ``X^T X``), reduced with a
-``groupBy`` over matrix cells. Driver: centre (the intercept is not penalised) and solve for every
-penalty. Pass 2: per-partition leave-one-out residuals ``r / (1 - h)`` for every penalty, reduced
-the same way. The penalty with the smallest leave-one-out MSE wins; the interval half-width is
+``groupBy`` over matrix cells. Driver: centre (the intercept is not penalised) and take one
+eigendecomposition for all penalties. Pass 2: per-partition leave-one-out residuals ``r / (1 - h)``
+for every penalty, reduced the same way. The penalty with the smallest leave-one-out MSE wins; the interval half-width is
 ``z * sqrt(that MSE)``.
 """
 
@@ -13,34 +13,24 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import normal_ppf
-from bandwise.learners.common import linear
+from bandwise.learners.common import linear, matrix_sums
 
 DEFAULT_ALPHAS = [10 ** (-3 + 3 * i / 19) for i in range(20)]  # 10^linspace(-3, 0, 20)
 
 
 def gram(df: DataFrame, cols: Sequence[str], y: str) -> tuple[np.ndarray, float]:
     """Sum over rows of z z^T with z = [x..., y, 1]; returns the (p+2)x(p+2) matrix and n."""
-    cols = list(cols)
     k = len(cols) + 2
 
-    def part(it):
-        acc = np.zeros((k, k))
-        for pdf in it:
-            z = np.column_stack([pdf[cols].to_numpy(float), pdf[y].to_numpy(float), np.ones(len(pdf))])
-            acc += z.T @ z
-        yield pd.DataFrame({"cell": np.arange(k * k, dtype=np.int64), "v": acc.ravel()})
-
-    cells = (df.select(*cols, y).mapInPandas(part, "cell long, v double")
-             .groupBy("cell").agg(F.sum("v").alias("v")).collect())
-    m = np.zeros(k * k)
-    for r in cells:
-        m[r["cell"]] = r["v"]
-    m = m.reshape(k, k)
+    def part(z):
+        z = np.column_stack([z, np.ones(len(z))])
+        return (z.T @ z).ravel()
+
+    m = matrix_sums(df, [*cols, y], part).reshape(k, k)
     return m, m[-1, -1]
 
 
@@ -58,41 +48,29 @@ class RidgeInterval:
         mx, my = sx / n, sy / n
         Sxx = G[:p, :p] - n * np.outer(mx, mx)
         Sxy = G[:p, p] - n * mx * my
-        sols = []
-        for a in self.alphas:
-            A_inv = np.linalg.inv(Sxx + a * np.eye(p))
-            sols.append((A_inv, A_inv @ Sxy))
+        lam, Q = np.linalg.eigh(Sxx)  # Sxx + a I = Q (lam + a) Q^T for every penalty at once
+        inverse = 1.0 / (lam[:, None] + np.asarray(self.alphas)[None, :])
+        coefs = inverse * (Q.T @ Sxy)[:, None]
         self.mx, self.my = mx, my
-        loo = self._loo_mse(df, sols, n)
+        loo = self._loo_mse(df, Q, inverse, coefs, n)
         best = int(np.argmin(loo))
         self.alpha_, self.loo_mse_ = self.alphas[best], float(loo[best])
-        self.coef_ = sols[best][1]
+        self.coef_ = Q @ coefs[:, best]
         self.intercept_ = float(my - mx @ self.coef_)
         self.rmse_ = float(np.sqrt(self.loo_mse_))
         return self
 
-    def _loo_mse(self, df: DataFrame, sols, n: float) -> np.ndarray:
-        cols, label, mx, my = self.features, self.label, self.mx, self.my
-        mats = [(A, b) for A, b in sols]
-        m = len(mats)
-
-        def part(it):
-            sse = np.zeros(m)
-            for pdf in it:
-                Xc = pdf[cols].to_numpy(float) - mx
-                yc = pdf[label].to_numpy(float) - my
-                for i, (A, b) in enumerate(mats):
-                    h = np.einsum("ij,jk,ik->i", Xc, A, Xc) + 1.0 / n
-                    r = yc - Xc @ b
-                    sse[i] += np.sum((r / (1.0 - h)) ** 2)
-            yield pd.DataFrame({"k": np.arange(m, dtype=np.int64), "sse": sse})
-
-        rows = (df.select(*cols, label).mapInPandas(part, "k long, sse double")
-                .groupBy("k").agg(F.sum("sse").alias("sse")).collect())
-        out = np.zeros(m)
-        for r in rows:
-            out[r["k"]] = r["sse"] / n
-        return out
+    def _loo_mse(self, df: DataFrame, Q, inverse, coefs, n: float) -> np.ndarray:
+        """Leave-one-out MSE of every penalty from one pass: in the eigenbasis a row's leverage is a
+        weighted sum of its squared coordinates, so one product serves all penalties."""
+        mx, my = self.mx, self.my
+
+        def part(z):
+            c = (z[:, :-1] - mx) @ Q
+            h = (c * c) @ inverse + 1.0 / n
+            return (((z[:, -1:] - my - c @ coefs) / (1.0 - h)) ** 2).sum(0)
+
+        return matrix_sums(df, [*self.features, self.label], part) / n
 
     def transform(self, df: DataFrame, back=None) -> DataFrame:
         """Add ``mid``, ``lower``, ``upper``; ``back`` maps target units to output units."""

@@ -2,13 +2,13 @@
 (``em_mixture_missing``, ``expected_relu_features``; SURVEY 2.12), re-aimed to full-data EM.
 
 E-step: per row and component, log weight + masked normal log-density (missing terms add 0),
-softmax across components: row-local columns. M-step: one aggregate of, per component,
+softmax across components. M-step: one pass of matrix partial sums of, per component,
 sum r, and per (component, column) sum r*x~, sum r*x~^2 and sum r*[x missing], where x~ is x or
-the current component mean when x is missing. Means and variances follow the in-fill rule
+the current component mean when x is missing (null or NaN). Means and variances follow the in-fill rule
 (variance of a missing entry adds the component's current variance) plus ``gamma``, and are kept
 as running averages over iterations. Mixture weights are the mean responsibilities (used as log
-weights in the E-step). Each iteration is one aggregate, which also yields the log-likelihood of
-the parameters it started from.
+weights in the E-step). Each iteration is one pass, which also yields the log-likelihood of the
+parameters it started from.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.distributions import expected_relu, softmax_weights
-from bandwise.learners.common import agg_vector
+from bandwise.functions.distributions import AS_A, AS_P, expected_relu, softmax_weights
+from bandwise.learners.common import matrix_sums
 from bandwise.session import cut_lineage
 
 
@@ -31,7 +32,7 @@ class MissingMixture:
     cols: Sequence[str]
     k: int = 3
     gamma: float = 1e-5
-    iterations: int = 10
+    iterations: int = 20
     accuracy: int = 1000
     means: np.ndarray = field(default=None, repr=False)   # k x p
     vars: np.ndarray = field(default=None, repr=False)    # k x p
@@ -74,58 +75,120 @@ class MissingMixture:
         self.vars = np.array([[max(row[f"v{j}"] or 1.0, 1e-6)] * self.k for j in range(p)], dtype=float).T
         self.weights = np.full(self.k, 1.0 / self.k)
 
+    def _sums(self, df: DataFrame) -> tuple:
+        """Row count, log-likelihood, and per component: sum r, sum r x~, sum r x~^2, sum r [missing]."""
+        k, p = self.k, len(self.cols)
+        means, vars_, logw = self.means, self.vars, np.log(np.maximum(self.weights, 1e-300))
+
+        def part(x):
+            gone = np.isnan(x)
+            out, terms, filled = [], np.empty((len(x), k)), []
+            for c in range(k):
+                xt = np.where(gone, means[c], x)
+                ll = -((xt - means[c]) ** 2) / vars_[c] / 2 - np.log(2 * np.pi * vars_[c]) / 2
+                terms[:, c] = logw[c] + np.where(gone, 0.0, ll).sum(1)
+                filled.append(xt)
+            top = terms.max(1, keepdims=True)
+            e = np.exp(terms - top)
+            r = e / e.sum(1, keepdims=True)
+            out = [[len(x), (top[:, 0] + np.log(e.sum(1))).sum()], r.sum(0)]
+            out += [np.concatenate([r[:, c] @ filled[c], r[:, c] @ filled[c] ** 2, r[:, c] @ gone]) for c in range(k)]
+            return np.concatenate(out)
+
+        v = matrix_sums(df, self.cols, part)
+        s = v[2 + k:].reshape(k, 3, p)
+        return v[0], v[1] / v[0], v[2:2 + k], s[:, 0], s[:, 1], s[:, 2]
+
     def fit(self, df: DataFrame) -> "MissingMixture":
-        data = cut_lineage(df.select(*self.cols))
+        data = cut_lineage(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in self.cols]))
         if self.means is None:
             self.init(data)
-        p = len(self.cols)
         for it in range(1, self.iterations + 1):
-            # E-step as projected columns r0..r(k-1); the M-step sums read them by name
-            terms = self._loglik_terms(self.means, self.vars, self.weights)
-            staged = data.select(*self.cols, *[rc.alias(f"_r{c}") for c, rc in enumerate(self.responsibilities())],
-                                 *[t.alias(f"_l{c}") for c, t in enumerate(terms)])
-            ltop = F.greatest(*[F.col(f"_l{c}") for c in range(self.k)]) if self.k > 1 else F.col("_l0")
-            lsum = None
-            for c in range(self.k):
-                e = F.exp(F.col(f"_l{c}") - ltop)
-                lsum = e if lsum is None else lsum + e
-            exprs = [F.avg(ltop + F.log(lsum))]  # log-likelihood of the current parameters
-            for c in range(self.k):
-                rc = F.col(f"_r{c}")
-                exprs.append(F.sum(rc))
-                for j, col in enumerate(self.cols):
-                    x = F.col(col).cast("double")
-                    xt = F.coalesce(x, F.lit(float(self.means[c, j])))
-                    exprs += [F.sum(rc * xt), F.sum(rc * xt * xt), F.sum(F.when(x.isNull(), rc).otherwise(0.0))]
-            exprs.append(F.count(F.lit(1)))
-            v = agg_vector(staged, exprs)
-            self.history.append(float(v[0]))
-            v = v[1:]
-            n = v[-1]
-            sr = np.zeros(self.k)
-            s1 = np.zeros((self.k, p))
-            s2 = np.zeros((self.k, p))
-            sm = np.zeros((self.k, p))
-            pos = 0
-            for c in range(self.k):
-                sr[c] = v[pos]
-                pos += 1
-                for j in range(p):
-                    s1[c, j], s2[c, j], sm[c, j] = v[pos], v[pos + 1], v[pos + 2]
-                    pos += 3
-            w_batch = sr / n
-            m_batch = s1 / sr[:, None]
-            new_means = ((it - 1) * self.means + m_batch) / it
-            dev = (s2 - 2 * new_means * s1 + new_means ** 2 * sr[:, None]) / sr[:, None]
-            miss = sm * self.vars / sr[:, None]
-            v_batch = dev + miss + self.gamma
+            n, ll, sr, s1, s2, sm = self._sums(data)
+            self.history.append(float(ll))  # of the parameters the iteration started from
+            sr_ = np.maximum(sr, 1e-300)[:, None]
+            new_means = ((it - 1) * self.means + s1 / sr_) / it
+            dev = (s2 - 2 * new_means * s1 + new_means ** 2 * sr[:, None]) / sr_
+            v_batch = dev + sm * self.vars / sr_ + self.gamma
             self.vars = ((it - 1) * self.vars + v_batch) / it
             self.means = new_means
-            self.weights = ((it - 1) * self.weights + w_batch) / it
-        self.history.append(self.log_likelihood(data))  # after the last update
+            self.weights = ((it - 1) * self.weights + sr / n) / it
+        self.history.append(float(self._sums(data)[1]))  # after the last update
         return self
 
 
+@dataclass
+class MixtureLayer:
+    """A hidden layer that integrates missing inputs out: features for any learner.
+
+    A ``MissingMixture`` is fitted to the standardised inputs; each of ``units`` fixed random ReLU units
+    contributes its expectation under the mixture given the observed inputs, and every input its
+    expected value. Complete rows give the plain units and inputs. Applied by one Arrow UDF over the
+    array of inputs, so all other columns stay as they are.
+    """
+
+    cols: Sequence[str]
+    units: int = 16
+    k: int = 3
+    iterations: int = 20
+    seed: int = 0
+
+    def fit(self, df: DataFrame) -> "MixtureLayer":
+        x = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in self.cols]
+        st = df.select(*x).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(self.cols)],
+                               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(self.cols)]).first()
+        self.mean_ = np.array([st[f"m{i}"] or 0.0 for i in range(len(self.cols))])
+        self.sd_ = np.array([st[f"s{i}"] or 1.0 for i in range(len(self.cols))])
+        scaled = df.select(*[((c - F.lit(float(m))) / F.lit(float(s))).alias(n)
+                             for n, c, m, s in zip(self.cols, [F.col(c).cast("double") for c in self.cols], self.mean_, self.sd_)])
+        self.mix_ = MissingMixture(list(self.cols), self.k, iterations=self.iterations).fit(scaled)
+        rng = np.random.default_rng(self.seed)
+        self.W_ = rng.standard_normal((len(self.cols), self.units)) / np.sqrt(len(self.cols))
+        self.b_ = rng.standard_normal(self.units) * 0.5
+        return self
+
+    def features(self) -> list[str]:
+        return [f"_h{u}" for u in range(self.units)] + [f"_e{j}" for j in range(len(self.cols))]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        mean, sd, W, b = self.mean_, self.sd_, self.W_, self.b_
+        mu, var, logw = self.mix_.means, self.mix_.vars, np.log(np.maximum(self.mix_.weights, 1e-300))
+
+        @F.pandas_udf("array<double>")
+        def layer(rows: pd.Series) -> pd.Series:
+            x = (np.array(rows.tolist(), float).reshape(len(rows), len(mean)) - mean) / sd
+            gone = np.isnan(x)
+            terms = np.stack([logw[c] + np.where(gone, 0.0, -((np.where(gone, mu[c], x) - mu[c]) ** 2) / var[c] / 2 - np.log(2 * np.pi * var[c]) / 2).sum(1)
+                              for c in range(len(mu))], 1)
+            r = np.exp(terms - terms.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+            out = np.zeros((len(x), W.shape[1] + x.shape[1]))
+            for c in range(len(mu)):
+                filled = np.where(gone, mu[c], x)
+                hidden = _expected_relu(filled @ W + b, (gone * var[c]) @ (W * W))
+                out += r[:, c:c + 1] * np.concatenate([hidden, filled], 1)
+            return pd.Series(list(out))
+
+        d = df.withColumn("_layer", layer(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.cols])))
+        return d.withColumns({n: F.get("_layer", F.lit(i)) for i, n in enumerate(self.features())}).drop("_layer")
+
+
+def _ndtr(z: np.ndarray) -> np.ndarray:
+    """Standard normal distribution function, by the approximation that ``distributions.erf`` uses."""
+    x = np.abs(z) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + AS_P * x)
+    tail = t * np.polyval(AS_A[::-1], t) * np.exp(-np.minimum(x * x, 700.0)) / 2
+    return np.where(z < 0, tail, 1.0 - tail)
+
+
+def _expected_relu(mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """E max(0, N(mean, var)); where var is 0 it is max(0, mean)."""
+    sd = np.sqrt(np.maximum(var, 1e-300))
+    z = mean / sd
+    out = mean * _ndtr(z) + sd * np.exp(-np.minimum(z * z, 1400) / 2) / np.sqrt(2 * np.pi)
+    return np.where(var > 0, out, np.maximum(mean, 0.0))
+
+
 def expected_relu_features(mix: MissingMixture, W: np.ndarray, b: np.ndarray, prefix: str = "h") -> list[Column]:
     """Per output unit u: sum_k r_k * E[relu(layer_k,u)] where component k fills a missing input
     with its mean (variance = its variance) and an observed input with itself (variance 0)."""

@@ -1,9 +1,10 @@
 """SHASH distributional regression (``shash_regression``, ``sample_intervals``; SURVEY 2.12).
 
 Re-aimed: four linear heads (center, spread, skew, tail) squashed by ``shash_heads``, fitted by
-full-batch Adam on the SHASH negative log-likelihood. Every step is one aggregate that sums the
-analytic gradient times the features over all rows (partial sums per task, tiny final merge);
-the parameter vector lives on the driver. Intervals: the closed-form ``min_width_shift`` search,
+full-batch Adam on the SHASH negative log-likelihood. Every step is one pass of Arrow batches whose
+matrix products give the analytic gradient (partial sums per task, tiny final merge); the
+parameter vector lives on the driver. A missing feature counts as 0; ``IntervalModel`` replaces
+features with missing values by a ``MixtureLayer`` before. Intervals: the closed-form ``min_width_shift`` search,
 or draws -> back-transform -> HDI.
 
 Gradient of nll w.r.t. the distribution parameters (s = spread + 1e-3, z = (y - c)/(s t),
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import SPREAD_OFFSET, normal_draw, shash_nll, shash_quantile
 from bandwise.functions.scalars import sigmoid, softplus
-from bandwise.learners.common import adam, agg_vector, linear
+from bandwise.learners.common import adam, matrix_sums
 from bandwise.operators.orderstats import min_width_shift, with_hdi
 from bandwise.session import cut_lineage
 
@@ -32,7 +33,7 @@ from bandwise.session import cut_lineage
 class ShashRegression:
     features: Sequence[str]
     label: str = "target"
-    steps: int = 60
+    steps: int = 150
     lr: float = 0.05
     fit_tail: bool = True
     coverage: float = 0.9
@@ -55,42 +56,29 @@ class ShashRegression:
         tail = (F.lit(0.95) + F.lit(0.1) * sig_t) if self.fit_tail else F.lit(1.0)
         return x, a_c, sig_s, sig_k - F.lit(0.5), tail, sig_s, sig_k, sig_t
 
-    def _grad(self, df: DataFrame, n: float):
-        p = len(self.features)
-        xs = [f"_x{j}" for j in range(p)]
-        # features projected once (nulls as 0), so every step's plan stays small
-        base = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x)
-                           for c, x in zip(self.features, xs)], F.col(self.label).alias("_y"))
-
-        def grad(theta):
-            blocks = [theta[h * (p + 1):(h + 1) * (p + 1)] for h in range(4)]
-            heads = base.select(*xs, "_y", *[linear(xs, b[:p], b[p]).alias(f"_a{h}") for h, b in enumerate(blocks)])
-            sig = heads.select(*xs, "_y", F.col("_a0").alias("c"),
-                               sigmoid("_a1").alias("ss"), sigmoid("_a2").alias("sk"), sigmoid("_a3").alias("st"))
-            tail = (F.lit(0.95) + F.lit(0.1) * F.col("st")) if self.fit_tail else F.lit(1.0)
-            d1 = sig.select(*xs, "ss", "sk", "st", (F.col("ss") + F.lit(SPREAD_OFFSET)).alias("s"),
-                            tail.alias("t"), F.col("_y"), F.col("c"))
-            d2 = d1.select(*xs, "ss", "sk", "st", "s", "t",
-                           ((F.col("_y") - F.col("c")) / (F.col("s") * F.col("t"))).alias("z"))
-            d3 = d2.select(*xs, "ss", "sk", "st", "s", "t", "z", F.asinh("z").alias("A"))
-            w = F.col("t") * F.col("A") - (F.col("sk") - F.lit(0.5))
-            d4 = d3.select(*xs, "ss", "sk", "st", "s", "t", "z", "A", F.sinh(w).alias("sh_w"), F.cosh(w).alias("ch_w"))
-            S_, C_, z, t, s_, A = (F.col(c) for c in ("sh_w", "ch_w", "z", "t", "s", "A"))
-            d5 = d4.select(*xs, "ss", "sk", "st", "s", "t", "z", "A", "ch_w",
-                           (S_ * S_ * S_ / (F.lit(1.0) + S_ * S_)).alias("D"))
-            D = F.col("D")
-            d6 = d5.select(*xs, "ss", "sk", "st", "s", "t", "z", "A", "ch_w", "D",
-                           (D * C_ * t / F.sqrt(F.lit(1.0) + z * z) + z / (F.lit(1.0) + z * z)).alias("Gz"))
-            Gz, ss, sk, st = F.col("Gz"), F.col("ss"), F.col("sk"), F.col("st")
-            g_t = ((-Gz * z / t + D * C_ * A) * F.lit(0.1) * st * (F.lit(1.0) - st)) if self.fit_tail else F.lit(0.0)
-            g = d6.select(*xs, (-Gz / (s_ * t)).alias("g0"),
-                          ((-Gz * z / s_ + F.lit(1.0) / s_) * ss * (F.lit(1.0) - ss)).alias("g1"),
-                          ((-D * C_) * sk * (F.lit(1.0) - sk)).alias("g2"), g_t.alias("g3"))
-            exprs = []
-            for h in range(4):
-                exprs += [F.sum(F.col(f"g{h}") * F.col(x)) for x in xs] + [F.sum(f"g{h}")]
-            return agg_vector(g, exprs) / n
-        return grad
+    def gradient(self, df: DataFrame, theta: np.ndarray) -> np.ndarray:
+        """Mean gradient of the loss over all rows, in one pass (see the module's formulas)."""
+        p, fit_tail = len(self.features), self.fit_tail
+
+        def part(rows):
+            x = np.column_stack([np.nan_to_num(rows[:, :p], nan=0.0), np.ones(len(rows))])
+            a = x @ theta.reshape(4, p + 1).T
+            gate = 1.0 / (1.0 + np.exp(-np.clip(a[:, 1:], -500, 500)))
+            s, k = gate[:, 0] + SPREAD_OFFSET, gate[:, 1] - 0.5
+            t = 0.95 + 0.1 * gate[:, 2] if fit_tail else np.ones(len(rows))
+            z = (rows[:, p] - a[:, 0]) / (s * t)
+            A = np.arcsinh(z)
+            w = t * A - k
+            S, C = np.sinh(w), np.cosh(w)
+            D = S ** 3 / (1 + S ** 2)
+            gz = D * C * t / np.sqrt(1 + z * z) + z / (1 + z * z)
+            slope = gate * (1 - gate)
+            g = np.column_stack([-gz / (s * t), (-gz * z / s + 1 / s) * slope[:, 0], -D * C * slope[:, 1],
+                                 (-gz * z / t + D * C * A) * 0.1 * slope[:, 2] * fit_tail])
+            return np.append((g.T @ x).ravel(), len(rows))
+
+        total = matrix_sums(df, [*self.features, self.label], part)
+        return total[:-1] / total[-1]
 
     def fit(self, df: DataFrame) -> "ShashRegression":
         data = cut_lineage(df.select(*self.features, self.label).filter(F.col(self.label).isNotNull()))
@@ -101,7 +89,8 @@ class ShashRegression:
         theta[p] = st["m"]
         sd = min(max(st["s"], 1e-3), 0.99)
         theta[2 * (p + 1) - 1] = np.log(sd / (1 - sd))  # spread = sigmoid(b) starts at the sd
-        self.theta = adam(theta, self._grad(data, float(st["n"])), self.steps, self.lr)
+        self.start_ = theta.copy()
+        self.theta = adam(theta, lambda th: self.gradient(data, th), self.steps, self.lr)
         return self
 
     def loss(self, df: DataFrame) -> float:

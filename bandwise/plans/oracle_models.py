@@ -3,7 +3,6 @@ penalty (ties -> smallest), then the Gaussian interval with the normal quantile
 
 from __future__ import annotations
 
-from bandwise.functions.distributions import normal_ppf
 from bandwise.plans.queries_models import _ALPHAS
 from bandwise.registry import oracle
 
@@ -17,7 +16,7 @@ loo as (select fk.k, avg(power(((d.y - st.my) - fk.b * (d.x - st.mx))
                     / (1 - (1.0 / st.n + (d.x - st.mx) * (d.x - st.mx) / (st.sxx + fk.a))), 2)) as mse
         from d, st, fk group by fk.k),
 best as (select fk.b, loo.mse from loo join fk on loo.k = fk.k order by loo.mse, loo.k limit 1)"""
-_Z = repr(normal_ppf(0.95))
+_Z = "1.6448536269514722"  # the 95 % point of the standard normal
 oracle("ridge_interval", f"""
 select d.id, st.my + best.b * (d.x - st.mx) as mid,
        st.my + best.b * (d.x - st.mx) - {_Z} * sqrt(best.mse) as lower,
@@ -112,3 +111,21 @@ cq as (select score as qhat from (
        where r = least(n, cast(ceil((n + 1) * 0.9 - 1e-9) as bigint)))"""
 oracle("conformal_wrapper", "select id, mid - half - qhat as lower, mid, mid + half + qhat as upper from cp, cq",
        ["obs"], [_AL, _CW])
+
+
+# ------------------------------------------------------------------ one SHASH gradient from the fixed start
+_AT = [[0.02, -0.01, 0.6], [0.01, 0.02, -0.4], [0.03, -0.02, 0.1], [-0.02, 0.01, 0.2]]
+_HEAD = ", ".join(f"{w[0]} * a + {w[1]} * b + {w[2]} as h{i}" for i, w in enumerate(_AT))
+_G = f"""
+g0 as (select a, b, t, {_HEAD} from (select cast(m_end as double) as a, cast(grp % 10 as double) as b, y / 100 as t from obs) o),
+g1 as (select *, 1 / (1 + exp(-h1)) as ss, 1 / (1 + exp(-h2)) as sk, 1 / (1 + exp(-h3)) as st from g0),
+g2 as (select *, ss + 0.001 as s, sk - 0.5 as k, 0.95 + 0.1 * st as tail from g1),
+g3 as (select *, (t - h0) / (s * tail) as z from g2),
+g4 as (select *, sinh(tail * asinh(z) - k) as sh, cosh(tail * asinh(z) - k) as ch from g3),
+g5 as (select *, sh * sh * sh / (1 + sh * sh) as d from g4),
+g6 as (select *, d * ch * tail / sqrt(1 + z * z) + z / (1 + z * z) as gz from g5),
+g7 as (select a, b, [-gz / (s * tail), (-gz * z / s + 1 / s) * ss * (1 - ss), -d * ch * sk * (1 - sk),
+                     (-gz * z / tail + d * ch * asinh(z)) * 0.1 * st * (1 - st)] as g from g6)"""
+oracle("shash_gradient", " union all ".join(
+    f"select {h} as head, {j} as term, avg(g[{h + 1}] * {x}) as g from g7" for h in range(4) for j, x in enumerate(("a", "b", "1.0"))),
+    ["obs"], [_G])

@@ -114,7 +114,7 @@ class Preparer:
 
     def fit(self, df: DataFrame) -> "Preparer":
         sp, k = self.spec, self.kind
-        base = self._front(df)
+        base = cut_lineage(self._front(df))  # written once, read by every statistic below
         if k.impute:
             self.medians = PR.impute_median_fit(base, [c for c in sp.numeric], sp.key, exact=self.exact_medians)
             self.modes = PR.impute_mode_fit(base, sp.categorical, sp.key)
@@ -192,6 +192,12 @@ class Preparer:
             out = out.select(self.spec.key, *self.kept, *extra)
         return out
 
+    def levels(self) -> dict[str, int]:
+        """Number of fitted levels of each ordinally encoded column."""
+        if self.kind.encoding != "ordinal":
+            return {}
+        return {r["column"]: r["count"] for r in self.categories.groupBy("column").count().collect()}
+
     def feature_columns(self, df: DataFrame) -> list[str]:
         return [c for c in df.columns if c not in [self.spec.key, "target"] + self.passthrough]
 

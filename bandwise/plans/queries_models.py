@@ -1,9 +1,9 @@
 """Registered queries for learners and multi-step jobs.
 
 Learners train on the lineitem x orders regression table (grows with the scale factor). Their
-outputs depend on iterative fits, so the driver checks them rows-only; ``tests/`` holds the
-property checks (coverage, loss decrease, leakage). Settings are light so that the whole
-registry runs in minutes at sf0.01.
+outputs depend on iterative fits, so the driver checks them rows-only; ``tests/test_learners.py``
+holds property checks (coverage, loss decrease, leakage, missing values). Learners run with their
+own defaults; the tuning query states its number of boosting rounds below.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from bandwise.learners.shash import ShashRegression
 from bandwise.operators.folds import assign_fold
 from bandwise.operators.predictions import assemble_models
 from bandwise.plans import stacking as ST, tuning as TU, validation as VA
-from bandwise.plans.models import IntervalModel
+from bandwise.plans.models import Inputs, IntervalModel
 from bandwise.plans.prepare_kinds import Preparer, Spec
 from bandwise.registry import register
+from bandwise.session import cut_lineage
 from bandwise.sources import fixtures as FX
 
 COV = 0.9
+TUNE_ROUNDS = 10  # boosting rounds of a tuning candidate; ten points x three quantiles x folds are fitted
 
 
 def learning_spec() -> Spec:
@@ -35,7 +37,7 @@ def learning_spec() -> Spec:
 
 def _split(spark, sf):
     """Train = hash folds 1..4, test = hash fold 0 of the regression table."""
-    t = assign_fold(learning_table(spark, sf), 5, "id", "_f")
+    t = cut_lineage(assign_fold(learning_table(spark, sf), 5, "id", "_f"))  # the join is made once
     return t.filter(F.col("_f") != 0).drop("_f"), t.filter(F.col("_f") == 0).drop("_f")
 
 
@@ -89,7 +91,7 @@ def _mix_frame(spark, sf):
 @register("em_mixture_missing")
 def em_mixture_missing(spark, sf):
     d = _mix_frame(spark, sf)
-    mix = MissingMixture(["a", "b", "c"], k=3, iterations=5).fit(d)
+    mix = MissingMixture(["a", "b", "c"], k=3).fit(d)
     rows = [(c, col, float(mix.means[c, j]), float(mix.vars[c, j]), float(mix.weights[c]))
             for c in range(mix.k) for j, col in enumerate(mix.cols)]
     return spark.createDataFrame(rows, "component int, column_name string, mean double, var double, weight double")
@@ -98,7 +100,7 @@ def em_mixture_missing(spark, sf):
 @register("expected_relu_features")
 def expected_relu_features_q(spark, sf):
     d = _mix_frame(spark, sf)
-    mix = MissingMixture(["a", "b", "c"], k=2, iterations=3).fit(d)
+    mix = MissingMixture(["a", "b", "c"], k=2).fit(d)
     # FIXED VALUES: a small weight matrix (3 inputs x 2 units) and bias for the check
     W = np.array([[0.5, -0.25], [0.1, 0.2], [-0.3, 0.4]])
     b = np.array([0.05, -0.1])
@@ -113,8 +115,21 @@ def shash_sample_intervals(spark, sf):
     p = Preparer("nn_regressor", learning_spec()).fit(train)
     tr, te = p.transform(train), p.transform(test)
     feats = p.feature_columns(tr)
-    m = ShashRegression(feats, "target", steps=15).fit(tr)
-    return m.sample_intervals(te, n_draws=100)
+    m = ShashRegression(feats, "target").fit(cut_lineage(tr))
+    return m.sample_intervals(te, n_draws=500)
+
+
+# FIXED VALUES: a start for one gradient step on (y / 100): four heads over (m_end, grp % 10, 1)
+GRADIENT_AT = [[0.02, -0.01, 0.6], [0.01, 0.02, -0.4], [0.03, -0.02, 0.1], [-0.02, 0.01, 0.2]]
+
+
+@register("shash_gradient", doubles=["g"])
+def shash_gradient(spark, sf):
+    """The mean gradient of one SHASH step from a fixed start, checked in SQL."""
+    o = FX.obs(spark, sf).select(F.col("m_end").cast("double").alias("a"), (F.col("grp") % 10).cast("double").alias("b"), (F.col("y") / 100).alias("t"))
+    g = ShashRegression(["a", "b"], "t").gradient(o, np.array(GRADIENT_AT).ravel()).reshape(4, 3)
+    rows = [(h, j, float(g[h, j])) for h in range(4) for j in range(3)]
+    return spark.createDataFrame(rows, "head int, term int, g double")
 
 
 # ------------------------------------------------------------------ cross-validation and averaging
@@ -126,51 +141,53 @@ def _ridge():
 @register("cross_validate")
 def cross_validate(spark, sf):
     train, _ = _split(spark, sf)
-    _, _, summary = VA.cross_validate(train, _ridge, k=3, alpha=1 - COV)
+    _, _, summary = VA.cross_validate(train, _ridge, k=5, alpha=1 - COV)
     return summary
 
 
 @register("predict_fold_average")
 def predict_fold_average(spark, sf):
     train, test = _split(spark, sf)
-    models, _, _ = VA.cross_validate(train, _ridge, k=3, alpha=1 - COV)
+    models, _, _ = VA.cross_validate(train, _ridge, k=5, alpha=1 - COV)
     return VA.predict_fold_average(models, test)
 
 
 # ------------------------------------------------------------------ stacking and ensembles
 
-_LIGHT_BOOST = {"rounds": 3, "max_depth": 3, "min_rows_leaf": 50, "learning_rate": 0.3}
-
-
 @register("stack_out_of_fold")
 def stack_out_of_fold(spark, sf):
     train, _ = _split(spark, sf)
-    wide, _ = ST.stack_out_of_fold(train, learning_spec(), ["ridge", "forest"], k=2)
-    return wide
+    wide, _ = ST.stack_out_of_fold(train, learning_spec(), k=3)
+    return wide.select("id", "sfold", *ST.stacked_columns(list(ST.STACKED)))
 
 
 @register("boost_ensemble")
 def boost_ensemble(spark, sf):
     train, test = _split(spark, sf)
-    return ST.boost_ensemble(train, test, learning_spec(), ["ridge"], k=2, boost_params=_LIGHT_BOOST)
+    return ST.boost_ensemble(train, test, learning_spec(), k=3)
 
 
 @register("shash_ensemble")
 def shash_ensemble(spark, sf):
     train, test = _split(spark, sf)
-    return ST.shash_ensemble(train, test, learning_spec(), ["ridge"], k=2, n_draws=50,
-                             shash_params={"steps": 10})
+    return ST.shash_ensemble(train, test, learning_spec(), k=3, n_draws=200)
 
 
-@register("second_level_blend")
-def second_level_blend(spark, sf):
-    o = FX.obs(spark, sf)
-    wide = assemble_models(FX.preds_from(o), [0, 1, 2], "id", "model_id", "lo", "hi")
-    # train / test by fold digits: the blend's own fit/calibration split uses the part digits
-    fitted = wide.join(o.filter(F.col("fold") != 0).select("id", "y"), "id")
-    submission = wide.join(o.filter(F.col("fold") == 0).select("id"), "id")
-    return ST.second_level_blend(fitted, submission, "forest", scale=100.0,
-                                 params={"num_trees": 10, "max_depth": 5})
+def _blend(learner):
+    def run(spark, sf):
+        o = FX.obs(spark, sf)
+        wide = assemble_models(FX.preds_from(o), [0, 1, 2], "id", "model_id", "lo", "hi")
+        # train / test by fold digits: the blend's own fit/calibration split uses the part digits
+        fitted = wide.join(o.filter(F.col("fold") != 0).select("id", "y"), "id")
+        submission = wide.join(o.filter(F.col("fold") == 0).select("id"), "id")
+        return ST.second_level_blend(fitted, submission, learner, scale=100.0)
+    run.__name__ = f"blend_{learner}"
+    return run
+
+
+register("second_level_blend")(_blend("forest"))
+register("second_level_blend_boost")(_blend("boost"))
+register("second_level_blend_shash")(_blend("shash"))
 
 
 # ------------------------------------------------------------------ tuning
@@ -178,21 +195,22 @@ def second_level_blend(spark, sf):
 def _tree_frame(spark, sf):
     train, _ = _split(spark, sf)
     p = Preparer("histboost", learning_spec()).fit(train)
-    d = p.transform(train)
-    return d, p.feature_columns(d)
+    d = cut_lineage(p.transform(train))
+    inputs = Inputs("tree").fit(d, p.feature_columns(d), p.levels())
+    return cut_lineage(inputs.transform(d)), inputs
 
 
 @register("grid_search")
 def grid_search(spark, sf):
-    d, feats = _tree_frame(spark, sf)
-    scores, _ = TU.grid_search(spark, d, feats, 0.05, k=2, base={"rounds": 2, "max_depth": 3})
+    d, inputs = _tree_frame(spark, sf)
+    scores, _ = TU.grid_search(spark, d, inputs.features, 0.05, k=3, nominal=inputs.nominal)
     return scores
 
 
 @register("tune_search")
 def tune_search(spark, sf):
-    d, feats = _tree_frame(spark, sf)
-    scores, _ = TU.tune_search(spark, d, feats, 0.95, n_random=1, k=2, base={"rounds": 2}, n_prior=2)
+    d, inputs = _tree_frame(spark, sf)
+    scores, _ = TU.tune_search(spark, d, inputs.features, COV, n_random=0, k=2, base={"rounds": TUNE_ROUNDS}, nominal=inputs.nominal)
     return scores
 
 
@@ -243,5 +261,5 @@ def create_submission_q(spark, sf):
     train, test = _split(spark, sf)
     root = os.path.join(checkpoint_dir(spark), f"bandwise-submission-{uuid.uuid4().hex[:12]}")
     create_submission(train, test.drop("y"), "ridge", learning_spec(), os.path.join(root, "submission"),
-                      os.path.join(root, "fitted"), k=3)
+                      os.path.join(root, "fitted"), k=5)
     return scan_csv(spark, os.path.join(root, "submission"), "id long, pi_lower double, pi_upper double")

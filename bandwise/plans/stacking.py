@@ -3,12 +3,13 @@
 
 Out-of-fold features are built row-locally: for fold f, every family's fold-f model adds its
 bounds to the rows fold f held out (models chained with ``transform_keep``), and the folds'
-disjoint row sets are unioned; no pivot, no join on ``id``. Leakage guard: every id must be
-predicted exactly once, by the models of the fold that held the row out.
+disjoint row sets are unioned; no pivot, no join on ``id``. Folds are a hash of the key, so a row is
+never scored by a model that saw it; ``check_leakage`` verifies that in tests.
 """
 
 from __future__ import annotations
 
+import copy
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -21,97 +22,134 @@ from bandwise.functions import scalars as S
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
 from bandwise.operators.orderstats import pooled_hdi_arrays
 from bandwise.operators.predictions import union_folds
-from bandwise.plans.models import IntervalModel
-from bandwise.plans.prepare_kinds import Spec
+from bandwise.plans.models import FAMILY_KIND, STACKED, Inputs, IntervalModel
+from bandwise.plans.prepare_kinds import Preparer, Spec
+from bandwise.session import cut_lineage
 
 
 class LeakageError(RuntimeError):
     pass
 
 
-def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str], k: int = 3,
-                      params: Mapping | None = None, check: bool = True):
-    """Out-of-fold predictions of every family, as (wide features by id, fitted models per family)."""
-    data = assign_fold(df, k, spec.key, "sfold")
-    models = {f: [] for f in families}
-    parts = []
+def stacked_columns(families: Sequence[str]) -> list[str]:
+    return [c for f in families for c in STACKED[f]]
+
+
+def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str] = tuple(FAMILY_KIND), k: int = 3, params: Mapping | None = None):
+    """``df`` with the stacked columns of every family, predicted out of fold; and the models by fold.
+
+    Returns (all columns of ``df``, the columns of ``STACKED`` and ``sfold``; per fold the fitted models
+    in the order of ``families``). With all six families these are 20 columns.
+    """
+    data = cut_lineage(assign_fold(df, k, spec.key, "sfold"))
+    folds, parts = [], []
     for f in range(k):
         train = fold_filter(data, f, False, "sfold").drop("sfold")
-        cur = fold_filter(data, f, True, "sfold").drop("sfold")
-        for fam in families:
-            m = IntervalModel(fam, spec, params=(params or {}).get(fam)).fit(train)
-            models[fam].append(m)
-            # each family's fold-f model adds its columns to the rows fold f held out
-            cur = m.transform_keep(cur, f"_{fam}_")
-        parts.append(cur.select(spec.key, *[F.col(f"_{fam}_{p}").alias(f"{p}_{fam}")
-                                            for fam in families for p in ("lower", "mid", "upper")]))
+        cur = fold_filter(data, f, True, "sfold")
+        models = [IntervalModel(fam, spec, params=(params or {}).get(fam)).fit(train) for fam in families]
+        for m in models:
+            cur = m.add_stacked(cur)  # on the rows that fold f held out
+        folds.append(models)
+        parts.append(cur)
     # folds hold disjoint rows, so the wide table is a plain union: no pivot, no shuffle
-    wide = union_folds(parts)
-    if check:
-        bad = wide.groupBy(spec.key).count().filter(F.col("count") != 1).limit(5).collect()
-        if bad:
-            raise LeakageError(f"rows predicted more than once: {bad}")
-    return wide, models
-
-
-def stacked_test_features(models: Mapping[str, list], df: DataFrame, key: str = "id") -> DataFrame:
-    """Test-time features: each family's fold models predict every row and their bounds are
-    averaged in place (models chained on the same rows, no shuffle)."""
-    cur = df
-    names = []
-    for fam, ms in models.items():
-        for i, m in enumerate(ms):
-            cur = m.transform_keep(cur, f"_{fam}_{i}_")
-            names.append((fam, i))
-    out = [F.col(key)]
-    for fam, ms in models.items():
-        for part in ("lower", "mid", "upper"):
-            tot = None
-            for i in range(len(ms)):
-                c = F.col(f"_{fam}_{i}_{part}")
-                tot = c if tot is None else tot + c
-            out.append((tot / F.lit(float(len(ms)))).alias(f"{part}_{fam}"))
-    return cur.select(*out)
-
-
-def _second_level_frame(df: DataFrame, spec: Spec, stacked: DataFrame, scale: float) -> tuple[DataFrame, list[str]]:
-    """Stacked bounds (divided by ``scale``) next to the original numeric features."""
-    cols = [c for c in stacked.columns if c != spec.key]
-    base = df.select(spec.key, *spec.numeric, *([spec.target] if spec.target in df.columns else []))
-    out = base.join(stacked.select(spec.key, *[(F.col(c) / F.lit(scale)).alias(c) for c in cols]), spec.key)
-    return out, cols + list(spec.numeric)
-
-
-def boost_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequence[str], k: int = 3,
-                   coverage: float = 0.9, params: Mapping | None = None, boost_params: Mapping | None = None):
-    """Second-level quantile boosting on out-of-fold bounds + original features, calibrated."""
-    stacked, models = stack_out_of_fold(train, spec, families, k, params)
-    tr, feats = _second_level_frame(train, spec, stacked, spec.target_scale)
-    parts = split_fit_cal(tr, 3, spec.key, "_part")
-    second = QuantileBoostInterval(feats, spec.target, coverage, dict(boost_params or {})).fit(
+    return union_folds(parts), folds
+
+
+def check_leakage(wide: DataFrame, df: DataFrame, key: str = "id", k: int = 3) -> None:
+    """Raise unless every key stands exactly once, in the fold its hash assigns (a test's check)."""
+    folds = assign_fold(df.select(key), k, key, "want")
+    bad = wide.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("sfold").alias("sfold")).join(folds, key, "full_outer")
+    rows = bad.filter((F.coalesce("n", F.lit(0)) != 1) | ~F.col("sfold").eqNullSafe(F.col("want"))).limit(5).collect()
+    if rows:
+        raise LeakageError(f"rows not predicted exactly once out of fold: {rows}")
+
+
+class SecondLevel:
+    """Stacked columns beside the prepared design of ``kind``, fitted on the training rows."""
+
+    def __init__(self, kind: str, inputs: str, spec: Spec, families: Sequence[str]):
+        self.spec, self.stacked = spec, stacked_columns(families)
+        self.prep = Preparer(kind, spec, passthrough=[spec.target, *self.stacked])
+        self.inputs = Inputs(inputs)
+
+    def fit(self, wide: DataFrame) -> DataFrame:
+        """The design of the training rows, written once."""
+        self.prep.fit(wide)
+        d = self._prepared(wide)
+        feats = self.stacked + [c for c in self.prep.feature_columns(d) if c not in self.stacked and c != self.spec.target]
+        self.inputs.fit(d, feats, self.prep.levels())
+        return cut_lineage(self.inputs.transform(d))
+
+    def _prepared(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        prep = copy.copy(self.prep)
+        prep.passthrough = list(self.prep.passthrough) + list(keep)
+        return prep.transform(df)
+
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return self.inputs.transform(self._prepared(df, keep))
+
+
+def _by_fold(test: DataFrame, spec: Spec, folds, level: SecondLevel, predict) -> DataFrame:
+    """Apply ``predict(design, fold)`` to the test rows once per fold's upstream models.
+
+    ``predict`` returns the design with columns ``_out0.. `` for the fold, kept beside the raw columns;
+    the chain is row-local, so neither a join nor a shuffle is needed.
+    """
+    raw = [c for c in test.columns if c not in (spec.key, spec.target)]
+    base, kept = test.select(spec.key, *raw), []
+    cur = base
+    for f, models in enumerate(folds):
+        d = cur
+        for m in models:
+            d = m.add_stacked(d)
+        alias = {c: f"__raw_{i}" for i, c in enumerate(raw + kept)}
+        d = d.select("*", *[F.col(c).alias(t) for c, t in alias.items()])
+        d, outs = predict(level.transform(d, list(alias.values())), f)
+        cur = d.select(spec.key, *[F.col(t).alias(c) for c, t in alias.items()], *outs)
+        kept += outs
+    return cur
+
+
+def boost_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequence[str] = tuple(FAMILY_KIND), k: int = 3,
+                   coverage: float = 0.9, params: Mapping | None = None, boost_params: Mapping | None = None, grid: bool = False):
+    """Second-level quantile boosting on out-of-fold columns beside the prepared design, calibrated.
+
+    The second level predicts once with each fold's upstream models; the bounds are averaged.
+    """
+    wide, folds = stack_out_of_fold(train, spec, families, k, params)
+    level = SecondLevel("histboost", "tree", spec, families)
+    design = level.fit(wide)
+    parts = split_fit_cal(design, 3, spec.key, "_part")
+    second = QuantileBoostInterval(level.inputs.features, spec.target, coverage, dict(boost_params or {}), nominal=level.inputs.nominal, grid=grid).fit(
         parts.filter(F.col("_part") == "fit"), parts.filter(F.col("_part") == "cal"))
-    te, _ = _second_level_frame(test, spec, stacked_test_features(models, test, spec.key), spec.target_scale)
-    return second.transform(te).select(spec.key, "lower", "mid", "upper")
 
+    def predict(d, f):
+        names = [f"_{b}{f}" for b in ("lower", "mid", "upper")]
+        return second.transform(d).withColumnsRenamed(dict(zip(("lower", "mid", "upper"), names))), names
+
+    out = _by_fold(test, spec, folds, level, predict)
+    mean = lambda b: sum((F.col(f"_{b}{f}") for f in range(1, k)), F.col(f"_{b}0")) / F.lit(float(k))
+    return out.select(spec.key, *[mean(b).alias(b) for b in ("lower", "mid", "upper")])
 
-def shash_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequence[str], k: int = 3,
+
+def shash_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequence[str] = tuple(FAMILY_KIND), k: int = 3,
                    coverage: float = 0.9, n_draws: int = 200, params: Mapping | None = None,
                    shash_params: Mapping | None = None):
-    """Second-level SHASH per outer fold; the draws of all fold models are pooled per row and
-    one HDI is taken (draw count per row = folds x n_draws, a fixed bound)."""
-    stacked, models = stack_out_of_fold(train, spec, families, k, params)
-    tr, feats = _second_level_frame(train, spec, stacked, spec.target_scale)
-    tr = tr.withColumn("target", S.softplus_inv(F.col(spec.target) / F.lit(spec.target_scale)))
-    te, _ = _second_level_frame(test, spec, stacked_test_features(models, test, spec.key), spec.target_scale)
-    tr = assign_fold(tr, k, spec.key, "f2")
-    cols = []
-    for f in range(k):
-        m = ShashRegression(feats, "target", coverage=coverage, scale=spec.target_scale,
-                            **dict(shash_params or {})).fit(fold_filter(tr, f, False, "f2"))
-        te = m.draw_array(te, n_draws, seed=f).withColumnRenamed("draws", f"_d{f}")
-        cols.append(f"_d{f}")
-    # every fold model's draws sit on the row they belong to: pooled without a shuffle
-    return pooled_hdi_arrays(te, cols, coverage, [spec.key])
+    """Second-level SHASH on out-of-fold columns beside the prepared design.
+
+    It draws once with each fold's upstream models; the draws are pooled per row and one HDI is taken
+    (folds x n_draws draws on a row, a fixed bound).
+    """
+    wide, folds = stack_out_of_fold(train, spec, families, k, params)
+    level = SecondLevel("nn_regressor", "net", spec, families)
+    design = level.fit(wide)
+    second = ShashRegression(level.inputs.features, "target", coverage=coverage, scale=spec.target_scale, **dict(shash_params or {})).fit(design)
+
+    def predict(d, f):
+        return second.draw_array(d, n_draws, seed=f).withColumnRenamed("draws", f"_d{f}"), [f"_d{f}"]
+
+    out = _by_fold(test, spec, folds, level, predict)
+    return pooled_hdi_arrays(out, [f"_d{f}" for f in range(k)], coverage, [spec.key])
 
 
 def second_level_blend(fitted: DataFrame, submission: DataFrame, learner: str = "forest",

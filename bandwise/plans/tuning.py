@@ -1,8 +1,8 @@
 """Hyper-parameter search (``grid_search``, ``tune_search``; SURVEY 2.12).
 
-Candidates form a table; each (candidate, fold) fit is a distributed job scored by an aggregate
-(d2 pinball for quantile boosting, Winkler for interval models); scores are averaged over folds
-and the best candidate is refitted. The Gaussian-process proposer of the source is replaced by
+Each (candidate, quantile, fold) fit is a distributed job scored by an aggregate (d2 pinball for
+quantile boosting, Winkler for calibrated interval models); scores are averaged and the best
+candidate is refitted. The Gaussian-process proposer of the source is replaced by
 seeded random candidates plus saved prior points.
 """
 
@@ -15,13 +15,11 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.learners.boosting import QuantileBooster
-from bandwise.operators.folds import assign_fold, fold_filter
+from bandwise.learners.boosting import BOOST_GRID, QuantileBooster, QuantileBoostInterval
+from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
 from bandwise.operators.orderstats import best_candidate
-from bandwise.operators.scores import d2_pinball, mean_over_folds
-
-# FIXED VALUES: the boosting grid searched per quantile
-BOOST_GRID = {"l2": [0.0, 1.0, 2.0], "learning_rate": [0.15, 0.2]}
+from bandwise.operators.scores import d2_pinball, mean_over_folds, winkler_score
+from bandwise.session import cut_lineage
 
 # FIXED VALUES: boosting search space (low, high) and the ten saved prior points
 # (learning_rate, l2, max_depth, max_leaf_nodes, min_samples_leaf)
@@ -71,27 +69,32 @@ def _boost_kwargs(c: Mapping) -> dict:
         kw["max_depth"] = int(c["max_depth"])
     if "min_samples_leaf" in c:
         kw["min_rows_leaf"] = int(c["min_samples_leaf"])
+    if "max_leaf_nodes" in c:
+        kw["max_leaf_nodes"] = int(c["max_leaf_nodes"])
     return kw
 
 
-def search_boost(spark: SparkSession, df: DataFrame, features: Sequence[str], tau: float,
+def search_boost(spark: SparkSession, df: DataFrame, features: Sequence[str], taus: Sequence[float],
                  candidates: Sequence[Mapping], k: int = 3, label: str = "target", key: str = "id",
-                 base: Mapping | None = None, parallelism: int = 4):
-    """Score each candidate by mean d2 pinball over k folds (higher is better).
+                 base: Mapping | None = None, parallelism: int = 4, nominal: Mapping[str, int] | None = None):
+    """Score each candidate by the mean d2 pinball over ``taus`` and k folds (higher is better).
 
-    (candidate, fold) fits run as concurrent Spark jobs from ``parallelism`` driver threads.
-    Returns (scores table: candidate, params, mean_score, n_folds; best candidate row).
+    (candidate, quantile, fold) fits run as concurrent Spark jobs from ``parallelism`` driver threads;
+    each fold's vectors are written once and shared. Returns (scores table: candidate, mean_score,
+    n_folds, params; the best candidate's booster settings).
     """
-    data = assign_fold(df, k, key, "tfold")
+    data = cut_lineage(assign_fold(df.select(key, *features, label), k, key, "tfold"))
+    trains = [fold_filter(data, f, False, "tfold") for f in range(k)]
+    shared = [QuantileBooster(features, 0.5, label, nominal=nominal).vectors(t) for t in trains]
+    settings = [{**dict(base or {}), **_boost_kwargs(c)} for c in candidates]
 
     def score(task):
-        ci, c, f = task
-        kw = {**dict(base or {}), **_boost_kwargs(c)}
-        m = QuantileBooster(features, tau, label, **kw).fit(fold_filter(data, f, False, "tfold"))
+        ci, tau, f = task
+        m = QuantileBooster(features, tau, label, nominal=nominal, **settings[ci]).fit(trains[f], shared[f])
         held = m.predict(fold_filter(data, f, True, "tfold"), "q")
         return ci, f, float(d2_pinball(held, tau, [], label, "q", [key]).first()["d2_pinball"])
 
-    tasks = [(ci, c, f) for ci, c in enumerate(candidates) for f in range(k)]
+    tasks = [(ci, tau, f) for ci in range(len(settings)) for tau in taus for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(score, tasks))
     per = spark.createDataFrame(rows, "candidate int, fold int, score double")
@@ -99,15 +102,52 @@ def search_boost(spark: SparkSession, df: DataFrame, features: Sequence[str], ta
     params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)],
                                    "candidate int, params string")
     scores = scores.join(params, "candidate")
-    best = best_candidate(scores, "candidate", "mean_score", lower_is_better=False)
-    return scores, best
+    best = best_candidate(scores, "candidate", "mean_score", lower_is_better=False).first()["candidate"]
+    return scores, settings[best]
+
 
+def grid_search(spark, df, features, tau, k=3, label="target", key="id", base=None, nominal=None):
+    """The booster's grid for one quantile; returns (scores, best settings)."""
+    return search_boost(spark, df, features, [tau], grid_candidates(BOOST_GRID), k, label, key, base, nominal=nominal)
 
-def grid_search(spark, df, features, tau, k=3, label="target", key="id", base=None):
-    return search_boost(spark, df, features, tau, grid_candidates(BOOST_GRID), k, label, key, base)
 
+def tune_search(spark, df, features, coverage=0.9, n_random=4, seed=0, k=3, label="target", key="id", base=None,
+                n_prior=len(BOOST_PRIOR), nominal=None):
+    """Saved prior points and seeded random ones, scored over the interval's three quantiles.
 
-def tune_search(spark, df, features, tau, n_random=4, seed=0, k=3, label="target", key="id", base=None,
-                n_prior=len(BOOST_PRIOR)):
+    Returns (scores, the calibrated booster refitted with the best settings' parameters).
+    """
     cands = random_candidates(BOOST_SPACE, n_random, seed, BOOST_PRIOR[:n_prior])
-    return search_boost(spark, df, features, tau, cands, k, label, key, base)
+    taus = ((1 - coverage) / 2, 0.5, coverage + (1 - coverage) / 2)
+    scores, best = search_boost(spark, df, features, taus, cands, k, label, key, base, nominal=nominal)
+    parts = split_fit_cal(df, 3, key, "_part")
+    model = QuantileBoostInterval(features, label, coverage, best, nominal=nominal).fit(
+        parts.filter(F.col("_part") == "fit"), parts.filter(F.col("_part") == "cal"))
+    return scores, model
+
+
+def search_intervals(spark, df, make, candidates: Sequence[Mapping], k: int = 3, label: str = "y", key: str = "id", alpha: float = 0.1):
+    """Calibrated objective for any interval learner: the mean Winkler score over k folds (lower is better).
+
+    ``make(params)`` gives an unfitted model with ``fit(fit, cal)`` and ``transform``. Returns (scores,
+    the best candidate refitted on all rows).
+    """
+    data = cut_lineage(assign_fold(df, k, key, "tfold"))
+
+    def fitted(rows, c):
+        parts = split_fit_cal(rows, 3, key, "_part")
+        return make(c).fit(parts.filter(F.col("_part") == "fit").drop("_part"), parts.filter(F.col("_part") == "cal").drop("_part"))
+
+    rows = []
+    for ci, c in enumerate(candidates):
+        for f in range(k):
+            held = fitted(fold_filter(data, f, False, "tfold").drop("tfold"), c).transform(fold_filter(data, f, True, "tfold").drop("tfold"))
+            rows.append((ci, f, float(winkler_score(held, alpha, [], label, "lower", "upper").first()["winkler"])))
+    scores = mean_over_folds(spark.createDataFrame(rows, "candidate int, fold int, score double"), "candidate", "score")
+    params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "candidate int, params string")
+    best = best_candidate(scores, "candidate", "mean_score").first()["candidate"]
+    return scores.join(params, "candidate"), fitted(data.drop("tfold"), candidates[best])
+
+
+# FIXED VALUES: forest search space (low, high)
+FOREST_SPACE = {"num_trees": (10, 100), "max_depth": (3, 12), "min_rows_leaf": (5, 100)}
