@@ -10,9 +10,8 @@ Files go to a new folder under ``spark.checkpoint.dir`` (or ``folder``), which a
 A part is written under a name of its own attempt and moved into place at its end, so a lost or
 repeated task never leaves half a file. The files are the operator's product and stay.
 
-Encoding: BPE never crosses a pre-token border, and a single blank between two non-blanks always
-starts a pre-token, so texts are cut there and equal pieces are encoded once per worker (a cache of
-bounded size); ids equal those of encoding the whole text.
+Encoding: BPE never crosses a pre-token border, so texts are cut at such borders and equal pieces are
+encoded once per worker (a table of bounded size); ids equal those of encoding the whole text.
 
 Missing and odd input: a null text is empty and has the end id only; rows with the same doc_id are
 ordered by the hash of their text, then the text; null ids come first; an empty table writes no
@@ -35,18 +34,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.llm.text import mix
 from bandwise.session import checkpoint_dir, cut_lineage
 
 _NULL_ID = -(2**63)
-_CACHE_PIECES = 400_000
+_KNOWN_PIECES = 2_000_000  # about 60 bytes each
+_GROUP_CHARS = 1_500_000  # characters of the texts that are encoded together
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
 class Encoder:
-    """Piecewise encoding with a bounded cache."""
+    """Encoding by pieces, each new piece once, with a bounded table of known ones.
+
+    In a text whose only white space is single blanks and newlines, every blank or newline starts a
+    pre-token (a newline is one by itself), so the ids of the text are those of its pieces: a blank
+    or newline with the run of other characters behind it, cut again where ASCII punctuation follows
+    an ASCII letter (letters and punctuation never share a pre-token). Pieces are found and told apart by a
+    128-bit hash over the UTF-8 bytes of many texts at once; those not yet known are joined to one
+    text, encoded, and told apart by the offsets of their tokens. Other texts are encoded whole.
+    """
 
-    odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
-    cut = re.compile(r"(?<=\S) (?=\S)")
+    other_space = re.compile(r"[^\S \n]")
 
     def __init__(self, definition: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,53 +63,110 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(_CACHE_PIECES + 1, np.int64)
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces whose encodings, one after the other, are that of the text."""
-        if not text:
-            return []
-        if self.odd.search(text):
-            first, *rest = self.cut.split(text)
-            return [first] + [" " + p for p in rest]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first] + [p if p[0] == "\n" else " " + p for p in rest]
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                k, ids = len(self.known), e.ids
-                a = self.ends[k]
-                while a + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[a: a + len(ids)] = ids
-                self.ends[k + 1] = a + len(ids)
-                self.known[piece] = k
+        self.newline = len(self._whole("\n"))
+        self.keys, self.others = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # halves of the hashes, by the first
+        self.spans = np.zeros((0, 2), np.int64)  # of the ids below
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def plain(self, t: str) -> bool:
+        return not (t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or self.other_space.search(t))
+
+    def _learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
+        """Add new pieces with their hashes (ascending)."""
+        counts, found = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p[0] in b" \n"]
+        texts = [pieces[i].decode() for i in joined]
+        if texts:
+            begin = np.cumsum([0] + [len(t) for t in texts[:-1]])
+            e = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+            at = np.searchsorted(begin, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+            counts[joined] = np.bincount(at, minlength=len(texts))
+            for i, ids in zip(joined, np.split(np.array(e.ids, np.uint32), np.cumsum(counts[joined])[:-1])):
+                found[i] = ids
+        for i, p in enumerate(pieces):
+            if p[0] not in b" \n":  # punctuation behind a letter: few different ones
+                found[i] = self._whole("x" + p.decode())[1:]
+                counts[i] = len(found[i])
+        new = np.concatenate(found)
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used: self.used + len(new)] = new
+        place = np.searchsorted(self.keys, keys[:, 0])
+        self.spans = np.insert(self.spans, place, np.stack([self.used + np.cumsum(counts) - counts, counts], 1), axis=0)
+        self.keys, self.others = np.insert(self.keys, place, keys[:, 0]), np.insert(self.others, place, keys[:, 1])
+        self.used += len(new)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        # the first piece of a text gets a newline of its own, whose ids are cut off again
+        raw = ("\n" + "\n".join(texts)).encode()
+        data = np.frombuffer(raw, np.uint8)
+        first_byte = (data == 32) | (data == 10)
+        first_byte[1:] |= _PUNCTUATION[data[1:]] & _LETTER[data[:-1]]
+        starts = np.flatnonzero(first_byte)
+        lens = np.diff(np.append(starts, len(data)))
+        keys = _hashes(data, starts, lens)
+        half, first, inverse = np.unique(keys[:, 0], return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, half)
+        known = where < len(self.keys)
+        known[known] = self.keys[where[known]] == half[known]
+        before = (self.keys, self.others, self.spans, self.used)
+        if not known.all():
+            new = first[~known]
+            self._learn([raw[i: i + n] for i, n in zip(starts[new].tolist(), lens[new].tolist())], keys[new])
+            where = np.searchsorted(self.keys, half)
+        where = where[inverse]
+        if not (self.others[where] == keys[:, 1]).all():  # two pieces share half a hash
+            return [self._whole(t) for t in texts]
+        begin, n = self.spans[where].T
+        upto = np.cumsum(n)
+        flat = self.ids[np.arange(int(upto[-1])) - np.repeat(upto - n, n) + np.repeat(begin, n)]
+        if len(self.keys) > _KNOWN_PIECES:  # once the table is full, later pieces are not kept
+            self.keys, self.others, self.spans, self.used = before
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+        cuts = upto[np.searchsorted(starts, ends) - 1]
+        return [flat[a + self.newline: b] for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        out: list = [None] * len(texts)
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            if not t or not self.plain(t):
+                out[i] = self._whole(t) if t else np.zeros(0, np.uint32)
+                continue
+            group.append(i)
+            size += len(t)
+            if size >= _GROUP_CHARS:
+                for j, e in zip(group, self._plain([texts[j] for j in group])):
+                    out[j] = e
+                group, size = [], 0
+        if group:
+            for j, e in zip(group, self._plain([texts[j] for j in group])):
+                out[j] = e
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self._pieces(text)
-        known = self.known
-        new = [p for p in set(pieces) if p not in known] if pieces else []
-        if new:
-            if len(known) + len(new) > _CACHE_PIECES:
-                if len(new) > _CACHE_PIECES // 2:  # one huge text: without the cache
-                    return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                self._forget()
-                known = self.known
-                new = list(set(pieces))
-                if len(new) > _CACHE_PIECES:
-                    return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            self._learn(new)
-        at = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
-        lens = self.ends[at + 1] - self.ends[at]
-        total = int(lens.sum())
-        return self.ids[np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(self.ends[at], lens)]
+        return self.encode_all([text])[0]
+
+
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_PUNCTUATION = np.array([32 < i < 127 and not chr(i).isalnum() for i in range(256)])
+_rng = np.random.Generator(np.random.PCG64(31))
+_BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = _rng.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(8) + np.uint64(5)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Two independent hashes of each piece ``data[start: start + len]``."""
+    at = np.arange(len(data)) - np.repeat(starts, lens)
+    out = np.empty((len(starts), 2), np.uint64)
+    for k in (0, 1):
+        powers = np.cumprod(np.full(int(lens.max()), _BASES[k], np.uint64))
+        out[:, k] = mix(np.add.reduceat(_BYTES[k][data] * powers[at], starts))
+    return out
 
 
 def encoder(definition: bytes) -> Encoder:
@@ -160,13 +225,13 @@ def _write(batches: Iterator[pa.RecordBatch], definition, folder: str, end_id: i
         idx.write(np.zeros(1, "<u8").tobytes())
         for batch in batches:
             doc.write(np.asarray(batch.column("doc_id").fill_null(_NULL_ID)).astype("<i8").tobytes())
-            ends = np.empty(batch.num_rows, "<u8")
-            for i, text in enumerate(batch.column("text")):
-                e = enc.encode(text.as_py() or "")
-                ids.write(np.append(e, end_id).astype(dtype).tobytes())
-                total += len(e) + 1
-                ends[i] = total
-            idx.write(ends.tobytes())
+            for at in range(0, batch.num_rows, 1024):
+                encoded = enc.encode_all(batch.column("text").slice(at, 1024).fill_null("").to_pylist())
+                for e in encoded:
+                    ids.write(np.append(e, end_id).astype(dtype).tobytes())
+                ends = total + np.cumsum([len(e) + 1 for e in encoded])
+                total = int(ends[-1])
+                idx.write(ends.astype("<u8").tobytes())
             offsets += batch.num_rows
     for n in names:
         out.move(n + trial, n)
