@@ -16,15 +16,18 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|``, that is ``d <= e
    documents whose partners may stand on the next step are replicated there too. If a part of a
    document is empty, its region would hold unrelated documents, so it is split again by single
    shingles: the ``|A| - ceil(t|A|) + 1`` smallest hashes, of which a linked pair shares one.
-3. *Islands.* Regions that hold two different sets link them; connected regions form islands.
-   Sets of different islands cannot link. Each set is sent to its island once.
+3. *Islands.* Regions that hold different sets connect them; what is connected forms an island.
+   Sets of different islands cannot link. Tasks connect the sets they see themselves and send one
+   row per region, so no region grows beyond the number of tasks. Each set is then sent to its
+   island once.
 4. *Recursive join in an island.* A document is taken as pivot, its distance to all others is
    computed through an inverted list, those within eps join its component; the next pivot is
    taken outside the largest component, until every document outside it has been a pivot: no
    pair of different components is then left unseen. An island above ``island_docs`` is first cut
-   by Spark: one pivot, the distance of every member to it, blocks in the order of that
-   distance, and only pairs of blocks whose distances differ by eps at most (triangle inequality)
-   and that are not all linked to the pivot. Each pair of blocks is then joined as above.
+   by Spark: ``PIVOTS`` pivots, the distances of every member to them, the components that links
+   to pivots make, blocks in the order of component and distance to the first pivot, and only
+   pairs of blocks whose distances differ by eps at most (triangle inequality) and that are not
+   of one component throughout. Each pair of blocks is then joined as above.
 
 Results are exact up to equal 64-bit hashes of different shingles *within one pair*.
 
@@ -42,7 +45,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise.llm import text as tx
@@ -51,6 +54,8 @@ from bandwise.operators.ranking import group_rank
 from bandwise.session import cut_lineage
 
 _MAX_SIZE = 1 << 40
+_HELD = 1 << 20  # region rows that a task holds before it sends them
+PIVOTS = 8
 
 
 def ladder(percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +82,12 @@ def _prints(u: np.ndarray, so: np.ndarray) -> list[pa.Array]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (region, f1) of every document, once for each different set of a slice."""
+    """Rows (region, f1): the least set of each region among those seen here, and the sets tied to it.
+
+    Sets that share a region within a task are tied to the least one by a region of their own.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         for _, data, off in tx.slices(batch):
             u, so = tx.shingle_sets(data, off, k)
@@ -87,7 +97,28 @@ def _regions(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
             keep = keep[np.diff(so)[keep] > 0]
             for docs, step in _steps(np.diff(so), keep, percent):
                 regions, owner = _windows(u, so, docs, step, percent)
-                yield pa.RecordBatch.from_arrays([tx.as_long(regions), tx.as_long(f1[docs][owner])], ["region", "f1"])
+                held.append((regions, f1[docs][owner]))
+                size += len(regions)
+            if size >= _HELD:
+                yield _combined(held)
+                held, size = [], 0
+    if held:
+        yield _combined(held)
+
+
+def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    regions, sets = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((sets, regions))
+    regions, sets = regions[order], sets[order]
+    head = np.ones(len(regions), bool)
+    head[1:] = regions[1:] != regions[:-1]
+    least = sets[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sets) else sets
+    a, b = sets[sets != least], least[sets != least]
+    ties = np.unique(np.stack([a, b], 1), axis=0)
+    own = tx.mix(tx.mix(ties[:, 0] + tx.seed(8)) + ties[:, 1])
+    return pa.RecordBatch.from_arrays([
+        tx.as_long(np.concatenate([regions[head], own, own])),
+        tx.as_long(np.concatenate([sets[head], ties[:, 0], ties[:, 1]]))], ["region", "f1"])
 
 
 def _steps(n: np.ndarray, docs: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,10 +172,10 @@ def _linked(shared, n1, n2, percent):
     return 100 * shared >= percent * (n1 + n2 - shared)
 
 
-def link_forest(sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_forest(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges that span the exact link components of ``sets`` (distinct, ascending arrays).
 
-    ``joined`` marks sets already known to be in one component. See step 4 above.
+    Sets with equal numbers in ``known`` are in one component already. See step 4 above.
     """
     r = len(sets)
     n = np.array([len(s) for s in sets])
@@ -154,9 +185,7 @@ def link_forest(sets: list[np.ndarray], percent: int, joined: np.ndarray | None
     lists = owner[order]
     begin = np.searchsorted(ids[order], np.arange(len(values) + 1))
     own = np.concatenate([[0], np.cumsum(n)])
-    comp = np.arange(r)
-    if joined is not None and joined.any():
-        comp[joined] = np.flatnonzero(joined)[0]
+    comp = np.unique(known, return_inverse=True)[1] if known is not None else np.arange(r)
     done = np.zeros(r, bool)
     edges = []
     while True:
@@ -180,66 +209,78 @@ def _join_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     """Rows sorted by grp: the spanning links of each group, one group in memory at a time."""
     def rows():
         for b in batches:
-            yield from zip(b.column("grp").to_pylist(), b.column("cid").to_pylist(), b.column("members"), b.column("joined").to_pylist())
+            yield from zip(b.column("grp").to_pylist(), b.column("cid").to_pylist(), b.column("members"), b.column("known").to_pylist())
 
     def found(group: dict) -> pa.RecordBatch:
         cids = list(group)
-        links = link_forest([group[c][0] for c in cids], percent, np.array([group[c][1] for c in cids], bool))
+        links = link_forest([group[c][0] for c in cids], percent, [group[c][1] for c in cids])
         return pa.RecordBatch.from_arrays([pa.array([cids[i] for i, _ in links], pa.int64()), pa.array([cids[j] for _, j in links], pa.int64())], ["a", "b"])
 
     now, group = None, {}
-    for g, cid, members, joined in rows():
+    for g, cid, members, known in rows():
         if g != now and group:
             yield found(group)
             group = {}
         now = g
-        group[cid] = (np.frombuffer(members.as_buffer(), np.uint64), joined)
+        group[cid] = (np.frombuffer(members.as_buffer(), np.uint64), known)
     if group:
         yield found(group)
 
 
-def _to_pivot(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _to_pivots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Distance of each member to the first pivot of its island, and the pivots it links to."""
     for b in batches:
-        dist, linked = [], []
-        for m, p in zip(b.column("members"), b.column("pivot")):
-            x, y = np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            dist.append(1 - shared / (len(x) + len(y) - shared))
-            linked.append(bool(_linked(shared, len(x), len(y), percent)))
-        yield pa.RecordBatch.from_arrays([b.column("island"), b.column("cid"), b.column("pivot_cid"), pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["island", "cid", "pivot_cid", "dist", "joined"])
-
-
-def _cut_islands(members: DataFrame, big: DataFrame, percent: int, island_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Links to the pivots of large islands, and (cid, grp, joined): which blocks meet where."""
-    large = members.join(measured(big, 64), "island")
-    pivots = large.groupBy("island").agg(F.min(F.struct("cid", "members")).alias("p")).select(
-        "island", F.col("p.cid").alias("pivot_cid"), F.col("p.members").alias("pivot"))
+        dist, links = [], []
+        for m, pivots in zip(b.column("members"), b.column("pivots")):
+            x = np.frombuffer(m.as_buffer(), np.uint64)
+            near, first = [], None
+            for p in pivots:
+                y = np.frombuffer(p["members"].as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                first = 1 - shared / (len(x) + len(y) - shared) if first is None else first
+                if _linked(shared, len(x), len(y), percent):
+                    near.append(p["cid"].as_py())
+            dist.append(first)
+            links.append(near)
+        yield pa.RecordBatch.from_arrays([b.column("island"), b.column("cid"), b.column("per"), pa.array(dist, pa.float64()), pa.array(links, pa.list_(pa.int64()))], ["island", "cid", "per", "dist", "links"])
+
+
+def _cut_islands(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to the pivots of large islands, and (cid, grp, known): which blocks meet where."""
+    order = F.struct(F.xxhash64("cid").alias("h"), "cid", "members")
+    pivots = large.withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(PIVOTS))).groupBy("island", "slot").agg(F.min(order).alias("p"))
+    pivots = cut_lineage(pivots.groupBy("island").agg(F.sort_array(F.collect_list("p")).alias("pivots")))  # PIVOTS at most
     dist = cut_lineage(large.join(pivots, "island").mapInArrow(
-        partial(_to_pivot, percent=percent), "island long, cid long, pivot_cid long, dist double, joined boolean"))
-    links = dist.filter(F.col("joined") & (F.col("cid") != F.col("pivot_cid"))).select(F.col("cid").alias("a"), F.col("pivot_cid").alias("b"))
-    ranked = group_rank(dist, ["island"], "dist", ["cid"], rank_col="rk", size_col="of").withColumn(
-        "block", F.floor((F.col("rk") - 1) / (island_docs // 2)))
+        partial(_to_pivots, percent=percent), "island long, cid long, per long, dist double, links array<long>"))
+    links = dist.select(F.col("cid").alias("a"), F.explode("links").alias("b")).filter("a != b")
+    comp = connected_components(links).select(F.col("node").alias("cid"), "component")
+    known = dist.select("island", "cid", "per", "dist").join(comp, "cid", "left").withColumn("known", F.coalesce("component", "cid"))
+    ranked = group_rank(known.select("island", "cid", "per", "dist", "known"), ["island"], "known", ["dist", "cid"], rank_col="rk", size_col="of")
+    ranked = ranked.withColumn("block", F.floor((F.col("rk") - 1) / F.col("per")))
     blocks = cut_lineage(ranked.groupBy("island", "block").agg(
-        F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.min("joined").alias("whole")))
+        F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.min("known").alias("k0"), F.max("known").alias("k1")))
     eps = 1 - percent / 100 + 1e-9
     i, j = blocks.alias("i"), blocks.alias("j")
+    one = (F.col("i.k0") == F.col("i.k1")) & (F.col("j.k0") == F.col("j.k1")) & (F.col("i.k0") == F.col("j.k0"))
     pairs = i.join(j, (F.col("i.island") == F.col("j.island")) & (F.col("i.block") <= F.col("j.block"))
-                   & (F.col("j.lo") - F.col("i.hi") <= eps) & ~(F.col("i.whole") & F.col("j.whole"))
-                   & (~(F.col("i.block") == F.col("j.block")) | ~F.col("i.whole"))).select(
+                   & (F.col("j.lo") - F.col("i.hi") <= eps) & (F.col("i.lo") - F.col("j.hi") <= eps) & ~one).select(
         F.col("i.island").alias("island"), F.xxhash64("i.island", "i.block", "j.block").alias("grp"),
         F.explode(F.array_distinct(F.array("i.block", "j.block"))).alias("block"))
-    return links, ranked.join(pairs, ["island", "block"]).select("cid", "grp", "joined")
+    return links, ranked.join(pairs, ["island", "block"]).select("cid", "grp", "known")
+
 
+def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 1024) -> DataFrame:
+    """``(doc_id, th, n, component, component_id)`` for every row of ``docs(doc_id, text)``.
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_docs: int = 512) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
+    ``th`` hashes the text, ``n`` is the size of its set, ``component`` a number that the linked
+    documents share (null for an empty set), ``component_id`` the smallest doc_id among them.
 
-    ``k``: words of a shingle. ``percent``: least Jaccard similarity of a link, in hundredths (50 to
-    100). ``island_docs``: islands with more distinct sets than this, or more than 4000 times as
+    ``k``: words of a shingle. ``percent``: least Jaccard similarity of a link, in hundredths (75 to
+    100). ``island_docs``: islands with more distinct sets than this, or more than 2000 times as
     many shingles, are cut before they are joined; it changes the work of a task, never the result.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100")  # a partner is at most one step away
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     profiles = cut_lineage(keyed.mapInArrow(partial(_profiles, k=k), "doc_id long, th long, n long, f1 long, f2 long"))
     classes = cut_lineage(profiles.filter("n > 0").groupBy("f1", "f2").agg(
@@ -247,9 +288,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_do
         .select("*", F.monotonically_increasing_id().alias("cid")))
 
     rows = keyed.select("text").mapInArrow(partial(_regions, k=k, percent=percent), "region long, f1 long")
-    shared = cut_lineage(rows.groupBy("region").agg(F.min("f1").alias("hub"), F.max("f1").alias("last"))
-                         .filter("hub < last").select("region", "hub"))
-    edges = rows.join(measured(shared, 48), "region").filter("f1 != hub").select(F.col("f1").alias("a"), F.col("hub").alias("b")).distinct()
+    hub = F.first("f1").over(Window.partitionBy("region").orderBy("f1").rowsBetween(Window.unboundedPreceding, 0))
+    edges = rows.select(F.col("f1").alias("a"), hub.alias("b")).filter("a != b")
     islands = connected_components(edges)
     clash = classes.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("f1").alias("node"), F.col("f1").alias("component"))
     islands = islands.unionByName(clash.join(islands, "node", "left_anti"))
@@ -261,10 +301,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_do
         "text", "cid", "f1", "f2", "island").mapInArrow(partial(_sets, k=k), "island long, cid long, members binary")
     members = cut_lineage(members)
     big = cut_lineage(inside.groupBy("island").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-                      .filter((F.col("c") > island_docs) | ((F.col("s") > 4000 * island_docs) & (F.col("c") > 2))).select("island"))
-    plain = members.join(measured(big, 48), "island", "left_anti").select(F.col("island").alias("grp"), "cid", "members", F.lit(False).alias("joined"))
-    links, blocks = _cut_islands(members, big, percent, island_docs)
-    cut = blocks.join(members.select("cid", "members"), "cid").select("grp", "cid", "members", "joined")
+                      .filter((F.col("c") > island_docs) | ((F.col("s") > 2000 * island_docs) & (F.col("c") > 4)))
+                      .select("island", F.greatest(F.lit(2), F.least(F.lit(island_docs // 2), F.floor(F.col("c") * (1000 * island_docs) / F.col("s")))).alias("per")))
+    big = measured(big, 48)
+    plain = members.join(big, "island", "left_anti").select(F.col("island").alias("grp"), "cid", "members", F.col("cid").alias("known"))
+    large = members.join(big, "island")
+    links, blocks = _cut_islands(large, percent)
+    cut = blocks.join(large.select("cid", "members"), "cid").select("grp", "cid", "members", "known")
     spanning = plain.unionByName(cut).repartition("grp").sortWithinPartitions("grp", "cid").mapInArrow(
         partial(_join_groups, percent=percent), "a long, b long")
     comp = connected_components(spanning.unionByName(links))
@@ -272,7 +315,34 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_do
     named = classes.select("f1", "f2", "cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("f1", "f2", "component_id")
+    named = named.join(least, "component").select("f1", "f2", "component", "component_id")
     return profiles.join(named, ["f1", "f2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "th", "n", "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_docs: int = 1024) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
+    return jaccard_classes(docs, k, percent, island_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns.
+
+    Of each group of linked documents the one with the smallest doc_id stays (null ids come last,
+    equal ids by the hash of the text); of fully equal rows one stays; documents without words stay.
+    Only ids and text hashes of the rows to drop are joined to the texts.
+    """
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("th").alias("t"))
+    rows = cut_lineage(jaccard_classes(docs, k, percent).filter("n > 0").select("doc_id", "th", "component", place.alias("place")))
+    kept = rows.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first != last")
+    drop = cut_lineage(rows.join(kept, "component").filter("place != first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    same = cut_lineage(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+
+    def at(d: DataFrame):
+        return docs["doc_id"].eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"]) == d["_th"])
+
+    out = docs.join(measured(drop, 48), at(drop), "left_anti")
+    if same.isEmpty():
+        return out
+    twice = out.join(measured(same, 48), at(same), "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return out.join(measured(same, 48), at(same), "left_anti").unionByName(twice)
