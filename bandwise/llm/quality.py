@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings (hashed words and character n-grams).
 
-Every word (case kept) and every run of 3 or 4 UTF-8 bytes with white space at its ends only is a
-feature, hashed to ``BUCKETS`` rows of an embedding table. A document is the mean of its features'
-vectors, a softmax over two classes gives its score. Table and output layer are learned together by
+Every word (case kept), every pair of adjacent words (a word twice in a row is one common feature,
+whatever the word) and every run of 3 or 4 UTF-8 bytes with white space at its ends only is a feature,
+hashed to ``BUCKETS`` rows of an embedding table. A document is the mean of its features' vectors (and
+of ``PRIOR`` zero vectors), a softmax over two classes gives its score. Table and output layer are learned together by
 stochastic gradient descent in numpy, one document at a time, from a bounded sample of labelled
 documents: at most ``train_docs`` labelled ids, the first by a hash of the id. Scoring covers every
 document and whole texts, in one pass without a shuffle; because output and mean are linear before
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from bandwise.llm import text as tx
 
 BUCKETS = 1 << 16
+#: Features of no weight in every mean: few features say little, so short texts stay near the bias.
+PRIOR = 30
 
 
 @dataclass(frozen=True)
@@ -44,14 +47,19 @@ class QualityModel:
         for idx, fo in features(data, off):
             total += tx.segment_sum(self.margin[idx], fo)
             count += np.diff(fo)
-        logit = self.bias + total / np.maximum(count, 1)
+        logit = self.bias + total / (count + PRIOR)
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bucket of every feature with the n+1 offsets of the texts: words, 3-grams, 4-grams."""
+    """Bucket of every feature with the n+1 offsets of the texts: words, word pairs, 3- and 4-grams."""
     words, bounds = tx.word_hashes(data, off, fold=False)
     yield (words >> np.uint64(48)).astype(np.int32), bounds
+    inside = np.ones(max(0, len(words) - 1), bool)
+    inside[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(words))] - 1] = False  # no pair of two texts
+    at = np.flatnonzero(inside)
+    pair = np.where(words[at] == words[at + 1], tx.seed(21), tx.mix(words[at] * tx.seed(22) + words[at + 1]))
+    yield (pair >> np.uint64(48)).astype(np.int32), np.searchsorted(at, bounds)
     for n in (3, 4):
         yield tx.byte_grams(data, off, n, tx.SPACE, 16)
 
@@ -65,7 +73,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(off) - 1):
                 b, c = np.unique(np.concatenate([idx[fo[i]: fo[i + 1]] for idx, fo in parts]), return_counts=True)
                 ids.append(b.astype(np.int32).tobytes())
-                shares.append((c / max(1, c.sum())).astype(np.float32).tobytes())
+                shares.append((c / (c.sum() + PRIOR)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("y"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["place", "y", "ids", "shares"])
 
 
