@@ -90,7 +90,7 @@ def decode_body(body: bytes, content_type: str) -> tuple[str, str]:
 
 def visible_text(page: str) -> str:
     """Text without markup, scripts, styles and comments; one line per block, blanks collapsed."""
-    page = _HEAD.sub(" ", _DROP.sub(" ", page))
+    page = _HEAD.sub(" ", _DROP.sub("", page))
     page = re.sub(r"[ \t\r\n\f]+", " ", page)
     page = _TAG.sub("", _BREAK.sub("\n", page))
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))

@@ -127,7 +127,7 @@ def contained(rows, items, k=5, percent=80):
             n = len(q & s)
             if q and 100 * n >= percent * len(q):
                 out[d, i, len(q)] = max(n, out.get((d, i, len(q)), 0))
-    return sorted((*key, n) for key, n in out.items())
+    return [(*key, n) for key, n in out.items()]
 
 
 def tokens(rows, path, end=0):
