@@ -26,10 +26,11 @@ def test_fold_average_rowlocal_equals_long(spark):
 
 def test_stacking_predicts_each_row_once(spark):
     train, _ = _split(spark, SF_SMALL)
-    wide, models = ST.stack_out_of_fold(train, learning_spec(), ["ridge"], k=2)
+    wide, folds = ST.stack_out_of_fold(train, learning_spec(), ["ridge"], k=2)
     assert wide.count() == train.count()
     assert wide.filter(F.col("lower_ridge").isNull()).count() == 0
-    assert len(models["ridge"]) == 2
+    assert [len(models) for models in folds] == [1, 1]
+    ST.check_leakage(wide, train, "id", 2)
 
 
 def test_quantile_booster_hit_rate(spark):
