@@ -11,11 +11,13 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|``, that is ``d <= e
    hash parts and takes as pivots the *projections* of documents on a part: in each part a
    document lies in the Voronoi region of the pivot at distance 0. The symmetric difference adds
    up over the parts, and a linked pair differs in at most ``H = floor((|A|+|B|)(1-t)/(1+t))``
-   shingles, so with ``K = H + 1`` parts the pair is at distance 0 in one part at least and shares
-   that region: a document is replicated to K regions, its window. K follows a ladder of sizes;
-   documents whose partners may stand on the next step are replicated there too. If a part of a
-   document is empty, its region would hold unrelated documents, so it is split again by single
-   shingles: the ``|A| - ceil(t|A|) + 1`` smallest hashes, of which a linked pair shares one.
+   shingles, so of K > H parts the pair is at distance 0 in K - H at least and shares their regions: a
+   document is replicated to one region per part, its window. Parts that are empty in both give no
+   region, so K exceeds H by more than the empty parts that a document usually has; if either of a
+   pair has fewer than K - H empty parts, they share a region. Documents with more are also
+   replicated by single shingles, the ``|A| - ceil(t|A|) + 1`` smallest hashes, of which a linked
+   pair shares one. K follows a ladder of sizes; documents whose partners may stand on the next step
+   are replicated there too.
 3. *Islands.* Regions that hold different sets connect them; what is connected forms an island.
    Sets of different islands cannot link. Tasks connect the sets they see themselves and send one
    row per region, so no region grows beyond the number of tasks. Each set is then sent to its
@@ -58,14 +60,15 @@ _HELD = 1 << 20  # region rows that a task holds before it sends them
 PIVOTS = 8
 
 
-def ladder(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the size steps, and the number of parts K of each."""
+def ladder(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the size steps, and of each step the parts K and the differences H of a pair."""
     bounds = [1]
     while bounds[-1] < _MAX_SIZE:
         bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2, 10 if bounds[-1] == 1 and percent >= 90 else 0))
     b = np.array(bounds, np.int64)
-    parts = 2 * (b[1:] - 1) * (100 - percent) // (100 + percent) + 1
-    return b, parts
+    differ = 2 * (b[1:] - 1) * (100 - percent) // (100 + percent)
+    empty = (differ + 1) * np.exp(-b[:-1] / (differ + 1))  # expected empty parts of a document
+    return b, differ + 1 + np.ceil(np.where(differ > 0, empty + 2 * np.sqrt(empty), 0)).astype(np.int64), differ
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def _steps(n: np.ndarray, docs: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Documents with their own step, and those whose partners may stand on the next one."""
-    bounds, _ = ladder(percent)
+    bounds = ladder(percent)[0]
     own = np.searchsorted(bounds, n[docs], "right") - 1
     up = (n[docs] * 100) // percent >= bounds[own + 1]
     return [(docs, own), (docs[up], own[up] + 1)]
@@ -134,7 +137,7 @@ def _windows(u, so, docs, step, percent) -> tuple[np.ndarray, np.ndarray]:
     if not len(docs):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lens = np.diff(so)[docs]
-    parts = ladder(percent)[1][step]
+    parts, differ = (x[step] for x in ladder(percent)[1:])
     flat = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(so[docs], lens)
     s = u[flat]
     base = np.cumsum(parts) - parts
@@ -147,11 +150,11 @@ def _windows(u, so, docs, step, percent) -> tuple[np.ndarray, np.ndarray]:
     number = (np.arange(len(sums)) - np.repeat(base, parts)).astype(np.uint64)
     place = tx.mix(number + tx.mix(step.astype(np.uint64) + tx.seed(5))[owner])
     regions, owners = [tx.mix(sums + place)[filled]], [owner[filled]]
-    for at in np.flatnonzero(~filled):  # an empty part: single shingles as pivots
-        i = owner[at]
+    vacant = np.bincount(owner[~filled], minlength=len(docs))
+    for i in np.flatnonzero(vacant >= parts - differ):  # too many empty parts: single shingles as pivots
         m = int(lens[i]) - -(-int(lens[i]) * percent // 100) + 1
         low = np.sort(tx.mix(u[so[docs[i]]: so[docs[i] + 1]] ^ tx.seed(6)))[:m]
-        regions.append(tx.mix(low + tx.mix(place[at: at + 1] + tx.seed(7))))
+        regions.append(tx.mix(low + tx.seed(7, int(step[i]))))
         owners.append(np.full(m, i))
     return np.concatenate(regions), np.concatenate(owners)
 
@@ -269,14 +272,14 @@ def _cut_islands(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links, ranked.join(pairs, ["island", "block"]).select("cid", "grp", "known")
 
 
-def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 4096) -> DataFrame:
     """``(doc_id, th, n, component, component_id)`` for every row of ``docs(doc_id, text)``.
 
     ``th`` hashes the text, ``n`` is the size of its set, ``component`` a number that the linked
     documents share (null for an empty set), ``component_id`` the smallest doc_id among them.
 
     ``k``: words of a shingle. ``percent``: least Jaccard similarity of a link, in hundredths (75 to
-    100). ``island_docs``: islands with more distinct sets than this, or more than 2000 times as
+    100). ``island_docs``: islands with more distinct sets than this, or more than 512 times as
     many shingles, are cut before they are joined; it changes the work of a task, never the result.
     """
     if not 75 <= percent <= 100:
@@ -301,8 +304,8 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 10
         "text", "cid", "f1", "f2", "island").mapInArrow(partial(_sets, k=k), "island long, cid long, members binary")
     members = cut_lineage(members)
     big = cut_lineage(inside.groupBy("island").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-                      .filter((F.col("c") > island_docs) | ((F.col("s") > 2000 * island_docs) & (F.col("c") > 4)))
-                      .select("island", F.greatest(F.lit(2), F.least(F.lit(island_docs // 2), F.floor(F.col("c") * (1000 * island_docs) / F.col("s")))).alias("per")))
+                      .filter((F.col("c") > island_docs) | ((F.col("s") > 512 * island_docs) & (F.col("c") > 4)))
+                      .select("island", F.greatest(F.lit(2), F.least(F.lit(island_docs // 2), F.floor(F.col("c") * (256 * island_docs) / F.col("s")))).alias("per")))
     big = measured(big, 48)
     plain = members.join(big, "island", "left_anti").select(F.col("island").alias("grp"), "cid", "members", F.col("cid").alias("known"))
     large = members.join(big, "island")
@@ -320,7 +323,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 10
         "doc_id", "th", "n", "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_docs: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, island_docs: int = 4096) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
     return jaccard_classes(docs, k, percent, island_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
