@@ -23,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.llm.graph import measured
 from bandwise.llm.words import SPACES, fold
+from bandwise.session import cut_lineage
 
 _LAST = 2**63 - 1
 
@@ -42,13 +44,14 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = 256) -> Data
     lines = lines.select("doc_id", "th", "pos", F.btrim(fold(F.col("line")), F.lit(SPACES)).alias("key")).filter(F.length("key") >= min_chars)
     lines = lines.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
                          F.coalesce("doc_id", F.lit(_LAST)).alias("d"))
+    lines = cut_lineage(lines)  # texts are split and hashed once; the passes below read hashes
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(salts)).cast("int"))
     ranged = lines.repartitionByRange(h1, h2, salt).sortWithinPartitions(h1, h2, salt, d, pos)
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("d", "pos").rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("head", F.first("d").over(stream))
     heads = ranged.groupBy("h1", "h2").agg(F.min("head").alias("first"), F.max("d").alias("last"))
-    heads = heads.filter("first < last").select(h1.alias("g1"), h2.alias("g2"), "first")
-    lost = ranged.join(heads, (h1 == F.col("g1")) & (h2 == F.col("g2"))).filter(d != F.col("first"))
+    heads = measured(cut_lineage(heads.filter("first < last").select(h1.alias("g1"), h2.alias("g2"), "first")), 56)
+    lost = lines.join(heads, (h1 == F.col("g1")) & (h2 == F.col("g2"))).filter(d != F.col("first"))
     runs = lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("p"))  # a document's lines
     begins = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1) != x - 1))
     ends = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get(F.col("p"), i + 1) != x + 1))
