@@ -73,9 +73,10 @@ class SecondLevel:
         self.inputs = Inputs(inputs)
 
     def fit(self, wide: DataFrame) -> DataFrame:
-        """The design of the training rows, written once."""
+        """The design of the training rows; the stacked chain and the design are each written once."""
+        wide = cut_lineage(wide)
         self.prep.fit(wide)
-        d = self._prepared(wide)
+        d = cut_lineage(self._prepared(wide))
         feats = self.stacked + [c for c in self.prep.feature_columns(d) if c not in self.stacked and c != self.spec.target]
         self.inputs.fit(d, feats, self.prep.levels())
         return cut_lineage(self.inputs.transform(d))
@@ -93,7 +94,7 @@ def _by_fold(test: DataFrame, spec: Spec, folds, level: SecondLevel, predict) ->
     """Apply ``predict(design, fold)`` to the test rows once per fold's upstream models.
 
     ``predict`` returns the design with columns ``_out0.. `` for the fold, kept beside the raw columns;
-    the chain is row-local, so neither a join nor a shuffle is needed.
+    each chain is row-local, so neither a join nor a shuffle is needed.
     """
     raw = [c for c in test.columns if c not in (spec.key, spec.target)]
     base, kept = test.select(spec.key, *raw), []
@@ -105,7 +106,7 @@ def _by_fold(test: DataFrame, spec: Spec, folds, level: SecondLevel, predict) ->
         alias = {c: f"__raw_{i}" for i, c in enumerate(raw + kept)}
         d = d.select("*", *[F.col(c).alias(t) for c, t in alias.items()])
         d, outs = predict(level.transform(d, list(alias.values())), f)
-        cur = d.select(spec.key, *[F.col(t).alias(c) for c, t in alias.items()], *outs)
+        cur = cut_lineage(d.select(spec.key, *[F.col(t).alias(c) for c, t in alias.items()], *outs))  # one fold's chain
         kept += outs
     return cur
 
