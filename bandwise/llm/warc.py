@@ -88,17 +88,20 @@ def decode_body(body: bytes, content_type: str) -> tuple[str, str]:
     return body.decode("utf-8", "replace"), "utf-8"
 
 
+def without_scripts(page: str) -> str:
+    """The page without scripts, styles, templates and comments."""
+    return _DROP.sub("", page)
+
+
 def visible_text(page: str) -> str:
-    """Text without markup, scripts, styles and comments; one line per block, blanks collapsed."""
-    page = _HEAD.sub(" ", _DROP.sub("", page))
-    page = re.sub(r"[ \t\r\n\f]+", " ", page)
-    page = _TAG.sub("", _BREAK.sub("\n", page))
+    """Text of a page ``without_scripts``: no markup, one line per block, blanks collapsed."""
+    page = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", page, count=1).replace("\n", " ")))
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def page_facts(page: str) -> tuple[str, list[str]]:
-    page = _DROP.sub(" ", page)
+    """Title and outlinks of a page ``without_scripts``."""
     m = _TITLE.search(page)
     title = " ".join(html.unescape(m.group(1)).split()) if m else ""
     return title, ["".join(html.unescape("".join(g)).split()) for g in _HREF.findall(page)]
@@ -109,6 +112,7 @@ def derivatives(record_id: str, headers: dict[str, str], block: bytes) -> Iterat
     status, fields, body = split_http(block)
     kind = next((v for n, v in fields if n.lower() == "content-type"), "")
     page, charset = decode_body(body, kind)
+    page = without_scripts(page)
     title, links = page_facts(page)
     code = status.split(" ")[1] if status.count(" ") else ""
     lines = [("http-status", code), ("content-type", kind), ("charset", charset), ("title", title)]
@@ -195,7 +199,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     trial = f"{name}.{task.taskAttemptId()}"
     with out.create(trial) as f:
         for _, _, h, block in _rows(batches):
-            f.write(gzip.compress(serialise(h, block), 6, mtime=0))
+            f.write(gzip.compress(serialise(h, block), 4, mtime=0))
             n += 1
     out.move(trial, name)
     if n:
