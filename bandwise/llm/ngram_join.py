@@ -20,7 +20,9 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|``, that is ``d <= e
    are replicated there too.
 3. *Islands.* Regions that hold different sets connect them; what is connected forms an island.
    Sets of different islands cannot link. Tasks connect the sets they see themselves and send one
-   row per region, so no region grows beyond the number of tasks. Each set is then sent to its
+   row per region, so no region grows beyond the number of tasks. Islands that only shared
+   passages hold together are taken apart by the sizes and outlines of their sets (distances to 64
+   fixed pivots; the triangle inequality rules pairs out, exactly). Each set is then sent to its
    island once.
 4. *Recursive join in an island.* A document is taken as pivot, its distance to all others is
    computed through an inverted list, those within eps join its component; the next pivot is
@@ -58,6 +60,8 @@ from bandwise.session import cut_lineage
 _MAX_SIZE = 1 << 40
 _HELD = 1 << 20  # region rows that a task holds before it sends them
 PIVOTS = 8
+CLASSES = 64
+REFINED = 20_000
 
 
 def ladder(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +80,55 @@ def _profiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for rows, data, off in tx.slices(batch):
             u, so = tx.shingle_sets(data, off, k)
             yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id"), rows.column("th"), pa.array(np.diff(so)), *_prints(u, so)],
-                ["doc_id", "th", "n", "f1", "f2"])
+                rows.column("doc_id"), rows.column("th"), pa.array(np.diff(so)), *_prints(u, so), _outline(u, so)],
+                ["doc_id", "th", "n", "f1", "f2", "outline"])
+
+
+def _outline(u: np.ndarray, so: np.ndarray) -> pa.Array:
+    """How many shingles each set has in each of ``CLASSES`` hash classes (at most 65535).
+
+    The counts are the set's distances to fixed pivots, the classes themselves; by the triangle
+    inequality two sets differ in at least as many shingles as their counts differ in sum.
+    """
+    doc = np.repeat(np.arange(len(so) - 1), np.diff(so))
+    slot = doc * CLASSES + (tx.mix(u ^ tx.seed(9)) % np.uint64(CLASSES)).astype(np.int64)
+    counts = np.bincount(slot, minlength=(len(so) - 1) * CLASSES).clip(max=65535).astype(np.uint16)
+    return pa.array([row.tobytes() for row in counts.reshape(-1, CLASSES)], pa.binary())
+
+
+def _refine(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by island: (cid, part) of the parts whose outlines allow links; singles are left out.
+
+    One island is in memory at a time, with 128 bytes a member; one above ``REFINED`` stays whole.
+    """
+    def parts(island, cids, n, outlines):
+        if len(cids) > REFINED:
+            return pa.RecordBatch.from_arrays([pa.array(cids), pa.array([island] * len(cids), pa.int64())], ["cid", "part"])
+        n, x = np.array(n, np.int64), np.frombuffer(b"".join(outlines), np.uint16).reshape(len(n), -1).astype(np.int32)
+        comp, done = np.arange(len(n)), np.zeros(len(n), bool)
+        while True:
+            rest = np.flatnonzero(~done & (comp != np.bincount(comp, minlength=len(n)).argmax()))
+            if not len(rest):
+                break
+            p = rest[0]
+            done[p] = True
+            near = (np.minimum(n, n[p]) * 100 >= percent * np.maximum(n, n[p])) & (
+                np.abs(x - x[p]).sum(1) * (100 + percent) <= (n + n[p]) * (100 - percent))
+            comp[np.isin(comp, comp[near])] = comp[p]
+        keep = np.flatnonzero(np.bincount(comp, minlength=len(n))[comp] > 1)
+        return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in keep], pa.int64()), pa.array([cids[comp[i]] for i in keep], pa.int64())], ["cid", "part"])
+
+    now, rows = None, ([], [], [])
+    for b in batches:
+        for island, *row in zip(*(b.column(c).to_pylist() for c in ("island", "cid", "n", "outline"))):
+            if island != now and rows[0]:
+                yield parts(now, *rows)
+                rows = ([], [], [])
+            now = island
+            for held, v in zip(rows, row):
+                held.append(v)
+    if rows[0]:
+        yield parts(now, *rows)
 
 
 def _prints(u: np.ndarray, so: np.ndarray) -> list[pa.Array]:
@@ -285,9 +336,9 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 40
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")  # a partner is at most one step away
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    profiles = cut_lineage(keyed.mapInArrow(partial(_profiles, k=k), "doc_id long, th long, n long, f1 long, f2 long"))
+    profiles = cut_lineage(keyed.mapInArrow(partial(_profiles, k=k), "doc_id long, th long, n long, f1 long, f2 long, outline binary"))
     classes = cut_lineage(profiles.filter("n > 0").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"))
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("outline").alias("outline"))
         .select("*", F.monotonically_increasing_id().alias("cid")))
 
     rows = keyed.select("text").mapInArrow(partial(_regions, k=k, percent=percent), "region long, f1 long")
@@ -298,7 +349,10 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 40
     islands = islands.unionByName(clash.join(islands, "node", "left_anti"))
 
     inside = cut_lineage(classes.join(islands, classes["f1"] == islands["node"]).select(
-        F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "cid", "f1", "f2", "n", F.col("component").alias("island")))
+        F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "cid", "f1", "f2", "n", "outline", F.col("component").alias("island")))
+    refined = inside.select("island", "cid", "n", "outline").repartition("island").sortWithinPartitions("island", "cid").mapInArrow(
+        partial(_refine, percent=percent), "cid long, part long")
+    inside = cut_lineage(inside.drop("outline", "island").join(refined, "cid").withColumnRenamed("part", "island"))
     small = measured(inside, 96)
     members = keyed.join(small, keyed["doc_id"].eqNullSafe(small["_id"]) & (keyed["th"] == small["_th"])).select(
         "text", "cid", "f1", "f2", "island").mapInArrow(partial(_sets, k=k), "island long, cid long, members binary")
