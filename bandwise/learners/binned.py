@@ -95,6 +95,7 @@ class BinnedDensity:
             i, j, m = band_search(p, values, alpha)
             return pd.DataFrame({"lower": values[i], "upper": values[j], "mid": values[m], "mode": values[p.argmax(1)]})
 
+        band = band.asNondeterministic()  # one call, not one per extracted field
         p = p.withColumn("_band", band(vector_to_array("_prob"))).drop("_x", "_prob", "_raw", "_pred")
         return p.withColumns({c: F.col(f"_band.{c}") for c in ("lower", "upper", "mid", "mode")}).drop("_band")
 

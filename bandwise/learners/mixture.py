@@ -169,6 +169,7 @@ class MixtureLayer:
                 out += r[:, c:c + 1] * np.concatenate([hidden, filled], 1)
             return pd.Series(list(out))
 
+        layer = layer.asNondeterministic()  # else the optimizer copies the call into every feature below
         d = df.withColumn("_layer", layer(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.cols])))
         return d.withColumns({n: F.get("_layer", F.lit(i)) for i, n in enumerate(self.features())}).drop("_layer")
 
