@@ -20,10 +20,11 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|``, that is ``d <= e
    are replicated there too.
 3. *Islands.* Regions that hold different sets connect them; what is connected forms an island.
    Sets of different islands cannot link. Tasks connect the sets they see themselves and send one
-   row per region, so no region grows beyond the number of tasks. Islands that only shared
-   passages hold together are taken apart by the sizes and outlines of their sets (distances to 64
-   fixed pivots; the triangle inequality rules pairs out, exactly). Each set is then sent to its
-   island once.
+   row per region, so no region grows beyond the number of tasks. An island above ``REFINED``
+   sets is connected again in Spark, with single shingles as pivots, the rarest of each set first:
+   passages that many share then tie only what consists of them. Islands up to ``REFINED`` are
+   taken apart by the sizes and outlines of their sets (distances to 64 fixed pivots; the
+   triangle inequality rules pairs out, exactly). Each set is then sent to its island once.
 4. *Recursive join in an island.* A document is taken as pivot, its distance to all others is
    computed through an inverted list, those within eps join its component; the next pivot is
    taken outside the largest component, until every document outside it has been a pivot: no
@@ -53,12 +54,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise.llm import text as tx
-from bandwise.llm.graph import connected_components, measured
+from bandwise.llm.graph import Tables, connected_components, measured
 from bandwise.operators.ranking import group_rank
 from bandwise.session import cut_lineage
 
 _MAX_SIZE = 1 << 40
 _HELD = 1 << 20  # region rows that a task holds before it sends them
+_CHUNK = 16  # bits: buckets of a row of counts
 PIVOTS = 8
 CLASSES = 64
 REFINED = 20_000
@@ -99,11 +101,9 @@ def _outline(u: np.ndarray, so: np.ndarray) -> pa.Array:
 def _refine(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by island: (cid, part) of the parts whose outlines allow links; singles are left out.
 
-    One island is in memory at a time, with 128 bytes a member; one above ``REFINED`` stays whole.
+    One island is in memory at a time, with 128 bytes a member; the caller sends none above ``REFINED``.
     """
-    def parts(island, cids, n, outlines):
-        if len(cids) > REFINED:
-            return pa.RecordBatch.from_arrays([pa.array(cids), pa.array([island] * len(cids), pa.int64())], ["cid", "part"])
+    def parts(cids, n, outlines):
         n, x = np.array(n, np.int64), np.frombuffer(b"".join(outlines), np.uint16).reshape(len(n), -1).astype(np.int32)
         comp, done = np.arange(len(n)), np.zeros(len(n), bool)
         while True:
@@ -122,13 +122,13 @@ def _refine(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     for b in batches:
         for island, *row in zip(*(b.column(c).to_pylist() for c in ("island", "cid", "n", "outline"))):
             if island != now and rows[0]:
-                yield parts(now, *rows)
+                yield parts(*rows)
                 rows = ([], [], [])
             now = island
             for held, v in zip(rows, row):
                 held.append(v)
     if rows[0]:
-        yield parts(now, *rows)
+        yield parts(*rows)
 
 
 def _prints(u: np.ndarray, so: np.ndarray) -> list[pa.Array]:
@@ -210,6 +210,111 @@ def _windows(u, so, docs, step, percent) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(regions), np.concatenate(owners)
 
 
+def _counted(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, counts): in how many sets of this task the shingles of each hash bucket occur (at most 255)."""
+    counts = np.zeros(1 << bits, np.uint32)
+    for batch in batches:
+        for _, data, off in tx.slices(batch):
+            np.add.at(counts, _bucket(tx.shingle_sets(data, off, k)[0], bits), 1)
+    chunks = counts.clip(max=255).astype(np.uint8).reshape(-1, 1 << min(bits, _CHUNK))
+    seen = np.flatnonzero(chunks.any(1))
+    if len(seen):
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array([chunks[i].tobytes() for i in seen], pa.binary())], ["chunk", "counts"])
+
+
+def _bucket(u: np.ndarray, bits: int) -> np.ndarray:
+    return (tx.mix(u ^ tx.seed(10)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk: one row a chunk with the sums (at most 255)."""
+    now, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
+    for b in batches:
+        for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts")):
+            x = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint16)
+            if chunk != now and total is not None:
+                yield row()
+                total = None
+            now, total = chunk, x if total is None else np.minimum(total + x, 255)
+    if total is not None:
+        yield row()
+
+
+def _rare(batches: Iterator[pa.RecordBatch], k: int, percent: int, bits: int, counted) -> Iterator[pa.RecordBatch]:
+    """Rows (region, f1) as of ``_regions``, with cid for f1: a region for each of a set's rarest shingles.
+
+    In any one order of all shingles two linked sets share one of their first ``n - ceil(t n) + 1``;
+    the order is by the count of the bucket, then by hash. A bucket counted once has no partner.
+    """
+    counts = counted.value
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for rows, data, off in tx.slices(batch):
+            u, so = tx.shingle_sets(data, off, k)
+            n = np.diff(so)
+            owner = np.repeat(np.arange(len(n)), n)
+            often = counts[_bucket(u, bits)]
+            order = np.lexsort((tx.mix(u ^ tx.seed(6)), often, owner))
+            first = order[np.arange(len(u)) - np.repeat(so[:-1], n) < np.repeat(n - -(-n * percent // 100) + 1, n)]
+            first = first[often[first] > 1]
+            island = tx.mix(np.asarray(rows.column("island")).astype(np.uint64))[owner[first]]
+            held.append((tx.mix(u[first] ^ tx.seed(11)) + island, np.asarray(rows.column("cid")).astype(np.uint64)[owner[first]]))
+            size += len(first)
+            if size >= _HELD:
+                yield _combined(held)
+                held, size = [], 0
+    if held:
+        yield _combined(held)
+
+
+def _connected(rows: DataFrame) -> DataFrame:
+    """Islands ``(node, component)`` of the sets that regions ``(region, f1)`` connect."""
+    hub = F.first("f1").over(Window.partitionBy("region").orderBy("f1").rowsBetween(Window.unboundedPreceding, 0))
+    return connected_components(rows.select(F.col("f1").alias("a"), hub.alias("b")).filter("a != b"))
+
+
+def _oversized(sets: DataFrame) -> DataFrame:
+    """Islands of ``sets`` with more than ``REFINED`` members."""
+    return measured(cut_lineage(sets.groupBy("island").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > REFINED).select("island")), 32)
+
+
+def _take_apart(keyed: DataFrame, inside: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``inside`` with the islands above ``REFINED`` replaced by smaller ones, and those still above.
+
+    Such an island is connected again by the rarest shingles of its sets, counted within the
+    oversized islands in at most 2**24 buckets; what stays above is counted and connected again
+    by itself, where buckets hold fewer shingles, until a round leaves more than nine tenths of it.
+    """
+    above = _oversized(inside)
+    if above.isEmpty():
+        return inside, above
+    tables = Tables(inside.sparkSession)
+    whole, large = inside.join(above, "island", "left_anti"), cut_lineage(inside.join(above, "island"))
+    ids = measured(large.select("_id", "_th", "cid", "island"), 96)
+    texts = tables.write(keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["_id"]) & (keyed["th"] == ids["_th"])).select("cid", "island", "text"))
+    while True:
+        count, total = large.agg(F.count(F.lit(1)), F.sum("n")).first()
+        bits = min(24, max(16, (4 * total).bit_length()))
+        counts = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << min(bits, _CHUNK))
+        for chunk, part in texts.mapInArrow(partial(_counted, k=k, bits=bits), "chunk long, counts binary").repartition(
+                "chunk").sortWithinPartitions("chunk").mapInArrow(_added, "chunk long, counts binary").toLocalIterator():
+            counts[chunk] = np.frombuffer(part, np.uint8)
+        counted = inside.sparkSession.sparkContext.broadcast(counts.reshape(-1))
+        found = _connected(texts.select("cid", "island", "text").mapInArrow(
+            partial(_rare, k=k, percent=percent, bits=bits, counted=counted), "region long, f1 long"))
+        large = cut_lineage(large.drop("island").join(found.select(F.col("node").alias("cid"), F.col("component").alias("island")), "cid"))
+        counted.destroy()
+        above = _oversized(large)
+        whole = whole.unionByName(large.join(above, "island", "left_anti").select(whole.columns))
+        large = cut_lineage(large.join(above, "island").select(whole.columns))
+        left = large.count()
+        if left == 0 or left > 0.9 * count:
+            return cut_lineage(whole.unionByName(large)), above
+        texts = tables.write(texts.drop("island").join(measured(large.select("cid", "island"), 32), "cid").select("cid", "island", "text"))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in tx.slices(batch):
@@ -342,16 +447,16 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 40
         .select("*", F.monotonically_increasing_id().alias("cid")))
 
     rows = keyed.select("text").mapInArrow(partial(_regions, k=k, percent=percent), "region long, f1 long")
-    hub = F.first("f1").over(Window.partitionBy("region").orderBy("f1").rowsBetween(Window.unboundedPreceding, 0))
-    edges = rows.select(F.col("f1").alias("a"), hub.alias("b")).filter("a != b")
-    islands = connected_components(edges)
+    islands = _connected(rows)
     clash = classes.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("f1").alias("node"), F.col("f1").alias("component"))
     islands = islands.unionByName(clash.join(islands, "node", "left_anti"))
 
     inside = cut_lineage(classes.join(islands, classes["f1"] == islands["node"]).select(
         F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "cid", "f1", "f2", "n", "outline", F.col("component").alias("island")))
-    refined = inside.select("island", "cid", "n", "outline").repartition("island").sortWithinPartitions("island", "cid").mapInArrow(
-        partial(_refine, percent=percent), "cid long, part long")
+    inside, above = _take_apart(keyed, inside, k, percent)
+    refined = inside.select("island", "cid", "n", "outline").join(above, "island", "left_anti").repartition("island").sortWithinPartitions(
+        "island", "cid").mapInArrow(partial(_refine, percent=percent), "cid long, part long")
+    refined = refined.unionByName(inside.join(above, "island", "left_semi").select("cid", F.col("island").alias("part")))
     inside = cut_lineage(inside.drop("outline", "island").join(refined, "cid").withColumnRenamed("part", "island"))
     small = measured(inside, 96)
     members = keyed.join(small, keyed["doc_id"].eqNullSafe(small["_id"]) & (keyed["th"] == small["_th"])).select(

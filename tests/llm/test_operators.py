@@ -130,6 +130,42 @@ def test_jaccard_of_short_sets_at_the_border(spark):
     same(got, brute.jaccard(rows, 3, 90)[0])
 
 
+def test_an_oversized_island_is_taken_apart_before_a_task_holds_it(spark, monkeypatch):
+    """Two passages tie 120 documents into one island; no task may get more than REFINED sets of it."""
+    rng = random.Random(4)
+    passages = [[f"p{i}x{j}" for j in range(25)] for i in range(2)]
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        w[20:20] = passages[i % 2] + (passages[1] if i == 0 else [])
+        for v in (w, w + ["tail"], w[:50] + [f"w{rng.randrange(10**6)}" for _ in range(35)]):
+            rows.append((len(rows), " ".join(v)))
+    refine, cut, left = ngram_join._refine, ngram_join._cut_islands, []
+
+    def watched(batches, percent):
+        held = list(batches)
+        islands = [i for b in held for i in b.column("island").to_pylist()]
+        assert all(islands.count(i) <= 20 for i in set(islands)), "an island above REFINED in one task"
+        yield from refine(iter(held), percent)
+
+    def cut_counted(large, percent):
+        left.append(large.count())
+        return cut(large, percent)
+
+    monkeypatch.setattr(ngram_join, "REFINED", 20)
+    monkeypatch.setattr(ngram_join, "_refine", watched)
+    monkeypatch.setattr(ngram_join, "_cut_islands", cut_counted)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 20).collect()
+    same(got, brute.jaccard(rows, 5, 80)[0])
+    assert left == [0]
+
+
+@pytest.mark.parametrize("refined", [1, 3])
+def test_jaccard_with_islands_that_stay_oversized(odd_docs, rows_of, monkeypatch, refined):
+    monkeypatch.setattr(ngram_join, "REFINED", refined)
+    same(ngram_join.jaccard_components(odd_docs, 3, 80, 4).collect(), brute.jaccard(rows_of, 3, 80)[0])
+
+
 def test_keep_one(odd_docs, rows_of):
     out = ngram_join.keep_one(odd_docs, 5, 80)
     assert out.columns == odd_docs.columns
