@@ -442,6 +442,12 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 40
         raise ValueError("percent must be from 75 to 100")  # a partner is at most one step away
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     profiles = cut_lineage(keyed.mapInArrow(partial(_profiles, k=k), "doc_id long, th long, n long, f1 long, f2 long, outline binary"))
+    same = cut_lineage(profiles.filter("n > 0").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
+        F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    if not same.isEmpty():  # of fully repeated rows one stands for all from here on
+        at = keyed["doc_id"].eqNullSafe(same["_id"]) & (keyed["th"] == same["_th"])
+        same = measured(same, 48)
+        keyed = keyed.join(same, at, "left_anti").unionByName(keyed.join(same, at, "left_semi").dropDuplicates(["doc_id", "text"]))
     classes = cut_lineage(profiles.filter("n > 0").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("outline").alias("outline"))
         .select("*", F.monotonically_increasing_id().alias("cid")))

@@ -166,6 +166,21 @@ def test_jaccard_with_islands_that_stay_oversized(odd_docs, rows_of, monkeypatch
     same(ngram_join.jaccard_components(odd_docs, 3, 80, 4).collect(), brute.jaccard(rows_of, 3, 80)[0])
 
 
+def test_repeated_rows_enter_an_island_once(spark, monkeypatch):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w + ["tail"] * i)) for i in range(6)] + [(2, " ".join(w + ["tail"] * 2))] * 40 + [(None, " ".join(w[1:]))] * 5
+    cut, seen = ngram_join._cut_islands, []
+
+    def once(large, percent):
+        seen.append((large.count(), large.select("cid").distinct().count()))
+        return cut(large, percent)
+
+    monkeypatch.setattr(ngram_join, "_cut_islands", once)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_components(df, 3, 90, 2).collect(), brute.jaccard(rows, 3, 90)[0])
+    assert seen[0][0] == seen[0][1] > 2
+
+
 def test_keep_one(odd_docs, rows_of):
     out = ngram_join.keep_one(odd_docs, 5, 80)
     assert out.columns == odd_docs.columns
