@@ -62,4 +62,35 @@ select doc_id, item_id, n_item::bigint as n_item, max(n_shared)::bigint as n_sha
 where 100 * n_shared >= 80 * n_item group by doc_id, item_id, n_item
 """
 
-ORACLE: dict[str, str] = {"op1_mixing": OP1, "op2_line_dedup": OP2, "op8_decontamination": OP8}
+
+
+def _lloyd(rounds: int = 10) -> str:
+    """One pair of steps (assign, mean) a round; ``c`` rows hold a centroid's number and integer components."""
+    steps = ["""
+kept as materialized (
+  select vec_id, row_number() over () as rid, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id), v) - 1 as c, v from kept
+  qualify row_number() over (order by sha256('3:' || vec_id), v) <= 8)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as materialized (
+  select rid, vec_id, kept.v, c, d from (
+    select rid, vec_id, kept.v, c.c, list_sum(list_transform(range(1, 65), lambda j: (kept.v[j] - c.v[j]) * (kept.v[j] - c.v[j])))::bigint as d
+    from kept, c{i} c) kept
+  qualify row_number() over (partition by rid order by d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (
+  select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as v from (
+    select c, j, sum(x) as s, count(*) as n from (select c, unnest(v) as x, generate_subscripts(v, 1) as j from a{i}) group by c, j) group by c),
+c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (c))""")
+    return "with" + ",".join(steps) + f"""
+select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} on a.c = c{rounds}.c
+"""
+
+
+ORACLE: dict[str, str] = {"op1_mixing": OP1, "op2_line_dedup": OP2, "op8_decontamination": OP8, "op13_centroid_clustering": _lloyd()}
