@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwise.llm import centroids, decontam, langid, linededup, mixing, pii, quality, tokenids, vectors, warc, whitening
+from bandwise.llm import centroids, decontam, langid, linededup, mixing, pii, quality, tokenids, toxicity, vectors, warc, whitening
 from bandwise.llm.ngram_join import jaccard_components
 from bandwise.llm.oracle import ORACLE  # noqa: F401  (DuckDB SQL of the queries that SQL can express)
 
@@ -56,6 +56,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivative_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.5)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_digest(table(spark, sf_dir, "embeddings"), components=16)
 
@@ -66,6 +70,6 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_pii, op4_ngram_join, op5_vector_dedup, op6_langid,
-                            op7_token_ids, op8_decontamination, op9_quality, op10_warc, op12_whitening,
-                            op13_centroid_clustering)
+                            op7_token_ids, op8_decontamination, op9_quality, op10_warc, op11_toxicity,
+                            op12_whitening, op13_centroid_clustering)
 }
