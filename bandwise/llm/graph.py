@@ -37,14 +37,19 @@ class Tables:
         df.write.parquet(path := f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self, before: int) -> None:
-        """Delete the tables written before number ``before``."""
+    def forget(self, before: int | None = None) -> None:
+        """Delete the tables written before number ``before`` (default: all)."""
         jvm = self.spark._jvm.org.apache.hadoop.fs
-        for i in range(1, before):
+        for i in range(1, self.n + 1 if before is None else before):
             path = jvm.Path(f"{self.folder}/{i}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next collection."""
+    spark._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)``: the smallest node that each node reaches. Nodes are longs.
 

@@ -21,7 +21,7 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|``, that is ``d <= e
 3. *Islands.* Regions that hold different sets connect them; what is connected forms an island.
    Sets of different islands cannot link. Tasks connect the sets they see themselves and send one
    row per region, so no region grows beyond the number of tasks. An island above ``REFINED``
-   sets is connected again in Spark, with single shingles as pivots, the rarest of each set first:
+   sets is connected again in Spark, with single shingles as pivots, the rarest of each set first by exact counts:
    passages that many share then tie only what consists of them. Islands up to ``REFINED`` are
    taken apart by the sizes and outlines of their sets (distances to 64 fixed pivots; the
    triangle inequality rules pairs out, exactly). Each set is then sent to its island once.
@@ -54,13 +54,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise.llm import text as tx
-from bandwise.llm.graph import Tables, connected_components, measured
+from bandwise.llm.graph import Tables, connected_components, measured, release
 from bandwise.operators.ranking import group_rank
 from bandwise.session import cut_lineage
 
 _MAX_SIZE = 1 << 40
 _HELD = 1 << 20  # region rows that a task holds before it sends them
-_CHUNK = 16  # bits: buckets of a row of counts
 PIVOTS = 8
 CLASSES = 64
 REFINED = 20_000
@@ -210,63 +209,32 @@ def _windows(u, so, docs, step, percent) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(regions), np.concatenate(owners)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, counts): in how many sets of this task the shingles of each hash bucket occur (at most 255)."""
-    counts = np.zeros(1 << bits, np.uint32)
+def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, cid) for every shingle of a set; islands keep their shingles apart."""
     for batch in batches:
-        for _, data, off in tx.slices(batch):
-            np.add.at(counts, _bucket(tx.shingle_sets(data, off, k)[0], bits), 1)
-    chunks = counts.clip(max=255).astype(np.uint8).reshape(-1, 1 << min(bits, _CHUNK))
-    seen = np.flatnonzero(chunks.any(1))
-    if len(seen):
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array([chunks[i].tobytes() for i in seen], pa.binary())], ["chunk", "counts"])
-
-
-def _bucket(u: np.ndarray, bits: int) -> np.ndarray:
-    return (tx.mix(u ^ tx.seed(10)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk: one row a chunk with the sums (at most 255)."""
-    now, total = None, None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
-    for b in batches:
-        for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts")):
-            x = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint16)
-            if chunk != now and total is not None:
-                yield row()
-                total = None
-            now, total = chunk, x if total is None else np.minimum(total + x, 255)
-    if total is not None:
-        yield row()
+        for rows, data, off in tx.slices(batch):
+            u, so = tx.shingle_sets(data, off, k)
+            owner = np.repeat(np.arange(len(off) - 1), np.diff(so))
+            island = tx.mix(np.asarray(rows.column("island")).astype(np.uint64))[owner]
+            yield pa.RecordBatch.from_arrays([tx.as_long(tx.mix(u ^ tx.seed(11)) + island), rows.column("cid").take(pa.array(owner))], ["h", "cid"])
 
 
-def _rare(batches: Iterator[pa.RecordBatch], k: int, percent: int, bits: int, counted) -> Iterator[pa.RecordBatch]:
-    """Rows (region, f1) as of ``_regions``, with cid for f1: a region for each of a set's rarest shingles.
+def _rarest(texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (region, f1), with cid for f1: a region for each of a set's rarest shingles.
 
     In any one order of all shingles two linked sets share one of their first ``n - ceil(t n) + 1``;
-    the order is by the count of the bucket, then by hash. A bucket counted once has no partner.
+    the order is by the number of sets of the island that hold the shingle, then by hash. The counts
+    are exact and grow with the data: every (shingle, set) is a row of one shuffle. A shingle of one set has
+    no partner but keeps its place, so only the shared ones come back to their sets.
     """
-    counts = counted.value
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        for rows, data, off in tx.slices(batch):
-            u, so = tx.shingle_sets(data, off, k)
-            n = np.diff(so)
-            owner = np.repeat(np.arange(len(n)), n)
-            often = counts[_bucket(u, bits)]
-            order = np.lexsort((tx.mix(u ^ tx.seed(6)), often, owner))
-            first = order[np.arange(len(u)) - np.repeat(so[:-1], n) < np.repeat(n - -(-n * percent // 100) + 1, n)]
-            first = first[often[first] > 1]
-            island = tx.mix(np.asarray(rows.column("island")).astype(np.uint64))[owner[first]]
-            held.append((tx.mix(u[first] ^ tx.seed(11)) + island, np.asarray(rows.column("cid")).astype(np.uint64)[owner[first]]))
-            size += len(first)
-            if size >= _HELD:
-                yield _combined(held)
-                held, size = [], 0
-    if held:
-        yield _combined(held)
+    rows = texts.select("cid", "island", "text").mapInArrow(partial(_shingles, k=k), "h long, cid long")
+    often = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    shared = rows.withColumn("c", often).filter("c > 1").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    n = F.col("n").cast("long")
+    first = n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1 - (n - F.size("s"))  # places that the unshared ones leave
+    first = F.greatest(F.lit(0), first).cast("int")
+    return shared.join(sizes.select("cid", "n"), "cid").select(F.explode(F.slice("s", F.lit(1), first)).alias("r"), "cid").select(
+        F.col("r.h").alias("region"), F.col("cid").alias("f1"))
 
 
 def _connected(rows: DataFrame) -> DataFrame:
@@ -284,35 +252,31 @@ def _take_apart(keyed: DataFrame, inside: DataFrame, k: int, percent: int) -> tu
     """``inside`` with the islands above ``REFINED`` replaced by smaller ones, and those still above.
 
     Such an island is connected again by the rarest shingles of its sets, counted within the
-    oversized islands in at most 2**24 buckets; what stays above is counted and connected again
-    by itself, where buckets hold fewer shingles, until a round leaves more than nine tenths of it.
+    island; what stays above is counted and connected again by itself, where shingles are rarer, until a
+    round leaves more than nine tenths of it. The texts concerned are written once.
     """
     above = _oversized(inside)
     if above.isEmpty():
         return inside, above
-    tables = Tables(inside.sparkSession)
+    spark = inside.sparkSession
+    tables = Tables(spark)
     whole, large = inside.join(above, "island", "left_anti"), cut_lineage(inside.join(above, "island"))
-    ids = measured(large.select("_id", "_th", "cid", "island"), 96)
-    texts = tables.write(keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["_id"]) & (keyed["th"] == ids["_th"])).select("cid", "island", "text"))
+    ids = measured(large.select("_id", "_th", "cid"), 96)
+    texts = tables.write(keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["_id"]) & (keyed["th"] == ids["_th"])).select("cid", "text"))
     while True:
-        count, total = large.agg(F.count(F.lit(1)), F.sum("n")).first()
-        bits = min(24, max(16, (4 * total).bit_length()))
-        counts = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << min(bits, _CHUNK))
-        for chunk, part in texts.mapInArrow(partial(_counted, k=k, bits=bits), "chunk long, counts binary").repartition(
-                "chunk").sortWithinPartitions("chunk").mapInArrow(_added, "chunk long, counts binary").toLocalIterator():
-            counts[chunk] = np.frombuffer(part, np.uint8)
-        counted = inside.sparkSession.sparkContext.broadcast(counts.reshape(-1))
-        found = _connected(texts.select("cid", "island", "text").mapInArrow(
-            partial(_rare, k=k, percent=percent, bits=bits, counted=counted), "region long, f1 long"))
+        count = large.count()
+        now = texts.join(measured(large.select("cid", "island"), 48), "cid")
+        found = _connected(_rarest(now, large, k, percent))
+        release(spark)
         large = cut_lineage(large.drop("island").join(found.select(F.col("node").alias("cid"), F.col("component").alias("island")), "cid"))
-        counted.destroy()
         above = _oversized(large)
         whole = whole.unionByName(large.join(above, "island", "left_anti").select(whole.columns))
         large = cut_lineage(large.join(above, "island").select(whole.columns))
         left = large.count()
         if left == 0 or left > 0.9 * count:
-            return cut_lineage(whole.unionByName(large)), above
-        texts = tables.write(texts.drop("island").join(measured(large.select("cid", "island"), 32), "cid").select("cid", "island", "text"))
+            whole = cut_lineage(whole.unionByName(large))
+            tables.forget()
+            return whole, above
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -454,6 +418,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, island_docs: int = 40
 
     rows = keyed.select("text").mapInArrow(partial(_regions, k=k, percent=percent), "region long, f1 long")
     islands = _connected(rows)
+    release(keyed.sparkSession)
     clash = classes.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("f1").alias("node"), F.col("f1").alias("component"))
     islands = islands.unionByName(clash.join(islands, "node", "left_anti"))
 
