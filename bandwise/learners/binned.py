@@ -69,13 +69,17 @@ class BinnedDensity:
     max_iter: int = 50
     reg: float = 0.0
 
-    def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "BinnedDensity":
+    def fit_bins(self, fit_df: DataFrame) -> "BinnedDensity":
         data = assemble(fit_df.select(*self.features, self.label), self.features, "_x")
         data = data.withColumn("_bin", bin_index(self.label, self.labels).cast("double"))
         self.model_ = LogisticRegression(
             featuresCol="_x", labelCol="_bin", family="multinomial", maxIter=self.max_iter,
             regParam=self.reg, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
         ).fit(data)
+        return self
+
+    def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "BinnedDensity":
+        self.fit_bins(fit_df)
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         s = conformity_scores(raw, self.label, "lower", "upper")
         self.qhat_ = scalar_qhat(conformal_fit(s, [], self.coverage, "score", ["id"]))

@@ -1,11 +1,18 @@
 """Quantile gradient boosting on Spark (``quantile_boost``; SURVEY 2.12).
 
-Each round fits a Spark ML regression tree to the negative pinball gradient
-(tau where y > F, tau - 1 otherwise), then replaces every leaf's value by the tau-quantile of the
-residuals of the rows in that leaf (``percentile_approx`` grouped by leaf: a partial aggregate, so
-a leaf holding a third of the rows is no hot spot). Leaf values are applied as a literal array
-(bounded by ``max_leaf_nodes``), so a round adds no join. The working frame is checkpointed into the
-session's checkpoint folder every few rounds, which bounds the lineage and survives executor loss.
+Rows are binned once and packed as blocks (``histtrees.Binner``, ``blocks.pack``). Each round grows a
+tree on the negative pinball gradient (tau where y > F, tau - 1 otherwise) from histograms, then
+gives every leaf the tau-quantile of its residuals, found by two passes of counts (a coarse cut
+and a fine one within it, together to 1/2^18 of the residuals' range). All boosters that are fitted at the same time
+(quantiles, folds, candidates) share these passes (``blocks.lockstep``), so their number hardly
+changes the number of Spark jobs.
+
+Part of the fit rows (``validation`` hundredths by the key hash) is kept from the trees: the root pass of a round also
+yields their pinball loss, and a booster stops when its held-out d2 score has not grown by ``tol`` for
+``patience`` rounds; the trees after the best round are dropped. Every ``checkpoint_every`` rounds the
+predictions so far are written beside the bins, which bounds the trees that a pass must apply. With
+``folder`` the written state and the boosters are kept there, and a fit that finds them goes on from the last
+written round.
 
 ``QuantileBoostInterval`` fits three boosters (lower, median, upper) on the fit part and
 calibrates them with conformalized quantile regression on the calibration part.
@@ -13,173 +20,354 @@ calibrates them with conformalized quantile regression on the calibration part.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import pickle
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.regression import DecisionTreeRegressor
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.learners.common import assemble
+from bandwise.learners.blocks import Block, Blocks, Fit, lockstep, map_blocks, pack, spread
+from bandwise.learners.histtrees import Binner, Ensemble, Growing, Tree, ensemble_columns, fit_bins
+from bandwise.operators.folds import key_hash
 from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
-from bandwise.session import cut_lineage
-
-
-def bounded_leaves(root, max_leaves: int) -> list[int]:
-    """Leaf number -> group: the tree cut back to at most ``max_leaves`` leaves, best splits first.
 
-    ``root`` is the JVM root node of a Spark tree, whose leaves are numbered from left to right.
-    Starting from the root, the node whose split gains most (gain times rows) is opened until the
-    bound is reached; all leaves below a node that stays closed form one group.
-    """
-    def split(node):
-        return node.subtreeDepth() > 0
-
-    def gain(node):
-        return node.gain() * node.impurityStats().count()
+CUTS = 512  # bins of each of the two passes for a leaf's quantile
+VALIDATION_DIGITS = 17  # hex digits of md5(key) that choose the validation rows
+FITS, HELD, OUT = 0, 1, 2  # roles of a row
 
-    def leaves(node):
-        return 1 if not split(node) else leaves(node.leftChild()) + leaves(node.rightChild())
 
-    open_ = [(0, root)]  # (first leaf, node), left to right
-    while len(open_) < max_leaves:
-        best = max((i for i, (_, n) in enumerate(open_) if split(n)), key=lambda i: gain(open_[i][1]), default=None)
-        if best is None:
-            break
-        at, node = open_[best]
-        left, right = node.leftChild(), node.rightChild()
-        open_[best:best + 1] = [(at, left), (at + leaves(left), right)]
-    starts = [at for at, _ in open_]
-    total = leaves(root)
-    return [sum(s <= i for s in starts) - 1 for i in range(total)]
+def pinball(y: np.ndarray, f: np.ndarray, tau: float) -> np.ndarray:
+    return np.where(y > f, tau * (y - f), (1 - tau) * (f - y))
 
 
 @dataclass
-class QuantileBooster:
-    """``nominal`` gives the number of categories of columns that hold category numbers."""
+class QuantileBooster(Fit):
+    """``nominal`` gives the number of categories of columns that hold category numbers.
+
+    As a ``Fit`` it reads the matrices ``bins<design>``, ``y``, ``f`` (written predictions, its column
+    ``slot``) and ``role`` (its column ``design``); with ``only`` set, of the blocks whose vector ``of`` holds that number.
+    """
 
     features: Sequence[str]
     tau: float
     label: str = "target"
-    rounds: int = 20
+    rounds: int = 1000
     learning_rate: float = 0.2
     max_depth: int = 4
     max_leaf_nodes: int = 21
     min_rows_leaf: int = 100
-    l2: float = 0.0           # shrinks a leaf's update by n / (n + l2)
-    max_bins: int = 32
-    checkpoint_every: int = 4
-    accuracy: int = 2000
-    seed: int = 0
+    l2: float = 0.0
+    bins: int = 64
+    patience: int = 10
+    tol: float = 1e-7
+    validation: int = 10
+    checkpoint_every: int = 8
     nominal: Mapping[str, int] | None = None
+    design: int = 0
+    slot: int = 0
+    only: int | None = None
     trees: list = field(default_factory=list, repr=False)
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        """``(_x, _y)`` in the checkpoint folder; boosters of one input can share it."""
-        data = assemble(df.select(*self.features, F.col(self.label).alias("_y")), self.features, "_x", self.nominal)
-        return cut_lineage(data.select("_x", "_y"))
-
-    def fit(self, df: DataFrame, vectors: DataFrame | None = None) -> "QuantileBooster":
-        data = self.vectors(df) if vectors is None else vectors
-        meta = assemble(df.limit(0).select(*self.features), self.features, "_x", self.nominal).schema["_x"].metadata
-        self.init_ = float(data.agg(F.percentile_approx("_y", self.tau, self.accuracy)).first()[0])
-        cur = data.withColumn("_f", F.lit(self.init_))
-        bins = max([self.max_bins, *(self.nominal or {}).values()])
-        self.trees = []
-        cached = []  # persisted round frames; the one from two rounds back is released
-        for r in range(self.rounds):
-            grad = F.when(F.col("_y") > F.col("_f"), F.lit(self.tau)).otherwise(F.lit(self.tau - 1.0))
-            step = cur.withMetadata("_x", meta).withColumn("_g", grad)
-            tree = DecisionTreeRegressor(
-                featuresCol="_x", labelCol="_g", maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_rows_leaf, maxBins=bins, leafCol="_leaf",
-                seed=self.seed + r,
-            ).fit(step)
-            group = bounded_leaves(tree._java_obj.rootNode(), self.max_leaf_nodes)
-            # evaluated once: the leaf quantiles and the update both read this frame
-            leafed = tree.transform(step).select("_x", "_y", "_f", _at(group, "_leaf").cast("int").alias("_leaf"))
-            leafed = leafed.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(leafed)
-            lv = leafed.groupBy("_leaf").agg(
-                F.percentile_approx(F.col("_y") - F.col("_f"), self.tau, self.accuracy).alias("q"),
-                F.count(F.lit(1)).alias("n"),
-            ).collect()  # one row per leaf: bounded by max_leaf_nodes
-            values = [0.0] * (max(group) + 1)
-            for row in lv:
-                values[row["_leaf"]] = self.learning_rate * row["q"] * row["n"] / (row["n"] + self.l2)
-            self.trees.append((tree, [values[g] for g in group]))
-            cur = leafed.select("_x", "_y", (F.col("_f") + _at(values, "_leaf")).alias("_f"))
-            if (r + 1) % self.checkpoint_every == 0:
-                cur = cut_lineage(cur)  # reliable copy in the checkpoint folder
-            while len(cached) > 2:
-                cached.pop(0).unpersist()
-        for c in cached:
-            c.unpersist()
+    # ------------------------------------------------------------ one fit of a lockstep
+
+    def begin(self, binner: Binner, low: float, high: float) -> "QuantileBooster":
+        """Ready for the first pass; the target lies between ``low`` and ``high``."""
+        self.binner_, self.low, self.high = binner, low, high
+        self.trees, self.written, self.init_, self.scores = [], 0, 0.0, []
+        self.floor, self.ceiling = 0.0, 0.0  # bounds of the predictions so far
+        self.lost = []                        # held-out loss after each round
+        self._leaves(Tree())                  # the first "tree" is a constant
+        return self
+
+    def _leaves(self, tree: Tree) -> None:
+        self.stage, self.tree = "coarse", tree
+        self.leaf = tree.leaves()
+        self.size = len(self.leaf) * CUTS
+        n = len(self.leaf)
+        self.base = np.full(n, self.low - self.ceiling)
+        self.step = np.full(n, max(self.high - self.floor - (self.low - self.ceiling), 1e-300) / CUTS)
+        self.below, self.want = np.zeros(n), None
+
+    def _grow(self) -> None:
+        self.stage = "grow"
+        self.growing = Growing(self.binner_, self.max_depth, self.max_leaf_nodes, self.min_rows_leaf, self.l2)
+        self.size = self.growing.size + 2
+
+    def pending(self) -> Ensemble:
+        """What the written predictions lack: the later trees, and the start before anything was written."""
+        return Ensemble(self.trees[self.written:], self.binner_, 0.0 if self.written else self.init_)
+
+    def part(self) -> Callable[[Block], np.ndarray]:
+        name, design, slot, tau, stage = f"bins{self.design}", self.design, self.slot, self.tau, self.stage
+        only, nothing = self.only, np.zeros(self.size)
+        behind = self.pending()
+        if stage == "grow":
+            growing, flat, slots = self.growing, self.growing.flat(), self.growing.slots()
+        else:
+            flat = Ensemble([self.tree], self.binner_)
+            slots = np.full(len(self.tree.column), -1, np.int64)
+            slots[self.leaf] = np.arange(len(self.leaf))
+            base, step, size = self.base, self.step, self.size
+
+        def run(block: Block) -> np.ndarray:
+            if only is not None and block["of"][0] != only:
+                return nothing
+            role = block["role"][:, design]
+            rows = np.flatnonzero(role != OUT)
+            bins, y, fits = block[name][rows], block["y"][rows], role[rows] == FITS
+            f = block["f"][rows, slot] + behind.predict(bins)
+            if stage == "grow":
+                at = np.where(fits, slots[flat.leaf(bins, 0)], -1)
+                sums = growing.histogram(bins, at, [np.ones(len(y)), np.where(y > f, tau, tau - 1.0)])
+                held = ~fits
+                return np.concatenate([sums, [pinball(y[held], f[held], tau).sum(), held.sum()]])
+            y, f, bins = y[fits], f[fits], bins[fits]
+            at = slots[flat.leaf(bins, 0)]
+            cut = np.floor((y - f - base[at]) / step[at])
+            if stage == "coarse":
+                return np.bincount(at * CUTS + np.clip(cut, 0, CUTS - 1).astype(np.int64), minlength=size)
+            ok = (cut >= 0) & (cut < CUTS)
+            return np.bincount(at[ok] * CUTS + cut[ok].astype(np.int64), minlength=size)
+
+        return run
+
+    def update(self, total: np.ndarray) -> bool:
+        if self.stage == "grow":
+            if len(self.growing.tree.column) == 1 and total[-1] and not self._goes_on(total[-2] / total[-1]):
+                return False
+            if self.growing.grow(total[:-2]):
+                self.size = self.growing.size + 2
+                return True
+            tree = self.growing.finish()
+            if len(tree.column) == 1:  # nothing left to split
+                return self._end()
+            self._leaves(tree)
+            return True
+        counts = total.reshape(len(self.leaf), CUTS)
+        if self.stage == "coarse":
+            n = counts.sum(1)
+            self.want = np.maximum(1, np.ceil(self.tau * n - 1e-9))
+        cum = self.below[:, None] + np.cumsum(counts, 1)
+        k = np.minimum((cum < self.want[:, None]).sum(1), CUTS - 1)
+        rows = np.arange(len(k))
+        self.below = cum[rows, k] - counts[rows, k]
+        self.base = self.base + k * self.step
+        if self.stage == "coarse":
+            self.step = self.step / CUTS
+            self.stage = "fine"
+            return True
+        value = self.base + self.step / 2
+        if not self.trees and not self.lost and not self.init_ and len(self.leaf) == 1:
+            self.init_ = float(value[0])
+            self.floor = self.ceiling = self.init_
+        else:
+            value = self.learning_rate * value
+            for leaf, v in zip(self.leaf, value):
+                self.tree.value[leaf] = float(v)
+            self.trees.append(self.tree)
+            self.floor, self.ceiling = self.floor + value.min(), self.ceiling + value.max()
+        if len(self.trees) >= self.rounds:
+            return self._end()
+        self._grow()
+        return True
+
+    def _goes_on(self, loss: float) -> bool:
+        """Note the held-out loss after the rounds so far; False when it has stopped falling."""
+        self.lost.append(loss)
+        self.scores = [1 - v / self.lost[0] if self.lost[0] else 0.0 for v in self.lost]
+        best = int(np.argmax(self.scores))
+        recent = max(self.scores[-self.patience:])
+        earlier = max(self.scores[:-self.patience], default=-np.inf)
+        if recent > earlier + self.tol:
+            return True
+        if best >= self.written:  # trees that are part of the written predictions stay noted until the end
+            self.trees = self.trees[:best]
+        else:
+            self.trees, self.written = self.trees[:best], best
+        return self._end()
+
+    def _end(self) -> bool:
+        self.stage = "done"
+        return False
+
+    def extend(self, rounds: int) -> "QuantileBooster":
+        """Go on to ``rounds`` in a later run, unless the booster has stopped by itself."""
+        stopped = len(self.trees) < self.rounds
+        self.rounds = rounds
+        if not stopped and len(self.trees) < rounds:
+            self._grow()
+        return self
+
+    def wrote(self) -> None:
+        self.written = len(self.trees)
+
+    # ------------------------------------------------------------ alone
+
+    def model(self) -> Ensemble:
+        return Ensemble(self.trees, self.binner_, self.init_)
+
+    def fit(self, df: DataFrame, folder: str | None = None) -> "QuantileBooster":
+        fit_boosters(df, [self], folder=folder)
         return self
 
     def predict(self, df: DataFrame, out: str = "q") -> DataFrame:
-        """Add column ``out``: a lazy chain of narrow projections, so it also runs on a stream."""
-        cur = assemble(df, self.features, "_x", self.nominal).withColumn(out, F.lit(self.init_))
-        for tree, values in self.trees:
-            t = tree.copy().setLeafCol("_leaf").setPredictionCol("_p")
-            cur = t.transform(cur).withColumn(out, F.col(out) + _at(values, "_leaf")).drop("_leaf", "_p")
-        return cur.drop("_x")
+        """Add column ``out`` in one Arrow call whatever the number of trees; it also runs on a stream."""
+        return ensemble_columns(df, self.features, {out: self.model()})
 
 
-def _at(values: Sequence, index: str):
-    """Element of a literal array: one look-up, whatever its length."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.col(index).cast("int"))
+def boost_blocks(df: DataFrame, features: Sequence[Sequence[str]], label: str, key: str, nominal: Mapping[str, int] | None = None, bins: int = 64,
+                 validation: int = 10, out: Sequence = (), state: int = 1) -> tuple[Blocks, list[Binner], tuple[float, float]]:
+    """Blocks for boosters of one or several designs: bins, target, roles and ``state`` columns of predictions.
+
+    ``features[d]`` names the columns of design d; ``out[d]`` is true for rows that design d may not see. Bins
+    are fitted on the rows a design sees. Rows without a target have no part.
+    """
+    out = list(out) or [F.lit(False)] * len(features)
+    held = key_hash(key, VALIDATION_DIGITS) % 100 < validation
+    data = df.filter(F.col(label).isNotNull()).select(
+        F.col(label).cast("double").alias("_y"), *dict.fromkeys(c for cols in features for c in cols),
+        *[F.when(o, OUT).when(held, HELD).otherwise(FITS).alias(f"_role{d}") for d, o in enumerate(out)])
+    raw = pack(spread(data), {"y": "_y", "role": [f"_role{d}" for d in range(len(out))], **{f"x{d}": list(c) for d, c in enumerate(features)}}, {"role": "u1"})
+    binners, at = [], df.filter(F.col(label).isNotNull())
+    same = all(list(c) == list(features[0]) for c in features)
+    if same:
+        found = fit_bins(at, features[0], nominal, bins, where={d: ~o for d, o in enumerate(out)})
+        binners = [found[d] for d in range(len(features))]
+    else:
+        binners = [fit_bins(at.filter(~o), c, nominal, bins)[0] for c, o in zip(features, out)]
+    low, high = at.agg(F.min(label), F.max(label)).first()
+
+    def binned(block: Block) -> Block:
+        return {**{f"bins{d}": b.bins(block[f"x{d}"]) for d, b in enumerate(binners)}, "f": np.zeros((int(block["n"]), state))}
+
+    shapes = {f"bins{d}": (b.kind, len(features[d])) for d, b in enumerate(binners)}
+    blocks = map_blocks(raw, binned, {**shapes, "f": ("<f8", state)})
+    keep = ["y", "role", "f", *shapes]
+    return Blocks(blocks.df.select("n", *keep), {g: blocks.shapes[g] for g in keep}), binners, (float(low or 0), float(high or 0))
+
+
+def state_writer(boosters: Sequence[QuantileBooster], folder: str | None = None, number: int = 0) -> Callable[[Blocks], Blocks]:
+    """For ``lockstep``: writes the boosters' predictions so far beside the bins whenever enough trees wait.
+
+    With ``folder`` the state and the boosters are kept there, numbered after ``number``.
+    """
+    count = [number]
+
+    def written(now: Blocks) -> Blocks:
+        if max(len(b.trees) - b.written for b in boosters) < boosters[0].checkpoint_every:
+            return now
+        late = [(b.slot, b.only, f"bins{b.design}", b.pending()) for b in boosters]
+
+        def ahead(block: Block) -> Block:
+            f = block["f"].copy()
+            for slot, only, name, trees in late:
+                if only is None or block["of"][0] == only:
+                    f[:, slot] += trees.predict(block[name])
+            return {"f": f}
+
+        now = map_blocks(now, ahead, {"f": now.shapes["f"]})
+        for b in boosters:
+            b.wrote()
+        if folder:
+            spark = now.df.sparkSession
+            count[0] += 1
+            now.df.write.mode("overwrite").parquet(f"{folder}/state-{count[0]}")
+            one = spark.createDataFrame([(bytearray(cloudpickle.dumps(list(boosters))),)], "fits binary")
+            one.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fits-{count[0]}")  # written last: it makes the state complete
+        return now
+
+    return written
+
+
+def run_boosters(blocks: Blocks, boosters: Sequence[QuantileBooster], folder: str | None = None) -> Blocks:
+    """Fit boosters that have begun, side by side; each has its own column of written predictions.
+
+    A ``folder`` that holds a written state of the same boosters is where they go on from.
+    """
+    kept = _last_state(blocks.df.sparkSession, folder) if folder else None
+    if kept is not None:
+        spark = blocks.df.sparkSession
+        blocks = Blocks(spark.read.parquet(f"{folder}/state-{kept}"), blocks.shapes)
+        saved = pickle.loads(spark.read.parquet(f"{folder}/fits-{kept}").first()["fits"])
+        for b, was in zip(boosters, saved):
+            b.__dict__.update(was.__dict__)
+    return lockstep(blocks, [b for b in boosters if b.stage != "done"], state_writer(boosters, folder, kept or 0))
+
+
+def _last_state(spark, folder: str) -> int | None:
+    """Number of the newest state in ``folder`` whose two tables are complete."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [int(n[5:]) for n in names if n.startswith("fits-") and fs.exists(jvm.Path(f"{folder}/{n}/_SUCCESS"))]
+    return max(done, default=None)
+
+
+def fit_boosters(df: DataFrame, boosters: Sequence[QuantileBooster], key: str = "id", out: Iterable = (), folder: str | None = None) -> None:
+    """Fit ``boosters`` side by side on ``df``; booster b sees the rows where ``out[b.design]`` is false."""
+    first, designs = boosters[0], 1 + max(b.design for b in boosters)
+    features = [next(b.features for b in boosters if b.design == d) for d in range(designs)]
+    if key not in df.columns:
+        df = df.withColumn(key, F.xxhash64(*[F.col(c) for c in dict.fromkeys([*first.features, first.label])]))
+    blocks, binners, (low, high) = boost_blocks(df, features, first.label, key, first.nominal, first.bins, first.validation, list(out), len(boosters))
+    for i, b in enumerate(boosters):
+        b.slot = i
+        b.begin(binners[b.design], low, high)
+    run_boosters(blocks, boosters, folder)
 
 
 #: FIXED VALUES: the grid that ``QuantileBoostInterval(grid=True)`` searches for each quantile
 BOOST_GRID = {"l2": [0.0, 1.0, 2.0], "learning_rate": [0.15, 0.2]}
 
 
+def interval_taus(coverage: float) -> tuple[float, float, float]:
+    return (1 - coverage) / 2, 0.5, coverage + (1 - coverage) / 2
+
+
 @dataclass
 class QuantileBoostInterval:
-    """Three boosters fitted as concurrent Spark jobs (``parallelism`` driver threads, as
-    ``CrossValidator(parallelism=...)`` does), then conformalized on the calibration part.
+    """Three boosters fitted side by side, then conformalized on the calibration part.
 
-    The boosters share one copy of the vectors. With ``grid`` every quantile first searches
-    ``BOOST_GRID`` by cross-validated d2 pinball score over ``grid_folds`` folds of the key hash and is
-    refitted with its best point (kept in ``best_``).
+    With ``grid`` every quantile first searches ``BOOST_GRID`` by cross-validated d2 pinball score over
+    ``grid_folds`` folds of the key hash and is refitted with its best point (kept in ``best_``); all candidates,
+    quantiles and folds are fitted in the same passes.
     """
 
     features: Sequence[str]
     label: str = "target"
     coverage: float = 0.9
     params: dict = field(default_factory=dict)
-    parallelism: int = 3
     nominal: Mapping[str, int] | None = None
     grid: bool = False
     grid_folds: int = 3
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "QuantileBoostInterval":
-        lo_t, hi_t = (1 - self.coverage) / 2, self.coverage + (1 - self.coverage) / 2
-        taus = (lo_t, 0.5, hi_t)
+        taus = interval_taus(self.coverage)
         self.best_ = [dict(self.params) for _ in taus]
         if self.grid:
-            from bandwise.plans.tuning import grid_search
+            from bandwise.plans.tuning import grid_candidates, search_taus
 
-            for i, t in enumerate(taus):
-                _, best = grid_search(fit_df.sparkSession, fit_df, self.features, t, self.grid_folds, self.label, base=self.params, nominal=self.nominal)
-                self.best_[i] = best
+            self.best_ = search_taus(fit_df, self.features, taus, grid_candidates(BOOST_GRID), self.grid_folds, self.label, base=self.params, nominal=self.nominal)
         boosters = [QuantileBooster(self.features, t, self.label, nominal=self.nominal, **p) for t, p in zip(taus, self.best_)]
-        vectors = boosters[0].vectors(fit_df)
-        with ThreadPoolExecutor(max_workers=max(1, self.parallelism)) as pool:
-            fitted = list(pool.map(lambda b: b.fit(fit_df, vectors), boosters))
-        self.lower_, self.median_, self.upper_ = fitted
+        fit_boosters(fit_df, boosters)
+        return self.calibrate(boosters, cal_df)
+
+    def calibrate(self, boosters: Sequence[QuantileBooster], cal_df: DataFrame) -> "QuantileBoostInterval":
+        self.lower_, self.median_, self.upper_ = boosters
         raw = self._raw(cal_df.select("id", *self.features, self.label))
         scores = conformity_scores(raw, self.label, "lower", "upper")
         self.qhat_ = scalar_qhat(conformal_fit(scores, [], self.coverage, "score", ["id"]))
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:
-        d = self.lower_.predict(df, "lower")
-        d = self.median_.predict(d, "mid")
-        return self.upper_.predict(d, "upper")
+        models = {"lower": self.lower_, "mid": self.median_, "upper": self.upper_}
+        return ensemble_columns(df, self.features, {n: b.model() for n, b in models.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         d = self._raw(df)

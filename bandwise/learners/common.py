@@ -93,6 +93,23 @@ def linear(cols: Sequence[str], w: Sequence[float], b: float):
     return e
 
 
+def arrow_columns(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``df`` with the columns ``outputs``: ``fn`` of the matrix of ``inputs`` (missing is NaN), one Arrow call for all.
+
+    A model applied in this way is one node of the plan, whatever its number of features, heads or trees.
+    """
+    outputs = list(outputs)
+
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in outputs))
+    def apply(*cols: pd.Series) -> pd.DataFrame:
+        x = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in cols])
+        return pd.DataFrame(np.asarray(fn(x), float).reshape(len(x), len(outputs)), columns=outputs)
+
+    apply = apply.asNondeterministic()  # one call, not one for each extracted field
+    d = df.withColumn("_applied", apply(*[F.col(c).cast("double") for c in inputs]))
+    return d.withColumns({n: F.col(f"_applied.`{n}`") for n in outputs}).drop("_applied")
+
+
 def matrix_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all rows of ``fn(rows)``, a vector for a matrix of rows of ``cols`` (missing is NaN).
 

@@ -31,13 +31,17 @@ class ForestInterval:
     max_bins: int = 32
     nominal: Mapping[str, int] | None = None
 
-    def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "ForestInterval":
+    def fit_trees(self, fit_df: DataFrame) -> "ForestInterval":
         data = assemble(fit_df.select(*self.features, self.label), self.features, "_x", self.nominal)
         self.model_ = RandomForestRegressor(
             featuresCol="_x", labelCol=self.label, predictionCol="mid", numTrees=self.num_trees,
             maxDepth=self.max_depth, minInstancesPerNode=self.min_rows_leaf,
             subsamplingRate=self.subsampling, seed=self.seed, maxBins=max([self.max_bins, *(self.nominal or {}).values()]),
         ).fit(data)
+        return self
+
+    def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "ForestInterval":
+        self.fit_trees(fit_df)
         cal = self._mid(cal_df.select("id", *self.features, self.label))
         self.qhat_ = scalar_qhat(conformal_abs_residual(cal, [], self.coverage, self.label, "mid", ["id"]))
         return self

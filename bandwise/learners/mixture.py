@@ -2,7 +2,7 @@
 (``em_mixture_missing``, ``expected_relu_features``; SURVEY 2.12), re-aimed to full-data EM.
 
 E-step: per row and component, log weight + masked normal log-density (missing terms add 0),
-softmax across components. M-step: one pass of matrix partial sums of, per component,
+softmax across components. M-step: one pass of block sums of, per component,
 sum r, and per (component, column) sum r*x~, sum r*x~^2 and sum r*[x missing], where x~ is x or
 the current component mean when x is missing (null or NaN). Means and variances follow the in-fill rule
 (variance of a missing entry adds the component's current variance) plus ``gamma``, and are kept
@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import AS_A, AS_P, expected_relu, softmax_weights
-from bandwise.learners.common import matrix_sums
-from bandwise.session import cut_lineage
+from bandwise.learners.blocks import Block, Fit, lockstep, pack, spread
 
 
 @dataclass
@@ -75,46 +74,66 @@ class MissingMixture:
         self.vars = np.array([[max(row[f"v{j}"] or 1.0, 1e-6)] * self.k for j in range(p)], dtype=float).T
         self.weights = np.full(self.k, 1.0 / self.k)
 
-    def _sums(self, df: DataFrame) -> tuple:
-        """Row count, log-likelihood, and per component: sum r, sum r x~, sum r x~^2, sum r [missing]."""
-        k, p = self.k, len(self.cols)
-        means, vars_, logw = self.means, self.vars, np.log(np.maximum(self.weights, 1e-300))
+    def fit(self, df: DataFrame) -> "MissingMixture":
+        data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in self.cols])
+        if self.means is None:
+            self.init(data)
+        lockstep(pack(spread(data), {"x": list(self.cols)}), [MixtureFit(self, "x", lambda b: np.ones(len(b["x"]), bool))])
+        return self
+
+
+class MixtureFit(Fit):
+    """The iterations of one ``MissingMixture`` over the matrix ``x`` of blocks (missing is NaN).
+
+    ``mean`` and ``sd`` standardise the matrix first. A pass yields the row count, the log-likelihood, and
+    for each component sum r, sum r x~, sum r x~^2 and sum r [missing].
+    """
+
+    def __init__(self, mix: MissingMixture, x: str, seen, mean=0.0, sd=1.0):
+        self.mix, self.x, self.seen, self.mean, self.sd, self.it = mix, x, seen, mean, sd, 0
+        self.size = 2 + mix.k + 3 * mix.k * len(mix.cols)
+
+    def part(self):
+        mix, name, seen, mean, sd = self.mix, self.x, self.seen, self.mean, self.sd
+        k, means, vars_, logw = mix.k, mix.means, mix.vars, np.log(np.maximum(mix.weights, 1e-300))
 
-        def part(x):
+        def run(block: Block) -> np.ndarray:
+            x = (block[name][seen(block)] - mean) / sd
             gone = np.isnan(x)
-            out, terms, filled = [], np.empty((len(x), k)), []
-            for c in range(k):
-                xt = np.where(gone, means[c], x)
-                ll = -((xt - means[c]) ** 2) / vars_[c] / 2 - np.log(2 * np.pi * vars_[c]) / 2
-                terms[:, c] = logw[c] + np.where(gone, 0.0, ll).sum(1)
-                filled.append(xt)
-            top = terms.max(1, keepdims=True)
-            e = np.exp(terms - top)
-            r = e / e.sum(1, keepdims=True)
-            out = [[len(x), (top[:, 0] + np.log(e.sum(1))).sum()], r.sum(0)]
+            r, ll, filled = component_weights(x, gone, means, vars_, logw)
+            out = [[len(x), ll.sum()], r.sum(0)]
             out += [np.concatenate([r[:, c] @ filled[c], r[:, c] @ filled[c] ** 2, r[:, c] @ gone]) for c in range(k)]
             return np.concatenate(out)
 
-        v = matrix_sums(df, self.cols, part)
-        s = v[2 + k:].reshape(k, 3, p)
-        return v[0], v[1] / v[0], v[2:2 + k], s[:, 0], s[:, 1], s[:, 2]
-
-    def fit(self, df: DataFrame) -> "MissingMixture":
-        data = cut_lineage(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in self.cols]))
-        if self.means is None:
-            self.init(data)
-        for it in range(1, self.iterations + 1):
-            n, ll, sr, s1, s2, sm = self._sums(data)
-            self.history.append(float(ll))  # of the parameters the iteration started from
-            sr_ = np.maximum(sr, 1e-300)[:, None]
-            new_means = ((it - 1) * self.means + s1 / sr_) / it
-            dev = (s2 - 2 * new_means * s1 + new_means ** 2 * sr[:, None]) / sr_
-            v_batch = dev + sm * self.vars / sr_ + self.gamma
-            self.vars = ((it - 1) * self.vars + v_batch) / it
-            self.means = new_means
-            self.weights = ((it - 1) * self.weights + sr / n) / it
-        self.history.append(float(self._sums(data)[1]))  # after the last update
-        return self
+        return run
+
+    def update(self, v: np.ndarray) -> bool:
+        m, k = self.mix, self.mix.k
+        n, ll, sr = v[0], v[1] / v[0], v[2:2 + k]
+        s1, s2, sm = v[2 + k:].reshape(k, 3, len(m.cols)).transpose(1, 0, 2)
+        m.history.append(float(ll))  # of the parameters the iteration started from, and after the last one
+        if self.it == m.iterations:
+            return False
+        self.it += 1
+        it, sr_ = self.it, np.maximum(sr, 1e-300)[:, None]
+        new_means = ((it - 1) * m.means + s1 / sr_) / it
+        dev = (s2 - 2 * new_means * s1 + new_means ** 2 * sr[:, None]) / sr_
+        v_batch = dev + sm * m.vars / sr_ + m.gamma
+        m.vars = ((it - 1) * m.vars + v_batch) / it
+        m.means = new_means
+        m.weights = ((it - 1) * m.weights + sr / n) / it
+        return True
+
+
+def component_weights(x: np.ndarray, gone: np.ndarray, means: np.ndarray, vars_: np.ndarray, logw: np.ndarray):
+    """Weights of the components for every row, its log-likelihood, and the rows filled in by each component."""
+    filled = [np.where(gone, m, x) for m in means]
+    terms = np.stack([lw + np.where(gone, 0.0, -((f - m) ** 2) / v / 2 - np.log(2 * np.pi * v) / 2).sum(1)
+                      for f, m, v, lw in zip(filled, means, vars_, logw)], 1)
+    top = terms.max(1, keepdims=True)
+    e = np.exp(terms - top)
+    total = e.sum(1, keepdims=True)
+    return e / total, top[:, 0] + np.log(total[:, 0]), filled
 
 
 @dataclass
@@ -142,32 +161,36 @@ class MixtureLayer:
         scaled = df.select(*[((c - F.lit(float(m))) / F.lit(float(s))).alias(n)
                              for n, c, m, s in zip(self.cols, [F.col(c).cast("double") for c in self.cols], self.mean_, self.sd_)])
         self.mix_ = MissingMixture(list(self.cols), self.k, iterations=self.iterations).fit(scaled)
+        return self.units_of()
+
+    def units_of(self) -> "MixtureLayer":
+        """The fixed random units."""
         rng = np.random.default_rng(self.seed)
         self.W_ = rng.standard_normal((len(self.cols), self.units)) / np.sqrt(len(self.cols))
         self.b_ = rng.standard_normal(self.units) * 0.5
         return self
 
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """Expected units and inputs of every row (missing is NaN)."""
+        x = (x - self.mean_) / self.sd_
+        gone = np.isnan(x)
+        mix = self.mix_
+        r, _, filled = component_weights(x, gone, mix.means, mix.vars, np.log(np.maximum(mix.weights, 1e-300)))
+        out = np.zeros((len(x), self.W_.shape[1] + x.shape[1]))
+        for c, f in enumerate(filled):
+            hidden = _expected_relu(f @ self.W_ + self.b_, (gone * mix.vars[c]) @ (self.W_ * self.W_))
+            out += r[:, c:c + 1] * np.concatenate([hidden, f], 1)
+        return out
+
     def features(self) -> list[str]:
         return [f"_h{u}" for u in range(self.units)] + [f"_e{j}" for j in range(len(self.cols))]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        mean, sd, W, b = self.mean_, self.sd_, self.W_, self.b_
-        mu, var, logw = self.mix_.means, self.mix_.vars, np.log(np.maximum(self.mix_.weights, 1e-300))
+        outputs, width = self.outputs, len(self.cols)
 
         @F.pandas_udf("array<double>")
         def layer(rows: pd.Series) -> pd.Series:
-            x = (np.array(rows.tolist(), float).reshape(len(rows), len(mean)) - mean) / sd
-            gone = np.isnan(x)
-            terms = np.stack([logw[c] + np.where(gone, 0.0, -((np.where(gone, mu[c], x) - mu[c]) ** 2) / var[c] / 2 - np.log(2 * np.pi * var[c]) / 2).sum(1)
-                              for c in range(len(mu))], 1)
-            r = np.exp(terms - terms.max(1, keepdims=True))
-            r /= r.sum(1, keepdims=True)
-            out = np.zeros((len(x), W.shape[1] + x.shape[1]))
-            for c in range(len(mu)):
-                filled = np.where(gone, mu[c], x)
-                hidden = _expected_relu(filled @ W + b, (gone * var[c]) @ (W * W))
-                out += r[:, c:c + 1] * np.concatenate([hidden, filled], 1)
-            return pd.Series(list(out))
+            return pd.Series(list(outputs(np.array(rows.tolist(), float).reshape(len(rows), width))))
 
         layer = layer.asNondeterministic()  # else the optimizer copies the call into every feature below
         d = df.withColumn("_layer", layer(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.cols])))

@@ -22,11 +22,67 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.distributions import SPREAD_OFFSET, normal_draw, shash_nll, shash_quantile
-from bandwise.functions.scalars import sigmoid, softplus
-from bandwise.learners.common import adam, matrix_sums
-from bandwise.operators.orderstats import min_width_shift, with_hdi
-from bandwise.session import cut_lineage
+from bandwise.functions.distributions import SPREAD_OFFSET, normal_draw, normal_ppf, shash_nll, shash_quantile
+from bandwise.functions.scalars import softplus
+from bandwise.learners.blocks import Adam, Block, Fit, lockstep, pack, spread
+from bandwise.learners.common import arrow_columns, matrix_sums
+from bandwise.operators.orderstats import shift_grid, with_hdi
+
+
+def shash_sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray, fit_tail: bool = True) -> np.ndarray:
+    """Summed gradient of the loss over rows of features and target, and the number of rows."""
+    x = np.column_stack([np.nan_to_num(x, nan=0.0), np.ones(len(x))])
+    a = x @ theta.reshape(4, x.shape[1]).T
+    gate = 1.0 / (1.0 + np.exp(-np.clip(a[:, 1:], -500, 500)))
+    s, k = gate[:, 0] + SPREAD_OFFSET, gate[:, 1] - 0.5
+    t = 0.95 + 0.1 * gate[:, 2] if fit_tail else np.ones(len(x))
+    z = (y - a[:, 0]) / (s * t)
+    A = np.arcsinh(z)
+    w = t * A - k
+    S, C = np.sinh(w), np.cosh(w)
+    D = S ** 3 / (1 + S ** 2)
+    gz = D * C * t / np.sqrt(1 + z * z) + z / (1 + z * z)
+    slope = gate * (1 - gate)
+    g = np.column_stack([-gz / (s * t), (-gz * z / s + 1 / s) * slope[:, 0], -D * C * slope[:, 1],
+                         (-gz * z / t + D * C * A) * 0.1 * slope[:, 2] * fit_tail])
+    return np.append((g.T @ x).ravel(), len(x))
+
+
+class ShashFit(Fit):
+    """The steps of one ``ShashRegression`` over the matrix ``x`` and the target ``y`` of blocks.
+
+    ``seen(block)`` gives the rows it may see. The first pass yields the mean and the deviation of the target.
+    """
+
+    def __init__(self, model: "ShashRegression", x: str, y: str, seen):
+        self.model, self.x, self.y, self.seen, self.adam = model, x, y, seen, None
+        self.size = 3
+
+    def part(self):
+        x, y, seen, tail = self.x, self.y, self.seen, self.model.fit_tail
+        theta = self.adam.theta if self.adam else None
+
+        def run(block: Block) -> np.ndarray:
+            rows = seen(block) & np.isfinite(block[y])
+            v = block[y][rows]
+            if theta is None:
+                return np.array([len(v), v.sum(), (v * v).sum()])
+            return shash_sums(block[x][rows], v, theta, tail)
+
+        return run
+
+    def update(self, total: np.ndarray) -> bool:
+        m = self.model
+        if self.adam is None:
+            n = max(total[0], 1.0)
+            mean = total[1] / n
+            m.start_ = m.start(mean, float(np.sqrt(max(total[2] / n - mean * mean, 0.0))))
+            self.adam = Adam(m.start_.copy(), m.lr)
+            self.size = len(m.start_) + 1
+        else:
+            self.adam.step(total[:-1] / total[-1])
+        m.theta = self.adam.theta
+        return self.adam.t < m.steps
 
 
 @dataclass
@@ -40,74 +96,54 @@ class ShashRegression:
     scale: float = 1000.0
     theta: np.ndarray = field(default=None, repr=False)
 
-    def _heads(self, theta):
-        p = len(self.features)
-        x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features]
-        blocks = [theta[h * (p + 1):(h + 1) * (p + 1)] for h in range(4)]
-
-        def lin(b):
-            e = F.lit(float(b[p]))
-            for xj, wj in zip(x, b[:p]):
-                e = e + xj * F.lit(float(wj))
-            return e
-
-        a_c, a_s, a_k, a_t = (lin(b) for b in blocks)
-        sig_s, sig_k, sig_t = sigmoid(a_s), sigmoid(a_k), sigmoid(a_t)
-        tail = (F.lit(0.95) + F.lit(0.1) * sig_t) if self.fit_tail else F.lit(1.0)
-        return x, a_c, sig_s, sig_k - F.lit(0.5), tail, sig_s, sig_k, sig_t
-
     def gradient(self, df: DataFrame, theta: np.ndarray) -> np.ndarray:
         """Mean gradient of the loss over all rows, in one pass (see the module's formulas)."""
-        p, fit_tail = len(self.features), self.fit_tail
-
-        def part(rows):
-            x = np.column_stack([np.nan_to_num(rows[:, :p], nan=0.0), np.ones(len(rows))])
-            a = x @ theta.reshape(4, p + 1).T
-            gate = 1.0 / (1.0 + np.exp(-np.clip(a[:, 1:], -500, 500)))
-            s, k = gate[:, 0] + SPREAD_OFFSET, gate[:, 1] - 0.5
-            t = 0.95 + 0.1 * gate[:, 2] if fit_tail else np.ones(len(rows))
-            z = (rows[:, p] - a[:, 0]) / (s * t)
-            A = np.arcsinh(z)
-            w = t * A - k
-            S, C = np.sinh(w), np.cosh(w)
-            D = S ** 3 / (1 + S ** 2)
-            gz = D * C * t / np.sqrt(1 + z * z) + z / (1 + z * z)
-            slope = gate * (1 - gate)
-            g = np.column_stack([-gz / (s * t), (-gz * z / s + 1 / s) * slope[:, 0], -D * C * slope[:, 1],
-                                 (-gz * z / t + D * C * A) * 0.1 * slope[:, 2] * fit_tail])
-            return np.append((g.T @ x).ravel(), len(rows))
-
-        total = matrix_sums(df, [*self.features, self.label], part)
+        p = len(self.features)
+        total = matrix_sums(df, [*self.features, self.label], lambda rows: shash_sums(rows[:, :p], rows[:, p], theta, self.fit_tail))
         return total[:-1] / total[-1]
 
-    def fit(self, df: DataFrame) -> "ShashRegression":
-        data = cut_lineage(df.select(*self.features, self.label).filter(F.col(self.label).isNotNull()))
-        st = data.agg(F.count(F.lit(1)).alias("n"), F.avg(self.label).alias("m"),
-                      F.stddev_pop(self.label).alias("s")).first()
+    def start(self, mean: float, sd: float) -> np.ndarray:
+        """Parameters before the first step: the target's mean, and its deviation as spread."""
         p = len(self.features)
         theta = np.zeros(4 * (p + 1))
-        theta[p] = st["m"]
-        sd = min(max(st["s"], 1e-3), 0.99)
+        theta[p] = mean
+        sd = min(max(sd, 1e-3), 0.99)
         theta[2 * (p + 1) - 1] = np.log(sd / (1 - sd))  # spread = sigmoid(b) starts at the sd
-        self.start_ = theta.copy()
-        self.theta = adam(theta, lambda th: self.gradient(data, th), self.steps, self.lr)
+        return theta
+
+    def fit(self, df: DataFrame) -> "ShashRegression":
+        blocks = pack(spread(df.filter(F.col(self.label).isNotNull())), {"x": list(self.features), "y": self.label})
+        lockstep(blocks, [ShashFit(self, "x", "y", lambda b: np.ones(len(b["y"]), bool))])
         return self
 
+    def heads(self, x: np.ndarray) -> np.ndarray:
+        """Center, spread, skew and tail of every row of features."""
+        x = np.column_stack([np.nan_to_num(x, nan=0.0), np.ones(len(x))])
+        a = x @ self.theta.reshape(4, x.shape[1]).T
+        gate = 1.0 / (1.0 + np.exp(-np.clip(a[:, 1:], -500, 500)))
+        tail = 0.95 + 0.1 * gate[:, 2] if self.fit_tail else np.ones(len(x))
+        return np.column_stack([a[:, 0], gate[:, 0], gate[:, 1] - 0.5, tail])
+
+    def intervals(self, x: np.ndarray) -> np.ndarray:
+        """The heads and the narrowest of 20 z-shifted endpoint pairs (``min_width_shift``) with the median, raw units."""
+        heads = self.heads(x)
+        half = (1.0 - self.coverage) / 2.0
+        z = np.array([[normal_ppf(half) - b, normal_ppf(1.0 - half) - b] for b in shift_grid(self.coverage, 20)] + [[0.0, 0.0]])
+        c, s, k, t = (heads[:, i, None, None] for i in range(4))
+        q = np.logaddexp(0, c + t * (s + SPREAD_OFFSET) * np.sinh(np.arcsinh(z) / t + k / t)) * self.scale
+        best = np.argmin(q[:, :-1, 1] - q[:, :-1, 0], axis=1)
+        rows = np.arange(len(x))
+        return np.column_stack([heads, q[rows, best, 0], q[rows, best, 1], q[:, -1, 0]])
+
     def loss(self, df: DataFrame) -> float:
-        _, c, spread, skew, tail, *_ = self._heads(self.theta)
-        return df.agg(F.avg(shash_nll(self.label, c, spread, skew, tail))).first()[0]
+        return self.params(df).agg(F.avg(shash_nll(self.label, "center", "spread", "skew", "tail"))).first()[0]
 
     def params(self, df: DataFrame) -> DataFrame:
-        _, c, spread, skew, tail, *_ = self._heads(self.theta)
-        return df.withColumns({"center": c, "spread": spread, "skew": skew, "tail": tail})
+        return arrow_columns(df, self.features, ["center", "spread", "skew", "tail"], self.heads)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Closed-form interval: narrowest of 20 z-shifted endpoint pairs, raw units."""
-        d = self.params(df)
-        b = min_width_shift("center", "spread", "skew", "tail", self.coverage, 20, self.scale)
-        return d.withColumns({"lower": b["lower"], "upper": b["upper"],
-                              "mid": softplus(shash_quantile(F.lit(0.0), "center", "spread", "skew", "tail"))
-                              * F.lit(self.scale)})
+        """The four heads and the closed-form interval, from one Arrow call."""
+        return arrow_columns(df, self.features, ["center", "spread", "skew", "tail", "lower", "upper", "mid"], self.intervals)
 
     def _draw_value(self, d, seed: int):
         """SHASH quantile of draw ``d`` for the current row: a standard-normal draw from a hash of

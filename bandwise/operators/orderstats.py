@@ -117,13 +117,14 @@ def hdi(
 ) -> DataFrame:
     """Narrowest interval holding floor(alpha*n)+1 consecutive sorted samples, per group.
 
-    With s the sorted sample and m = floor(alpha*n): minimise s[i+m] - s[i]; first minimum wins.
+    With s the sorted sample and m = floor(alpha*n), n-1 at most: minimise s[i+m] - s[i]; first minimum
+    wins. Null values are no samples; a group of nothing else has no interval.
     Self equi-join on (keys, rank) -> (keys, rank + m): join keys are unique, so no skew. Only ranks
     1..n-m can start an interval and m+1..n end one; both sides are cut to these before the join.
     """
     keys = list(keys)
-    r = group_rank(df.select(*keys, value, *tiebreak), keys, value, list(tiebreak))
-    m = F.floor(F.col("n").cast("double") * F.lit(alpha)).cast("long")
+    r = group_rank(df.select(*keys, value, *tiebreak).filter(F.col(value).isNotNull()), keys, value, list(tiebreak))
+    m = F.least(F.floor(F.col("n").cast("double") * F.lit(alpha)).cast("long"), F.col("n") - 1)
     left = r.filter(F.col("rank") <= F.col("n") - m).select(*keys, F.col("rank").alias("_i"), (F.col("rank") + m).alias("_j"),
                     F.col(value).alias("lower"))
     right = r.filter(F.col("rank") > m).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rank").alias("_rj"),
@@ -144,28 +145,29 @@ def hdi_sorted(sorted_col: str, alpha: float = 0.9) -> Column:
     """Row-local HDI of an already sorted array column; returns struct(w, i, lower, upper).
 
     The lambda reads the sorted array by column reference, so it is sorted once per row
-    (an inline ``array_sort`` would be re-evaluated for every element access).
+    (an inline ``array_sort`` would be re-evaluated for every element access). An empty or null
+    array gives null.
     """
     s = F.col(sorted_col)
-    n = F.size(s)
-    m = F.floor(n.cast("double") * F.lit(alpha)).cast("int")
+    n = F.greatest(F.size(s), F.lit(0))
+    m = F.least(F.floor(n.cast("double") * F.lit(alpha)).cast("int"), n - 1)
     cands = F.transform(
-        F.sequence(F.lit(0), n - m - 1),
+        F.sequence(F.lit(0), F.greatest(n - m - 1, F.lit(0))),
         lambda i: F.struct(
-            (F.element_at(s, i + m + 1) - F.element_at(s, i + 1)).alias("w"),
+            (F.get(s, i + m) - F.get(s, i)).alias("w"),
             i.alias("i"),
-            F.element_at(s, i + 1).alias("lower"),
-            F.element_at(s, i + m + 1).alias("upper"),
+            F.get(s, i).alias("lower"),
+            F.get(s, i + m).alias("upper"),
         ),
     )
-    return F.array_min(cands)
+    return F.when(n > 0, F.array_min(cands))
 
 
 def with_hdi(df: DataFrame, samples, alpha: float = 0.9, keep: Sequence[str] = ("id",)) -> DataFrame:
     """``keep`` columns plus ``lower``, ``upper``: the HDI of each row's sample array (for groups
-    bounded by a draw count). Sort, search and unpack are separate projections."""
+    bounded by a draw count; nulls are no samples). Sort, search and unpack are separate projections."""
     keep = list(keep)
-    d = df.select(*keep, F.array_sort(_c(samples)).alias("_sorted"))
+    d = df.select(*keep, F.array_sort(F.array_compact(_c(samples))).alias("_sorted"))
     d = d.select(*keep, hdi_sorted("_sorted", alpha).alias("_b"))
     return d.select(*keep, F.col("_b.lower").alias("lower"), F.col("_b.upper").alias("upper"))
 

@@ -247,15 +247,20 @@ def categories_dict(cats: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def ordinal_encode(df: DataFrame, cats: DataFrame, cols: Sequence[str], null_code: int = -1) -> DataFrame:
+def category_sides(cats: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """The level table of each column, measured for a join (and written once, if it is used often)."""
+    return {f: measured(cats.filter(F.col("column") == f).select(F.col("category").alias("_category"), F.col("code").alias("_code"))) for f in cols}
+
+
+def ordinal_encode(df: DataFrame, cats: DataFrame | Mapping[str, DataFrame], cols: Sequence[str], null_code: int = -1) -> DataFrame:
     """value -> its code in ``cats(column, category, code)``; null -> ``null_code``; unseen -> null.
 
-    One lookup join per column, broadcast where the column's measured level table is small.
+    One lookup join per column, broadcast where the column's measured level table is small. ``cats`` may be
+    the ``category_sides`` of the columns.
     """
-    names = df.columns
+    names, sides = df.columns, cats if isinstance(cats, Mapping) else category_sides(cats, cols)
     for f in cols:
-        side = cats.filter(F.col("column") == f).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
-        df = df.join(measured(side), F.col(f) == F.col("_category"), "left")
+        df = df.join(sides[f], F.col(f) == F.col("_category"), "left")
         df = df.withColumn(f, F.when(F.col(f).isNull(), F.lit(null_code)).otherwise(F.col("_code")).cast("int")).drop("_category", "_code")
     return df.select(*names)
 

@@ -151,7 +151,8 @@ def d2_pinball(
     """1 - pinball(model) / pinball(constant tau-quantile of y), per group.
 
     The constant baseline is the group's exact interpolated quantile, joined back by group
-    (one row per group, AQE broadcasts it when small).
+    (one row per group, AQE broadcasts it when small). Where the baseline has no loss (a constant
+    target) a model without loss scores 1, any other 0; below two rows the score is null.
     """
     by = list(by)
     base = exact_quantile(df, y, tau, by, tiebreak, out="_base")
@@ -162,9 +163,11 @@ def d2_pinball(
     return j.groupBy(*by).agg(
         F.avg(pinball_row(y, q, tau)).alias("pinball"),
         F.avg(pinball_row(y, "_base", tau)).alias("pinball_base"),
+        F.count(y).alias("_n"),
     ).select(
         *by, "pinball", "pinball_base",
-        (F.lit(1.0) - F.col("pinball") / F.col("pinball_base")).alias("d2_pinball"),
+        F.when(F.col("_n") >= 2, F.when(F.col("pinball_base") != 0, F.lit(1.0) - F.try_divide("pinball", "pinball_base"))
+               .otherwise((F.col("pinball") == 0).cast("double"))).alias("d2_pinball"),
     )
 
 

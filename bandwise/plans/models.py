@@ -9,6 +9,7 @@ from __future__ import annotations
 import copy
 from typing import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ FAMILY_KIND = {
     "eim": "nn_eim",
 }
 
-TREE_FAMILIES = ("boost", "forest")
+TREE_FAMILIES = ("forest",)
+HIST_FAMILIES = ("boost",)
 NET_FAMILIES = ("nn", "nnc")  # their kinds keep missing values, which a MixtureLayer integrates out
 
 #: Columns that a second level takes from each family: name -> (column of the learner, scaled as the target).
@@ -47,7 +49,8 @@ STACKED = {
     "nnc": {"lower_nnc": ("lower", True), "mode_nnc": ("mode", True), "upper_nnc": ("upper", True)},
     "eim": {"lower_eim": ("lower", True), "median_eim": ("median_t", False), "upper_eim": ("upper", True)},
 }
-#: Above this many levels an ordinal code is split by order, as any number is.
+#: Spark ML trees (the forest) split at most so many levels by subsets; above it by the code's order.
+#: Histogram trees (boosting) have no such bound.
 MAX_NOMINAL = 254
 
 
@@ -55,7 +58,8 @@ class Inputs:
     """What a learner takes from prepared columns, fitted once.
 
     ``tree``: codes of categoricals become category numbers (0 null, 1.. the levels, last unseen) with
-    nominal splits; missing numerics become their median with an indicator. ``net``: if any column
+    nominal splits; missing numerics become their median with an indicator. ``hist``: category numbers whatever
+    the number of levels; missing numerics stay, for they have a bin of their own. ``net``: if any column
     has missing values, all go through a ``MixtureLayer``. ``plain``: the columns as they are.
     """
 
@@ -64,7 +68,9 @@ class Inputs:
 
     def fit(self, d: DataFrame, feats: list[str], levels: Mapping[str, int]) -> "Inputs":
         self.features = list(feats)
-        if self.kind == "tree":
+        if self.kind == "hist":
+            self.nominal = {c: n + 2 for c, n in levels.items() if c in feats}
+        elif self.kind == "tree":
             self.nominal = {c: n + 2 for c, n in levels.items() if c in feats and n + 2 <= MAX_NOMINAL}
             rest = [c for c in feats if c not in self.nominal]
             self.fill = tree_ready_fit(d, rest)
@@ -77,6 +83,18 @@ class Inputs:
                 self.features = self.layer.features()
         return self
 
+    def category_numbers(self, names: Sequence[str]):
+        """``transform`` of a matrix of the columns ``names`` (kind ``hist``)."""
+        nominal = [(j, self.nominal[c]) for j, c in enumerate(names) if c in self.nominal]
+
+        def numbers(x: np.ndarray) -> np.ndarray:
+            x = x.copy()
+            for j, n in nominal:
+                x[:, j] = np.where(np.isnan(x[:, j]), n - 1, x[:, j] + 1)
+            return x
+
+        return numbers
+
     def transform(self, d: DataFrame) -> DataFrame:
         if self.nominal:
             d = d.withColumns({c: F.coalesce(F.col(c) + 1, F.lit(float(n - 1))) for c, n in self.nominal.items()})
@@ -99,7 +117,7 @@ class IntervalModel:
         self.prep = Preparer(FAMILY_KIND[self.family], sp, passthrough=[sp.target]).fit(train)
         d = cut_lineage(self.prep.transform(train))  # the learner reads it many times
         feats = [c for c in self.prep.feature_columns(d) if c != sp.target]
-        kind = "tree" if self.family in TREE_FAMILIES else "net" if self.family in NET_FAMILIES else "plain"
+        kind = next((k for k, of in (("tree", TREE_FAMILIES), ("hist", HIST_FAMILIES), ("net", NET_FAMILIES)) if self.family in of), "plain")
         self.inputs = Inputs(kind).fit(d, feats, self.prep.levels())
         d, feats = self.inputs.transform(d), self.inputs.features
         self.features = feats

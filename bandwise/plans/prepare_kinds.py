@@ -129,6 +129,7 @@ class Preparer:
             self.maxabs = PR.maxabs_fit(base, num)
         cats = cut_lineage(PR.infer_categories(base, sp.categorical, sp.key))
         self.categories = cats if k.encoding == "ordinal" else PR.categories_dict(cats)
+        self.sides = PR.category_sides(cats, sp.categorical) if k.encoding == "ordinal" else None
         self.fitted = True
         if k.drop_degenerate:
             out = self._encode(self._scale(base))
@@ -161,7 +162,7 @@ class Preparer:
         keep = [sp.key] + num + (["target"] if "target" in df.columns else [])
         keep += [c for c in self.passthrough if c in df.columns and c not in keep]
         if k.encoding == "ordinal":
-            enc = PR.ordinal_encode(df.select(*keep, *sp.categorical), self.categories, sp.categorical)
+            enc = PR.ordinal_encode(df.select(*keep, *sp.categorical), self.sides, sp.categorical)
             return enc.select(*keep, *[F.col(c).cast("double").alias(c) for c in sp.categorical])
         return PR.one_hot(df, self.categories, drop_first=(k.encoding == "onehot_drop_first"),
                           null_block=k.null_block, keep=keep)

@@ -10,6 +10,7 @@ never scored by a model that saw it; ``check_leakage`` verifies that in tests.
 from __future__ import annotations
 
 import copy
+from concurrent.futures import ThreadPoolExecutor
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,8 @@ from bandwise.functions import scalars as S
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
 from bandwise.operators.orderstats import pooled_hdi_arrays
 from bandwise.operators.predictions import union_folds
-from bandwise.plans.models import FAMILY_KIND, STACKED, Inputs, IntervalModel
+from bandwise.plans.fold_fits import FoldFits
+from bandwise.plans.models import FAMILY_KIND, STACKED, Inputs
 from bandwise.plans.prepare_kinds import Preparer, Spec
 from bandwise.session import cut_lineage
 
@@ -42,15 +44,16 @@ def stack_out_of_fold(df: DataFrame, spec: Spec, families: Sequence[str] = tuple
     in the order of ``families``). With all six families these are 20 columns.
     """
     data = cut_lineage(assign_fold(df, k, spec.key, "sfold"))
-    folds, parts = [], []
-    for f in range(k):
-        train = fold_filter(data, f, False, "sfold").drop("sfold")
+    folds = FoldFits(data, spec, families, k, params=params).fit()
+
+    def held_out(f: int) -> DataFrame:
         cur = fold_filter(data, f, True, "sfold")
-        models = [IntervalModel(fam, spec, params=(params or {}).get(fam)).fit(train) for fam in families]
-        for m in models:
+        for m in folds[f]:
             cur = m.add_stacked(cur)  # on the rows that fold f held out
-        folds.append(models)
-        parts.append(cur)
+        return cur
+
+    with ThreadPoolExecutor(max_workers=k) as pool:  # building a chain's plan takes longer than running it on small data
+        parts = list(pool.map(held_out, range(k)))
     # folds hold disjoint rows, so the wide table is a plain union: no pivot, no shuffle
     return union_folds(parts), folds
 
@@ -118,7 +121,7 @@ def boost_ensemble(train: DataFrame, test: DataFrame, spec: Spec, families: Sequ
     The second level predicts once with each fold's upstream models; the bounds are averaged.
     """
     wide, folds = stack_out_of_fold(train, spec, families, k, params)
-    level = SecondLevel("histboost", "tree", spec, families)
+    level = SecondLevel("histboost", "hist", spec, families)
     design = level.fit(wide)
     parts = split_fit_cal(design, 3, spec.key, "_part")
     second = QuantileBoostInterval(level.inputs.features, spec.target, coverage, dict(boost_params or {}), nominal=level.inputs.nominal, grid=grid).fit(

@@ -1,9 +1,10 @@
 """Hyper-parameter search (``grid_search``, ``tune_search``; SURVEY 2.12).
 
-Each (candidate, quantile, fold) fit is a distributed job scored by an aggregate (d2 pinball for
-quantile boosting, Winkler for calibrated interval models); scores are averaged and the best
-candidate is refitted. The Gaussian-process proposer of the source is replaced by
-seeded random candidates plus saved prior points.
+All (candidate, quantile, fold) boosters of a search share their passes over one set of blocks and are
+scored on the folds they did not see in one further pass (d2 pinball); other interval learners are
+fitted as concurrent jobs and scored by Winkler. The Gaussian-process proposer of the source is
+replaced by saved prior points and seeded random candidates with successive halving, which spends
+most rounds on the best of them.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from typing import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.learners.boosting import BOOST_GRID, QuantileBooster, QuantileBoostInterval
+from bandwise.learners.blocks import block_sums
+from bandwise.learners.boosting import BOOST_GRID, OUT, QuantileBooster, QuantileBoostInterval, boost_blocks, interval_taus, pinball, run_boosters
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
 from bandwise.operators.orderstats import best_candidate
-from bandwise.operators.scores import d2_pinball, mean_over_folds, winkler_score
+from bandwise.operators.scores import exact_quantiles, mean_over_folds, winkler_score
 from bandwise.session import cut_lineage
 
 # FIXED VALUES: boosting search space (low, high) and the ten saved prior points
@@ -74,36 +77,89 @@ def _boost_kwargs(c: Mapping) -> dict:
     return kw
 
 
+class BoostSearch:
+    """Boosters of all (candidate, quantile, fold) over one set of blocks, fitted in the same passes.
+
+    A fold's boosters never see its rows; these score them by d2 pinball against the fold's own quantile. ``run``
+    goes on to a number of rounds with the candidates that are left, which keep their trees and predictions.
+    """
+
+    def __init__(self, df: DataFrame, features: Sequence[str], taus: Sequence[float], settings: Sequence[Mapping], k: int = 3,
+                 label: str = "target", key: str = "id", nominal: Mapping[str, int] | None = None):
+        data = cut_lineage(assign_fold(df.select(key, *features, label), k, key, "tfold"))
+        self.k, self.taus = k, list(taus)
+        self.boosters = {(c, t, f): QuantileBooster(features, tau, label, nominal=nominal, design=f, **s)
+                         for c, s in enumerate(settings) for t, tau in enumerate(taus) for f in range(k)}
+        every = list(self.boosters.values())
+        out = [F.col("tfold") == f for f in range(k)]
+        self.blocks, binners, (low, high) = boost_blocks(data, [list(features)] * k, label, key, nominal, every[0].bins, every[0].validation, out, len(every))
+        for i, b in enumerate(every):
+            b.slot = i
+            b.begin(binners[b.design], low, high)
+        base = exact_quantiles(data, label, {f"t{t}": tau for t, tau in enumerate(taus)}, ["tfold"], [key]).collect()
+        self.base = {(t, r["tfold"]): r[f"t{t}"] for r in base for t in range(len(taus))}
+
+    def run(self, candidates: Sequence[int], rounds: int | None = None) -> list[tuple[int, int, float]]:
+        """Fit ``candidates`` (up to ``rounds``); (candidate, fold, mean score of the quantiles) on the folds' own rows."""
+        live = {at: b for at, b in self.boosters.items() if at[0] in candidates and (at[1], at[2]) in self.base}
+        if rounds is not None:
+            for b in live.values():
+                b.extend(rounds)
+        self.blocks = run_boosters(self.blocks, list(live.values()))
+        parts = [(f"bins{f}", f, b.tau, b.model(), self.base[t, f]) for (_, t, f), b in live.items()]
+
+        def losses(block):
+            out = []
+            for name, design, tau, model, base in parts:
+                rows = np.flatnonzero(block["role"][:, design] == OUT)
+                y = block["y"][rows]
+                out += [pinball(y, model.predict(block[name][rows]), tau).sum(), pinball(y, np.full(len(y), base), tau).sum(), len(y)]
+            return np.array(out, float)
+
+        self.by_quantile: dict[int, list[tuple[int, int, float]]] = {}
+        found: dict[tuple[int, int], list] = {}
+        for (c, t, f), (loss, base, n) in zip(live, block_sums(self.blocks, losses, 3 * len(parts)).reshape(-1, 3)):
+            if n >= 2:
+                score = float(1 - loss / base if base else loss == 0)
+                found.setdefault((c, f), []).append(score)
+                self.by_quantile.setdefault(t, []).append((c, f, score))
+        return [(c, f, float(np.mean(v))) for (c, f), v in found.items()]
+
+
+def _score_table(spark: SparkSession, rows: Sequence[tuple], candidates: Sequence[Mapping], lower_is_better: bool):
+    """(scores with their settings, number of the best candidate) of (candidate, fold, score) rows."""
+    scores = mean_over_folds(spark.createDataFrame(rows, "candidate int, fold int, score double"), "candidate", "score")
+    params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "candidate int, params string")
+    best = best_candidate(scores, "candidate", "mean_score", lower_is_better=lower_is_better).first()["candidate"]
+    return scores.join(params, "candidate"), best
+
+
 def search_boost(spark: SparkSession, df: DataFrame, features: Sequence[str], taus: Sequence[float],
                  candidates: Sequence[Mapping], k: int = 3, label: str = "target", key: str = "id",
-                 base: Mapping | None = None, parallelism: int = 4, nominal: Mapping[str, int] | None = None):
+                 base: Mapping | None = None, nominal: Mapping[str, int] | None = None):
     """Score each candidate by the mean d2 pinball over ``taus`` and k folds (higher is better).
 
-    (candidate, quantile, fold) fits run as concurrent Spark jobs from ``parallelism`` driver threads;
-    each fold's vectors are written once and shared. Returns (scores table: candidate, mean_score,
-    n_folds, params; the best candidate's booster settings).
+    All fits share their passes. Returns (scores table: candidate, mean_score, n_folds, params; the best
+    candidate's booster settings).
     """
-    data = cut_lineage(assign_fold(df.select(key, *features, label), k, key, "tfold"))
-    trains = [fold_filter(data, f, False, "tfold") for f in range(k)]
-    shared = [QuantileBooster(features, 0.5, label, nominal=nominal).vectors(t) for t in trains]
     settings = [{**dict(base or {}), **_boost_kwargs(c)} for c in candidates]
+    rows = BoostSearch(df, features, taus, settings, k, label, key, nominal).run(range(len(settings)))
+    scores, best = _score_table(spark, rows, candidates, lower_is_better=False)
+    return scores, settings[best]
 
-    def score(task):
-        ci, tau, f = task
-        m = QuantileBooster(features, tau, label, nominal=nominal, **settings[ci]).fit(trains[f], shared[f])
-        held = m.predict(fold_filter(data, f, True, "tfold"), "q")
-        return ci, f, float(d2_pinball(held, tau, [], label, "q", [key]).first()["d2_pinball"])
 
-    tasks = [(ci, tau, f) for ci in range(len(settings)) for tau in taus for f in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(score, tasks))
-    per = spark.createDataFrame(rows, "candidate int, fold int, score double")
-    scores = mean_over_folds(per, "candidate", "score")
-    params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)],
-                                   "candidate int, params string")
-    scores = scores.join(params, "candidate")
-    best = best_candidate(scores, "candidate", "mean_score", lower_is_better=False).first()["candidate"]
-    return scores, settings[best]
+def search_taus(df: DataFrame, features: Sequence[str], taus: Sequence[float], candidates: Sequence[Mapping], k: int = 3,
+                label: str = "target", key: str = "id", base: Mapping | None = None, nominal: Mapping[str, int] | None = None) -> list[dict]:
+    """The best settings of each quantile by itself, from one search of all of them."""
+    settings = [{**dict(base or {}), **_boost_kwargs(c)} for c in candidates]
+    search = BoostSearch(df, features, taus, settings, k, label, key, nominal)
+    search.run(range(len(settings)))
+    out = []
+    for t in range(len(taus)):
+        rows = search.by_quantile[t]
+        mean = {c: np.mean([s for d, _, s in rows if d == c]) for c in {c for c, _, _ in rows}}
+        out.append(settings[min(mean, key=lambda c: (-mean[c], c))])
+    return out
 
 
 def grid_search(spark, df, features, tau, k=3, label="target", key="id", base=None, nominal=None):
@@ -111,26 +167,51 @@ def grid_search(spark, df, features, tau, k=3, label="target", key="id", base=No
     return search_boost(spark, df, features, [tau], grid_candidates(BOOST_GRID), k, label, key, base, nominal=nominal)
 
 
-def tune_search(spark, df, features, coverage=0.9, n_random=4, seed=0, k=3, label="target", key="id", base=None,
-                n_prior=len(BOOST_PRIOR), nominal=None):
-    """Saved prior points and seeded random ones, scored over the interval's three quantiles.
+def halving(n: int, keep: int = 3) -> list[int]:
+    """Numbers of candidates that successive halving leaves: a third at each rung, down to one."""
+    out = [n]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // keep))
+    return out
+
+
+def tune_search(spark, df, features, coverage=0.9, n_random=40, seed=0, k=3, label="target", key="id", base=None,
+                n_prior=len(BOOST_PRIOR), nominal=None, first_rounds=9, keep=3):
+    """Successive halving over the boosting space: saved prior points and seeded random ones.
 
-    Returns (scores, the calibrated booster refitted with the best settings' parameters).
+    All candidates boost ``first_rounds`` rounds; the best third by d2 pinball over the interval's three quantiles
+    goes on from its trees to ``keep`` times the rounds, and so on to the last one, which may use all its
+    rounds. Returns (scores of every candidate at its last rung, the calibrated booster refitted with the best settings).
     """
     cands = random_candidates(BOOST_SPACE, n_random, seed, BOOST_PRIOR[:n_prior])
-    taus = ((1 - coverage) / 2, 0.5, coverage + (1 - coverage) / 2)
-    scores, best = search_boost(spark, df, features, taus, cands, k, label, key, base, nominal=nominal)
+    settings = [{**dict(base or {}), **_boost_kwargs(c)} for c in cands]
+    most = settings[0].get("rounds", QuantileBooster(features, 0.5).rounds)
+    rounds = min(first_rounds, most)
+    search = BoostSearch(df, features, interval_taus(coverage), [{**s, "rounds": rounds} for s in settings], k, label, key, nominal)
+    left, last = list(range(len(cands))), {}
+    for rung, n in enumerate(halving(len(cands), keep)):
+        if rung:
+            mean = {c: np.mean([s for _, s in last[c]]) for c in left if c in last}
+            left = sorted(mean, key=lambda c: (-mean[c], c))[:n]
+            rounds = min(most, rounds * keep) if n > 1 else most
+        for c in left:
+            last.pop(c, None)
+        for c, f, s in search.run(left, rounds):
+            last.setdefault(c, []).append((f, s))
+    rows = [(c, f, s) for c, found in last.items() for f, s in found]
+    scores, _ = _score_table(spark, rows, cands, lower_is_better=False)
+    best = {**settings[left[0]], "rounds": most}
     parts = split_fit_cal(df, 3, key, "_part")
     model = QuantileBoostInterval(features, label, coverage, best, nominal=nominal).fit(
         parts.filter(F.col("_part") == "fit"), parts.filter(F.col("_part") == "cal"))
     return scores, model
 
 
-def search_intervals(spark, df, make, candidates: Sequence[Mapping], k: int = 3, label: str = "y", key: str = "id", alpha: float = 0.1):
+def search_intervals(spark, df, make, candidates: Sequence[Mapping], k: int = 3, label: str = "y", key: str = "id", alpha: float = 0.1, parallelism: int = 4):
     """Calibrated objective for any interval learner: the mean Winkler score over k folds (lower is better).
 
-    ``make(params)`` gives an unfitted model with ``fit(fit, cal)`` and ``transform``. Returns (scores,
-    the best candidate refitted on all rows).
+    ``make(params)`` gives an unfitted model with ``fit(fit, cal)`` and ``transform``; (candidate, fold) fits run as
+    concurrent jobs. Returns (scores, the best candidate refitted on all rows).
     """
     data = cut_lineage(assign_fold(df, k, key, "tfold"))
 
@@ -138,15 +219,15 @@ def search_intervals(spark, df, make, candidates: Sequence[Mapping], k: int = 3,
         parts = split_fit_cal(rows, 3, key, "_part")
         return make(c).fit(parts.filter(F.col("_part") == "fit").drop("_part"), parts.filter(F.col("_part") == "cal").drop("_part"))
 
-    rows = []
-    for ci, c in enumerate(candidates):
-        for f in range(k):
-            held = fitted(fold_filter(data, f, False, "tfold").drop("tfold"), c).transform(fold_filter(data, f, True, "tfold").drop("tfold"))
-            rows.append((ci, f, float(winkler_score(held, alpha, [], label, "lower", "upper").first()["winkler"])))
-    scores = mean_over_folds(spark.createDataFrame(rows, "candidate int, fold int, score double"), "candidate", "score")
-    params = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "candidate int, params string")
-    best = best_candidate(scores, "candidate", "mean_score").first()["candidate"]
-    return scores.join(params, "candidate"), fitted(data.drop("tfold"), candidates[best])
+    def score(task):
+        c, f = task
+        held = fitted(fold_filter(data, f, False, "tfold").drop("tfold"), candidates[c]).transform(fold_filter(data, f, True, "tfold").drop("tfold"))
+        return c, f, float(winkler_score(held, alpha, [], label, "lower", "upper").first()["winkler"])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(score, [(c, f) for c in range(len(candidates)) for f in range(k)]))
+    scores, best = _score_table(spark, rows, candidates, lower_is_better=True)
+    return scores, fitted(data.drop("tfold"), candidates[best])
 
 
 # FIXED VALUES: forest search space (low, high)
