@@ -1,7 +1,7 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
+"""Benchmark decontamination: MinHash containment search with sketches by item size, verified exactly.
 
 A test item of ``q`` distinct word shingles is contained in a document if at least
-``need = ceil(percent * q / 100)`` of them occur in it. Items are partitioned by ``q``: an item
+``need = ceil(percent * q / 100)`` of them occur in it. The sketch follows the size: an item
 of size q keeps the ``q - need + 1`` smallest hashes of its shingles as MinHash sketch. A document
 that contains the item lacks at most ``q - need`` of its shingles, so it holds one sketch value at
 least: the search loses nothing, at any document length, with sketches a fifth as long as the
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.llm.door import numbered
 from bandwise.llm.graph import measured
 from bandwise.llm.words import fold, shingles, words
 from bandwise.session import cut_lineage
@@ -80,4 +81,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80)
     """The rows of ``docs`` that contain no item, with all their columns."""
     bad = cut_lineage(matches(docs, benchmark, k, percent).select("doc_id", "th").distinct())
     bad = measured(bad, 48).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_th")), "left_anti")
+    docs, back = numbered(docs)
+    return back(docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_th")), "left_anti"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.llm.door import numbered
 from bandwise.llm.graph import measured
 from bandwise.llm.words import SPACES, fold
 from bandwise.session import cut_lineage
@@ -60,7 +61,13 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = 256) -> Data
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, joined by newlines)."""
+    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, joined by newlines).
+
+    Columns of ``docs`` by these names give way to the new ones.
+    """
+    new = ("n_lines", "n_dropped", "kept")
+    docs = docs.drop(*new)
+    docs, back = numbered(docs)
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_runs"))
     j = docs.join(b, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
     j = j.withColumn("_lines", split_lines(docs["text"]))
@@ -73,8 +80,9 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), gap))
     text = F.when(runs.isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return j.select(*[docs[c] for c in docs.columns], F.size(lines).cast("long").alias("n_lines"),
+    done = j.select(*[docs[c] for c in docs.columns], F.size(lines).cast("long").alias("n_lines"),
                     F.coalesce("_n", F.lit(0).cast("long")).alias("n_dropped"), text.alias("kept"))
+    return back(done, new)
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:

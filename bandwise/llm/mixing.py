@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.llm.door import numbered
 from bandwise.llm.graph import measured
 from bandwise.llm.words import words
 from bandwise.session import cut_lineage
@@ -107,6 +108,7 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     plan = measured(plan.withColumnRenamed("source", "_s"), 160)
     j = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_b", _bucket())
     inside = (F.col("_b") < F.col("at")) | ((F.col("_b") == F.col("at")) & (_place() <= F.col("cut")))
+    inside = inside & (F.col("_size") > 0)  # an empty document is no part of what is sampled
     return j.withColumn("copies", F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long")).drop(
         "_s", "_b", "at", "cut", "epochs", "mean_weight")
 
@@ -124,5 +126,6 @@ def mix(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
     No text is shuffled: the plan of the sources is joined to the rows as they are read.
     """
     rows = cut_lineage(sized(docs.select("doc_id", "source", "text")).drop("text"))
-    done = with_copies(sized(docs), plan_mix(rows, max_epochs)).filter("copies > 0")
-    return done.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    inside, back = numbered(docs, ("doc_id", "source", "text"))
+    done = with_copies(sized(inside), plan_mix(rows, max_epochs)).filter("copies > 0")
+    return back(done.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -54,6 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise.llm import text as tx
+from bandwise.llm.door import numbered
 from bandwise.llm.graph import Tables, connected_components, measured, release
 from bandwise.operators.ranking import group_rank
 from bandwise.session import cut_lineage
@@ -471,11 +472,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     drop = cut_lineage(rows.join(kept, "component").filter("place != first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     same = cut_lineage(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
 
+    docs, back = numbered(docs)
+
     def at(d: DataFrame):
         return docs["doc_id"].eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"]) == d["_th"])
 
     out = docs.join(measured(drop, 48), at(drop), "left_anti")
     if same.isEmpty():
-        return out
+        return back(out)
     twice = out.join(measured(same, 48), at(same), "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return out.join(measured(same, 48), at(same), "left_anti").unionByName(twice)
+    return back(out.join(measured(same, 48), at(same), "left_anti").unionByName(twice))

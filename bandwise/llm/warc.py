@@ -15,7 +15,8 @@ executors share, each part moved into place when it is whole; ``read_records`` p
 
 Missing and odd input: a null or empty body gives both records, with empty text; a response without
 HTTP header block is taken as body only; a body that is not UTF-8 is decoded by its charset if known,
-else with replacement characters; null header values are left out; repeated responses give equal
+else with replacement characters; null header values are left out, a line break within a value is written as
+a blank; markup that is never closed is text, and costs no more time than other text; repeated responses give equal
 records, once each; records of other types are skipped; empty tables give empty results. Other columns
 are ignored, whatever their names.
 """
@@ -43,12 +44,14 @@ from bandwise.session import checkpoint_dir, cut_lineage
 RECORD = "record_id string, type string, headers map<string,string>, block binary"
 _NAMES = ["record_id", "type", "headers", "block"]
 
-_DROP = re.compile(r"<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!\[CDATA\[.*?\]\]>", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.I | re.S)
+_GONE = ("script", "style", "template", "noscript")
+_OPEN = re.compile(r"<(?:(script|style|template|noscript)\b|!--|!\[CDATA\[)", re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|nav|header|footer|main|aside|blockquote|pre|body|html|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LINK = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
+_VALUE = re.compile(r"\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_BREAKS = re.compile(r"[\r\n]+[ \t]*")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -88,23 +91,80 @@ def decode_body(body: bytes, content_type: str) -> tuple[str, str]:
     return body.decode("utf-8", "replace"), "utf-8"
 
 
+def _start_and_end(name: str) -> tuple[re.Pattern, re.Pattern]:
+    return re.compile(rf"<{name}\b", re.I), re.compile(rf"</{name}\s*>", re.I)
+
+
+_ENDS = {name: _start_and_end(name)[1] for name in _GONE}
+_HEAD, _TITLE = _start_and_end("head"), _start_and_end("title")
+
+
 def without_scripts(page: str) -> str:
-    """The page without scripts, styles, templates and comments."""
-    return _DROP.sub("", page)
+    """The page without scripts, styles, templates, comments and CDATA, from left to right.
+
+    What is never closed stays, and is looked for once: the time is linear in the page.
+    """
+    out, kept, open_ = [], 0, set()
+    for m in _OPEN.finditer(page):
+        if m.start() < kept:
+            continue
+        name = (m.group(1) or m.group(0)).lower()
+        if name in open_:
+            continue
+        if m.group(1):
+            tag = page.find(">", m.end())
+            end = _ENDS[name].search(page, tag + 1) if tag >= 0 else None
+            at = end.end() if end else -1
+        else:
+            close = "-->" if name == "<!--" else "]]>"
+            at = page.find(close, m.end())
+            at = at + 3 if at >= 0 else -1
+        if at < 0:
+            open_.add(name)
+            continue
+        out.append(page[kept:m.start()])
+        kept = at
+    return "".join(out) + page[kept:]
+
+
+def _element(page: str, kind: tuple[re.Pattern, re.Pattern]) -> tuple[int, int, int, int] | None:
+    """Start, start and end of the content, and end of the first element of a kind; None if none is closed."""
+    start = kind[0].search(page)
+    tag = page.find(">", start.end()) if start else -1
+    end = kind[1].search(page, tag + 1) if tag >= 0 else None
+    return (start.start(), tag + 1, end.start(), end.end()) if end else None
+
+
+def _replaced(tags: re.Pattern, by: str, page: str) -> str:
+    """``tags.sub`` up to the last ``>``, behind which no tag ends: no scan can fail, so none is repeated."""
+    cut = page.rfind(">") + 1
+    return tags.sub(by, page[:cut]) + page[cut:]
 
 
 def visible_text(page: str) -> str:
     """Text of a page ``without_scripts``: no markup, one line per block, blanks collapsed."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", page, count=1).replace("\n", " ")))
+    head = _element(page, _HEAD)
+    if head:
+        page = page[:head[0]] + " " + page[head[3]:]
+    page = _replaced(_TAG, "", _replaced(_BREAK, "\n", page.replace("\n", " ")))
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def page_facts(page: str) -> tuple[str, list[str]]:
-    """Title and outlinks of a page ``without_scripts``."""
-    m = _TITLE.search(page)
-    title = " ".join(html.unescape(m.group(1)).split()) if m else ""
-    return title, ["".join(html.unescape("".join(g)).split()) for g in _HREF.findall(page)]
+    """Title and outlinks (the first href of every link tag) of a page ``without_scripts``."""
+    title = _element(page, _TITLE)
+    links, at, end = [], 0, -1
+    while m := _LINK.search(page, at):
+        if end < m.end():
+            end = page.find(">", m.end())
+            end = len(page) if end < 0 else end
+        href = _HREF.search(page, m.end(), end)
+        value = _VALUE.match(page, href.end()) if href else None
+        if value:
+            links.append("".join(html.unescape("".join(g or "" for g in value.groups())).split()))
+        at = value.end() if value else end
+    return " ".join(html.unescape(page[title[1]:title[2]]).split()) if title else "", links
 
 
 def derivatives(record_id: str, headers: dict[str, str], block: bytes) -> Iterator[tuple[str, str, dict, bytes]]:
@@ -181,16 +241,27 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def serialise(headers: dict[str, str], block: bytes) -> bytes:
+    """A record as bytes; a line break in a header (with the blanks behind it) becomes one blank."""
     first = ("WARC-Type", "WARC-Record-ID")
     names = [n for n in first if n in headers] + sorted(n for n in headers if n not in first)
-    head = "WARC/1.1\r\n" + "".join(f"{n}: {headers[n]}\r\n" for n in names) + "\r\n"
+    one = lambda v: _BREAKS.sub(" ", v)
+    head = "WARC/1.1\r\n" + "".join(f"{one(n)}: {one(headers[n])}\r\n" for n in names) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block; a folded line goes on with its field, a line without a colon is skipped."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            fields[name] = value[1:] if value[:1] == " " else value
+    length = fields.get("Content-Length", "").strip()
+    return fields, rest[: int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
