@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwise.llm import decontam, mixing, ngram_join, quality, tokenids
+from bandwise.llm.door import numbered
 from bandwise.session import checkpoint_dir
 
 
@@ -23,7 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of its input, does not reject (score >= 0.3)."""
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels").filter(quality.learnable()))
-    return quality.score_quality(docs, model, docs.columns).filter(F.col("score") >= 0.3).select(*docs.columns)
+    inside, back = numbered(docs)
+    return back(quality.score_quality(inside, model, inside.columns).filter(F.col("score") >= 0.3))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
