@@ -50,9 +50,9 @@ class Blocks:
         return self._tasks
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the session runs tasks at once; otherwise as it is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, tables: int = 1) -> DataFrame:
+    """``df`` over at least as many partitions as the session runs tasks at once (for each of ``tables`` read together its share)."""
+    want = -(-df.sparkSession.sparkContext.defaultParallelism // tables)
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 

@@ -129,3 +129,20 @@ g7 as (select a, b, [-gz / (s * tail), (-gz * z / s + 1 / s) * ss * (1 - ss), -d
 oracle("shash_gradient", " union all ".join(
     f"select {h} as head, {j} as term, avg(g[{h + 1}] * {x}) as g from g7" for h in range(4) for j, x in enumerate(("a", "b", "1.0"))),
     ["obs"], [_G])
+
+
+# ------------------------------------------------------------------ validation and averaging over three folds, of group bands
+_GROUPS = [
+    "t as (select id, cat, y, fold, cast(('0x' || substr(md5(cast(id as varchar)), 1, 8))::bigint % 3 as int) as f from obs)",
+    "g as (select ff.f, t.cat, count(y) as n, sum(y) as s, sum(y * y) as q from t "
+    "join (select distinct f from t where fold <> 0) ff on t.f <> ff.f where t.fold <> 0 group by ff.f, t.cat)",
+    f"b as (select f, cat, s / n as mid, {_Z} * sqrt(greatest(q / n - (s / n) * (s / n), 0)) as half from g)",
+    "oof as (select t.id, t.y, t.f, mid - half as lower, mid, mid + half as upper from t join b on t.f = b.f and t.cat = b.cat where t.fold <> 0)",
+]
+oracle("stack_out_of_fold_groups", "select id, f as sfold, lower, mid, upper from oof", ["obs"], _GROUPS)
+oracle("predict_fold_average_groups", """
+select t.id, avg(mid - half) as lower, avg(mid + half) as upper from t join b on t.cat = b.cat where t.fold = 0 group by t.id""", ["obs"], _GROUPS)
+oracle("cross_validate_groups", """
+select f as fold, avg(upper - lower + 2 / 0.1 * (greatest(lower - y, 0) + greatest(y - upper, 0))) as winkler,
+  avg(case when y >= lower and y <= upper then 1.0 else 0.0 end) as coverage, count(*) as n
+from oof group by rollup (f)""", ["obs"], _GROUPS)

@@ -1,9 +1,10 @@
 """Registered queries for learners and multi-step jobs.
 
 Learners train on the lineitem x orders regression table (grows with the scale factor). Their
-outputs depend on iterative fits, so the driver checks them rows-only; ``tests/test_learners.py``
-holds property checks (coverage, loss decrease, leakage, missing values). Learners run with their
-own defaults; the tuning query states its number of boosting rounds below.
+outputs depend on iterative fits, so the driver checks them rows-only; ``tests/test_learners.py`` and
+``tests/test_trees.py`` hold property checks (coverage, loss decrease, leakage, missing values) and plain versions.
+Learners run with their own defaults; what is validated and averaged over folds is also checked in SQL,
+with a model whose predictions SQL can express.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from bandwise.functions import scalars as S
 from bandwise.learners.common import learning_table
 from bandwise.learners.conformal import ConformalWrapper
+from bandwise.learners.forest import ForestInterval
+from bandwise.learners.groups import GroupBand
 from bandwise.learners.linear import RidgeInterval
 from bandwise.learners.mixture import MissingMixture, expected_relu_features
 from bandwise.learners.shash import ShashRegression
@@ -27,7 +30,6 @@ from bandwise.session import cut_lineage
 from bandwise.sources import fixtures as FX
 
 COV = 0.9
-TUNE_ROUNDS = 10  # boosting rounds of a tuning candidate; ten points x three quantiles x folds are fitted
 
 
 def learning_spec() -> Spec:
@@ -152,6 +154,38 @@ def predict_fold_average(spark, sf):
     return VA.predict_fold_average(models, test)
 
 
+def _group_frame(spark, sf):
+    """Train = folds other than 0 of the fixture's five; test = fold 0. (Three folds of the same digits differ from these.)"""
+    o = FX.obs(spark, sf).select("id", "cat", "y", "fold")
+    return o.filter(F.col("fold") != 0).drop("fold"), o.filter(F.col("fold") == 0).drop("fold")
+
+
+def _group_band():
+    return GroupBand("cat", "y", COV)
+
+
+@register("cross_validate_groups", doubles=["winkler", "coverage"])
+def cross_validate_groups(spark, sf):
+    """``cross_validate`` of a model that SQL can express; the k fits are total minus fold of one aggregate."""
+    train, _ = _group_frame(spark, sf)
+    _, _, summary = VA.cross_validate(train, _group_band, k=3, alpha=1 - COV)
+    return summary
+
+
+@register("predict_fold_average_groups", doubles=["lower", "upper"])
+def predict_fold_average_groups(spark, sf):
+    train, test = _group_frame(spark, sf)
+    models, _, _ = VA.cross_validate(train, _group_band, k=3, alpha=1 - COV)
+    return VA.predict_fold_average(models, test)
+
+
+@register("stack_out_of_fold_groups", doubles=["lower", "mid", "upper"])
+def stack_out_of_fold_groups(spark, sf):
+    train, _ = _group_frame(spark, sf)
+    _, oof, _ = VA.cross_validate(train, _group_band, k=3, alpha=1 - COV)
+    return oof.select("id", F.col("fold").alias("sfold"), "lower", "mid", "upper")
+
+
 # ------------------------------------------------------------------ stacking and ensembles
 
 @register("stack_out_of_fold")
@@ -196,7 +230,7 @@ def _tree_frame(spark, sf):
     train, _ = _split(spark, sf)
     p = Preparer("histboost", learning_spec()).fit(train)
     d = cut_lineage(p.transform(train))
-    inputs = Inputs("tree").fit(d, p.feature_columns(d), p.levels())
+    inputs = Inputs("hist").fit(d, p.feature_columns(d), p.levels())
     return cut_lineage(inputs.transform(d)), inputs
 
 
@@ -209,8 +243,34 @@ def grid_search(spark, sf):
 
 @register("tune_search")
 def tune_search(spark, sf):
+    """27 candidates (10 saved, 17 random) boost 4 rounds, 9 go on to 12, 3 to 36, the best one until it stops."""
     d, inputs = _tree_frame(spark, sf)
-    scores, _ = TU.tune_search(spark, d, inputs.features, COV, n_random=0, k=2, base={"rounds": TUNE_ROUNDS}, nominal=inputs.nominal)
+    scores, _ = TU.tune_search(spark, d, inputs.features, COV, n_random=17, k=2, nominal=inputs.nominal, first_rounds=4)
+    return scores
+
+
+def _net_frame(spark, sf):
+    train, _ = _split(spark, sf)
+    p = Preparer("nn_regressor", learning_spec(), passthrough=["y"]).fit(train)
+    d = cut_lineage(p.transform(train))
+    return d, [c for c in p.feature_columns(d) if c not in ("y", "target")]
+
+
+@register("tune_search_forest")
+def tune_search_forest(spark, sf):
+    """Random points of the forest's space by the Winkler score of the calibrated band."""
+    d, inputs = _tree_frame(spark, sf)
+    cands = TU.random_candidates(TU.FOREST_SPACE, 4, seed=1)
+    make = lambda c: ForestInterval(inputs.features, "target", COV, nominal=inputs.nominal, max_bins=64, **c)
+    scores, _ = TU.search_intervals(spark, d, make, cands, k=2, label="target", alpha=1 - COV)
+    return scores
+
+
+@register("tune_search_net")
+def tune_search_net(spark, sf):
+    """Random points of the net's space by the Winkler score, all (candidate, fold) nets fitted in the same passes."""
+    d, feats = _net_frame(spark, sf)
+    scores, _ = TU.search_nets(spark, d, feats, TU.random_candidates(TU.NET_SPACE, 8, seed=2), k=2, coverage=COV)
     return scores
 
 

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from typing import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.learners.blocks import block_sums
+from bandwise.learners.blocks import block_sums, lockstep, pack, spread
 from bandwise.learners.boosting import BOOST_GRID, OUT, QuantileBooster, QuantileBoostInterval, boost_blocks, interval_taus, pinball, run_boosters
+from bandwise.learners.shash import ShashFit, ShashRegression
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
 from bandwise.operators.orderstats import best_candidate
 from bandwise.operators.scores import exact_quantiles, mean_over_folds, winkler_score
@@ -232,3 +234,40 @@ def search_intervals(spark, df, make, candidates: Sequence[Mapping], k: int = 3,
 
 # FIXED VALUES: forest search space (low, high)
 FOREST_SPACE = {"num_trees": (10, 100), "max_depth": (3, 12), "min_rows_leaf": (5, 100)}
+
+#: FIXED VALUES: net search space (low, high)
+NET_SPACE = {"lr": (0.005, 0.2), "steps": (30, 200), "fit_tail": (0, 1)}
+
+
+def search_nets(spark, df, features: Sequence[str], candidates: Sequence[Mapping], k: int = 3, label: str = "target", raw: str = "y", key: str = "id",
+                coverage: float = 0.9, scale: float = 1000.0):
+    """SHASH nets of all (candidate, fold) in lockstep, scored by Winkler on the folds' own rows (``raw`` units).
+
+    Returns (scores, the net refitted on all rows with the best settings).
+    """
+    data = assign_fold(df.select(key, *features, label, raw), k, key, "tfold").filter(F.col(label).isNotNull())
+    blocks = pack(spread(data), {"x": list(features), "y": label, "raw": raw, "fold": "tfold"}, {"fold": "u1"})
+
+    def net(c: Mapping) -> ShashRegression:
+        return ShashRegression(features, label, steps=int(c["steps"]), lr=float(c["lr"]), fit_tail=bool(c["fit_tail"]), coverage=coverage, scale=scale)
+
+    nets = {(i, f): net(c) for i, c in enumerate(candidates) for f in range(k)}
+    lockstep(blocks, [ShashFit(m, "x", "y", partial(_not_fold, f)) for (_, f), m in nets.items()])
+
+    def losses(block):
+        out = []
+        for (_, f), m in nets.items():
+            rows = block["fold"] == f
+            y, band = block["raw"][rows], m.intervals(block["x"][rows])[:, 4:6]
+            miss = np.maximum(band[:, 0] - y, 0) + np.maximum(y - band[:, 1], 0)
+            out += [(band[:, 1] - band[:, 0] + 2 / (1 - coverage) * miss).sum(), rows.sum()]
+        return np.array(out, float)
+
+    total = block_sums(blocks, losses, 2 * len(nets)).reshape(-1, 2)
+    rows = [(i, f, float(s / n)) for (i, f), (s, n) in zip(nets, total) if n]
+    scores, best = _score_table(spark, rows, candidates, lower_is_better=True)
+    return scores, net(candidates[best]).fit(df)
+
+
+def _not_fold(f: int, block) -> np.ndarray:
+    return block["fold"] != f
