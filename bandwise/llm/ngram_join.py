@@ -63,7 +63,7 @@ _MAX_SIZE = 1 << 40
 _HELD = 1 << 20  # region rows that a task holds before it sends them
 PIVOTS = 8
 CLASSES = 64
-REFINED = 20_000
+REFINED = 4096
 
 
 def ladder(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
