@@ -50,16 +50,11 @@ class Blocks:
         return self._tasks
 
 
-def spread(df: DataFrame, tables: int = 1) -> DataFrame:
-    """``df`` over at least as many partitions as the session runs tasks at once (for each of ``tables`` read together its share)."""
-    want = -(-df.sparkSession.sparkContext.defaultParallelism // tables)
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
-def pack(df: DataFrame, groups: Mapping[str, Sequence[str] | str], types: Mapping[str, str] | None = None) -> Blocks:
+def pack(df: DataFrame, groups: Mapping[str, Sequence[str] | str], types: Mapping[str, str] | None = None, tables: int = 1) -> Blocks:
     """Blocks of ``df``: a matrix of the columns of each list in ``groups``, a vector of each single column.
 
-    Null becomes NaN in double matrices (the default type); other ``types`` must have no nulls.
+    Null becomes NaN in double matrices (the default type); other ``types`` must have no nulls. Blocks that lie in fewer
+    partitions than the session runs tasks at once (for each of ``tables`` read together its share) are dealt out anew.
     """
     types = dict(types or {})
     shapes = {g: (types.get(g, "<f8"), 0 if isinstance(c, str) else len(c)) for g, c in groups.items()}
@@ -81,7 +76,11 @@ def pack(df: DataFrame, groups: Mapping[str, Sequence[str] | str], types: Mappin
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())] + [pa.array([x], pa.binary()) for x in out], ["n", *shapes])
 
     schema = "n int, " + ", ".join(f"`{g}` binary" for g in shapes)
-    return Blocks(cut_lineage(flat.mapInArrow(part, schema)), shapes)
+    packed = cut_lineage(flat.mapInArrow(part, schema))
+    want = -(-df.sparkSession.sparkContext.defaultParallelism // tables)
+    if packed.rdd.getNumPartitions() < want and packed.rdd.getNumPartitions() < (n := packed.count()):
+        packed = cut_lineage(packed.repartition(min(want, n)))
+    return Blocks(packed, shapes)
 
 
 def _open(batch: pa.RecordBatch, i: int, shapes: Mapping[str, tuple[str, int]]) -> Block:

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.learners.blocks import Block, Blocks, Fit, lockstep, map_blocks, pack, spread
+from bandwise.learners.blocks import Block, Blocks, Fit, lockstep, map_blocks, pack
 from bandwise.learners.histtrees import Binner, Ensemble, Growing, Tree, ensemble_columns, fit_bins
 from bandwise.operators.folds import key_hash
 from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
@@ -230,7 +230,7 @@ def boost_blocks(df: DataFrame, features: Sequence[Sequence[str]], label: str, k
     data = df.filter(F.col(label).isNotNull()).select(
         F.col(label).cast("double").alias("_y"), *dict.fromkeys(c for cols in features for c in cols),
         *[F.when(o, OUT).when(held, HELD).otherwise(FITS).alias(f"_role{d}") for d, o in enumerate(out)])
-    raw = pack(spread(data), {"y": "_y", "role": [f"_role{d}" for d in range(len(out))], **{f"x{d}": list(c) for d, c in enumerate(features)}}, {"role": "u1"})
+    raw = pack(data, {"y": "_y", "role": [f"_role{d}" for d in range(len(out))], **{f"x{d}": list(c) for d, c in enumerate(features)}}, {"role": "u1"})
     binners, at = [], df.filter(F.col(label).isNotNull())
     same = all(list(c) == list(features[0]) for c in features)
     if same:

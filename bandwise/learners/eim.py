@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.scalars import softplus
-from bandwise.learners.blocks import Adam, Block, Fit, lockstep, pack, spread
+from bandwise.learners.blocks import Adam, Block, Fit, lockstep, pack
 from bandwise.learners.common import arrow_columns
 from bandwise.operators.orderstats import conformal_fit, conformity_scores, scalar_qhat
 
@@ -133,7 +133,7 @@ class EIMRegression:
         data = fit_df.filter(F.col(self.label).isNotNull())
         lo_t, hi_t = (1 - self.coverage) / 2, self.coverage + (1 - self.coverage) / 2
         q = data.agg(F.percentile_approx(self.label, [lo_t, 0.5, hi_t], self.accuracy).alias("q")).first()["q"]
-        blocks = pack(spread(data), {"x": list(self.features), "y": self.label})
+        blocks = pack(data, {"x": list(self.features), "y": self.label})
         lockstep(blocks, [EIMFit(self, self.start(q), "x", "y", lambda b: np.ones(len(b["y"]), bool))])
         return self.calibrate(cal_df)
 

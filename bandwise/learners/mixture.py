@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import AS_A, AS_P, expected_relu, softmax_weights
-from bandwise.learners.blocks import Block, Fit, lockstep, pack, spread
+from bandwise.learners.blocks import Block, Fit, lockstep, pack
 
 
 @dataclass
@@ -78,7 +78,7 @@ class MissingMixture:
         data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in self.cols])
         if self.means is None:
             self.init(data)
-        lockstep(pack(spread(data), {"x": list(self.cols)}), [MixtureFit(self, "x", lambda b: np.ones(len(b["x"]), bool))])
+        lockstep(pack(data, {"x": list(self.cols)}), [MixtureFit(self, "x", lambda b: np.ones(len(b["x"]), bool))])
         return self
 
 

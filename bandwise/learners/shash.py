@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.distributions import SPREAD_OFFSET, normal_draw, normal_ppf, shash_nll, shash_quantile
 from bandwise.functions.scalars import softplus
-from bandwise.learners.blocks import Adam, Block, Fit, lockstep, pack, spread
+from bandwise.learners.blocks import Adam, Block, Fit, lockstep, pack
 from bandwise.learners.common import arrow_columns, matrix_sums
 from bandwise.operators.orderstats import shift_grid, with_hdi
 
@@ -112,7 +112,7 @@ class ShashRegression:
         return theta
 
     def fit(self, df: DataFrame) -> "ShashRegression":
-        blocks = pack(spread(df.filter(F.col(self.label).isNotNull())), {"x": list(self.features), "y": self.label})
+        blocks = pack(df.filter(F.col(self.label).isNotNull()), {"x": list(self.features), "y": self.label})
         lockstep(blocks, [ShashFit(self, "x", "y", lambda b: np.ones(len(b["y"]), bool))])
         return self
 

@@ -150,27 +150,44 @@ def drop_degenerate_fit(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 # ---------------------------------------------------------------- whitening
 
+#: tasks that merge the partial moments of all others
+MERGERS = 8
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and population covariance of the complete rows of ``cols``.
 
     One pass: each Arrow batch gives its count, mean and centred matrix product; the partial
-    results (p x p numbers per task) are merged pairwise on the driver, which keeps them stable.
+    results (p x p numbers per task) are merged pairwise, which keeps them stable, first by ``MERGERS`` tasks as
+    they come, then on the driver, which gets that many rows whatever the number of tasks.
     """
     p = len(cols)
+    schema = "n long, mean array<double>, m2 array<double>"
+
+    def row(t):
+        return pd.DataFrame({"n": [t[0]], "mean": [t[1].tolist()], "m2": [t[2].ravel().tolist()]})
 
     def partial(frames):
-        n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
+        total = (0, np.zeros(p), np.zeros((p, p)))
         for frame in frames:
             x = frame.to_numpy(dtype=float)
             x = x[~np.isnan(x).any(1)]
             if len(x):
-                n, mean, m2 = _merge((n, mean, m2), (len(x), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0))))
-        if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+                total = _merge(total, (len(x), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0))))
+        if total[0]:
+            yield row(total)
+
+    def merged(frames):
+        total = (0, np.zeros(p), np.zeros((p, p)))
+        for frame in frames:
+            for n, mean, m2 in zip(frame["n"], frame["mean"], frame["m2"]):
+                total = _merge(total, (n, np.asarray(mean, float), np.asarray(m2, float).reshape(p, p)))
+        if total[0]:
+            yield row(total)
 
-    total = (0, np.zeros(p), np.zeros((p, p)))
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    for r in rows.mapInPandas(partial, "n long, mean array<double>, m2 array<double>").collect():  # one row per task
+    total = (0, np.zeros(p), np.zeros((p, p)))
+    for r in rows.mapInPandas(partial, schema).repartition(MERGERS).mapInPandas(merged, schema).collect():
         total = _merge(total, (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(p, p)))
     n, mean, m2 = total
     return n, mean, m2 / max(1, n)

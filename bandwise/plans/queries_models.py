@@ -23,7 +23,7 @@ from bandwise.learners.shash import ShashRegression
 from bandwise.operators.folds import assign_fold
 from bandwise.operators.predictions import assemble_models
 from bandwise.plans import stacking as ST, tuning as TU, validation as VA
-from bandwise.plans.models import Inputs, IntervalModel
+from bandwise.plans.models import FAMILY_KIND, Inputs, IntervalModel
 from bandwise.plans.prepare_kinds import Preparer, Spec
 from bandwise.registry import register
 from bandwise.session import cut_lineage
@@ -224,6 +224,22 @@ register("second_level_blend_boost")(_blend("boost"))
 register("second_level_blend_shash")(_blend("shash"))
 
 
+@register("second_level_blend_families")
+def second_level_blend_families(spark, sf):
+    """The blend over the saved bounds of the six fitted families: out of fold for training, fold averages for the test rows."""
+    import uuid
+
+    from bandwise.plans.store import PredictionStore, fill
+    from bandwise.session import checkpoint_dir
+
+    train, test = _split(spark, sf)
+    store = PredictionStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/bounds-{uuid.uuid4().hex[:12]}")
+    fill(store, train, test.drop("y"), learning_spec(), k=3)
+    names = list(FAMILY_KIND)
+    fitted = store.wide("train", names).join(train.select("id", "y"), "id")
+    return ST.second_level_blend(fitted, store.wide("test", names), "boost", scale=1000.0)
+
+
 # ------------------------------------------------------------------ tuning
 
 def _tree_frame(spark, sf):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.learners.blocks import block_sums, lockstep, pack, spread
+from bandwise.learners.blocks import block_sums, lockstep, pack
 from bandwise.learners.boosting import BOOST_GRID, OUT, QuantileBooster, QuantileBoostInterval, boost_blocks, interval_taus, pinball, run_boosters
 from bandwise.learners.shash import ShashFit, ShashRegression
 from bandwise.operators.folds import assign_fold, fold_filter, split_fit_cal
@@ -246,7 +246,7 @@ def search_nets(spark, df, features: Sequence[str], candidates: Sequence[Mapping
     Returns (scores, the net refitted on all rows with the best settings).
     """
     data = assign_fold(df.select(key, *features, label, raw), k, key, "tfold").filter(F.col(label).isNotNull())
-    blocks = pack(spread(data), {"x": list(features), "y": label, "raw": raw, "fold": "tfold"}, {"fold": "u1"})
+    blocks = pack(data, {"x": list(features), "y": label, "raw": raw, "fold": "tfold"}, {"fold": "u1"})
 
     def net(c: Mapping) -> ShashRegression:
         return ShashRegression(features, label, steps=int(c["steps"]), lr=float(c["lr"]), fit_tail=bool(c["fit_tail"]), coverage=coverage, scale=scale)

@@ -68,3 +68,20 @@ def test_create_submission_writes_every_test_row(spark, tmp_path):
     assert back.filter(F.col("pi_lower") > F.col("pi_upper")).count() == 0
     assert spark.read.parquet(fit).count() == train.count()
     assert {r["fold"] for r in summary.collect()} == {0, 1, None}
+
+
+def test_saved_bounds_are_not_fitted_again(spark, tmp_path, monkeypatch):
+    from bandwise.plans import store as PS
+
+    train, test = _split(spark, SF_SMALL)
+    store = PS.PredictionStore(spark, str(tmp_path / "bounds"))
+    assert PS.fill(store, train, test.drop("y"), learning_spec(), ["ridge"], k=2) == ["ridge"]
+    assert PS.fill(store, train, test.drop("y"), learning_spec(), ["ridge", "nn"], k=2, params={"nn": {"steps": 5}}) == ["nn"]
+    monkeypatch.setattr(PS, "stack_out_of_fold", None)
+    assert PS.fill(store, train, test.drop("y"), learning_spec(), ["nn", "ridge"], k=2) == []
+    wide = store.wide("test", ["ridge", "nn"])
+    assert sorted(wide.columns) == ["id", "lower_nn", "lower_ridge", "upper_nn", "upper_ridge"]
+    assert wide.count() == test.count() and store.wide("train", ["nn"]).count() == train.count()
+    fitted = store.wide("train", ["ridge", "nn"]).join(train.select("id", "y"), "id")
+    out = ST.second_level_blend(fitted, wide, "boost", scale=1000.0, params={"rounds": 3})
+    assert out.count() == test.count() and out.filter("lower is null or upper is null").count() == 0

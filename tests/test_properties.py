@@ -298,3 +298,34 @@ def test_gradient_that_is_not_finite_raises():
 
     with pytest.raises(FloatingPointError):
         adam(np.zeros(2), lambda t: np.array([0.0, np.nan]), 3)
+
+
+def test_hdi_edges(spark):
+    """Nulls are no samples; the whole range at alpha 1; nothing for an empty group."""
+    rows = [(1, float(i), i) for i in range(20)] + [(1, None, 99), (2, 5.0, 1), (3, None, 1)]
+    d = spark.createDataFrame(rows, "g long, v double, id long")
+    got = {r["g"]: (r["lower"], r["upper"]) for r in O.hdi(d, ["g"], "v", 0.5).collect()}
+    assert got == {1: (0.0, 10.0), 2: (5.0, 5.0)}
+    assert {r["g"]: (r["lower"], r["upper"]) for r in O.hdi(d, ["g"], "v", 1.0).collect()} == {1: (0.0, 19.0), 2: (5.0, 5.0)}
+    a = spark.createDataFrame([(1, [3.0, 1.0, None, 2.0]), (2, []), (3, None), (4, [7.0]), (5, [None])], "id long, s array<double>")
+    assert {r["id"]: (r["lower"], r["upper"]) for r in O.with_hdi(a, "s", 1.0).collect()} == {
+        1: (1.0, 3.0), 2: (None, None), 3: (None, None), 4: (7.0, 7.0), 5: (None, None)}
+
+
+def test_d2_pinball_edges(spark):
+    """A constant target: 1 without loss, else 0; below two rows undefined."""
+    from bandwise.operators.scores import d2_pinball
+
+    rows = [("right", i, 5.0, 5.0) for i in range(3)] + [("wrong", i, 5.0, 6.0) for i in range(3)] + [("one", 0, 1.0, 1.0)] + [("usual", i, float(i), float(i)) for i in range(4)]
+    d = spark.createDataFrame(rows, "g string, id long, y double, q double")
+    got = {r["g"]: r["d2_pinball"] for r in d2_pinball(d, 0.5, ["g"]).collect()}
+    assert got == {"right": 1.0, "wrong": 0.0, "one": None, "usual": 1.0}
+
+
+def test_moments_merge_whatever_the_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(1e6, 1, (500, 3))
+    d = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 2.0)], "a double, b double, c double")
+    for parts in (1, 30):
+        n, mean, cov = PR.moments(d.repartition(parts), ["a", "b", "c"])
+        assert n == 500 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True), atol=1e-6)
