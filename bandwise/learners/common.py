@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandwise.learners.blocks import Adam
 from bandwise.sources.tables import read_table
 
 
@@ -133,21 +134,9 @@ def matrix_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[np.ndarray], n
     return out
 
 
-def adam(theta: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], steps: int, lr: float = 0.05,
-         b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, clip: float = 10.0) -> np.ndarray:
-    """Full-batch Adam on the driver; each ``grad`` call is one distributed aggregate.
-
-    A gradient that is not finite raises: it would otherwise look like convergence.
-    """
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
-    for t in range(1, steps + 1):
-        g = grad(theta)
-        if not np.isfinite(g).all():
-            raise FloatingPointError(f"gradient is not finite at step {t}: {g}")
-        g = np.clip(g, -clip, clip)
-        m = b1 * m + (1 - b1) * g
-        v = b2 * v + (1 - b2) * g * g
-        theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-    return theta
-
+def adam(theta: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], steps: int, lr: float = 0.05) -> np.ndarray:
+    """Full-batch Adam on the driver (``blocks.Adam``); each ``grad`` call is one distributed aggregate."""
+    state = Adam(theta, lr)
+    for _ in range(steps):
+        state.step(grad(state.theta))
+    return state.theta

@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bandwise.operators.joins import measured
 from bandwise.operators.ranking import group_rank
