@@ -1,8 +1,12 @@
-"""Forest mean with a conformal residual band (``forest_interval``; SURVEY 2.12).
+"""Forest intervals (``forest_interval``, ``forest_leaf_quantiles``; SURVEY 2.12).
 
-``RandomForestRegressor`` gives the mean; the band is ``mid -/+ qhat`` where qhat is the
-conformal order statistic of |y - mid| on the calibration part (``conformal_abs_residual``),
-which is what a symmetric calibration of any constant-width band reduces to.
+``RandomForestRegressor`` gives the mean. Two bands:
+
+* ``residual``: ``mid -/+ qhat`` where qhat is the conformal order statistic of |y - mid| on the
+  calibration part (``conformal_abs_residual``), which is what a symmetric calibration of any
+  constant-width band reduces to.
+* ``leaf``: quantiles of the targets that share the row's leaves (Meinshausen, 2006), calibrated by the
+  conformity score of the band, so its width follows the row.
 """
 
 from __future__ import annotations
@@ -10,12 +14,116 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.learners.common import assemble
-from bandwise.operators.orderstats import conformal_abs_residual, scalar_qhat
+from bandwise.operators.orderstats import conformal_abs_residual, conformal_fit, conformity_scores, scalar_qhat
+
+#: The leaf sketches that one Arrow call holds stay under this; more trees take more calls.
+SKETCH_BYTES = 32 << 20
+
+
+class LeafSketch:
+    """``(tree, leaf) -> sketch`` of the targets, pooled over a row's leaves for its quantiles.
+
+    A sketch counts the leaf's targets in cells that all leaves share: the target's own quantiles cut it
+    into at most ``cells`` cells. A row's distribution is the mean over the trees of its leaves' shares; a quantile
+    is the first cell in which its cumulative share reaches the level. The lower bound is the cell's least
+    target, the upper its greatest, so the band never lies inside the exact one. Values that each hold
+    more than a share of 1/cells of the rows have cells of their own. Null and NaN targets are not counted.
+
+    Sketches are additive: one grouped count with map-side combine makes them. They hold
+    trees x leaves x cells numbers whatever the rows, and are applied as broadcasts of at most
+    ``SKETCH_BYTES``, one group of trees after another, with a row's sum so far carried along.
+    """
+
+    def __init__(self, cells: int = 200, accuracy: int = 10_000):
+        self.cells, self.accuracy = cells, accuracy
+
+    def fit(self, df: DataFrame, leaves: str, label: str) -> "LeafSketch":
+        """``leaves``: the vector of a row's leaf in every tree."""
+        y = F.col(label).cast("double")
+        data = df.filter(y.isNotNull() & ~F.isnan(y)).select(vector_to_array(leaves).alias("leaves"), y.alias("y"))
+        cuts = data.agg(F.percentile_approx("y", [i / self.cells for i in range(1, self.cells)], self.accuracy).alias("q")).first()["q"]
+        if cuts is None:
+            raise ValueError("no row with a target to sketch")
+        data = Bucketizer(splits=[-np.inf, *sorted(set(cuts)), np.inf], inputCol="y", outputCol="cell").transform(data)
+        ends = data.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.min("y").alias("low"), F.max("y").alias("high"), F.avg("y").alias("mean"))
+        ends = sorted(map(tuple, ends.collect()))  # at most ``cells`` rows
+        at = {cell: i for i, (cell, *_) in enumerate(ends)}
+        self.low, self.high, self.mean = (np.array([e[j] for e in ends]) for j in (1, 2, 3))
+        seen = data.select(F.col("cell").cast("int").alias("cell"), F.posexplode("leaves").alias("tree", "leaf"))
+        seen = seen.groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "cell").count()
+        counts: dict[int, dict[int, np.ndarray]] = {}
+        for tree, leaf, cell, n in seen.toLocalIterator():  # at most trees x leaves x cells rows
+            counts.setdefault(tree, {}).setdefault(leaf, np.zeros(len(ends), np.float32))[at[cell]] = n
+        self.trees = []
+        for tree in range(len(counts)):
+            shares = np.zeros((max(counts[tree]) + 1, len(ends)), np.float32)
+            for leaf, c in counts[tree].items():
+                shares[leaf] = np.cumsum(c, dtype=np.float64) / c.sum(dtype=np.float64)
+            self.trees.append(shares)
+        return self
+
+    def groups(self) -> list[tuple[int, int]]:
+        """Trees from .. to of one call, together under ``SKETCH_BYTES`` (one tree at least)."""
+        out, start, size = [], 0, 0
+        for i, t in enumerate(self.trees):
+            if i > start and size + t.nbytes > SKETCH_BYTES:
+                out.append((start, i))
+                start, size = i, 0
+            size += t.nbytes
+        return [*out, (start, len(self.trees))]
+
+    def bounds(self, total: np.ndarray, levels: Sequence[float]) -> np.ndarray:
+        """Lower, middle and upper quantile of the rows of summed shares."""
+        # float32 shares: a level counts as reached within their rounding. Leaves without a counted target share nothing
+        weight = total[:, -1:]
+        share = total / np.where(weight > 0, weight, 1.0) + 1e-6
+        cell = [np.minimum((share < q).sum(axis=1), len(self.low) - 1) for q in levels]
+        out = np.column_stack([self.low[cell[0]], self.mean[cell[1]], self.high[cell[2]]])
+        return np.where(weight > 0, out, np.array([[self.low[0], self.mean.mean(), self.high[-1]]]))
+
+    def transform(self, df: DataFrame, leaves: str, levels: Sequence[float]) -> DataFrame:
+        """Add ``lower``, ``leaf_median`` and ``upper`` at the three ``levels``."""
+        spark = df.sparkSession
+        d = df.withColumn("_leaves", vector_to_array(leaves)).withColumn("_share", F.lit(None).cast("array<double>"))
+        for start, end in self.groups():
+            add = _adder(spark.sparkContext.broadcast(self.trees[start:end]), start)
+            d = d.withColumn("_share", add("_leaves", "_share"))
+        low, high, mean = self.low, self.high, self.mean
+
+        @F.pandas_udf("lower double, leaf_median double, upper double")
+        def cut(share: pd.Series) -> pd.DataFrame:
+            own = LeafSketch()
+            own.low, own.high, own.mean = low, high, mean
+            return pd.DataFrame(own.bounds(np.stack(share.to_numpy()), levels), columns=["lower", "leaf_median", "upper"])
+
+        d = d.withColumn("_cut", cut.asNondeterministic()("_share"))
+        return d.withColumns({c: F.col(f"_cut.{c}") for c in ("lower", "leaf_median", "upper")}).drop("_cut", "_share", "_leaves")
+
+
+def _adder(held, start: int):
+    """Arrow call that adds the shares of the leaves of some trees, the first of them ``start``, to a row's sum."""
+
+    @F.pandas_udf("array<double>")
+    def add(leaves: pd.Series, before: pd.Series) -> pd.Series:
+        if not len(leaves):
+            return pd.Series([], dtype=object)
+        total = 0.0 if before.iloc[0] is None else np.stack(before.to_numpy())
+        at = np.stack(leaves.to_numpy()).astype(np.int64)
+        for i, shares in enumerate(held.value):
+            known = at[:, start + i] < len(shares)  # a leaf beyond the table holds no counted target
+            total = total + np.where(known[:, None], shares[np.where(known, at[:, start + i], 0)], 0.0)
+        return pd.Series(list(total))
+
+    return add.asNondeterministic()
 
 
 @dataclass
@@ -30,26 +138,42 @@ class ForestInterval:
     seed: int = 0
     max_bins: int = 32
     nominal: Mapping[str, int] | None = None
+    band: str = "residual"
+    cells: int = 200
 
     def fit_trees(self, fit_df: DataFrame) -> "ForestInterval":
+        if self.band not in ("residual", "leaf"):
+            raise ValueError(f"unknown band {self.band!r}; expected 'residual' or 'leaf'")
         data = assemble(fit_df.select(*self.features, self.label), self.features, "_x", self.nominal)
         self.model_ = RandomForestRegressor(
             featuresCol="_x", labelCol=self.label, predictionCol="mid", numTrees=self.num_trees,
             maxDepth=self.max_depth, minInstancesPerNode=self.min_rows_leaf,
             subsamplingRate=self.subsampling, seed=self.seed, maxBins=max([self.max_bins, *(self.nominal or {}).values()]),
+            leafCol="_leaf" if self.band == "leaf" else "",
         ).fit(data)
+        if self.band == "leaf":
+            self.sketch_ = LeafSketch(self.cells).fit(self.model_.transform(data), "_leaf", self.label)
         return self
 
     def fit(self, fit_df: DataFrame, cal_df: DataFrame) -> "ForestInterval":
         self.fit_trees(fit_df)
-        cal = self._mid(cal_df.select("id", *self.features, self.label))
-        self.qhat_ = scalar_qhat(conformal_abs_residual(cal, [], self.coverage, self.label, "mid", ["id"]))
+        cal = cal_df.select("id", *self.features, self.label)
+        if self.band == "leaf":
+            self.qhat_ = 0.0
+            scores = conformity_scores(self.transform(cal), self.label, "lower", "upper")
+            self.qhat_ = scalar_qhat(conformal_fit(scores, [], self.coverage, "score", ["id"]))
+        else:
+            self.qhat_ = scalar_qhat(conformal_abs_residual(self._mid(cal), [], self.coverage, self.label, "mid", ["id"]))
         return self
 
     def _mid(self, df: DataFrame) -> DataFrame:
         return self.model_.transform(assemble(df, self.features, "_x", self.nominal)).drop("_x")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        d = self._mid(df)
-        q = F.lit(self.qhat_)
+        d, q = self._mid(df), F.lit(self.qhat_)
+        if self.band == "leaf":
+            half = (1.0 - self.coverage) / 2.0
+            d = self.sketch_.transform(d, "_leaf", (half, 0.5, 1.0 - half)).drop("_leaf", "leaf_median")
+            low, high = F.col("lower") - q, F.col("upper") + q  # a negative correction may cross them
+            return d.withColumns({"lower": F.least(low, high), "upper": F.greatest(low, high)})
         return d.withColumns({"lower": F.col("mid") - q, "upper": F.col("mid") + q})

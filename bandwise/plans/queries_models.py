@@ -43,10 +43,10 @@ def _split(spark, sf):
     return t.filter(F.col("_f") != 0).drop("_f"), t.filter(F.col("_f") == 0).drop("_f")
 
 
-def _family(name):
+def _family(name, **params):
     def run(spark, sf):
         train, test = _split(spark, sf)
-        m = IntervalModel(name, learning_spec(), COV).fit(train)
+        m = IntervalModel(name, learning_spec(), COV, params).fit(train)
         return m.transform(test).join(test.select("id", "y"), "id").select("id", "y", "lower", "mid", "upper")
     run.__name__ = f"family_{name}"
     return run
@@ -54,6 +54,7 @@ def _family(name):
 
 register("quantile_boost")(_family("boost"))
 register("forest_interval")(_family("forest"))
+register("forest_leaf_quantiles")(_family("forest", band="leaf"))
 register("binned_density")(_family("nnc"))
 register("shash_regression")(_family("nn"))
 register("eim_regression")(_family("eim"))
