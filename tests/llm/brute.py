@@ -101,6 +101,86 @@ def personal(text):
     return [(a, b, k) for a, _, b, k in sorted(out)]
 
 
+def _slots(text, base):
+    """(start, end, possible kinds) of the strings that meet no base span and could be personal data."""
+    local = r"[A-Za-z0-9._%+-]"
+    spelt = [m.span() for m in re.finditer(local + r"+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]+)+", text)]
+    runs = []
+    for m in re.finditer(r"\S+", text):
+        a, b = m.span()
+        if not re.search("[0-9@]", m.group()):
+            continue
+        while a < b and not re.match(r"[\w+(@]", text[a]):
+            a += 1
+        while b > a and not re.match(r"[\w)]", text[b - 1]):
+            b -= 1
+        if text[a:b].startswith("(") and ")" not in text[a:b]:
+            a += 1
+        if text[a:b].endswith(")") and "(" not in text[a:b]:
+            b -= 1
+        number = re.fullmatch(r"[0-9().+-]+", text[a:b])
+        if number and runs and runs[-1][2] and text[runs[-1][1]: a] == " ":
+            runs[-1] = (runs[-1][0], b, True)
+        else:
+            runs.append((a, b, bool(number)))
+    free = lambda a, b, taken: all(b <= x or a >= y for x, y in taken)
+    taken = [(a, b) for a, b, _ in base]
+    spelt = [x for x in spelt if free(*x, taken)]
+    out = [(a, b, True) for a, b in spelt] + [(a, b, False) for a, b, _ in runs if a < b and free(a, b, taken + spelt)]
+    found = []
+    for a, b, at in out:
+        digits = len(re.findall("[0-9]", text[a:b]))
+        kinds = [k for k, ok in (("email", at or "@" in text[a:b]), ("ip", digits > 3), ("card", digits > 11), ("phone", digits > 6)) if ok]
+        if kinds:
+            found.append((a, b, kinds))
+    return found
+
+
+def bootstrapped(texts, min_seeds=3, min_score=0.8):
+    """The spans that contexts of base spans discover, as a set of (text number, start, end, kind)."""
+    hits = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = personal(t)
+        for a, b, kind, may in [(a, b, k, []) for a, b, k in base] + [(a, b, None, may) for a, b, may in _slots(t, base)]:
+            words = lambda s: re.sub(r"\d", "0", s.lower())
+            left = [words(w) for w in re.findall(r"\w+|[^\w\s]", t[:a].split("\n")[-1])][-3:]
+            right = [words(w) for w in re.findall(r"\w+|[^\w\s]", t[b:].split("\n")[0])][:3]
+            around = {("l", *left[-n:]) for n in (1, 2, 3) if n <= len(left)} | {("r", *right[:n]) for n in (1, 2, 3) if n <= len(right)}
+            around |= {("b", *left[-n:], *right[:n]) for n in (1, 2) if n <= min(len(left), len(right))}
+            hits.append((i, a, b, kind, may, around, re.sub(r"[\s()\[\]+-]", "", t[a:b].lower())))
+    members, seeds = defaultdict(set), set()
+    for *_, kind, may, around, name in hits:
+        for p in around:
+            members[p].add(name)
+        if kind and around:
+            seeds.add((name, kind))
+    known, settled = {x: 1_000_000 for x in seeds}, {n for n, _ in seeds}
+    while True:
+        good = {}
+        for p, names in members.items():
+            for k in ("email", "ip", "card", "phone"):
+                s = sum(known.get((n, k), 0) for n in names)
+                if s >= min_seeds * 1_000_000 and s // len(names) >= min_score * 1_000_000:
+                    good[p, k] = s // len(names)
+        new = defaultdict(int)
+        for *_, kind, may, around, name in hits:
+            for k in may:
+                if name not in settled and (name, k) not in known:
+                    for p in around:
+                        if (p, k) in good:
+                            new[name, k] = max(new[name, k], good[p, k])
+        if not new:
+            break
+        known.update(new)
+    out = set()
+    for i, a, b, kind, may, around, _ in hits:
+        best = [(-good[p, k], ("email", "ip", "card", "phone").index(k), k) for k in may for p in around if (p, k) in good]
+        if kind is None and best:
+            out.add((i, a, b, min(best)[2]))
+    return out
+
+
 def line_dedup(rows, least=10):
     strip = " \t\n\x0b\x0c\r"
     keyed = [[(line, line.strip(strip).translate(LOWER)) for line in (t or "").split("\n")] for _, t in rows]

@@ -110,6 +110,61 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[101]["spans"] == "" and got[102]["spans"] == ""
 
 
+def _discovered(spark, texts, **settings):
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **settings).collect()
+    out = set()
+    for r in got:
+        base = {(a, b, k) for a, b, k in brute.personal(texts[r["doc_id"]])}
+        every = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert every == sorted(every, key=lambda x: (x[0], pii.KINDS.index(x[2]))) and len(every) == len(base) + r["found"]
+        out |= {(r["doc_id"], *x) for x in every if x not in base}
+    return out
+
+
+def test_bootstrapping_reaches_what_no_seed_stands_beside(spark):
+    """Seeds teach ``call``; instances found there teach ``hotline``, where no base span stands."""
+    rows = [f"please call +1 555 010 {1000 + i} now" for i in range(100)]
+    rows += [f"please call 555-020-{1000 + i} now" for i in range(10)]
+    rows += [f"the hotline 555-020-{1000 + i} is open" for i in range(10)] + ["the hotline 555-030-7777 is open"]
+    rows += [f"mail to user{i}@mail.org soon" for i in range(40)] + [f"mail to user{i} [at] mail [dot] org soon" for i in range(3)]
+    planted = len(rows)
+    rows += [f"item 555-040-{1000 + i} costs much" for i in range(30)] + ["order number 1234567890 came", "in 2024 there were 17 of 99 left"]
+    found = _discovered(spark, rows)
+    assert found == brute.bootstrapped(rows)
+    assert {i for i, *_ in found} == {*range(100, 121), *range(161, planted)}
+    assert all(k == ("phone" if i < 121 else "email") for i, _, _, k in found)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bootstrapping_against_plain_python(spark, seed):
+    rng = random.Random(seed)
+    kinds = {"call": lambda: f"+1 555 {rng.randint(100, 130)} {rng.randint(1000, 1003)}", "dial": lambda: f"555-{rng.randint(100, 130)}-{rng.randint(1000, 1003)}",
+             "host": lambda: f"10.0.{rng.randint(0, 3)}.{rng.randint(0, 300)}", "node": lambda: f"10.0.{rng.randint(0, 3)}.{rng.randint(250, 300)}",
+             "mail": lambda: f"u{rng.randint(0, 30)}@x.org", "write": lambda: f"u{rng.randint(0, 30)} (at) x (dot) org", "pay": lambda: f"4111 1111 1111 {rng.randint(1000, 1040)}",
+             "odd": lambda: rng.choice(["(12345678", "99-", "[1.2.3.4567]", "+", "@", "7" * 90, "x" * 200 + "12345", "(030) 1234 567)"])}
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            word = rng.choice(list(kinds))
+            parts += [rng.choice(["so", "and", "the", "the", "w" * 70]), word if rng.random() < 0.9 else rng.choice(list(kinds)), kinds[word]() + rng.choice(["", "", ",", ".", ")"]), rng.choice(["ok", "is", "\n", ""])]
+        texts.append(rng.choice([" ", " ", "  "]).join(parts))
+    texts += [None, "", " ", texts[0], texts[1]]
+    for settings in ({}, {"min_seeds": 2, "min_score": 0.5}):
+        found = _discovered(spark, texts, **settings)
+        assert found == brute.bootstrapped(texts, **settings)
+    assert found
+
+
+def test_slots_take_linear_time():
+    import time
+    start = time.time()
+    for junk in ("1 " * 100_000, "1" * 300_000, "a" * 300_000 + "@", "a[at]" * 50_000, "(" * 300_000 + "1", "\t" * 300_000 + "12345678", "x1\u00e9." * 50_000):
+        for a, b, _ in pii.candidates(junk, [])[:1000]:
+            pii.patterns(junk, a, b)
+    assert time.time() - start < 20
+
+
 # 4
 
 @pytest.mark.parametrize("k,percent,cap", [(3, 90, 1024), (5, 80, 4)])
