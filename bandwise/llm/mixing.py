@@ -13,7 +13,9 @@ sorted by cap / weight, with integers up to the one division.
 
 Skew: a source may hold most rows, so no window is partitioned by source over documents. Keys fall
 into 1024 ordered buckets per source; prefix sums of bucket totals (at most 1024 rows per source)
-find the one bucket in which the budget ends; only that bucket is sorted, and its cut point is
+find the one bucket in which the budget ends; only that bucket is sorted, by ranges of source and key, and
+its prefix sums are those within a range plus the totals of the ranges before, so that many documents of
+one weight in one bucket are spread over tasks. Its cut point is
 applied to the documents as a filter. The windows over sources hold one row per source. DataFrame
 functions throughout; documents are read once, only (id, source, size, key) are kept.
 
@@ -96,8 +98,16 @@ def plan_mix(rows: DataFrame, max_epochs: int = 3) -> DataFrame:
     last = rows.join(known.drop("rest"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", _bucket()).drop("_s")
     last = last.join(measured(ends, 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("at"))).groupBy(
         "source", "rest", "before", _place().alias("place")).agg(F.sum("_size").alias("words"))
-    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("ahead", F.col("before") + ahead).filter(2 * F.col("ahead") + F.col("words") <= 2 * F.col("rest"))
+    # ranges of (source, place): one running sum a range, offset by the totals of the source's ranges before
+    last = last.repartitionByRange("source", "place._key", "place._id", "place._size").withColumn("_range", F.spark_partition_id())
+    last = cut_lineage(last)
+    upto_range = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = last.groupBy("source", "_range").agg(F.sum("words").alias("all"))
+    ranges = cut_lineage(ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("all").over(upto_range), F.lit(0)).alias("passed")))
+    inner = Window.partitionBy("source", "_range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("own", F.coalesce(F.sum("words").over(inner), F.lit(0)))
+    last = last.join(measured(ranges, 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    last = last.withColumn("ahead", F.col("before") + F.col("passed") + F.col("own")).filter(2 * F.col("ahead") + F.col("words") <= 2 * F.col("rest"))
     cuts = last.groupBy(F.col("source").alias("_c")).agg(F.max("place").alias("cut"))
     out = s.join(ends.select("_s", "at"), s["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     return cut_lineage(out.join(cuts, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c", "rest"))

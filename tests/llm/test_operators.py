@@ -59,6 +59,17 @@ def test_mix_returns_whole_rows_as_often_as_reported(odd_docs):
     assert got == {d: n for d, n in report.items() if n}
 
 
+def test_an_end_bucket_of_a_whole_source_is_spread_over_ranges(spark, odd_docs, docs, monkeypatch):
+    wants = [mixing.mix_report(df).collect() for df in (odd_docs, docs)]
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        for df, want in zip((odd_docs, docs), wants):
+            same(mixing.mix_report(df).collect(), want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_mix_prefers_documents_of_high_weight(spark):
     good, bad = "word " * 10, "w!!! " * 10
     docs = spark.createDataFrame([(i, good if i % 2 else bad, "a") for i in range(400)] + [(1000 + i, good, "b") for i in range(10)], "doc_id long, text string, source string")
