@@ -329,3 +329,26 @@ def test_moments_merge_whatever_the_partitions(spark):
     for parts in (1, 30):
         n, mean, cov = PR.moments(d.repartition(parts), ["a", "b", "c"])
         assert n == 500 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True), atol=1e-6)
+
+
+def test_pooled_hdi_gathers_small_keys_and_ranks_large_ones(spark, monkeypatch):
+    """Keys beyond the bound (a null key too) are ranked, the others gathered; both give the plain narrowest interval."""
+    rng = np.random.default_rng(5)
+    pools = {1: rng.normal(size=5), 2: rng.normal(size=40), None: rng.normal(size=33).round(1), 4: rng.normal(size=1)}
+    rows = [(k, float(v)) for k, vs in pools.items() for v in vs] + [(9, None), (1, None)]
+    df = spark.createDataFrame(rows, "id long, value double")
+
+    def narrowest(v):
+        v = sorted(map(float, v))
+        m = min(int(0.9 * len(v)), len(v) - 1)
+        return min((v[i + m] - v[i], i, v[i], v[i + m]) for i in range(len(v) - m))[2:]
+
+    want = {k: narrowest(v) for k, v in pools.items()}
+    ranked = []
+    plain = O.hdi
+    monkeypatch.setattr(O, "hdi", lambda *a, **k: ranked.append(1) or plain(*a, **k))
+    for bound, calls in ((10_000, 0), (20, 1), (0, 1)):
+        monkeypatch.setattr(O, "POOL_DRAWS", bound)
+        ranked.clear()
+        assert {r["id"]: (r["lower"], r["upper"]) for r in O.pooled_hdi(df).collect()} == want
+        assert len(ranked) == calls
