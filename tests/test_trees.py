@@ -199,3 +199,39 @@ def test_ridge_of_all_folds_in_two_passes(waves):
 
 def test_pinball():
     assert pinball(np.array([3.0, 1.0]), np.array([2.0, 2.0]), 0.9).tolist() == pytest.approx([0.9, 0.1])
+
+
+def test_siblings_share_a_count_and_masks_find_the_leaves():
+    """Of two open siblings one is counted; counts, gains and leaves are those of plain sums and a walk down the tree."""
+    from bandwise.learners.histtrees import Columns, side_counts
+
+    rng = np.random.default_rng(3)
+    binner = Binner(tuple(np.sort(rng.normal(size=15)) for _ in range(3)) + (np.zeros(0),), (0, 0, 0, 5))
+    bins = binner.bins(np.column_stack([rng.normal(size=(3000, 3)), rng.integers(0, 6, 3000)]))
+    up = rng.random(3000) < 0.2 + 0.6 * ((bins[:, 0] > 7) ^ (bins[:, 3] % 2 == 0))
+    tau, grown = 0.3, Growing(binner, 4, 16, 20, 0.0)
+    of = lambda n, c: tau * c + (tau - 1.0) * (n - c)
+    open_nodes = []
+    while True:
+        slots, cols = grown.slots()[grown.flat().leaf(bins, 0)], Columns(bins)
+        counts = side_counts(cols, slots, up, binner.widths, len(grown.counted))
+        assert np.array_equal(counts, grown.histogram(bins, slots, [np.ones(3000), up.astype(float)]))
+        before, at = list(grown.open), grown.flat().leaf(bins, 0)
+        open_nodes.append((len(before), len(grown.counted)))
+        more = grown.grow(counts, of)
+        for node in before:  # a derived node's gain is that of its own rows
+            own = Growing(binner, 4, 16, 20, 0.0)
+            own.grow(own.histogram(bins[at == node], np.zeros((at == node).sum(), int), [np.ones((at == node).sum()), np.where(up[at == node], tau, tau - 1.0)]))
+            assert (node in grown.found) == (0 in own.found)
+            if node in grown.found:
+                assert grown.found[node][0] == pytest.approx(own.found[0][0])
+        if not more:
+            break
+    assert (2, 1) in open_nodes  # two siblings, one count
+    flat = Ensemble([grown.finish()], binner)
+    node = np.zeros(3000, int)
+    for _ in range(flat.depth[0]):
+        node = np.array([v if flat.column[v] < 0 else (flat.left if flat.goes[flat.at[v] + b[flat.column[v]]] else flat.right)[v] for v, b in zip(node, bins)])
+    assert flat.masks(0) and np.array_equal(flat.leaf(bins, 0), node)
+    flat._masks[0] = None  # too many leaves or bins: the walk
+    assert np.array_equal(flat.leaf(bins, 0), node)
