@@ -352,3 +352,20 @@ def test_pooled_hdi_gathers_small_keys_and_ranks_large_ones(spark, monkeypatch):
         ranked.clear()
         assert {r["id"]: (r["lower"], r["upper"]) for r in O.pooled_hdi(df).collect()} == want
         assert len(ranked) == calls
+
+
+def test_medians_of_columns_side_by_side(spark, monkeypatch):
+    """Exact medians with ties, few values, nulls, NaN and a column of nulls, without the long form of all rows."""
+    rng = np.random.default_rng(6)
+    n = 2001
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float),
+                        "c": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 1000, n)), "e": np.repeat([1.0, 2.0], [1000, 1001])})
+    df = spark.createDataFrame(pdf).withColumns({"c": F.when(~F.isnan("c"), F.col("c")), "d": F.lit(None).cast("double"),
+                                                 "e": F.when(F.col("id") > 0, F.col("e")), "f": F.when(F.col("id") < 2, F.lit(float("nan"))).when(F.col("id") < 5, F.lit(3.0))})
+    rows = []
+    plain = PR._long_form
+    monkeypatch.setattr(PR, "_long_form", lambda *a: rows.append(plain(*a)) or rows[-1])
+    got = {r["column"]: r["median"] for r in PR.impute_median_fit(df.repartition(5), list("abcdef"), "id").collect()}
+    c = pdf["c"].dropna()
+    assert got == {"a": pdf["a"].median(), "b": pdf["b"].median(), "c": c.median(), "e": 2.0, "f": 3.0}
+    assert sum(r.count() for r in rows) < 2 * n  # a row for each value of each column would be more than 4 * n
