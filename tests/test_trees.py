@@ -163,6 +163,31 @@ def test_block_sums_in_two_steps(spark, monkeypatch):
     assert (one == two).all() and one[:3].tolist() == [499500.0, 999000.0, 1000.0]
 
 
+def test_a_pass_holds_the_matrices_that_open_fits_read(spark):
+    """A lockstep once handed every fit all matrices of the blocks, other families' designs too."""
+    class Look(B.Fit):
+        size = 1
+
+        def __init__(self, reads, steps):
+            self.reads, self.steps, self.seen = reads, steps, []
+
+        def part(self):
+            return lambda block: np.array([float(len(block) - 1)])
+
+        def update(self, total):
+            self.seen.append(total[0])
+            return len(self.seen) < self.steps
+
+    rows = spark.range(0, 100, 1, 1).select(*[F.col("id").cast("double").alias(c) for c in "abcd"])
+    blocks = B.pack(rows, {"w": ["a", "b"], "x": ["a"], "y": "c", "z": "d"})
+    short, long = Look(["x", "y"], 2), Look(["y"], 4)
+    last = B.lockstep(blocks, [short, long])
+    assert short.seen == [2, 2] and long.seen == [2, 2, 1, 1] and set(last.shapes) == {"x", "y"}
+    anything = Look(None, 1)
+    B.lockstep(blocks, [anything, Look(["y"], 1)])
+    assert anything.seen == [4]
+
+
 def test_expansion_factor_is_the_trimmed_mean(waves, spark):
     m = EIMRegression(["x"], "y", steps=3, scale=1.0)
     blocks = B.pack(waves, {"x": ["x"], "y": "y"})
