@@ -86,3 +86,21 @@ def test_odd_rows(spark, frame):
         fitted(frame, **{"min_rows_leaf": 5}).__class__(["a"], "y", band="other").fit_trees(frame.dropna())
     twice = frame.dropna().unionAll(frame.dropna())  # repeated rows count as often as they stand there
     assert m.transform(twice).count() == twice.count()
+
+
+def test_one_group_of_trees_carries_no_shares(frame):
+    m = fitted(frame)
+    out = m.sketch_.transform(m._mid(frame), "_leaf", (0.1, 0.5, 0.9))
+    assert len(m.sketch_.groups()) == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # one call, which yields the bounds
+
+
+def test_leaf_counts_of_tasks_add_up(frame):
+    m = fitted(frame)
+    known = m._mid(frame.dropna().filter("id % 3 != 0"))
+    many, one = (LeafSketch().fit(known.repartition(n), "_leaf", "y") for n in (9, 1))
+    assert all(np.array_equal(a, b) for a, b in zip(many.trees, one.trees)) and len(many.trees) == 7
+    rows = known.collect()
+    for tree, shares in enumerate(m.sketch_.trees):  # the share of the last cell is that of all targets
+        seen = {int(r["_leaf"][tree]) for r in rows}
+        assert {i for i, s in enumerate(shares) if s[-1] > 0.999} == seen
