@@ -163,6 +163,24 @@ def test_block_sums_in_two_steps(spark, monkeypatch):
     assert (one == two).all() and one[:3].tolist() == [499500.0, 999000.0, 1000.0]
 
 
+def test_packed_matrices_come_back_as_they_were(spark):
+    """One-hot columns took eight bytes a row."""
+    odd = [0.0, 1.0, 255.0, 256.0, -1.0, 0.5, -0.0, float("nan"), float("inf"), float("-inf"), 1e300, 7.0]
+    rng = np.random.default_rng(3)
+    m = np.column_stack([rng.integers(0, 2, 60), rng.integers(0, 256, 60), rng.normal(size=60), *[[0.0] * 59 + [v] for v in odd]]).astype(float)
+    assert B._unmixed(B.pa.py_buffer(B._mixed(m)), *m.shape).tobytes() == m.tobytes()
+    for part in (m[:, :2], m[:, 2:3], m[:1], m[:0]):
+        assert B._unmixed(B.pa.py_buffer(B._mixed(part)), *part.shape).tobytes() == np.ascontiguousarray(part).tobytes()
+    rows = spark.createDataFrame([(float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(m[:, [0, 2]])], "a double, b double").coalesce(1)
+    assert np.array_equal(B.with_ones(m), np.column_stack([np.nan_to_num(m, nan=0.0), np.ones(60)]))
+    some = m[:, 0] > 0
+    assert np.array_equal(B.chosen(m, some), m[some], equal_nan=True) and B.chosen(m, some | True) is m
+    found = B.pack(rows, {"x": ["a", "b"] + ["a"] * 8, "b": "b"})
+    assert len(found.df.first()["x"]) == 60 * (9 + 8) + 10
+    want = np.nansum(np.array([[r["a"], np.nan if r["b"] is None else r["b"]] for r in rows.collect()]), axis=0)
+    assert np.allclose(B.block_sums(found, lambda b: np.nansum(b["x"][:, :2], axis=0), 2), want)
+
+
 def test_a_pass_holds_the_matrices_that_open_fits_read(spark):
     """A lockstep once handed every fit all matrices of the blocks, other families' designs too."""
     class Look(B.Fit):
