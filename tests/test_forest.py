@@ -104,3 +104,36 @@ def test_leaf_counts_of_tasks_add_up(frame):
     for tree, shares in enumerate(m.sketch_.trees):  # the share of the last cell is that of all targets
         seen = {int(r["_leaf"][tree]) for r in rows}
         assert {i for i, s in enumerate(shares) if s[-1] > 0.999} == seen
+
+
+def test_grown_with_kept_nodes_and_the_trees_of_the_plain_estimator(frame):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from bandwise.learners.common import assemble
+
+    known = frame.dropna()
+    m = ForestInterval(["a", "b"], "y", num_trees=5, max_depth=6).fit_trees(known)
+    assert m.model_.getOrDefault("cacheNodeIds")
+    x = assemble(known.select("a", "b", "y"), ["a", "b"], "_x")
+    slow = RandomForestRegressor(featuresCol="_x", labelCol="y", numTrees=5, maxDepth=6, minInstancesPerNode=20, seed=0, maxBins=32).fit(x)
+    assert m.model_.toDebugString.split("\n")[1:] == slow.toDebugString.split("\n")[1:]
+
+
+def test_search_reads_written_folds_and_parts(frame):
+    """A candidate's fit reads its rows many times: no read hashes the keys anew."""
+    from bandwise.plans.tuning import search_intervals
+
+    plans = []
+
+    class Constant:
+        def fit(self, fit, cal):
+            plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (fit, cal))
+            self.sizes = {c: d.agg(F.sum("y")).first()[0] for c, d in (("fit", fit), ("cal", cal))}
+            assert fit.columns == ["id", "a", "b", "y"] and self.sizes["fit"] != self.sizes["cal"]
+            return self
+
+        def transform(self, df):
+            return df.withColumns({"lower": F.lit(0.0), "upper": F.lit(1.0)})
+
+    scores, _ = search_intervals(frame.sparkSession, frame.dropna(), lambda c: Constant(), [{"x": 1}], k=2)
+    assert scores.count() == 1 and len(plans) == 6 and not any("md5" in p for p in plans)
