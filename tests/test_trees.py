@@ -147,6 +147,41 @@ def test_a_fit_goes_on_from_its_folder(waves, tmp_path, monkeypatch):
     assert ensemble_columns(waves, FEATURES, models).agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
 
 
+def test_a_search_goes_on_when_a_fold_has_stopped(waves):
+    """The bins of a fold whose boosters had stopped were lost, though scores and written predictions need them."""
+    from bandwise.plans.tuning import BoostSearch
+
+    settings = [{"rounds": 2, "checkpoint_every": 1, "patience": 50, "learning_rate": rate} for rate in (0.2, 0.4)]
+    search = BoostSearch(waves, FEATURES, [0.5], settings, 2, "y", nominal=NOMINAL)
+    first = search.run([0, 1], 2)
+    for (_, _, f), b in search.boosters.items():
+        if f == 1:
+            b.trees, b.written = b.trees[:1], 1  # as if the first round had been the best one
+    last = search.run([0], 5)
+    assert [(c, f) for c, f, _ in first] == [(0, 0), (0, 1), (1, 0), (1, 1)] and [(c, f) for c, f, _ in last] == [(0, 0), (0, 1)]
+    assert [len(search.boosters[0, 0, f].trees) for f in (0, 1)] == [5, 1]
+    alone = BoostSearch(waves, FEATURES, [0.5], [{**settings[0], "rounds": 5}], 2, "y", nominal=NOMINAL).run([0])
+    assert last[0][2] == pytest.approx(alone[0][2]) and last[1][2] < alone[1][2]
+
+
+def test_boosters_read_few_large_blocks_and_written_predictions_alone(waves, monkeypatch):
+    """A pass once read a column of predictions for every booster, zeros until some were written, from blocks of an Arrow batch."""
+    monkeypatch.setattr(B, "ROWS", 500)
+    blocks, binners, (low, high) = boost_blocks(waves, [FEATURES], "y", "id", NOMINAL)
+    joined = B.merged(blocks, 1500)
+    rows = lambda t: sorted((y, *b) for r in t.select("y", "bins0").collect() for y, b in zip(np.frombuffer(r["y"]), np.frombuffer(r["bins0"], "u1").reshape(-1, 3).tolist()))
+    sizes = [r["n"] for r in joined.df.collect()]
+    assert sum(sizes) == waves.count() and max(sizes) <= 1500 and len(sizes) < blocks.df.count() / 2
+    assert rows(joined.df) == rows(blocks.df)
+    marked = B.pack(waves.withColumn("_of", (F.col("id") < 3000).cast("int")).sort("id").coalesce(1), {"y": "y", "of": "_of"}, {"of": "u1"})
+    assert all(len(set(r["of"])) == 1 for r in B.merged(marked, 10_000).df.collect())
+    seen, part = [], QuantileBooster.part
+    b = QuantileBooster(FEATURES, 0.5, "y", rounds=4, min_rows_leaf=40, checkpoint_every=3, patience=50, nominal=NOMINAL)
+    monkeypatch.setattr(QuantileBooster, "part", lambda self: (seen.append((len(self.trees), "f" in self.reads)), part(self))[1])
+    run_boosters(blocks, [b.begin(binners[0], low, high)])
+    assert set(seen) == {(0, False), (1, False), (2, False), (3, True)}
+
+
 def test_boosting_without_rows_to_split(spark):
     d = spark.createDataFrame([(i, 1.0, 2.0 + i % 2) for i in range(30)], "id long, x double, y double")
     b = QuantileBooster(["x"], 0.5, "y", rounds=5).fit(d)
