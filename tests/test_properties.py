@@ -218,6 +218,34 @@ def test_normal_draws_moments_and_repeatability(spark):
     assert np.array_equal(a["z"].values, b["z"].values)
 
 
+def test_draw_arrays_are_the_hashed_draws_of_one_call(spark):
+    """A row's draws were hashed, formatted and parsed as text one by one in the plan; one Arrow call must give the same."""
+    import hashlib
+
+    from bandwise.functions.hashdraws import normal_draws
+    from bandwise.learners.shash import ShashRegression
+
+    ids = [0, 7, -5, 65539, 123456789012, None]
+    d = spark.createDataFrame([(i, 0.1 * j, None if j == 2 else 1.0 - j) for j, i in enumerate(ids)], "id long, a double, b double")
+    long = d.select("id", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("draw")).select("id", "draw", D.normal_draw(3, "id", "draw").alias("z"))
+    z = normal_draws([b"3" if i is None else b"3|%d" % i for i in ids], 121)
+    for r in long.collect():
+        assert z[ids.index(r["id"]), r["draw"]] == pytest.approx(r["z"], rel=1e-12, abs=1e-14)
+    keys = [b"1|" + b"y" * n for n in (0, 48, 49, 50, 51, 52, 70)]  # around the length that one block of the hash holds
+    for key, row in zip(keys, normal_draws(keys, 12)):
+        for i, got in enumerate(row):
+            digits = hashlib.md5(key + b"|%d" % i).hexdigest()
+            u1, u2 = ((int(digits[at: at + 12], 16) + 0.5) / 2 ** 48 for at in (0, 12))
+            assert got == pytest.approx(math.sqrt(-2 * math.log(u1)) * math.cos(2 * math.pi * u2), rel=1e-12, abs=1e-14)
+    m = ShashRegression(["a", "b"], theta=np.array([0.1, 0.2, 0.6, 0.1, -0.2, -0.4, 0.3, 0.1, 0.1, -0.2, 0.2, 0.1]))
+    drawn = m.draw_array(d, 121, seed=3)
+    plan = drawn._jdf.queryExecution().toString()
+    assert "md5" not in plan and drawn.count() == len(ids)
+    for r in drawn.collect():
+        q = r["center"] + r["tail"] * (r["spread"] + D.SPREAD_OFFSET) * np.sinh(np.arcsinh(z[ids.index(r["id"])]) / r["tail"] + r["skew"] / r["tail"])
+        assert np.allclose(r["draws"], 1000.0 * np.logaddexp(0, q), rtol=1e-12)
+
+
 def test_group_rank_shuffle_join_path_equals_broadcast_path(spark, monkeypatch):
     """At scale the segment table can exceed the broadcast bound; that path must agree."""
     from bandwise.operators import joins
