@@ -125,3 +125,23 @@ def test_ensembles_on_missing_values(frame, spec, ensemble):
         out = ST.shash_ensemble(train, test, spec, fams, k=2, n_draws=40, params=QUICK, shash_params={"steps": 40})
     got = out.join(test.select("id", "y"), "id").agg(F.count("*"), F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double"))).first()
     assert got[0] == test.count() and got[1] > 0.6
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_complete_net_inputs_are_read_as_packed(frame, spec, monkeypatch, holes):
+    """The design of the nets was copied as plain doubles for its fit, though no layer had changed it."""
+    from bandwise.learners import blocks as B
+    from bandwise.operators.folds import assign_fold
+    from bandwise.plans import fold_fits as FF
+
+    data = frame if holes else frame.dropna().filter("b <> 99")  # 99 stands for a missing value
+    seen = []
+
+    def spy(blocks, fits, *args, **kwargs):
+        seen.extend((type(f).__name__, f.x, blocks.shapes[f.x][0]) for f in fits)
+        return B.lockstep(blocks, fits, *args, **kwargs)
+
+    monkeypatch.setattr(FF, "lockstep", spy)
+    FF.FoldFits(assign_fold(data, 2, "id", "sfold"), spec, ["nn"], 2, params={"nn": {"steps": 3}}).fit()
+    nets = [s[1:] for s in seen if s[0] == "ShashFit"]
+    assert nets == ([("net", "<f8")] * 2 if holes else [("x_nn", B.MIXED)] * 2)
